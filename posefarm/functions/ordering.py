@@ -1,11 +1,11 @@
 """Order statistics for groups of any size.
 
-A window over one group sorts that group in one task.  When a group may hold a
-third of all rows this does not scale, so ranks and running sums are built from
-bins: a group is cut into value ranges of bounded size, each range is ordered on
-its own, and the counts of the ranges before it are added.  The cuts come from
-minima, maxima and counts only, so they are the same on every evaluation, also
-after a lost executor.
+A window over one group sorts that group in one task.  That is the best plan while
+groups are small, so the largest group is counted first.  When a group is too large
+for one task, ranks and running sums are built from bins: a group is cut into value
+ranges of bounded size, each range is ordered on its own, and the counts of the
+ranges before it are added.  The cuts come from minima, maxima and counts only, so
+they are the same on every evaluation, also after a lost executor.
 """
 
 from __future__ import annotations
@@ -74,6 +74,20 @@ def with_order(
     if spare:
         keys = ["_all"]
         df = df.withColumn("_all", F.lit(0))
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if largest is None or largest <= rows_per_bin:
+        first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+        whole = Window.partitionBy(*keys).orderBy(first, *([F.col(tie)] if tie else []))
+        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        if rank:
+            df = df.withColumn(rank, F.row_number().over(whole).cast("long"))
+        for name, column in running.items():
+            df = df.withColumn(name, F.coalesce(F.sum(column).over(upto), F.lit(0)))
+        return df.drop("_all") if spare else df
+    return _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare)
+
+
+def _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare) -> DataFrame:
     v = F.col(value).cast("double")
     t = (F.col(tie) if tie else F.col(value)).cast("double")
     df = df.withColumn("_v", -v if descending else v).withColumn("_t", t)
@@ -158,42 +172,43 @@ def rank_of(df: DataFrame, keys, score: str, tie: str, marks: Mapping[str, Colum
     )
 
 
-def order_value(df: DataFrame, keys, value: str, position: Column, name: str, tie: str | None = None,
-                rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
-    """The value at a 1-based ascending position (an expression over ``n``) per group."""
+def order_values(df: DataFrame, keys, value: str, positions: Mapping[str, Column],
+                 rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """Values at 1-based ascending positions (expressions over the group size ``n``)."""
     keys = _as_list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    distinct = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     upto = with_order(distinct, keys, value, rank=None, running={"_upto": "_c"}, rows_per_bin=rows_per_bin)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("n"))
     if keys:
         upto = upto.join(sizes, keys)
     else:
         upto = upto.withColumn("_k", F.lit(0)).join(sizes.withColumn("_k", F.lit(0)), "_k")
-    hit = (F.col("_upto") >= position) & (F.col("_upto") - F.col("_c") < position)
-    return upto.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias(name))
+
+    def hit(position: Column) -> Column:
+        return (F.col("_upto") >= position) & (F.col("_upto") - F.col("_c") < position)
+
+    return upto.groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.max(F.when(hit(p), F.col(value))).alias(name) for name, p in positions.items()])
 
 
 def upper_median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
     """Element n//2 (0-based) of the sorted values."""
-    return order_value(df, keys, value, F.floor(F.col("n") / 2) + 1, name)
+    return order_values(df, keys, value, {name: F.floor(F.col("n") / 2) + 1}).drop("n")
 
 
 def lower_median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
     """Element (n-1)//2 (0-based) of the sorted values."""
-    return order_value(df, keys, value, F.floor((F.col("n") - 1) / 2) + 1, name)
+    return order_values(df, keys, value, {name: F.floor((F.col("n") - 1) / 2) + 1}).drop("n")
 
 
-def quantile_linear(df: DataFrame, keys, value: str, q: float, name: str) -> DataFrame:
-    """Quantile with linear interpolation between neighbouring order statistics."""
+def quantiles_linear(df: DataFrame, keys, value: str, qs: Mapping[str, float]) -> DataFrame:
+    """Quantiles with linear interpolation between neighbouring order statistics."""
     keys = _as_list(keys)
-    place = (F.col("n") - 1) * F.lit(float(q))
-    low = order_value(df, keys, value, F.floor(place) + 1, "_low")
-    high = order_value(df, keys, value, F.ceil(place) + 1, "_high")
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if not keys:
-        low, high, sizes = (x.withColumn("_k", F.lit(0)) for x in (low, high, sizes))
-    on = keys or ["_k"]
-    joined = low.join(high, on).join(sizes, on)
-    frac = place - F.floor(place)
-    return joined.select(*keys, (F.col("_low") + frac * (F.col("_high") - F.col("_low"))).alias(name))
+    places = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    ends = {}
+    for name, place in places.items():
+        ends[f"_lo_{name}"] = F.floor(place) + 1
+        ends[f"_hi_{name}"] = F.ceil(place) + 1
+    got = order_values(df, keys, value, ends)
+    return got.select(*keys, *[
+        (F.col(f"_lo_{n}") + (p - F.floor(p)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, p in places.items()])

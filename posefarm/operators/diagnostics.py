@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
 from posefarm.functions.columns import apply_matrix, dot, geodesic_deg, rotation_matrix
-from posefarm.functions.ordering import lower_median, quantile_linear, top_k, upper_median
+from posefarm.functions.ordering import lower_median, quantiles_linear
 from posefarm.operators import rotations as rot
 from posefarm.operators.quality import dockq, ligand_rmsd, quality_tier
 from posefarm.operators.ranking import auc_midrank
@@ -171,9 +171,8 @@ def near_native_landscape(atoms: DataFrame, complexes: DataFrame, weights: Weigh
 def landscape_summary(landscape: DataFrame) -> DataFrame:
     """Linear quantiles of the offset and share of complexes whose native pose is beaten."""
     out = landscape.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gap") > 0).cast("int")).alias("beaten")).withColumn("_k", F.lit(0))
-    for name, q in (("median_offset", 0.5), ("p90_offset", 0.9)):
-        out = out.join(quantile_linear(landscape, [], "offset", q, name).withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k")
+    ends = quantiles_linear(landscape, [], "offset", {"median_offset": 0.5, "p90_offset": 0.9}).withColumn("_k", F.lit(0))
+    return out.join(ends, "_k").drop("_k")
 
 
 def spacing_sweep(atoms: DataFrame, complexes: DataFrame, rotations: DataFrame, n_rotations: int, weights: Weights,
@@ -217,7 +216,7 @@ def refinement_report(before: DataFrame, after: DataFrame, same: float = 0.01) -
         *[F.avg((quality_tier(F.col(f"{s}_dockq")) >= t).cast("int")).alias(f"{n}_rate_{t}") for s, n in (("a", "before"), ("b", "after")) for t in (1, 2, 3)],
     ).withColumn("_k", F.lit(0))
     for v in ("turn", "shift"):
-        out = out.join(quantile_linear(moved, [], v, 0.5, f"median_{v}").withColumn("_k", F.lit(0)), "_k")
+        out = out.join(quantiles_linear(moved, [], v, {f"median_{v}": 0.5}).withColumn("_k", F.lit(0)), "_k")
     return out.drop("_k")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
-from posefarm.functions.ordering import lower_median, order_value, rank_of, top_k, upper_median, with_order
+from posefarm.functions.ordering import order_values, rank_of, top_k, upper_median, with_order
 
 KS = fixed.KS
 THRESHOLD = fixed.TIERS[0]
@@ -192,10 +192,8 @@ def gap_quantiles(gaps: DataFrame, qs: Sequence[float] = (0.25, 0.5, 0.75), with
     missed = gaps.filter(F.col("gap") > 0)
     out = missed.agg(F.count(F.lit(1)).alias("missed"),
                      *[F.count_if(F.col("gap") <= t).alias(f"within_{i}") for i, t in enumerate(within)]).withColumn("_k", F.lit(0))
-    for i, q in enumerate(qs):
-        place = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(q)))) + 1
-        out = out.join(order_value(missed, [], "gap", place, f"q{i}").withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k")
+    places = {f"q{i}": F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(q)))) + 1 for i, q in enumerate(qs)}
+    return out.join(order_values(missed, [], "gap", places).drop("n").withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 def top1_given_reachable(pool: DataFrame, score: str = "score") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posefarm.functions.columns import log_gamma, mix, two_sided_normal_p
-from posefarm.functions.ordering import order_value, with_order
+from posefarm.functions.ordering import order_values, with_order
+from posefarm.session import cut
 
 
 def pair_conditions(metrics: DataFrame, a: str, b: str, value: str, success: str | None = None,
@@ -96,7 +97,8 @@ def _resampled(values: DataFrame, columns: Sequence[str], n_boot: int, seed: int
     Values get a position by key; every (resample, draw) picks a position by hash
     and meets its value in an equi-join.  Both sides spread over positions.
     """
-    numbered = with_order(values.select(key, *columns), [], key, key, rank="_pos").withColumn("_one", F.lit(0))
+    # One row per complex: written once, since three branches read it.
+    numbered = cut(with_order(values.select(key, *columns), [], key, key, rank="_pos").withColumn("_one", F.lit(0)))
     size = numbered.groupBy("_one").agg(F.count(F.lit(1)).alias("_n"))
     fan = numbered.select("_pos", "_one").join(size, "_one").select(
         "_pos", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
@@ -105,7 +107,7 @@ def _resampled(values: DataFrame, columns: Sequence[str], n_boot: int, seed: int
     # Equal picks of a resample collapse to a count before they travel.
     counted = picks.groupBy("boot", "_pos").agg(F.count(F.lit(1)).alias("_c"))
     j = counted.join(numbered.select("_pos", *columns), "_pos")
-    return j.groupBy("boot").agg(*[(F.sum(F.col("_c") * F.col(c)) / F.sum("_c")).alias(c) for c in columns])
+    return cut(j.groupBy("boot").agg(*[(F.sum(F.col("_c") * F.col(c)) / F.sum("_c")).alias(c) for c in columns]))
 
 
 def bootstrap_means(pairs: DataFrame, d: str = "d", n_boot: int = 1000, seed: int = 0, key: str = "complex_id") -> DataFrame:
@@ -114,9 +116,8 @@ def bootstrap_means(pairs: DataFrame, d: str = "d", n_boot: int = 1000, seed: in
 
 def percentile_interval(boots: DataFrame, column: str, n_boot: int) -> DataFrame:
     """Order statistics at int(.025 B) and int(.975 B) of the resampled means."""
-    low = order_value(boots, [], column, F.lit(int(0.025 * n_boot) + 1), "low").withColumn("_k", F.lit(0))
-    high = order_value(boots, [], column, F.lit(int(0.975 * n_boot) + 1), "high").withColumn("_k", F.lit(0))
-    return low.join(high, "_k").drop("_k")
+    places = {"low": F.lit(int(0.025 * n_boot) + 1), "high": F.lit(int(0.975 * n_boot) + 1)}
+    return order_values(boots, [], column, places).drop("n")
 
 
 def bootstrap_ci(pairs: DataFrame, d: str = "d", n_boot: int = 1000, seed: int = 0, key: str = "complex_id") -> DataFrame:
