@@ -92,33 +92,36 @@ def decenter(atoms: DataFrame, weight: str | None = None, keys=MOLECULE) -> Data
     return out.drop("cx", "cy", "cz")
 
 
-def _eigen3(m: dict[str, Column]) -> list[Column]:
-    """Eigenvalues of a symmetric 3x3 matrix in closed form (largest first)."""
-    xx, yy, zz, xy, xz, yz = (m[k] for k in ("xx", "yy", "zz", "xy", "xz", "yz"))
-    mean = (xx + yy + zz) / 3.0
-    off = xy * xy + xz * xz + yz * yz
-    dx, dy, dz = xx - mean, yy - mean, zz - mean
-    p = F.sqrt((dx * dx + dy * dy + dz * dz + 2.0 * off) / 6.0)
-    det = dx * (dy * dz - yz * yz) - xy * (xy * dz - yz * xz) + xz * (xy * yz - dy * xz)
-    r = F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2.0 * p * p * p)))).otherwise(F.lit(1.0))
-    phi = F.acos(r) / 3.0
-    first = mean + 2.0 * p * F.cos(phi)
-    last = mean + 2.0 * p * F.cos(phi + 2.0 * math.pi / 3.0)
-    return [first, 3.0 * mean - first - last, last]
-
-
-def _eigenvector(m: dict[str, str], value: str) -> list[Column]:
-    """Eigenvector for a known eigenvalue: the longest cross product of two rows."""
+def _with_eigenvalues(t: DataFrame) -> DataFrame:
+    """Eigenvalues e0 >= e1 >= e2 of the symmetric matrix in columns xx .. yz, in closed form."""
+    xx, yy, zz, xy, xz, yz = (F.col(k) for k in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    t = t.withColumn("_mean", (xx + yy + zz) / 3.0)
+    t = t.withColumns({"_dx": xx - F.col("_mean"), "_dy": yy - F.col("_mean"), "_dz": zz - F.col("_mean")})
+    dx, dy, dz = F.col("_dx"), F.col("_dy"), F.col("_dz")
+    t = t.withColumns({
+        "_p": F.sqrt((dx * dx + dy * dy + dz * dz + 2.0 * (xy * xy + xz * xz + yz * yz)) / 6.0),
+        "_det": dx * (dy * dz - yz * yz) - xy * (xy * dz - yz * xz) + xz * (xy * yz - dy * xz),
+    })
+    p = F.col("_p")
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_det") / (2.0 * p * p * p)))
+    t = t.withColumn("_phi", F.acos(F.when(p > 0, r).otherwise(F.lit(1.0))) / 3.0)
+    t = t.withColumns({"e0": F.col("_mean") + 2.0 * p * F.cos("_phi"), "e2": F.col("_mean") + 2.0 * p * F.cos(F.col("_phi") + 2.0 * math.pi / 3.0)})
+    return t.withColumn("e1", 3.0 * F.col("_mean") - F.col("e0") - F.col("e2"))
+
+
+def _with_eigenvector(t: DataFrame, value: str, out: str) -> DataFrame:
+    """Columns out0..out2: eigenvector for a known eigenvalue, the longest cross product of
+    two rows of (matrix - value)."""
     lam = F.col(value)
-    rows = [
-        [F.col(m["xx"]) - lam, F.col(m["xy"]), F.col(m["xz"])],
-        [F.col(m["xy"]), F.col(m["yy"]) - lam, F.col(m["yz"])],
-        [F.col(m["xz"]), F.col(m["yz"]), F.col(m["zz"]) - lam],
-    ]
-    options = [cross(rows[a], rows[b]) for a, b in ((0, 1), (0, 2), (1, 2))]
-    packed = [F.struct(dot(v, v).alias("n"), *[c.alias(f"e{i}") for i, c in enumerate(v)]) for v in options]
-    best = F.greatest(*packed)
-    return [best["e0"], best["e1"], best["e2"]]
+    t = t.withColumns({"_mx": F.col("xx") - lam, "_my": F.col("yy") - lam, "_mz": F.col("zz") - lam})
+    rows = [[F.col(c) for c in r] for r in (("_mx", "xy", "xz"), ("xy", "_my", "yz"), ("xz", "yz", "_mz"))]
+    for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        t = t.withColumns({f"_v{k}{i}": c for i, c in enumerate(cross(rows[a], rows[b]))})
+    v = [[F.col(f"_v{k}{i}") for i in range(3)] for k in range(3)]
+    packed = [F.struct(dot(x, x).alias("n"), *[c.alias(f"e{i}") for i, c in enumerate(x)]) for x in v]
+    t = t.withColumn("_best", F.greatest(*packed))
+    t = t.withColumns({f"{out}{i}": F.col(f"_best.e{i}") for i in range(3)})
+    return t.drop("_mx", "_my", "_mz", "_best", *[f"_v{k}{i}" for k in range(3) for i in range(3)])
 
 
 def inertia(atoms: DataFrame, weight: str = "weight", keys=("complex_id",)) -> DataFrame:
@@ -146,28 +149,26 @@ def principal_axes(atoms: DataFrame, weight: str = "weight", keys=("complex_id",
     handedness.  Runs on one row per molecule.
     """
     keys = list(keys)
-    names = {k: k for k in ("xx", "yy", "zz", "xy", "xz", "yz")}
-    t = inertia(atoms, weight, keys)
-    values = _eigen3({k: F.col(k) for k in names})
-    t = t.select("*", F.array_sort(F.array(*[F.struct(F.abs(v).alias("m"), v.alias("v")) for v in values])).alias("_e"))
+    names = ("xx", "yy", "zz", "xy", "xz", "yz")
+    t = _with_eigenvalues(inertia(atoms, weight, keys))
+    values = [F.col(f"e{i}") for i in range(3)]
+    t = t.select(*keys, *names, F.array_sort(F.array(*[F.struct(F.abs(v).alias("m"), v.alias("v")) for v in values])).alias("_e"))
     t = t.select("*", *[F.col("_e")[i]["v"].alias(f"_l{i}") for i in range(3)])
 
-    def signed(v: list[Column]) -> list[Column]:
+    def signed(t: DataFrame, raw: str, out: str) -> DataFrame:
+        v = [F.col(f"{raw}{i}") for i in range(3)]
         size = F.greatest(*[F.abs(c) for c in v])
         lead = F.when(F.abs(v[0]) == size, v[0]).when(F.abs(v[1]) == size, v[1]).otherwise(v[2])
-        norm = F.sqrt(dot(v, v)) * F.when(lead < 0, -1.0).otherwise(1.0)
-        return [c / norm for c in v]
+        t = t.withColumn("_norm", F.sqrt(dot(v, v)) * F.when(lead < 0, -1.0).otherwise(1.0))
+        return t.withColumns({f"{out}{i}": c / F.col("_norm") for i, c in enumerate(v)})
 
-    v2 = _eigenvector(names, "_l2")
-    t = t.select("*", *[c.alias(f"_p{i}") for i, c in enumerate(v2)])
-    t = t.select("*", *[c.alias(f"_c{i}") for i, c in enumerate(signed([F.col(f"_p{i}") for i in range(3)]))])
+    t = signed(_with_eigenvector(t, "_l2", "_p"), "_p", "_c")
     third = [F.col(f"_c{i}") for i in range(3)]
-    raw = _eigenvector(names, "_l1")
-    t = t.select("*", *[c.alias(f"_r{i}") for i, c in enumerate(raw)])
+    t = _with_eigenvector(t, "_l1", "_r")
     # Remove what is left of the third axis before normalising.
-    along = dot([F.col(f"_r{i}") for i in range(3)], third)
-    t = t.select("*", *[(F.col(f"_r{i}") - along * third[i]).alias(f"_q{i}") for i in range(3)])
-    t = t.select("*", *[c.alias(f"_b{i}") for i, c in enumerate(signed([F.col(f"_q{i}") for i in range(3)]))])
+    t = t.withColumn("_along", dot([F.col(f"_r{i}") for i in range(3)], third))
+    t = t.withColumns({f"_q{i}": F.col(f"_r{i}") - F.col("_along") * third[i] for i in range(3)})
+    t = signed(t, "_q", "_b")
     second = [F.col(f"_b{i}") for i in range(3)]
     first = cross(second, third)
     axes = first + second + third

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from posefarm.plans import evaluation  # noqa: F401
+from posefarm.plans import evaluation, geometry  # noqa: F401
 from posefarm.plans.registry import QUERIES, SQL  # noqa: F401
