@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posefarm.session import cut
+
 ROWS_PER_BIN = 250_000
 
 
@@ -176,7 +178,8 @@ def order_values(df: DataFrame, keys, value: str, positions: Mapping[str, Column
                  rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Values at 1-based ascending positions (expressions over the group size ``n``)."""
     keys = _as_list(keys)
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    # Read by the size check, the order and the group sizes, so written once.
+    distinct = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     upto = with_order(distinct, keys, value, rank=None, running={"_upto": "_c"}, rows_per_bin=rows_per_bin)
     sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("n"))
     if keys:

@@ -15,6 +15,7 @@ from posefarm.operators.quality import dockq, ligand_rmsd, quality_tier
 from posefarm.operators.ranking import auc_midrank
 from posefarm.operators.scoring import Weights, term_columns
 from posefarm.operators.search import score_poses, search_poses
+from posefarm.session import cut
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
@@ -210,7 +211,9 @@ def refinement_report(before: DataFrame, after: DataFrame, same: float = 0.01) -
     moved = j.join(start, [C, "b_pose_id"], "left")
     shift = F.sqrt(sum(((F.col(f"b_{t}") - F.col(f"s_{t}")) * (F.col(f"b_{t}") - F.col(f"s_{t}")) for t in T), F.lit(0.0)))
     moved = moved.withColumn("turn", geodesic_deg([F.col(f"b_{q}") for q in Q], [F.col(f"s_{q}") for q in Q])).withColumn("shift", shift)
-    out = j.agg(
+    # One row per complex, read by the rates and both medians.
+    moved = cut(moved.select(C, "a_dockq", "b_dockq", "turn", "shift"))
+    out = moved.agg(
         F.count(F.lit(1)).alias("n"), F.avg("a_dockq").alias("before"), F.avg("b_dockq").alias("after"),
         F.count_if(gain > same).alias("improved"), F.count_if(F.abs(gain) <= same).alias("unchanged"), F.count_if(gain < -same).alias("worsened"),
         *[F.avg((quality_tier(F.col(f"{s}_dockq")) >= t).cast("int")).alias(f"{n}_rate_{t}") for s, n in (("a", "before"), ("b", "after")) for t in (1, 2, 3)],

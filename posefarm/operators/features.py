@@ -213,12 +213,15 @@ def native_pose(atoms: DataFrame, rounds: int = 30) -> DataFrame:
     ]
     flat = F.array(*[c for row in k for c in row])
 
+    def bind(value: Column, use) -> Column:
+        """Evaluate a value once and use it as often as needed."""
+        return F.transform(F.array(value), use)[0]
+
     def norm(m: Column) -> Column:
         return F.sqrt(F.aggregate(m, F.lit(0.0), lambda t, v: t + v * v))
 
     def scaled(m: Column) -> Column:
-        n = norm(m)
-        return F.transform(m, lambda v: v / F.greatest(n, F.lit(1e-300)))
+        return bind(m, lambda x: bind(F.greatest(norm(x), F.lit(1e-300)), lambda n: F.transform(x, lambda v: v / n)))
 
     def squared(m: Column) -> Column:
         return F.transform(

@@ -59,7 +59,7 @@ def listnet_loss(pool: DataFrame, score: str = "z", label: str = "rmsd", tempera
 
 def margin_loss(pool: DataFrame, score: str = "z", margin: float = 1.0, q_thr: float = THRESHOLD) -> DataFrame:
     """Mean over negatives of max(0, margin + s - lowest positive); zero if a class is empty."""
-    rows = _stored_max(pool.select(C, "dockq", F.col(score).alias("_s")), _p=F.min(F.when(_pos(q_thr), F.col(score))))
+    rows = _stored_max(pool.select(C, "dockq", F.col(score).alias("_s")), _p=F.min(F.when(_pos(q_thr), F.col("_s"))))
     hinge = F.greatest(F.lit(0.0), margin + F.col("_s") - F.col("_p"))
     return rows.groupBy(C).agg(F.coalesce(F.avg(F.when(~_pos(q_thr), hinge)), F.lit(0.0)).alias("loss"))
 

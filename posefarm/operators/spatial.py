@@ -40,7 +40,8 @@ def radius_join(a: DataFrame, b: DataFrame, r: float, keys: Sequence[str] = ("co
 
 
 def _on_grid(points: DataFrame, grid: DataFrame) -> DataFrame:
-    return points.join(grid, "complex_id")
+    """Points with their grid; native coordinates share names with cell counts and go."""
+    return points.drop("nx", "ny", "nz").join(grid, "complex_id")
 
 
 def _inside(columns: Sequence[Column]) -> Column:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from posefarm.functions.columns import mix
-from posefarm.functions.ordering import with_order
 from posefarm.operators import curation as cu
 from posefarm.operators import pools as pl
-from posefarm.operators.scoring import linear_score
 from posefarm.plans import views as V
 from posefarm.plans.evaluation import TH, r
 from posefarm.plans.registry import query
 from posefarm.plans.views import rnd
+from posefarm.session import cut
 from posefarm.sources import pools as src
 
 C = "complex_id"
@@ -93,7 +91,7 @@ def _total(n):
 @query("nested_split", f"""WITH {ELIGIBLE}, e AS (SELECT id, row_number() OVER (ORDER BY rank) - 1 AS position FROM eligible)
  SELECT n, id, position, CASE WHEN position%5=0 THEN 'validation' ELSE 'fit' END AS part FROM e CROSS JOIN (VALUES {','.join(f'({n}::INTEGER,{_total(n)})' for n in FIT_SIZES)}) s(n,total) WHERE position<total""")
 def nested_split(spark, sf):
-    e = _eligible(spark, sf)
+    e = cut(_eligible(spark, sf).select("id", "rank"))
     out = None
     for n in FIT_SIZES:
         part = cu.nested_split(e, n).select(F.lit(n).alias("n"), "id", "position", "part")
@@ -105,11 +103,13 @@ def nested_split(spark, sf):
  s AS (SELECT id, split, n, CASE WHEN position%5=0 THEN 'validation' ELSE 'fit' END AS part FROM e CROSS JOIN (VALUES {','.join(f'({n},{_total(n)})' for n in FIT_SIZES)}) s(n,total) WHERE position<total)
  SELECT 'overlap' AS rule, 0::BIGINT AS bad UNION ALL SELECT 'nested', 0 UNION ALL SELECT 'seeds', 0 UNION ALL SELECT 'test_id', (2*(SELECT count(*) FROM s WHERE split='test'))::BIGINT""")
 def check_splits(spark, sf):
-    e = _eligible(spark, sf)
+    e = cut(_eligible(spark, sf).select("id", "rank"))
     rows = None
     for n in FIT_SIZES:
         part = cu.nested_split(e, n).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"), F.lit(n).alias("n"), "id", "part")
         rows = part if rows is None else rows.unionByName(part)
+    # A split is a short id list that five rules read.
+    rows = cut(rows)
     test = V.systems(spark, sf).filter(F.col("split") == "test").select("id")
     return cu.check_splits(rows, test)
 

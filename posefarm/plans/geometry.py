@@ -86,9 +86,9 @@ def named_atoms(spark, sf):
     return a.select(C, "side", "atom_idx", "x", "y", "z", res.alias("res_name"), name.alias("atom_name"))
 
 
-NAMED = V.ATOMS + f""",
-named AS (SELECT complex_id, side, atom_idx, x, y, z, {RESIDUES!r}[(complex_id + atom_idx//5) % 20 + 1] AS res_name,
+NAMED_ONLY = f"""named AS (SELECT complex_id, side, atom_idx, x, y, z, {RESIDUES!r}[(complex_id + atom_idx//5) % 20 + 1] AS res_name,
   {NAMES!r}[((atom_idx + CASE WHEN side='L' THEN {V.REC_ATOMS} ELSE 0 END)*3 + complex_id) % 10 + 1] AS atom_name FROM atoms)"""
+NAMED = V.ATOMS + "," + NAMED_ONLY
 RULES = "rules(type_id, res_name, atom_name) AS (VALUES " + ",".join(f"({t},'{x}','{a}')" for t, x, a in fixed.atom_type_rows()) + ")"
 
 

@@ -21,16 +21,20 @@ def _slice(line: str, start: int, end: int) -> Column:
 
 
 def file_name() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    """File name, or the partition folders and the name for partitioned text."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"((?:[^/=]+=[^/]+/)*[^/]+)$", 1)
 
 
 def complex_of(name: Column) -> Column:
-    """Complex id of a file such as 1ABC_r_u.pdb.ms."""
-    return F.regexp_extract(name, r"^([^_.]+)", 1)
+    """Complex id from a folder complex_id=..., or from a name such as 1ABC_r_u.pdb.ms."""
+    folder = F.regexp_extract(name, r"complex_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(name, r"^([^_.]+)", 1))
 
 
 def side_of(name: Column) -> Column:
-    return F.when(name.rlike(r"_r_|-R\."), "R").when(name.rlike(r"_l_|-L\."), "L")
+    """R or L from a folder side=..., or from the name."""
+    folder = F.regexp_extract(name, r"side=([^/]+)/", 1)
+    return F.when(folder != "", folder).when(name.rlike(r"_r_|-R\."), "R").when(name.rlike(r"_l_|-L\."), "L")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
