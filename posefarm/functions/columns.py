@@ -104,7 +104,7 @@ def log_gamma(x: Column) -> Column:
     for k in range(8):
         shift = shift + F.log(x + float(k))
     y = x + 8.0
-    series = 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * F.pow(y, 5.0))
+    series = 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * F.pow(y, 5.0)) - 1.0 / (1680.0 * F.pow(y, 7.0)) + 1.0 / (1188.0 * F.pow(y, 9.0))
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2.0 * math.pi) + series - shift
 
 

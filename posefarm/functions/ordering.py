@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from posefarm.session import cut
 
 ROWS_PER_BIN = 250_000
+MAX_LEVELS = 32
 
 
 def _as_list(names: str | Sequence[str]) -> list[str]:
@@ -89,47 +90,48 @@ def with_order(
     return _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare)
 
 
-def _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare) -> DataFrame:
+def _with_bins(df: DataFrame, keys, value: str, tie: str | None, descending: bool, rows_per_bin: int) -> DataFrame:
+    """Add the bin path ``_b`` of every row (paths sort like the rows) and its sort value ``_v``.
+
+    Bins that are too full are cut again until none is left: by their own value range,
+    or by the tie column once they hold a single value.  Each pass reads one small
+    table of the full bins, at most rows / rows_per_bin of them.
+    """
     v = F.col(value).cast("double")
     t = (F.col(tie) if tie else F.col(value)).cast("double")
     df = df.withColumn("_v", -v if descending else v).withColumn("_t", t)
+    df = df.withColumn("_b", F.array(F.when(F.col("_v").isNull(), 1).otherwise(0).cast("long")))
+    for _ in range(MAX_LEVELS):
+        full = df.groupBy(*keys, "_b").agg(
+            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"),
+            F.count(F.lit(1)).alias("_n"))
+        splits = (F.col("_hi") > F.col("_lo")) | (F.col("_thi") > F.col("_tlo"))
+        full = cut(full.filter((F.col("_n") > rows_per_bin) & splits).withColumn("_slots", 16 * F.ceil(F.col("_n") / F.lit(rows_per_bin))).drop("_n"))
+        if full.isEmpty():
+            break
+        df = df.join(full, [*keys, "_b"], "left")
+        by_value = _slot(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_slots"))
+        by_tie = _slot(F.col("_t"), F.col("_tlo"), F.col("_thi"), F.col("_slots"))
+        place = (
+            F.when(F.col("_slots").isNull(), F.lit(0).cast("long"))
+            .when(F.col("_hi") > F.col("_lo"), by_value)
+            .otherwise(by_tie)
+        )
+        df = df.withColumn("_b", F.concat("_b", F.array(place))).drop("_lo", "_hi", "_tlo", "_thi", "_slots")
+    return df
 
-    groups = df.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bin))).alias("_bins"),
-    )
-    df = df.join(groups, keys)
-    last = F.col("_bins")
-    df = df.withColumn(
-        "_b1", F.when(F.col("_v").isNull(), last)
-        .otherwise(_slot(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_bins")))
-    ).drop("_lo", "_hi", "_bins")
-    # A range that is still too full is cut again: by its own values, or by the
-    # tie column when it holds a single value.
-    ranges = df.groupBy(*keys, "_b1").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"),
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bin)).alias("_bins"),
-    ).filter(F.col("_bins") > 1)
-    df = df.join(ranges, [*keys, "_b1"], "left")
-    by_value = _slot(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_bins"))
-    by_tie = _slot(F.col("_t"), F.col("_tlo"), F.col("_thi"), F.col("_bins"))
-    df = df.withColumn(
-        "_b2",
-        F.when(F.col("_bins").isNull(), F.lit(0).cast("long"))
-        .when(F.col("_hi") > F.col("_lo"), by_value)
-        .otherwise(by_tie),
-    ).drop("_lo", "_hi", "_tlo", "_thi", "_bins")
 
+def _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare) -> DataFrame:
+    df = _with_bins(df, keys, value, tie, descending, rows_per_bin)
     order = [F.col("_v").asc_nulls_last()] + ([F.col(tie)] if tie else [])
-    inner = Window.partitionBy(*keys, "_b1", "_b2").orderBy(*order)
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_b1", "_b2").agg(
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(running.values())]
     )
     offsets = totals.select(
-        *keys, "_b1", "_b2",
+        *keys, "_b",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(running))],
     )
@@ -137,12 +139,12 @@ def _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin,
         df = df.withColumn(rank, F.row_number().over(inner).cast("long"))
     for name, column in running.items():
         df = df.withColumn(name, F.coalesce(F.sum(column).over(upto), F.lit(0)))
-    df = df.join(offsets, [*keys, "_b1", "_b2"])
+    df = df.join(offsets, [*keys, "_b"])
     if rank:
         df = df.withColumn(rank, F.col(rank) + F.col("_n0"))
     for i, name in enumerate(running):
         df = df.withColumn(name, F.col(name) + F.col(f"_o{i}"))
-    drop = ["_v", "_t", "_b1", "_b2", "_n0", *[f"_o{i}" for i in range(len(running))]]
+    drop = ["_v", "_t", "_b", "_n0", *[f"_o{i}" for i in range(len(running))]]
     return df.drop(*drop, *(["_all"] if spare else []))
 
 

@@ -159,9 +159,9 @@ def near_native_landscape(atoms: DataFrame, complexes: DataFrame, weights: Weigh
     """Best-scoring sample around the native pose: its distance, its quality and the score gap."""
     native = complexes.select(C, F.lit(-1).cast("long").alias("pose_id"), *Q, *T)
     around = rot.random_probes(rot.placed_centroid(native, atoms), n, max_deg, max_shift, seed)
-    rows = native.unionByName(around.select(C, F.col("probe").cast("long").alias("pose_id"), *Q, *T))
-    scored = score_poses(atoms, rows, weights, h).select(C, "pose_id", *Q, *T, "score")
-    labelled = dockq(scored, atoms)
+    rows = cut(native.unionByName(around.select(C, F.col("probe").cast("long").alias("pose_id"), *Q, *T)))
+    scored = score_poses(atoms, rows, weights, h).select(C, "pose_id", "score")
+    labelled = cut(dockq(rows, atoms).join(scored, [C, "pose_id"]).select(C, "pose_id", "score", "dockq", "l_rmsd"))
     home = labelled.filter(F.col("pose_id") == -1).select(C, F.col("score").alias("_s0"))
     best = labelled.filter(F.col("pose_id") >= 0).groupBy(C).agg(
         F.max_by(F.struct("score", "dockq", "l_rmsd"), F.struct("score", -F.col("pose_id"))).alias("_b"))
@@ -181,7 +181,7 @@ def spacing_sweep(atoms: DataFrame, complexes: DataFrame, rotations: DataFrame,
     """Search at several spacings: recall, success at 1 and snap error of the native translation."""
     out = None
     for h in spacings:
-        found = search_poses(atoms, rotations, n_rotations, weights, h, int(reach / h), 1, ntop)
+        found = cut(search_poses(atoms, rotations, n_rotations, weights, h, int(reach / h), 1, ntop))
         q = dockq(found, atoms)
         per = q.groupBy(C).agg(F.max("dockq").alias("_best"), F.max(F.when(F.col("pose_id") == 1, F.col("dockq"))).alias("_top"))
         snap = complexes.select(C, F.sqrt(dot(*[[F.rint(F.col(t) / h) * h - F.col(t) for t in T]] * 2)).alias("_snap"))
@@ -238,7 +238,7 @@ def term_gaps(atoms: DataFrame, complexes: DataFrame, rotations: DataFrame, n_ro
     poses = complexes.select(C, F.lit(0).cast("long").alias("pose_id"), *Q, *T).unionByName(
         snapped.select(C, F.lit(1).cast("long").alias("pose_id"), *Q, *T)).unionByName(
         won.select(C, F.lit(2).cast("long").alias("pose_id"), *Q, *T))
-    terms = term_columns(pose_features(atoms, poses, h), weights)
+    terms = term_columns(pose_features(atoms, cut(poses), h), weights)
     names = ("fav", "clash", "shape", "pair", "charge", "total")
     wide = terms.groupBy(C).agg(*[F.max(F.when(F.col("pose_id") == k, F.col(n))).alias(f"{n}_{k}") for n in names for k in range(3)])
     j = wide.join(won.select(C, "recalled"), C)

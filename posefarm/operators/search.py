@@ -117,17 +117,18 @@ def ligand_layers(turned: DataFrame, grid: DataFrame, weights: Weights, k_vol: f
 def translation_scan(rec_cells: DataFrame, lig_cells: DataFrame, max_shift: int) -> DataFrame:
     """score(d) = sum over layers and cells of receptor(m) * ligand(m - d), |d| <= max_shift per axis.
 
-    Cells are cut into blocks of side max_shift; a ligand cell visits the 27 blocks
-    that can lie in range, so the equi-join on (complex, layer, block) never pairs
-    distant cells and a large complex spreads over its blocks.
+    Cells are cut into blocks of side 2 * max_shift; a ligand cell visits the blocks its
+    range touches (at most two per axis), so the equi-join on (complex, layer, block)
+    never pairs distant cells and a large complex spreads over its blocks.
     """
-    side = max(1, int(max_shift))
+    side = max(1, 2 * int(max_shift))
     block = [F.floor(F.col(c) / side).cast("long") for c in CELL]
     left = rec_cells.select(C, "layer", *[F.col(c).alias(f"r_{c}") for c in CELL], F.col("w").alias("_r"),
                             *[b.alias(f"_b{c}") for b, c in zip(block, CELL)])
-    right = lig_cells.select(C, "qi", "layer", *CELL, F.col("w").alias("_l"), *[b.alias(f"_b{c}") for b, c in zip(block, CELL)])
+    right = lig_cells.select(C, "qi", "layer", *CELL, F.col("w").alias("_l"))
     for c in CELL:
-        right = right.withColumn(f"_b{c}", F.explode(F.sequence(F.col(f"_b{c}") - 1, F.col(f"_b{c}") + 1)))
+        first, last = (F.floor((F.col(c) + s * max_shift) / side).cast("long") for s in (-1, 1))
+        right = right.withColumn(f"_b{c}", F.explode(F.sequence(first, last)))
     j = left.join(right, [C, "layer", *[f"_b{c}" for c in CELL]])
     step = [(F.col(f"r_{c}") - F.col(c)).alias(n) for c, n in zip(CELL, ("cx", "cy", "cz"))]
     j = j.select(C, "qi", *step, (F.col("_r") * F.col("_l")).alias("_w"))
@@ -180,20 +181,23 @@ def build_pool(atoms: DataFrame, complexes: DataFrame, rotations: DataFrame, n_r
                h: float = fixed.REFERENCE_SPACING, max_shift: int = 40, ntop: int = 2000, k: int = 8, reach: int = 1) -> DataFrame:
     """Searched poses (prov 0) and near-native lattice poses the search did not return (prov 1),
     with features and labels."""
-    found = search_poses(atoms, rotations, n_rotations, weights, h, max_shift, 1, ntop)
+    found = cut(search_poses(atoms, rotations, n_rotations, weights, h, max_shift, 1, ntop))
     near = rot.near_native_lattice(complexes, rotations, n_rotations, h, k, reach)
     key = [C, "qi", "cx", "cy", "cz"]
     extra = near.join(found.select(*key), key, "left_anti").withColumn("prov", F.lit(1))
     both = found.select(*key, *Q, *T, F.lit(0).alias("prov")).unionByName(extra.select(*key, *Q, *T, "prov"))
     # An id from the identity, so that it does not depend on row order.
-    both = both.withColumn("pose_id", F.xxhash64("qi", "cx", "cy", "cz"))
+    both = cut(both.withColumn("pose_id", F.xxhash64("qi", "cx", "cy", "cz")))
     return pool_from_poses(atoms, both, h)
 
 
 def pool_from_poses(atoms: DataFrame, poses: DataFrame, h: float = fixed.REFERENCE_SPACING) -> DataFrame:
-    """Features and labels for given poses (a frozen test pool, refined poses)."""
-    features = pose_features(atoms, poses, h)
-    return label_poses(features, atoms)
+    """Features and labels for given poses (a frozen test pool, refined poses).
+
+    Several branches read the poses, so pass a stored or checkpointed table.
+    """
+    labels = label_poses(poses.select(*POSE, *Q, *T), atoms).select(*POSE, "rmsd", "dockq")
+    return pose_features(atoms, poses, h).join(labels, POSE)
 
 
 def decoys_with_cone(atoms: DataFrame, complexes: DataFrame, n_random: int, n_cone: int, weights: Weights,
@@ -229,7 +233,7 @@ def pattern_refine(atoms: DataFrame, poses: DataFrame, weights: Weights, rounds:
     for _ in range(rounds):
         live = state.filter(F.col("deg") >= stop_deg)
         moved = rot.axis_probes(rot.placed_centroid(live, atoms), F.col("deg"), F.col("shift"))
-        tried = moved.select(C, (F.col("pose_id") * 16 + F.col("probe")).alias("pose_id"), *Q, *T)
+        tried = cut(moved.select(C, (F.col("pose_id") * 16 + F.col("probe")).alias("pose_id"), *Q, *T))
         scored = score_poses(atoms, tried, weights, h, grid=grid)
         best = scored.groupBy(C, F.floor(F.col("pose_id") / 16).alias("pose_id")).agg(
             F.max_by(F.struct(*[F.col(c) for c in (*Q, *T, "score")]), F.struct("score", -F.col("pose_id"))).alias("_b"))

@@ -6,13 +6,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from posefarm.functions.columns import mix
 from posefarm.operators import diagnostics as dg
 from posefarm.operators import features as ft
-from posefarm.operators import pools as pl
 from posefarm.operators import quality as ql
-from posefarm.operators import rotations as ro
-from posefarm.operators import scoring as sc
 from posefarm.operators import search as se
 from posefarm.plans import corpus as co
 from posefarm.plans import geometry as g
@@ -20,6 +16,7 @@ from posefarm.plans import views as V
 from posefarm.plans.evaluation import REPORT_SQL, TH, r
 from posefarm.plans.registry import query
 from posefarm.plans.views import rnd
+from posefarm.session import cut
 from posefarm.sources import export, structures
 from posefarm.sources import pools as src
 from posefarm.streaming import incremental as inc
@@ -204,7 +201,6 @@ def near_native_landscape(spark, sf):
 @query("landscape_summary")
 def landscape_summary(spark, sf):
     l = dg.near_native_landscape(V.native_atoms(spark, sf), V.complexes(spark, sf), g.ATOM_WEIGHTS, 4, 20.0, 2.0, H)
-    from posefarm.session import cut
     return dg.landscape_summary(cut(l.select(C, "offset", "gap")))
 
 
@@ -235,7 +231,7 @@ def refinement_report(spark, sf):
 @query("term_gaps")
 def term_gaps(spark, sf):
     a = V.native_atoms(spark, sf)
-    s = found(spark, sf)
+    s = cut(found(spark, sf))
     won = ql.dockq(s.filter(F.col("pose_id") == 1), a).withColumn("recalled", F.col("dockq") >= 0.23)
     t = dg.term_gaps(a, V.complexes(spark, sf), V.rotations(spark), V.ROTATIONS, won, g.ATOM_WEIGHTS, H)
     return t.select("recalled", "term", "n", rnd(F.col("gap"), 4).alias("gap"), rnd(F.col("discretisation"), 4).alias("discretisation"))

@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings spread by id: every row grows into thousands of cells and poses, so the
+    few bytes are dealt out before the work starts."""
+    return table(spark, sf_dir, "embeddings").repartition("vec_id")
+
+
 def rnd(column: Column, digits: int = 6) -> Column:
     """Round and turn a negative zero into zero."""
     return F.round(column, digits) + F.lit(0.0)
@@ -138,7 +144,7 @@ HEAVY_NAMES = ("N", "CA", "C", "O", "CB")
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per atom: receptor side R in place, ligand side L in its own frame."""
-    e = table(spark, sf_dir, "embeddings").select(
+    e = vectors(spark, sf_dir).select(
         F.col("vec_id").alias("complex_id"),
         F.transform("embedding", lambda x: x.cast("double") * 20.0).alias("v"),
     )
@@ -180,7 +186,7 @@ def unit(parts: list[Column]) -> list[Column]:
 
 def complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native pose of each complex: quaternion q1..q4 and translation tx, ty, tz."""
-    e = table(spark, sf_dir, "embeddings")
+    e = vectors(spark, sf_dir)
     v = [F.col("embedding")[i].cast("double") for i in range(3)]
     q = unit([v[0] * 4.0, v[1] * 4.0, v[2] * 4.0, F.lit(1.0)])
     return e.select(
