@@ -10,7 +10,7 @@ from posefarm.plans import views as V
 from posefarm.plans.evaluation import TH, r
 from posefarm.plans.registry import query
 from posefarm.plans.views import rnd
-from posefarm.session import cut
+from posefarm.session import cut, shared_folder
 from posefarm.sources import pools as src
 
 C = "complex_id"
@@ -141,8 +141,7 @@ def random_pose_split(spark, sf):
 @query("read_manifest", f"WITH {V.SYSTEMS} SELECT status, count(*) AS n FROM (SELECT id%500 AS k, arg_max(status, id) AS status FROM systems GROUP BY 1) GROUP BY 1")
 def read_manifest(spark, sf):
     """Manifest lines written as JSON and read back: the last line of an id wins."""
-    import tempfile
-    out = tempfile.mkdtemp(prefix="posefarm-manifest-", dir=_scratch(spark))
+    out = shared_folder(spark, "manifest")
     s = V.systems(spark, sf).select((F.col("id") % 500).cast("string").alias("id"), "status", F.col("id").alias("seq"))
     lines = s.repartitionByRange(4, "seq").sortWithinPartitions("seq").select(F.to_json(F.struct("id", "status")).alias("value"))
     lines.write.mode("overwrite").text(out)
@@ -150,18 +149,10 @@ def read_manifest(spark, sf):
     return m.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scratch(spark):
-    """Folder for files a query writes and reads back: the shared checkpoint folder."""
-    from posefarm.session import checkpoint_dir
-    d = checkpoint_dir(spark)
-    return d[5:] if d.startswith("file:") else d
-
-
 @query("pool_store", f"""WITH {V.POOL} SELECT complex_id, count(*) AS n, count(*) FILTER (rmsd<=2.5{D}) AS hits_default, count(*) FILTER (rmsd<=5.0{D}) AS hits_5, {r('sum(c_pair)')} AS pairs FROM pool WHERE complex_id%2=1 GROUP BY 1""")
 def pool_store(spark, sf):
     """A pool written by hashed complex and read back for a list of complexes."""
-    import tempfile
-    out = tempfile.mkdtemp(prefix="posefarm-pool-", dir=_scratch(spark))
+    out = shared_folder(spark, "pool")
     p = V.pool(spark, sf)
     src.write_pool(p, out, buckets=8)
     wanted = p.filter(F.col(C) % 2 == 1).select(C).distinct()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from posefarm.operators import diagnostics as dg
@@ -16,7 +14,7 @@ from posefarm.plans import views as V
 from posefarm.plans.evaluation import REPORT_SQL, TH, r
 from posefarm.plans.registry import query
 from posefarm.plans.views import rnd
-from posefarm.session import cut
+from posefarm.session import cut, shared_folder
 from posefarm.sources import export, structures
 from posefarm.sources import pools as src
 from posefarm.streaming import incremental as inc
@@ -30,10 +28,6 @@ Q = ["q1", "q2", "q3", "q4"]
 T = ["tx", "ty", "tz"]
 
 
-def folder(spark, name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"posefarm-{name}-", dir=co._scratch(spark))
-
-
 # --- search ------------------------------------------------------------------------------
 
 TURNED = f"""lig AS MATERIALIZED (SELECT a.complex_id, rot.qi, rot.qi AS pose_id, atom_idx, radius, sasa, type_id, charge_id, -{g.CHARGE_LUT}[charge_id] AS charge, px AS x, py AS y, pz AS z FROM (
@@ -265,7 +259,7 @@ def read_atoms_ms(spark, sf):
         "occupancy": F.lit(2), "tempfactor": F.lit(1), "radius_col": F.lit(1.7), "ace_type": F.when(F.col("side") == "R", F.lit("1PPI")),
         "charge_col": (F.col("atom_idx") % 3) * 0.25 - 0.25})
     lines = a.select(F.col("label").cast("string").alias("complex_id"), "side", "place", export.ms_line(F.col("place") % 100000, F.lit("A")).alias("line"))
-    out = folder(spark, "atoms")
+    out = shared_folder(spark, "atoms")
     _write_lines(lines, out)
     b = structures.read_atoms_ms(spark, out)
     return b.groupBy("complex_id", "side").agg(
@@ -284,7 +278,7 @@ def read_atoms_pdb(spark, sf):
     line = F.when((F.col(C) + F.col("atom_idx")) % 11 == 0, F.concat(F.substring(line, 1, 16), F.lit("B"), F.substring(line, 18, 100))).otherwise(line)
     rows = a.select(F.col("label").cast("string").alias("complex_id"), "side", (model * 10 ** 12 + F.col("place")).alias("place"), line.alias("line"))
     ends = rows.select("complex_id", "side").distinct().select("complex_id", "side", F.lit(10 ** 12 - 1).alias("place"), F.lit("ENDMDL").alias("line"))
-    out = folder(spark, "plain")
+    out = shared_folder(spark, "plain")
     _write_lines(rows.unionByName(ends), out)
     b = structures.read_atoms_pdb(spark, out).groupBy("complex_id", "side").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("x"), 3).alias("x"))
     d = structures.dropped_atoms(spark, out)
@@ -306,7 +300,7 @@ def read_pose_list(spark, sf):
     head = body.select("complex_id").distinct().select("complex_id", F.lit("R").alias("side"), F.inline(F.array(*[
         F.struct(F.lit(i).cast("long").alias("place"), F.lit(t).alias("line")) for i, t in enumerate(
             ("96\t1.2", "0.1\t0.2\t0.3", "rec.pdb\t1.0\t2.0\t3.0", "lig.pdb\t0.5\t-0.5\t0.25"))])))
-    out = folder(spark, "poses")
+    out = shared_folder(spark, "poses")
     _write_lines(body.unionByName(head), out)
     headers, poses = structures.read_pose_list(spark, out)
     j = poses.join(headers.select("complex_id", "cells"), "complex_id")
@@ -332,7 +326,7 @@ def write_metrics(spark, sf):
     """Per-complex CSV and summary JSON, written and read back."""
     from posefarm.operators import ranking as rk
     report = rk.ranking_report(V.scored(spark, sf).withColumn("score", F.col("score_a")))
-    out = folder(spark, "metrics")
+    out = shared_folder(spark, "metrics")
     export.write_metrics(report, rk.success_rates(report), out)
     rows = spark.read.schema(report.schema).option("header", True).csv(f"{out}/per_complex")
     summary = spark.read.schema("n_complexes long, success_1 double").json(f"{out}/summary").select(F.lit(0).alias("_k"), rnd(F.col("success_1")).alias("success_1"))
@@ -342,7 +336,7 @@ def write_metrics(spark, sf):
 @query("read_corpus_index", f"WITH {V.SYSTEMS} SELECT split, count(*) AS n, count(DISTINCT cluster) AS clusters, count(*) FILTER (chain='UNDEFINED') AS undefined FROM systems GROUP BY 1")
 def read_corpus_index(spark, sf):
     s = V.systems(spark, sf)
-    out = folder(spark, "index")
+    out = shared_folder(spark, "index")
     s.select("id", "split", F.col("cluster").alias("cluster_id"), F.col("chain").alias("chain_R"), "name", "voxels").write.mode("overwrite").parquet(out)
     i = src.read_corpus_index(spark, out)
     return i.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster_id").alias("clusters"), F.count_if(F.col("chain_R") == "UNDEFINED").alias("undefined"))
@@ -354,11 +348,11 @@ def read_corpus_index(spark, sf):
 def absorb_stream(spark, sf):
     """Mined poses arrive as files and are absorbed into a versioned pool."""
     a, b = co.rounds(spark, sf)
-    out, mined = folder(spark, "absorb"), folder(spark, "mined")
+    out, mined = shared_folder(spark, "absorb"), shared_folder(spark, "mined")
     a.withColumn("origin", F.lit(0)).write.mode("overwrite").parquet(f"{out}/version=-1")
     b.write.mode("overwrite").parquet(mined)
     stream = spark.readStream.schema(b.schema).parquet(mined)
-    q = inc.absorb_stream(stream, out, folder(spark, "absorb-state"), co.ABSORB_CAP)
+    q = inc.absorb_stream(stream, out, shared_folder(spark, "absorb-state"), co.ABSORB_CAP)
     q.awaitTermination()
     last = inc.pool_version(spark, out, (q.lastProgress or {"batchId": 0})["batchId"] + 2)
     return spark.read.parquet(last).select(C, "pose_id", "origin")
@@ -370,8 +364,8 @@ def manifest_stream(spark, sf):
     batch = V.table(spark, sf, "events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     latest = inc.manifest_stream(stream.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq")))
-    out = folder(spark, "manifest")
-    q = (latest.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", folder(spark, "manifest-state"))
+    out = shared_folder(spark, "manifest")
+    q = (latest.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", shared_folder(spark, "manifest-state"))
          .foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{out}/batch={b}")).start())
     q.awaitTermination()
     rows = spark.read.parquet(out)
@@ -386,8 +380,8 @@ def dedup_stream(spark, sf):
     li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     keys = li.select(F.col("l_suppkey").alias(C), (F.col("l_partkey") % 1944).alias("qi"), (F.col("l_linenumber") - 4).cast("long").alias("cx"),
                      ((F.col("l_quantity") % 9).cast("long") - 4).alias("cy"), (F.col("l_orderkey") % 9 - 4).alias("cz"))
-    out = folder(spark, "dedup")
+    out = shared_folder(spark, "dedup")
     q = inc.dedup_stream(keys).writeStream.outputMode("append").trigger(availableNow=True).option(
-        "checkpointLocation", folder(spark, "dedup-state")).format("parquet").start(out)
+        "checkpointLocation", shared_folder(spark, "dedup-state")).format("parquet").start(out)
     q.awaitTermination()
     return spark.read.parquet(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name next to the checkpoints, on whatever file system holds them."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/posefarm-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame by writing it to the checkpoint folder."""
     checkpoint_dir(df.sparkSession)
