@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from posefarm.llm import quality_rules
+from posefarm.llm import decontaminate, near_dedup, quality_rules
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -22,3 +22,15 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("posterior", 4).alias("posterior"))
+
+
+@query
+def op2_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate groups of all documents."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    """Best aligned benchmark item of every document."""
+    return decontaminate.overlap(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
