@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import decontaminate, near_dedup, quality_rules
+from posefarm.llm import decontaminate, near_dedup, packing, quality_rules
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -34,3 +35,9 @@ def op2_minhash_near_dedup(spark, sf_dir):
 def op10_benchmark_decontamination(spark, sf_dir):
     """Best aligned benchmark item of every document."""
     return decontaminate.overlap(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op5_sequence_packing(spark, sf_dir):
+    """Sequences of at most 2048 tokens of all documents."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
