@@ -1,20 +1,21 @@
 """Near-duplicate groups by MinHash with tensored banding.
 
-Two collections of HALVES half keys are drawn, each half key a run of ROWS minhashes.  A
-table is keyed by a pair of halves, one of each collection, so HALVES ** 2 tables cost only
-2 * HALVES * ROWS minhashes.  Two sets of similarity s meet in a table unless all halves of
-one collection differ: at 0.85 that happens to 3 in a million pairs.
+Two collections of half keys are drawn, each half key a run of minhashes.  A table is keyed
+by a pair of halves, one of each collection, so 14 ** 2 tables of 6 minhashes cost only
+2 * 14 * 3 of them.  Two sets meet in a table unless all halves of one collection differ:
+at a similarity of 0.85 that happens to about 3 in a million pairs.
 
   1. Equal shingle sets form classes; only the class with its smallest doc_id goes on.
   2. A half key that a single class has cannot be part of a shared table key; only the
      halves that two classes share are paired up.
   3. In every bucket the members are checked against the bucket's smallest id, on the full
-     sets, and joined into components.  A bucket whose members are now one component is done.
-  4. In the other buckets, members of different components are checked.  Buckets of at most
-     SMALL members check those pairs directly.  Larger ones are split again by the tensored
-     keys of the next level (fresh minhashes), as often as it takes, until they are small or
-     one component; a bucket that stays large through LEVELS levels has its pairs checked in
-     blocks, so none is lost.
+     sets, and joined into components; a bucket whose members are one component is done.
+     The members of larger ones are checked against a drawn member as well.
+  4. In open buckets of at most SMALL members, all pairs of different components are checked.
+     The members of larger open buckets go to the next level: longer half keys, and more of
+     them, so that a passage which many documents share no longer brings them together,
+     while similar sets still meet.  What is large and open after the last level has its
+     pairs checked in blocks, so none is lost.
 
 Cases: a null or empty text, or one of blanks alone, has an empty set and links with
 nothing.  A row whose doc_id is null is linked with nothing, its component_id is null and
@@ -38,26 +39,28 @@ from posefarm.llm.store import ROW, packed, stored, unpacked
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 85
-HALVES, ROWS = 14, 3
+#: (half keys of a collection, minhashes of a half key) by level.
+LEVELS = ((14, 3), (24, 5))
 SMALL = 32
-LEVELS = 3
 
-_LEVEL_FACTORS = [np.random.default_rng(7919 + level).integers(0, 2**63, (2 * HALVES * ROWS, 2), dtype=np.uint64) for level in range(LEVELS)]
+_FACTORS = [np.random.default_rng(7919 + k).integers(0, 2**63, (2 * m * r, 2), dtype=np.uint64) for k, (m, r) in enumerate(LEVELS)]
 
 
 def half_keys(sets: list[np.ndarray], level: int) -> np.ndarray:
-    """One row of 2 * HALVES half keys for every set, none of which is empty."""
+    """One row of half keys, of either collection, for every set; none is empty."""
+    many, long = LEVELS[level]
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    out = np.zeros((len(sets), 2 * HALVES), np.uint64)
-    for k, (a, b) in enumerate(_LEVEL_FACTORS[level]):
+    out = np.zeros((len(sets), 2 * many), np.uint64)
+    for k, (a, b) in enumerate(_FACTORS[level]):
         least = np.minimum.reduceat((flat ^ b) * (a | np.uint64(1)), starts)
-        out[:, k // ROWS] = text.mix(out[:, k // ROWS] * np.uint64(3) + least)
+        out[:, k // long] = text.mix(out[:, k // long] * np.uint64(3) + least)
     return out
 
 
-def sketch(docs: DataFrame, level: int = 0, keys: bool = True) -> DataFrame:
+def sketch(docs: DataFrame, level: int = 0) -> DataFrame:
     """doc_id, n, two fingerprints of the set (s1, s2), and the half keys of a level."""
+    width = 2 * LEVELS[level][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,14 +68,14 @@ def sketch(docs: DataFrame, level: int = 0, keys: bool = True) -> DataFrame:
                 sets = text.shingle_sets(raw, at, SHINGLE)
                 n = np.array([len(s) for s in sets])
                 full = [s for s in sets if len(s)]
-                halves = np.zeros((len(sets), 2 * HALVES), np.uint64)
-                if full and keys:
+                halves = np.zeros((len(sets), width), np.uint64)
+                if full:
                     halves[n > 0] = half_keys(full, level)
                 sums = [np.array([int(f(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                         for f in (lambda s: s, lambda s: text.mix(s * np.uint64(5)))]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, end - first), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
-                    pa.ListArray.from_arrays(np.arange(0, (len(sets) + 1) * 2 * HALVES, 2 * HALVES, dtype=np.int32), halves.ravel().view(np.int64)),
+                    pa.ListArray.from_arrays(np.arange(0, (len(sets) + 1) * width, width, dtype=np.int32), halves.ravel().view(np.int64)),
                 ], ["doc_id", "n", "s1", "s2", "halves"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -96,20 +99,18 @@ def full_sets(docs: DataFrame) -> DataFrame:
         run, "id long, shingles array<long>")
 
 
-def _buckets(halves: DataFrame) -> DataFrame:
-    """(id, n, key) of the tensored tables that at least two members may share.
+def _buckets(halves: DataFrame, level: int) -> DataFrame:
+    """(id, n, key) of the tables of a level that at least two members may share.
 
-    ``halves`` has id, n, group (members of different groups never meet) and halves.
+    ``halves`` has id, n and halves.
     """
-    rows = halves.select("id", "n", "group", F.posexplode("halves").alias("h", "value"))
-    half = F.xxhash64("group", "h", "value").alias("half")
-    rows = rows.select("id", "n", "h", half)
+    many = LEVELS[level][0]
+    rows = halves.select("id", "n", F.posexplode("halves").alias("h", "value")).select("id", "n", "h", F.xxhash64("h", "value").alias("half"))
     shared = rows.groupBy("half").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("half")
-    alive = rows.join(shared, "half")
-    # At most 2 * HALVES values a member.
-    sides = alive.groupBy("id", "n").agg(
-        F.collect_list(F.when(F.col("h") < HALVES, F.col("half"))).alias("left"),
-        F.collect_list(F.when(F.col("h") >= HALVES, F.col("half"))).alias("right"))
+    # At most as many values a member as it has half keys.
+    sides = rows.join(shared, "half").groupBy("id", "n").agg(
+        F.collect_list(F.when(F.col("h") < many, F.col("half"))).alias("left"),
+        F.collect_list(F.when(F.col("h") >= many, F.col("half"))).alias("right"))
     return sides.select("id", "n", F.explode("left").alias("a"), "right").select(
         "id", "n", "a", F.explode("right").alias("b")).select("id", "n", F.xxhash64("a", "b").alias("key"))
 
@@ -128,9 +129,7 @@ def _near_size(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def _labelled(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
-    if parts is None:
-        return rows.withColumn("part", F.col("id"))
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(parts.select("id", F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
 
 
@@ -143,47 +142,61 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select("p.u", "p.v").distinct()
 
 
+def _stars(rows: DataFrame, order) -> DataFrame:
+    """Every member of a bucket paired with the bucket's first member by ``order``."""
+    head = F.struct(F.col("id").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vpart"))
+    heads = rows.groupBy("key").agg(F.min_by(head, order).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "head.*")
+    pairs = rows.join(heads, "key").filter(f"part <> vpart AND {_near_size('n', 'vn')}")
+    return pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+
+
+def _open(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """The buckets whose members are of more than one component: id, n, key, part, size."""
+    rows = _labelled(buckets, parts)
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    return rows.join(keys.select("key", "size"), "key")
+
+
 def link(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (u, v) between class representatives, enough to connect every group.
+    """(id, component) of all class representatives that have a link.
 
     ``sketches`` has id, n and halves (level 0) of one row per class; ``docs`` the texts.
     """
-    ids = sketches.select("id")
-    buckets = stored(_buckets(sketches.withColumn("group", F.lit(0).cast("long"))), "buckets")
-    heads = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("head"), F.min_by("n", "id").alias("head_n")).filter("size > 1")
-    stars = stored(buckets.join(heads, "key").filter(f"id <> head AND {_near_size('n', 'head_n')}")
-                   .select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), "stars")
-    wanted = buckets.join(heads.select("key"), "key").select("id").distinct()
-    chosen = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(full_sets(chosen), "sets")
-    links = stored(_similar(stars, sets), "links")
-    parts = stored(components(links), "parts")
-    tried = stars
-    for level in range(LEVELS):
-        rows = _labelled(buckets, parts)
-        open_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p0"), F.max("part").alias("p1"),
-                                            F.min("n").alias("n0"), F.max("n").alias("n1")).filter("p0 <> p1").select("key", "size")
-        rows = stored(rows.join(open_keys, "key"), "open")
-        large = rows.filter(F.col("size") > SMALL)
-        pairs = _small_pairs(rows.filter(F.col("size") <= SMALL))
-        last = level == LEVELS - 1
-        if last:
-            pairs = pairs.union(_block_pairs(large))
-        pairs = stored(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+    buckets = stored(_buckets(sketches, 0), "buckets")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    buckets = stored(buckets.join(shared, "key"), "buckets")
+    sets = stored(full_sets(_of(docs, buckets)), "sets")
+    links = None
+    parts = sketches.select("id", F.col("id").alias("component")).limit(0)
+
+    def confirm(pairs: DataFrame) -> None:
+        nonlocal links, parts
         more = stored(_similar(pairs, sets), "links")
         if not more.isEmpty():
-            links = links.union(more)
+            links = more if links is None else links.union(more)
             parts = stored(components(links), "parts")
-        if last or large.isEmpty():
+
+    for level in range(len(LEVELS)):
+        confirm(_stars(_labelled(buckets, parts), F.col("id")))
+        rows = stored(_open(buckets, parts), "open")
+        confirm(_stars(rows.filter(F.col("size") > SMALL), F.xxhash64("id", "key")))
+        rows = stored(_open(buckets, parts), "open")
+        confirm(_small_pairs(rows.filter(F.col("size") <= SMALL)))
+        large = stored(_open(buckets, parts).filter(F.col("size") > SMALL), "large")
+        if large.isEmpty():
             break
-        # The next level's halves of the members of large buckets, kept apart by bucket.
-        members = large.select("id").distinct()
-        again = sketch(docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), level + 1)
-        again = again.select(F.col("doc_id").alias("id"), "halves")
-        split = large.select("id", "n", F.col("key").alias("group")).join(again, "id")
-        buckets = stored(_buckets(split), "buckets")
-        tried = tried.union(pairs)
-    return links
+        if level + 1 == len(LEVELS):
+            confirm(_block_pairs(large))
+        else:
+            again = sketch(_of(docs, large), level + 1).select(F.col("doc_id").alias("id"), "n", "halves")
+            buckets = stored(_buckets(again, level + 1), "buckets")
+    return parts
+
+
+def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose ids ``rows`` has, each once."""
+    wanted = rows.select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -205,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = rows.filter("doc_id IS NOT NULL AND n > 0")
     classes = stored(known.groupBy(*kind).agg(F.min("doc_id").alias("id"), F.min_by("halves", "doc_id").alias("halves")), "classes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = stored(components(link(texts, classes.select("id", "n", "halves"))), "parts")
+    parts = link(texts, classes.select("id", "n", "halves"))
     named = classes.select(*kind, "id").join(parts, "id", "left").select(*kind, F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", *kind).join(named, kind, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -13,11 +13,13 @@ import re
 import numpy as np
 
 #: Pieces remembered in one Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 #: A single blank between two characters that are no white space: a byte-level tokenizer
 #: always starts a new piece at such a blank.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes after which not every blank is of that kind.
+_OTHER_SPACE = re.compile(rb" [\x09-\x0D\x1C-\x20]|[\x09-\x0D\x1C-\x1F] |\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80|\xE2\x81\x9F|\xE3\x80\x80")
 
 
 class WordIds:
@@ -37,11 +39,9 @@ class WordIds:
         self.known: dict = {}
         self.heads: dict = {}
 
-    def _learn(self, table: dict, pieces: list, prefix: str) -> None:
-        if len(table) > REMEMBERED:
-            table.clear()
-        texts = [prefix + (p if isinstance(p, str) else p.decode()) for p in pieces]
-        for piece, e in zip(pieces, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+    def _learn(self, table: dict, pieces: list[bytes], prefix: str) -> None:
+        texts = [prefix + p.decode() for p in pieces]
+        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             table[piece] = np.array(e.ids, "<u4").tobytes()
 
     def _joined(self, table: dict, pieces: list, prefix: str) -> bytes:
@@ -59,7 +59,10 @@ class WordIds:
         """Ids of one UTF-8 text."""
         if not self.blank_joins:
             return self._joined(self.known, text.split(), "")
-        first, *rest = _BETWEEN.split(text.decode())
+        if _OTHER_SPACE.search(text):
+            first, *rest = [p.encode() for p in _BETWEEN.split(text.decode())]
+        else:
+            first, *rest = text.split(b" ")
         return self._joined(self.heads, [first], "") + self._joined(self.known, rest, " ")
 
 
