@@ -162,72 +162,82 @@ def features(pieces: list[re.Match]) -> list[list[int]]:
 N_FEATURES = 13
 
 # ------------------------------------------------------------------ labelled table
-# Patterns of the labelled table.  {kind|...} marks a labelled span; in it and
-# around it N is a digit, H a hexadecimal digit, A a lower-case letter, W a word.
+# Patterns of the labelled table.  {kind|...} marks a labelled span.  A Greek
+# letter stands for something drawn: omega a word, delta a digit, chi a hexadecimal digit,
+# upsilon a capital letter or digit, lambda a small letter.
 PATTERNS = """
-W W {email|W.NN@W.W.com} W W
-W W, {email|W.W@WN.example.com}, W W
-write to {email|W@W.org}. W W
-mail {email|W_NN@W.co.net} W
-W {email|W (at) W (dot) com} W W
-W W {email|W.W [at] W [dot] org}, W
-contact W {email|W at W dot net} W
-W {email|W.W{at}W.example.net} W
-W {email|W.N@W-W.com}! W
-W {email|W+W@W.W.W} W
-W W {ip|NNN.NN.NNN.N} W W
-W, {ip|NN.NNN.NN.NNN}, W
-server {ip|NNN.NNN.NN.NN}. W W
-host {ip|NN.N.N.NNN} W
-W {ip|NNN[.]NN[.]N[.]NN} W
-W {ip|NNN.NNN.NNN.NNN}!! W!!
-W W {card|NNNNNNNNNNNNNNNN} W W
-W, {card|NNNN NNNN NNNN NNNN} W
-card {card|NNNN-NNNN-NNNN-NNNN}, W
-W. {card|NNNNNNNNNNNNNNNN} W W
-W {card|NNNNNNNNNNNNNNN}. W
-W {card|NNNN NNNNNN NNNNN} W
-visa {card|NNNNNNNNNNNNNNNN}!! W!!
-W$$$ {card|NNNNNNNNNNNNNNNN}### W$$$
-W | {card|NNNNNNNNNNNNNNNN} | W
-W W {phone|+N (NNN) NNN-NNNN} W W
-W, {phone|+NN NNN NNN NNNN}, W
-tel {phone|(NNN) NNN-NNNN} W
-call {phone|NNN-NNN-NNNN} W W
-W {phone|+N-NNN-NNN-NNNN}. W
-W {phone|+NNN NN NNN NN NN} W
-phone: {phone|NNN.NNN.NNNN} W
-W {phone|+N (NNN) NNN-NNNN}!! W!!
-token = "{secret|HHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHH}" W W
-W W token = "{secret|HHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHHH}" W
-key: {secret|AHHHNHHHAHHHNHHHAHHHNHHHAHHHNHHH} W
-W secret={secret|HHHHHHHHHHHHNHHHHHHHHAHHHHHHHHHH}. W
-password = "{secret|ANAAHNAHNANAAHNN}" W
-W W, version N. W W
-W License, Version N.N. W W
-CC BY-NC N.N. W W
-W W NNNN W W
-W NN W, NNN W
-W in NNNN-NN-NN W W
-W NN.NN.NNNN W
-W N,NNN,NNN W
-W $NNN.NN W
-page NN of NNN W
-W (NNNN) W. W
-W N.N.N W W
-W NN:NN W W
-W N/N W W
-W @ W W
-W at W dot W
-W!! W!! N!! W!!
-W NNNNN W NNNNNN W
-W #NNN W
-W §NN W
-NNth W NNNNs
-W A1N W WN
-W AN-NNN W
+ω ω {email|ω.δδ@ω.ω.com} ω ω
+ω ω, {email|ω.ω@ωδ.example.com}, ω ω
+write to {email|ω@ω.org}. ω ω
+mail {email|ω_δδ@ω.co.net} ω
+ω ω {email|ω.ω [at] ω [dot] org}, ω
+ω ω {email|ω.δδ (at) ω (dot) com} ω ω
+contact ω {email|ω [at] ω.net} ω
+ω {email|ω.δ@ω-ω.com}! ω
+ω {email|ω+ω@ω.ω.ω} ω
+ω ω {ip|δδδ.δδ.δδδ.δ} ω ω
+ω, {ip|δδ.δδδ.δδ.δδδ}, ω
+server {ip|δδδ.δδδ.δδ.δδ}. ω ω
+host {ip|δδ.δ.δ.δδδ} ω
+ω {ip|δδδ[.]δδ[.]δ[.]δδ} ω
+ω {ip|δδδ.δδδ.δδδ.δδδ}!! ω!!
+ω at ω {ip|δδδ.δδδ.δδδ.δδδ} ω
+ω ω {card|δδδδδδδδδδδδδδδδ} ω ω
+ω, {card|δδδδ δδδδ δδδδ δδδδ} ω
+card {card|δδδδ-δδδδ-δδδδ-δδδδ}, ω
+ω. {card|δδδδδδδδδδδδδδδδ} ω ω
+ω {card|δδδδδδδδδδδδδδδ}. ω
+ω {card|δδδδ δδδδδδ δδδδδ} ω
+visa {card|δδδδδδδδδδδδδδδδ}!! ω!!
+ω$$$ {card|δδδδδδδδδδδδδδδδ}### ω$$$
+ω | {card|δδδδδδδδδδδδδδδδ} | ω
+ω {phone|+δ (δδδ) δδδ-δδδδ} {card|δδδδδδδδδδδδδδδδ} ω
+{card|δδδδδδδδδδδδδδδδ} {ip|δδ.δδδ.δδ.δδδ} ω ω
+ω ω {phone|+δ (δδδ) δδδ-δδδδ} ω ω
+ω, {phone|+δδ δδδ δδδ δδδδ}, ω
+tel {phone|(δδδ) δδδ-δδδδ} ω
+call {phone|δδδ-δδδ-δδδδ} ω ω
+ω {phone|+δ-δδδ-δδδ-δδδδ}. ω
+ω {phone|+δδδ δδ δδδ δδ δδ} ω
+phone: {phone|δδδ.δδδ.δδδδ} ω
+ω {phone|+δ (δδδ) δδδ-δδδδ}!! ω!!
+token = "{secret|χχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχ}" ω ω
+ω ω token = "{secret|χχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχ}" ω
+key: {secret|χχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχχ} ω
+ω ω password={secret|χχχχχχχχχχχχχχχχχχ} ω ω
+ω ω password={secret|χχχχχχχχχχχχχχχχχχ}, ω
+ω secret={secret|χχχχχχχχχχχχχχχχχχχχ}. ω
+password = "{secret|λδλλδδλδλδλλδλδδ}" ω
+ω ω {secret|AKIAυυυυυυυυυυυυυυυυ} ω ω
+ω, {secret|AKIAυυυυυυυυυυυυυυυυ}. ω
+ω ω, version δ. ω ω
+ω License, Version δ.δ. ω ω
+CC BY-NC δ.δ. ω ω
+ω ω δδδδ ω ω
+ω δδ ω, δδδ ω
+ω in δδδδ-δδ-δδ ω ω
+ω δδ.δδ.δδδδ ω
+ω δ,δδδ,δδδ ω
+ω $δδδ.δδ ω
+page δδ of δδδ ω
+ω (δδδδ) ω. ω
+ω δ.δ.δ ω ω
+ω δδ:δδ ω ω
+ω δ/δ ω ω
+ω @ ω
+ω ω at ω ω, ω
+ω at ω dot ω δδ
+ω ω at the ω δδδδ ω
+ω!! ω!! δ!! ω!!
+ω δδδδδ ω δδδδδδ ω
+ω #δδδ ω
+ω §δδ ω
+δδth ω δδδδs
+ω λδλ ω ωδ
+ω υυ-δδδ ω
 """.strip().split("\n")
 _SYLLABLES = "th on ing er an re at es en or ed is it al ar te se co de ou la le ver ein che".split()
+_SPAN = re.compile(r"\{(email|ip|card|phone|secret)\|([^{}]+)\}")
 
 
 def labelled_table(spark: SparkSession, copies: int = 12, seed: int = 5) -> DataFrame:
@@ -239,19 +249,15 @@ def labelled_table(spark: SparkSession, copies: int = 12, seed: int = 5) -> Data
         return w.capitalize() if draw.random() < 0.2 else w
 
     def fill(pattern: str) -> str:
-        out = ""
-        for k, c in enumerate(pattern):
-            alone = c in "WNHA" and not (c in "WA" and (pattern[k + 1:k + 2].isalpha() and pattern[k + 1:k + 2] not in "WNHA"))
-            alone = alone and not (pattern[k - 1:k].islower() and k) and not (c in "NA" and pattern[k + 1:k + 2] == "C")
-            out += word() if c == "W" and alone else str(draw.randint(0, 9)) if c == "N" and alone else draw.choice("0123456789abcdef") if c == "H" \
-                else draw.choice("abcdef") if c == "A" and alone else c
-        return out
+        drawn = {"ω": word, "δ": lambda: draw.choice("0123456789"), "χ": lambda: draw.choice("0123456789abcdef"),
+                 "υ": lambda: draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "λ": lambda: draw.choice("abcdefghijkmnpqrstuvwxyz")}
+        return "".join(drawn[c]() if c in drawn else c for c in pattern)
 
     rows = []
     for pattern in PATTERNS:
         for _ in range(copies):
             text, spans, at = "", [], 0
-            for m in re.finditer(r"\{(email|ip|card|phone|secret)\|((?:[^{}]|\{at\})+)\}", pattern):
+            for m in _SPAN.finditer(pattern):
                 text += fill(pattern[at:m.start()])
                 inner = fill(m.group(2))
                 spans.append((m.group(1), len(text), len(text) + len(inner)))
@@ -390,7 +396,14 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
                 while e < len(pieces) and labels[e] == labels[k]:
                     e += 1
                 if labels[k]:
-                    found[r].append((LABELS[labels[k]], pieces[k].start(), pieces[e - 1].end()))
+                    a, b = pieces[k].start(), pieces[e - 1].end()
+                    if LABELS[labels[k]] == "secret":  # up to the ends of its run of letters and digits
+                        while a > 0 and texts[r][a - 1].isalnum():
+                            a -= 1
+                        while b < len(texts[r]) and texts[r][b].isalnum():
+                            b += 1
+                    if not found[r] or a >= found[r][-1][2]:
+                        found[r].append((LABELS[labels[k]], a, b))
                 k = e
     return found
 

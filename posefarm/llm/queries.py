@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import decontaminate, near_dedup, packing, quality_rules
+from posefarm.llm import decontaminate, near_dedup, packing, pii, quality_rules
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -41,3 +41,9 @@ def op10_benchmark_decontamination(spark, sf_dir):
 def op5_sequence_packing(spark, sf_dir):
     """Sequences of at most 2048 tokens of all documents."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_personal_data(spark, sf_dir):
+    """Personal data in every document: pattern spans, and the field's on top."""
+    return pii.find(documents(spark, sf_dir), pii.train(pii.labelled_table(spark)))
