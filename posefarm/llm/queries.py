@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import decontaminate, near_dedup, packing, pii, quality_rules
+from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, url_filter
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -47,3 +47,30 @@ def op5_sequence_packing(spark, sf_dir):
 def op4_personal_data(spark, sf_dir):
     """Personal data in every document: pattern spans, and the field's on top."""
     return pii.find(documents(spark, sf_dir), pii.train(pii.labelled_table(spark)))
+
+
+@query
+def op3_quality_classifier(spark, sf_dir):
+    """Quality score of every document."""
+    docs = documents(spark, sf_dir)
+    return classifier.scored(docs, classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+#: Host, start of the path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Hosts that have one of these labels are listed, with all their addresses.
+LISTED_LABELS = ["casino-win", "cheap-pills", "spam-farm"]
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    """Verdict on every page address."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = pages.filter(F.regexp_extract(url_filter.host_and_path(F.col("url"))[0], rf"(^|\.)({'|'.join(LISTED_LABELS)})\.", 2) != "")
+    return url_filter.judged(pages, URL_RULES, listed.select("url"))
+
+
+@query
+def op8_byte_sharding(spark, sf_dir):
+    """Shards of near equal bytes for all documents."""
+    return sharding.sharded(documents(spark, sf_dir), 24)

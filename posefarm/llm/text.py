@@ -16,8 +16,8 @@ _DRAWN = np.random.default_rng(20240229)
 _BYTE = _DRAWN.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
-_DELIMITER = np.zeros(256, bool)
-_DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
+DELIMITER = np.zeros(256, bool)
+DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII bytes that are no letter or digit.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,7 +69,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         row = end
 
 
-def word_bounds(raw: np.ndarray, at: np.ndarray, delimiter: np.ndarray = _DELIMITER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, at: np.ndarray, delimiter: np.ndarray = DELIMITER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of words, and for each text the number of words before it (one more entry at the end)."""
     inside = ~delimiter[raw]
     first = np.zeros(len(raw) + 1, bool)
@@ -94,7 +94,7 @@ def range_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[begin]) * powers(len(sums), True)[begin] + (end - begin).astype(np.uint64))
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, delimiter: np.ndarray = _DELIMITER) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, delimiter: np.ndarray = DELIMITER) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all words, and the place of each text's first word (one more entry at the end)."""
     begin, end, place = word_bounds(raw, at, delimiter)
     return range_hash(running(_LOWER[raw] if lower else raw), begin, end), place
