@@ -48,6 +48,7 @@ def families(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     shift = np.uint64(64 - 13)
     yield (hashes >> shift).astype(np.int64), place
     pairs = text.grams(hashes, 2)
+    pairs[hashes[:len(pairs)] == hashes[1:]] = 0  # any word said twice is one feature
     row = np.repeat(np.arange(len(at) - 1), np.diff(place))
     same = row[:-1] == row[1:] if len(row) > 1 else np.zeros(0, bool)
     kept = np.flatnonzero(same)

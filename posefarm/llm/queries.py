@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, url_filter
+from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, url_filter
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -74,3 +74,9 @@ def op6_url_filter(spark, sf_dir):
 def op8_byte_sharding(spark, sf_dir):
     """Shards of near equal bytes for all documents."""
     return sharding.sharded(documents(spark, sf_dir), 24)
+
+
+@query
+def op9_repeated_passages(spark, sf_dir):
+    """What is left of every document without passages of smaller ids."""
+    return suffix_dedup.without_repeats(documents(spark, sf_dir))
