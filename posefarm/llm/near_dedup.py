@@ -12,10 +12,11 @@ at a similarity of 0.85 that happens to about 3 in a million pairs.
      sets, and joined into components; a bucket whose members are one component is done.
      The members of larger ones are checked against a drawn member as well.
   4. In open buckets of at most SMALL members, all pairs of different components are checked.
-     The members of larger open buckets go to the next level: longer half keys, and more of
-     them, so that a passage which many documents share no longer brings them together,
-     while similar sets still meet.  What is large and open after the last level has its
-     pairs checked in blocks, so none is lost.
+     The members of larger open buckets, which mostly share one passage, go on to exact keys:
+     with shingles in order of rarity, two similar sets share one of the first
+     n - ceil(PERCENT * n / 100) + 1, and a shared passage is not among them.  Steps 3 and 4
+     are repeated with these keys; what is large and open then has its pairs checked in
+     blocks, so none is lost.
 
 Cases: a null or empty text, or one of blanks alone, has an empty set and links with
 nothing.  A row whose doc_id is null is linked with nothing, its component_id is null and
@@ -39,28 +40,28 @@ from posefarm.llm.store import ROW, packed, stored, unpacked
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 85
-#: (half keys of a collection, minhashes of a half key) by level.
-LEVELS = ((14, 3), (24, 5))
-SMALL = 32
+#: Half keys of a collection, minhashes of a half key.
+HALVES, ROWS = 14, 3
+#: Members of a bucket whose pairs are looked at within the bucket, and of a block of a larger one.
+SMALL, BLOCK = 32, 2048
 
-_FACTORS = [np.random.default_rng(7919 + k).integers(0, 2**63, (2 * m * r, 2), dtype=np.uint64) for k, (m, r) in enumerate(LEVELS)]
+_FACTORS = np.random.default_rng(7919).integers(0, 2**63, (2 * HALVES * ROWS, 2), dtype=np.uint64)
 
 
-def half_keys(sets: list[np.ndarray], level: int) -> np.ndarray:
+def half_keys(sets: list[np.ndarray]) -> np.ndarray:
     """One row of half keys, of either collection, for every set; none is empty."""
-    many, long = LEVELS[level]
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
-    out = np.zeros((len(sets), 2 * many), np.uint64)
-    for k, (a, b) in enumerate(_FACTORS[level]):
+    out = np.zeros((len(sets), 2 * HALVES), np.uint64)
+    for k, (a, b) in enumerate(_FACTORS):
         least = np.minimum.reduceat((flat ^ b) * (a | np.uint64(1)), starts)
-        out[:, k // long] = text.mix(out[:, k // long] * np.uint64(3) + least)
+        out[:, k // ROWS] = text.mix(out[:, k // ROWS] * np.uint64(3) + least)
     return out
 
 
-def sketch(docs: DataFrame, level: int = 0) -> DataFrame:
-    """doc_id, n, two fingerprints of the set (s1, s2), and the half keys of a level."""
-    width = 2 * LEVELS[level][0]
+def sketch(docs: DataFrame) -> DataFrame:
+    """doc_id, n, two fingerprints of the set (s1, s2), and the half keys."""
+    width = 2 * HALVES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +71,7 @@ def sketch(docs: DataFrame, level: int = 0) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 halves = np.zeros((len(sets), width), np.uint64)
                 if full:
-                    halves[n > 0] = half_keys(full, level)
+                    halves[n > 0] = half_keys(full)
                 sums = [np.array([int(f(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                         for f in (lambda s: s, lambda s: text.mix(s * np.uint64(5)))]
                 yield pa.RecordBatch.from_arrays([
@@ -99,20 +100,30 @@ def full_sets(docs: DataFrame) -> DataFrame:
         run, "id long, shingles array<long>")
 
 
-def _buckets(halves: DataFrame, level: int) -> DataFrame:
-    """(id, n, key) of the tables of a level that at least two members may share.
+def _buckets(halves: DataFrame) -> DataFrame:
+    """(id, n, c, key) of the tables that at least two members may share; c is n here.
 
     ``halves`` has id, n and halves.
     """
-    many = LEVELS[level][0]
     rows = halves.select("id", "n", F.posexplode("halves").alias("h", "value")).select("id", "n", "h", F.xxhash64("h", "value").alias("half"))
     shared = rows.groupBy("half").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("half")
     # At most as many values a member as it has half keys.
     sides = rows.join(shared, "half").groupBy("id", "n").agg(
-        F.collect_list(F.when(F.col("h") < many, F.col("half"))).alias("left"),
-        F.collect_list(F.when(F.col("h") >= many, F.col("half"))).alias("right"))
+        F.collect_list(F.when(F.col("h") < HALVES, F.col("half"))).alias("left"),
+        F.collect_list(F.when(F.col("h") >= HALVES, F.col("half"))).alias("right"))
     return sides.select("id", "n", F.explode("left").alias("a"), "right").select(
-        "id", "n", "a", F.explode("right").alias("b")).select("id", "n", F.xxhash64("a", "b").alias("key"))
+        "id", "n", "a", F.explode("right").alias("b")).select("id", "n", F.col("n").alias("c"), F.xxhash64("a", "b").alias("key"))
+
+
+def _prefixes(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, c, key): the rarest shingles of every member, as many as similar sets cannot
+    all lack, without those that no other member has; c counts the shingles that another has."""
+    own = sets.join(members.select("id").distinct(), "id").select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    common = own.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    lists = own.join(common, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("m"))
+    wanted = F.expr(f"greatest(0, n - ({PERCENT} * n + 99) div 100 + 1 - (n - size(m)))").cast("int")
+    return lists.select("id", "n", F.size("m").cast("long").alias("c"), F.explode(F.slice("m", F.lit(1), wanted)).alias("m")).select(
+        "id", "n", "c", F.col("m.key").alias("key"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,9 +135,9 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * F.col("both") >= PERCENT * (F.size("su") + F.size("sv") - F.col("both"))).select("u", "v")
 
 
-def _near_size(a: str, b: str) -> str:
-    """Sets this different in size cannot be similar enough."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _may_link(n: str, c: str, n2: str, c2: str) -> str:
+    """Whether sets of n and n2 shingles, of which c and c2 are not theirs alone, can be similar enough."""
+    return f"100 * least({c}, {c2}) >= {PERCENT} * ({n} + {n2} - least({c}, {c2}))"
 
 
 def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -135,18 +146,18 @@ def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _small_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different components within buckets of at most SMALL members."""
-    lists = rows.groupBy("key").agg(F.collect_list(F.struct("id", "n", "part")).alias("m"))
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("id", "n", "c", "part")).alias("m"))
     pairs = lists.select(F.explode(F.expr(f"""
-        flatten(transform(m, x -> transform(filter(m, y -> y.id > x.id AND y.part <> x.part AND {_near_size('x.n', 'y.n')}),
+        flatten(transform(m, x -> transform(filter(m, y -> y.id > x.id AND y.part <> x.part AND {_may_link('x.n', 'x.c', 'y.n', 'y.c')}),
                                             y -> struct(y.id AS u, x.id AS v))))""")).alias("p"))
     return pairs.select("p.u", "p.v").distinct()
 
 
 def _stars(rows: DataFrame, order) -> DataFrame:
     """Every member of a bucket paired with the bucket's first member by ``order``."""
-    head = F.struct(F.col("id").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vpart"))
-    heads = rows.groupBy("key").agg(F.min_by(head, order).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "head.*")
-    pairs = rows.join(heads, "key").filter(f"part <> vpart AND {_near_size('n', 'vn')}")
+    head = F.struct(F.col("id").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("part").alias("vpart"))
+    heads = rows.groupBy("key").agg(F.min_by(head, order).alias("head")).select("key", "head.*")
+    pairs = rows.join(heads, "key").filter(f"part <> vpart AND {_may_link('n', 'c', 'vn', 'vc')}")
     return pairs.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
 
 
@@ -162,9 +173,7 @@ def link(docs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     ``sketches`` has id, n and halves (level 0) of one row per class; ``docs`` the texts.
     """
-    buckets = stored(_buckets(sketches, 0), "buckets")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    buckets = stored(buckets.join(shared, "key"), "buckets")
+    buckets = stored(_shared(_buckets(sketches)), "buckets")
     sets = stored(full_sets(_of(docs, buckets)), "sets")
     links = None
     parts = sketches.select("id", F.col("id").alias("component")).limit(0)
@@ -176,7 +185,7 @@ def link(docs: DataFrame, sketches: DataFrame) -> DataFrame:
             links = more if links is None else links.union(more)
             parts = stored(components(links), "parts")
 
-    for level in range(len(LEVELS)):
+    for last in (False, True):
         confirm(_stars(_labelled(buckets, parts), F.col("id")))
         rows = stored(_open(buckets, parts), "open")
         confirm(_stars(rows.filter(F.col("size") > SMALL), F.xxhash64("id", "key")))
@@ -185,14 +194,18 @@ def link(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         large = stored(_open(buckets, parts).filter(F.col("size") > SMALL), "large")
         if large.isEmpty():
             break
-        if level + 1 == len(LEVELS):
+        if last:
             confirm(_block_pairs(large))
         else:
-            again = sketch(_of(docs, large), level + 1).select(F.col("doc_id").alias("id"), "n", "halves")
-            buckets = stored(_buckets(again, level + 1), "buckets")
+            buckets = stored(_shared(_prefixes(sets, large)), "buckets")
     return parts
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """The rows whose key another member has too."""
+    return buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"), "key")
+
+
 def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents whose ids ``rows`` has, each once."""
     wanted = rows.select(F.col("id").alias("doc_id")).distinct()
@@ -200,14 +213,14 @@ def _of(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in large buckets, cut into blocks of members so
-    that no task holds a bucket: every pair of blocks is a group of its own."""
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / SMALL)))
-    n = F.ceil(F.col("size") / SMALL)
-    a = blocks.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).alias("j"), "id", "n", "part")
-    b = blocks.select("key", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).alias("i"),
-                      F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-    return a.join(b, ["key", "i", "j"]).filter(f"id > id2 AND part <> part2 AND {_near_size('n', 'n2')}").select(
+    """All pairs of different components in large buckets that may be similar, cut into
+    blocks of about BLOCK members: every pair of blocks is a group of its own."""
+    n = F.ceil(F.col("size") / BLOCK)
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id", "key"), n))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    a = blocks.select("key", F.col("block").alias("i"), others.alias("j"), "id", "n", "c", "part")
+    b = blocks.select("key", F.col("block").alias("j"), others.alias("i"), *[F.col(x).alias(x + "2") for x in ("id", "n", "c", "part")])
+    return a.join(b, ["key", "i", "j"]).filter(f"id > id2 AND part <> part2 AND {_may_link('n', 'c', 'n2', 'c2')}").select(
         F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
 
 
