@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, url_filter
+from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, token_output, url_filter
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -80,3 +80,9 @@ def op8_byte_sharding(spark, sf_dir):
 def op9_repeated_passages(spark, sf_dir):
     """What is left of every document without passages of smaller ids."""
     return suffix_dedup.without_repeats(documents(spark, sf_dir))
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    """Ids of all documents through token files."""
+    return token_output.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
