@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, token_output, url_filter
+from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, sql, suffix_dedup, token_output, url_filter
 from posefarm.llm.store import documents, prepared
 
 QUERIES: dict = {}
@@ -86,3 +86,9 @@ def op9_repeated_passages(spark, sf_dir):
 def op7_token_files(spark, sf_dir):
     """Ids of all documents through token files."""
     return token_output.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SQL["op1_quality_rules"] = sql.quality()
+SQL["op2_minhash_near_dedup"] = sql.near_duplicates(near_dedup.PERCENT)
+SQL["op6_url_filter"] = sql.url_filter(URL_RULES, LISTED_LABELS)
+SQL["op9_repeated_passages"] = sql.repeats(suffix_dedup.SPAN)
