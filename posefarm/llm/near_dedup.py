@@ -117,13 +117,15 @@ def _buckets(halves: DataFrame) -> DataFrame:
 
 def _prefixes(sets: DataFrame, members: DataFrame) -> DataFrame:
     """(id, n, c, key): the rarest shingles of every member, as many as similar sets cannot
-    all lack, without those that no other member has; c counts the shingles that another has."""
+    all lack, without those that no other member has.  c is the most that the set can share with one
+    whose first shingle in common is the key: what is left of the set from there on, less the
+    shingles that no other member has."""
     own = sets.join(members.select("id").distinct(), "id").select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
     common = own.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     lists = own.join(common, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("m"))
     wanted = F.expr(f"greatest(0, n - ({PERCENT} * n + 99) div 100 + 1 - (n - size(m)))").cast("int")
-    return lists.select("id", "n", F.size("m").cast("long").alias("c"), F.explode(F.slice("m", F.lit(1), wanted)).alias("m")).select(
-        "id", "n", "c", F.col("m.key").alias("key"))
+    return lists.select("id", "n", F.size("m").cast("long").alias("c"), F.posexplode(F.slice("m", F.lit(1), wanted)).alias("at", "m")).select(
+        "id", "n", (F.col("c") - F.col("at")).alias("c"), F.col("m.key").alias("key"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link(n: str, c: str, n2: str, c2: str) -> str:
-    """Whether sets of n and n2 shingles, of which c and c2 are not theirs alone, can be similar enough."""
+    """Whether sets of n and n2 shingles that share at most c and c2 can be similar enough."""
     return f"100 * least({c}, {c2}) >= {PERCENT} * ({n} + {n2} - least({c}, {c2}))"
 
 
