@@ -280,7 +280,7 @@ def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFra
     def look(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values(["id", "print"], ignore_index=True)
         sets = {int(p): _unsqueezed(b) for p, b in zip(known["part"], known["live"])}
-        if docs.empty or not sets:
+        if docs.empty or not any(map(len, sets.values())):
             return pd.DataFrame({"slice": [], "bucket": [], "run": [], "state": []})
         live = np.sort(np.concatenate([v.astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for p, v in sets.items()]))
         found: list[tuple[np.ndarray, ...]] = []
