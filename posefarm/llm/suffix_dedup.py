@@ -279,10 +279,11 @@ def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFra
 
     def look(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values(["id", "print"], ignore_index=True)
-        sets = {int(p): _unsqueezed(b) for p, b in zip(known["part"], known["live"])}
-        if docs.empty or not any(map(len, sets.values())):
+        # A slice has as many rows a part as tasks that sent some of it.
+        sets = [_unsqueezed(b).astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for p, b in zip(known["part"], known["live"])]
+        if docs.empty or not any(map(len, sets)):
             return pd.DataFrame({"slice": [], "bucket": [], "run": [], "state": []})
-        live = np.sort(np.concatenate([v.astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for p, v in sets.items()]))
+        live = np.unique(np.concatenate(sets))
         found: list[tuple[np.ndarray, ...]] = []
         column, base = pa.array(docs["text"], pa.binary()), 0
         for first, _, raw, at in text.slices(column):
