@@ -13,7 +13,9 @@ import re
 import numpy as np
 
 #: Pieces remembered in one Python worker.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
+#: New pieces encoded in one go.
+TOGETHER = 400
 
 #: A single blank between two characters that are no white space: a byte-level tokenizer
 #: always starts a new piece at such a blank.
@@ -22,6 +24,9 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(rb" [\x09-\x0D\x1C-\x20]|[\x09-\x0D\x1C-\x1F] |\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80|\xE2\x81\x9F|\xE3\x80\x80")
 
 
+_LETTER_BEFORE = bytes.isalpha
+
+
 class WordIds:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers.
 
@@ -36,13 +41,48 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.blank_joins = blank_joins
+        one = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        #: Whether the tokenizer itself lower-cases, so that words may be looked up in lower case.
+        self.folds = one("Az") == one("az")
+        #: A comma or full stop after a letter, at the end of a word, is a piece of its own.
+        self.marks = {mark: one(chr(mark)) for mark in b",."}
         self.known: dict = {}
         self.heads: dict = {}
 
     def _learn(self, table: dict, pieces: list[bytes], prefix: str) -> None:
-        texts = [prefix + p.decode() for p in pieces]
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            table[piece] = np.array(e.ids, "<u4").tobytes()
+        """Encode new pieces, many in one text: a blank before each keeps them apart, and
+        each token's place in the text tells whose it is."""
+        marked = [p for p in pieces if p[-1:] in (b",", b".") and _LETTER_BEFORE(p[-2:-1])]
+        if marked:
+            pieces = list(set(pieces).difference(marked).union(p[:-1] for p in marked if p[:-1] not in table))
+        alone = []
+        for at in range(0, len(pieces), TOGETHER):
+            few, texts, starts, size = [], [], [], 0
+            for piece in pieces[at:at + TOGETHER]:
+                text = piece.decode()
+                if not text or text[0].isspace() or text[-1].isspace():
+                    alone.append((piece, text))
+                    continue
+                few.append(piece)
+                texts.append(text)
+                starts.append(size)
+                size += len(text) + 1
+            if not few:
+                continue
+            e = self.tokenizer.encode(" " + " ".join(texts), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            # A token's end never leaves its piece, its start may be the blank before it.
+            ends = np.array([b for _, b in e.offsets], np.int64)
+            cuts = np.searchsorted(ends, np.array(starts[1:] + [size]) + 1)
+            blob, here = ids.tobytes(), 0
+            for piece, cut in zip(few, cuts.tolist()):
+                table[piece] = blob[4 * here:4 * cut]
+                here = cut
+        if alone:
+            for (piece, _), e in zip(alone, self.tokenizer.encode_batch_fast([prefix + t for _, t in alone], add_special_tokens=False)):
+                table[piece] = np.array(e.ids, "<u4").tobytes()
+        for piece in marked:
+            table[piece] = table[piece[:-1]] + self.marks[piece[-1]]
 
     def _joined(self, table: dict, pieces: list, prefix: str) -> bytes:
         try:
@@ -55,15 +95,23 @@ class WordIds:
         self._learn(table, list(set(pieces).difference(table)), prefix)
         return b"".join(map(table.__getitem__, pieces))
 
+    def _head(self, first: bytes) -> bytes:
+        """The first piece of a text, which has no blank before it."""
+        if first not in self.heads:
+            if len(self.heads) > REMEMBERED // 8:
+                self.heads.clear()
+            self.heads[first] = np.array(self.tokenizer.encode(first.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self.heads[first]
+
     def __call__(self, text: bytes) -> bytes:
         """Ids of one UTF-8 text."""
         if not self.blank_joins:
-            return self._joined(self.known, text.split(), "")
+            return self._joined(self.known, (text.lower() if self.folds else text).split(), "")
         if _OTHER_SPACE.search(text):
             first, *rest = [p.encode() for p in _BETWEEN.split(text.decode())]
         else:
             first, *rest = text.split(b" ")
-        return self._joined(self.heads, [first], "") + self._joined(self.known, rest, " ")
+        return self._head(first) + self._joined(self.known, rest, " ")
 
 
 _loaded: dict = {}
