@@ -30,6 +30,13 @@ def mix(value: Column, seed: int | Column = 0) -> Column:
     return F.pmod(x * 16807, F.lit(MODULUS))
 
 
+def mix2(a: Column, b: Column, seed: int | Column = 0) -> Column:
+    """As :func:`mix` for a pair: both are hashed before they meet, so that neighbouring
+    pairs share no run of draws, however long either range is."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    return mix(mix(a, seed) + mix(b, seed + 1), seed + 2)
+
+
 def uniform(value: Column, seed: int | Column = 0) -> Column:
     """A uniform draw in [0, 1) keyed by ``value``."""
     return mix(value, seed) / F.lit(float(MODULUS))

@@ -1,11 +1,9 @@
 """Order statistics for groups of any size.
 
-A window over one group sorts that group in one task.  That is the best plan while
-groups are small, so the largest group is counted first.  When a group is too large
-for one task, ranks and running sums are built from bins: a group is cut into value
-ranges of bounded size, each range is ordered on its own, and the counts of the
-ranges before it are added.  The cuts come from minima, maxima and counts only, so
-they are the same on every evaluation, also after a lost executor.
+Rows are range-partitioned by (group, value, tie) with Spark's own range exchange, in the
+value's own type, and cut there once.  Rows are numbered inside their partition and the
+counts of the partitions before are added, so a group that holds most rows spreads over
+many tasks and every size takes the same path.
 """
 
 from __future__ import annotations
@@ -17,20 +15,13 @@ from pyspark.sql import functions as F
 
 from posefarm.session import cut
 
-ROWS_PER_BIN = 250_000
-MAX_LEVELS = 32
-
-
 def _as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def _slot(value: Column, lo: Column, hi: Column, slots: Column) -> Column:
-    """Equal-width slot of a value; monotone, and always within 0 .. slots-1."""
-    width = hi - lo
-    raw = F.floor((value - lo) / width * slots)
-    inside = F.greatest(F.lit(0).cast("long"), F.least(slots - 1, raw))
-    return F.when((slots > 1) & (width > 0), inside).otherwise(F.lit(0).cast("long"))
+def with_one(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate (one without grouping) to every row."""
+    return df.crossJoin(F.broadcast(one))
 
 
 def top_k(df: DataFrame, keys, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -57,95 +48,45 @@ def with_order(
     df: DataFrame,
     keys,
     value: str,
-    tie: str | None = None,
+    tie: str | Sequence[str] | None = None,
     *,
     descending: bool = False,
     rank: str | None = "rank",
     running: Mapping[str, str] | None = None,
-    rows_per_bin: int = ROWS_PER_BIN,
 ) -> DataFrame:
     """Add the 1-based position in the group and running sums up to the row.
 
     ``running`` maps an output name to the column to add up; the sum includes the
-    row itself.  ``tie`` is a numeric column that orders rows of equal value;
-    leave it out only when values are distinct within the group.  Rows without a
-    value come last.
+    row itself.  ``tie`` names the columns that order rows of equal value; leave it
+    out only when values are distinct within the group.  Rows without a value come last.
     """
     keys = _as_list(keys)
     running = dict(running or {})
-    spare = not keys
-    if spare:
-        keys = ["_all"]
-        df = df.withColumn("_all", F.lit(0))
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= rows_per_bin:
-        first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-        whole = Window.partitionBy(*keys).orderBy(first, *([F.col(tie)] if tie else []))
-        upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        if rank:
-            df = df.withColumn(rank, F.row_number().over(whole).cast("long"))
+    first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    order = [first, *[F.col(t) for t in _as_list(tie or [])]]
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = cut(ranged).withColumn("_row_at", F.monotonically_increasing_id())
+    rows = rows.withColumn("_row_part", F.shiftright("_row_at", 33))
+    sums = [F.sum(c).alias(f"_sum{i}") for i, c in enumerate(running.values())]
+    parts = rows.groupBy(*keys, "_row_part").agg(F.min("_row_at").alias("_first_at"), F.count(F.lit(1)).alias("_rows"), *sums)
+    # At most one row for each group and partition that meet.
+    before = Window.partitionBy(*keys).orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_row_part").alias("_in_part"), "_first_at",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in [("_rows", "_rows_before"), *[(f"_sum{i}", f"_sum_before{i}") for i in range(len(running))]]])
+    if running:
+        upto = Window.partitionBy("_row_part", *keys).orderBy("_row_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         for name, column in running.items():
-            df = df.withColumn(name, F.coalesce(F.sum(column).over(upto), F.lit(0)))
-        return df.drop("_all") if spare else df
-    return _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare)
-
-
-def _with_bins(df: DataFrame, keys, value: str, tie: str | None, descending: bool, rows_per_bin: int) -> DataFrame:
-    """Add the bin path ``_b`` of every row (paths sort like the rows) and its sort value ``_v``.
-
-    Bins that are too full are cut again until none is left: by their own value range,
-    or by the tie column once they hold a single value.  Each pass reads one small
-    table of the full bins, at most rows / rows_per_bin of them.
-    """
-    v = F.col(value).cast("double")
-    t = (F.col(tie) if tie else F.col(value)).cast("double")
-    df = df.withColumn("_v", -v if descending else v).withColumn("_t", t)
-    df = df.withColumn("_b", F.array(F.when(F.col("_v").isNull(), 1).otherwise(0).cast("long")))
-    for _ in range(MAX_LEVELS):
-        full = df.groupBy(*keys, "_b").agg(
-            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min("_t").alias("_tlo"), F.max("_t").alias("_thi"),
-            F.count(F.lit(1)).alias("_n"))
-        splits = (F.col("_hi") > F.col("_lo")) | (F.col("_thi") > F.col("_tlo"))
-        full = cut(full.filter((F.col("_n") > rows_per_bin) & splits).withColumn("_slots", 16 * F.ceil(F.col("_n") / F.lit(rows_per_bin))).drop("_n"))
-        if full.isEmpty():
-            break
-        df = df.join(full, [*keys, "_b"], "left")
-        by_value = _slot(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_slots"))
-        by_tie = _slot(F.col("_t"), F.col("_tlo"), F.col("_thi"), F.col("_slots"))
-        place = (
-            F.when(F.col("_slots").isNull(), F.lit(0).cast("long"))
-            .when(F.col("_hi") > F.col("_lo"), by_value)
-            .otherwise(by_tie)
-        )
-        df = df.withColumn("_b", F.concat("_b", F.array(place))).drop("_lo", "_hi", "_tlo", "_thi", "_slots")
-    return df
-
-
-def _binned_order(df, keys, value, tie, descending, rank, running, rows_per_bin, spare) -> DataFrame:
-    df = _with_bins(df, keys, value, tie, descending, rows_per_bin)
-    order = [F.col("_v").asc_nulls_last()] + ([F.col(tie)] if tie else [])
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order)
-    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(running.values())]
-    )
-    offsets = totals.select(
-        *keys, "_b",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-        *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(running))],
-    )
-    if rank:
-        df = df.withColumn(rank, F.row_number().over(inner).cast("long"))
-    for name, column in running.items():
-        df = df.withColumn(name, F.coalesce(F.sum(column).over(upto), F.lit(0)))
-    df = df.join(offsets, [*keys, "_b"])
+            rows = rows.withColumn(name, F.coalesce(F.sum(column).over(upto), F.lit(0)))
+    same = F.col("_row_part") == F.col("_in_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    rows = rows.join(offsets, same)
     if rank:
-        df = df.withColumn(rank, F.col(rank) + F.col("_n0"))
+        rows = rows.withColumn(rank, F.col("_row_at") - F.col("_first_at") + 1 + F.col("_rows_before"))
     for i, name in enumerate(running):
-        df = df.withColumn(name, F.col(name) + F.col(f"_o{i}"))
-    drop = ["_v", "_t", "_b", "_n0", *[f"_o{i}" for i in range(len(running))]]
-    return df.drop(*drop, *(["_all"] if spare else []))
+        rows = rows.withColumn(name, F.col(name) + F.col(f"_sum_before{i}"))
+    return rows.drop("_row_at", "_row_part", "_in_part", "_first_at", "_rows_before", *[f"_key{i}" for i in range(len(keys))], *[f"_sum_before{i}" for i in range(len(running))])
 
 
 def rank_of(df: DataFrame, keys, score: str, tie: str, marks: Mapping[str, Column]) -> DataFrame:
@@ -176,18 +117,17 @@ def rank_of(df: DataFrame, keys, score: str, tie: str, marks: Mapping[str, Colum
     )
 
 
-def order_values(df: DataFrame, keys, value: str, positions: Mapping[str, Column],
-                 rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+def order_values(df: DataFrame, keys, value: str, positions: Mapping[str, Column]) -> DataFrame:
     """Values at 1-based ascending positions (expressions over the group size ``n``)."""
     keys = _as_list(keys)
-    # Read by the size check, the order and the group sizes, so written once.
+    # Read by the order and the group sizes, so written once.
     distinct = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    upto = with_order(distinct, keys, value, rank=None, running={"_upto": "_c"}, rows_per_bin=rows_per_bin)
+    upto = with_order(distinct, keys, value, rank=None, running={"_upto": "_c"})
     sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("n"))
     if keys:
         upto = upto.join(sizes, keys)
     else:
-        upto = upto.withColumn("_k", F.lit(0)).join(sizes.withColumn("_k", F.lit(0)), "_k")
+        upto = with_one(upto, sizes)
 
     def hit(position: Column) -> Column:
         return (F.col("_upto") >= position) & (F.col("_upto") - F.col("_c") < position)

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posefarm.functions.columns import apply_matrix, mix, rotation_matrix
-from posefarm.functions.ordering import with_order
+from posefarm.functions.columns import apply_matrix, mix, mix2, rotation_matrix
+from posefarm.functions.ordering import with_one, with_order
 from posefarm.operators.spatial import radius_join
 
 
@@ -65,11 +65,11 @@ def nested_split(order: DataFrame, n_fit: int, val_frac: float = 0.2, require_al
     part = F.when(F.pmod(F.col("_pos") - 1, F.lit(stride)) == 0, "validation").otherwise("fit")
     out = placed.withColumn("part", part)
     if require_all:
-        have = order.agg(F.count(F.lit(1)).alias("_have")).withColumn("_one", F.lit(0))
+        have = order.agg(F.count(F.lit(1)).alias("_have"))
         short = F.concat(F.lit(f"need {total} usable ids, have "), F.col("_have"))
-        out = out.withColumn("_one", F.lit(0)).join(have, "_one").withColumn(
+        out = with_one(out, have).withColumn(
             "part", F.when(F.col("_have") < total, F.raise_error(short).cast("string")).otherwise(F.col("part")))
-        out = out.drop("_one", "_have")
+        out = out.drop("_have")
     return out.withColumn("position", F.col("_pos") - 1).drop("_pos")
 
 
@@ -124,9 +124,9 @@ def check_splits(splits: DataFrame, test: DataFrame) -> DataFrame:
     following = sizes.withColumn("next", F.lead("n").over(Window.orderBy("n"))).filter(F.col("next").isNotNull())
     need = splits.join(following, "n").select("seed", F.col("next").alias("n"), "id", "part")
     nested = need.join(splits, ["seed", "n", "id", "part"], "left_anti").agg(F.count(F.lit(1)).alias("bad")).withColumn("rule", F.lit("nested"))
-    seeds = splits.agg(F.count_distinct("seed").alias("_s")).withColumn("_one", F.lit(0))
-    per = splits.groupBy("n", "id", "part").agg(F.count_distinct("seed").alias("s")).withColumn("_one", F.lit(0))
-    agree = per.join(seeds, "_one").agg(F.count_if(F.col("s") != F.col("_s")).alias("bad")).withColumn("rule", F.lit("seeds"))
+    seeds = splits.agg(F.count_distinct("seed").alias("_s"))
+    per = splits.groupBy("n", "id", "part").agg(F.count_distinct("seed").alias("s"))
+    agree = with_one(per, seeds).agg(F.count_if(F.col("s") != F.col("_s")).alias("bad")).withColumn("rule", F.lit("seeds"))
     return both.unionByName(leak).unionByName(nested).unionByName(agree).select("rule", "bad")
 
 
@@ -193,6 +193,8 @@ def cluster_folds(rows: DataFrame, k: int, seed: int, cluster: str = "cluster")
 def random_pose_split(pool: DataFrame, frac: float, seed: int) -> DataFrame:
     """Per complex int(n * frac) poses, in a hashed order, for training; the rest for validation."""
     n = pool.groupBy("complex_id").agg(F.floor(F.count(F.lit(1)) * F.lit(float(frac))).alias("_take"))
-    placed = with_order(pool.withColumn("_h", mix(F.col("pose_id"), seed)), "complex_id", "_h", "pose_id", rank="_r")
+    key = pool.schema["complex_id"].dataType.typeName()
+    complex_key = F.col("complex_id").cast("long") if key in ("long", "integer", "short") else F.xxhash64("complex_id")
+    placed = with_order(pool.withColumn("_h", mix2(complex_key, F.col("pose_id"), seed)), "complex_id", "_h", "pose_id", rank="_r")
     part = F.when(F.col("_r") <= F.col("_take"), "train").otherwise("validation")
     return placed.join(n, "complex_id").withColumn("part", part).drop("_h", "_r", "_take")

@@ -284,7 +284,7 @@ def exposed_area(atoms: DataFrame, probe: float = 1.4, n: int = 960) -> DataFram
     the n surface points the neighbour covers, and the marks are counted per atom.
     """
     a = atoms.select("complex_id", "side", "atom_idx", "x", "y", "z", (F.col("radius") + probe).alias("reach"))
-    widest = 2.0 * (max(fixed.RADII.values()) + probe)
+    widest = 2.0 * (a.agg(F.max("reach")).first()[0] or probe)   # two spheres of the largest reach in the table
     pairs = radius_join(a, a, widest, keys=MOLECULE, keep_a=["atom_idx", "reach"], keep_b=["atom_idx", "reach"])
     near = pairs.filter((F.col("a_atom_idx") != F.col("b_atom_idx")) & (F.col("d") < F.col("a_reach") + F.col("b_reach")))
     points = near.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))

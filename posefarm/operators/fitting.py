@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
 from posefarm.functions.columns import mix, weighted_sum
-from posefarm.functions.ordering import with_order
+from posefarm.functions.ordering import with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
 from posefarm.operators.scoring import Weights, linear_score, standardize
 
@@ -416,15 +416,15 @@ def gradient_share(norms: DataFrame, fractions: Sequence[float] = (0.05, 0.10, 0
     key = norms.schema[C].dataType.typeName()
     tie = C if key in ("long", "integer") else "_tie"
     rows = norms if tie == C else norms.withColumn("_tie", F.xxhash64(C))
-    ordered = with_order(rows, [], "norm", tie, descending=True, rank="_r", running={"_run": "norm"}).withColumn("_k", F.lit(0))
+    ordered = with_order(rows, [], "norm", tie, descending=True, rank="_r", running={"_run": "norm"})
     total = norms.agg(F.sum("norm").alias("_tot"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("norm") == 0).alias("zero"),
-                      F.max("norm").alias("_max")).withColumn("_k", F.lit(0))
-    j = ordered.join(total, "_k")
+                      F.max("norm").alias("_max"))
+    j = with_one(ordered, total)
     top = [F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(f))) for f in fractions]
-    return j.groupBy("_k").agg(
+    return j.agg(
         F.max("n").alias("n"), F.max("zero").alias("zero"), F.count_if(F.col("norm") < 0.01 * F.col("_max")).alias("below_1pct"),
         *[(F.sum(F.when(F.col("_r") <= t, F.col("norm"))) / F.max("_tot")).alias(f"top_{int(f * 100)}") for t, f in zip(top, fractions)],
-        *[F.count_if(F.col("_run") - F.col("norm") < F.col("_tot") * l).alias(f"needed_{int(l * 100)}") for l in levels]).drop("_k")
+        *[F.count_if(F.col("_run") - F.col("norm") < F.col("_tot") * l).alias(f"needed_{int(l * 100)}") for l in levels])
 
 
 def virtual_step_report(pool: DataFrame, start: Model, steps: Sequence[int], lr: float = 5e-4, batch: int = 16,

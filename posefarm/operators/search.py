@@ -114,13 +114,23 @@ def ligand_layers(turned: DataFrame, grid: DataFrame, weights: Weights, k_vol: f
     return out
 
 
-def translation_scan(rec_cells: DataFrame, lig_cells: DataFrame, max_shift: int) -> DataFrame:
-    """score(d) = sum over layers and cells of receptor(m) * ligand(m - d), |d| <= max_shift per axis.
+def overlap_range(rec_cells: DataFrame, lig_cells: DataFrame) -> int:
+    """The largest shift, on any axis, at which cells of a complex can still meet."""
+    ends = [f(c).alias(f"{n}{c}") for c in CELL for n, f in (("lo_", F.min), ("hi_", F.max))]
+    r, l = rec_cells.groupBy(C).agg(*ends), lig_cells.groupBy(C).agg(*ends)
+    far = F.greatest(*[F.greatest(F.abs(F.col(f"r.hi_{c}") - F.col(f"l.lo_{c}")), F.abs(F.col(f"r.lo_{c}") - F.col(f"l.hi_{c}"))) for c in CELL])
+    return int(r.alias("r").join(l.alias("l"), C).agg(F.max(far)).first()[0] or 0)
+
+
+def translation_scan(rec_cells: DataFrame, lig_cells: DataFrame, max_shift: int | None = None) -> DataFrame:
+    """score(d) = sum over layers and cells of receptor(m) * ligand(m - d), over every shift at
+    which cells meet, or |d| <= max_shift per axis where that is asked for.
 
     Cells are cut into blocks of side 2 * max_shift; a ligand cell visits the blocks its
     range touches (at most two per axis), so the equi-join on (complex, layer, block)
     never pairs distant cells and a large complex spreads over its blocks.
     """
+    max_shift = overlap_range(rec_cells, lig_cells) if max_shift is None else max_shift
     side = max(1, 2 * int(max_shift))
     block = [F.floor(F.col(c) / side).cast("long") for c in CELL]
     left = rec_cells.select(C, "layer", *[F.col(c).alias(f"r_{c}") for c in CELL], F.col("w").alias("_r"),
@@ -159,7 +169,7 @@ def turned_ligands(atoms: DataFrame, rotations: DataFrame, n_rotations: int) ->
 
 
 def search_poses(atoms: DataFrame, rotations: DataFrame, n_rotations: int, weights: Weights,
-                 h: float = fixed.REFERENCE_SPACING, max_shift: int = 40, per_rotation: int = 1, ntop: int = 2000,
+                 h: float = fixed.REFERENCE_SPACING, max_shift: int | None = None, per_rotation: int = 1, ntop: int = 2000,
                  k_vol: float = 1.0, round_to: int | None = None) -> DataFrame:
     """Search over rotations and translations; needs no known answer.
 
@@ -178,7 +188,7 @@ def search_poses(atoms: DataFrame, rotations: DataFrame, n_rotations: int, weigh
 
 
 def build_pool(atoms: DataFrame, complexes: DataFrame, rotations: DataFrame, n_rotations: int, weights: Weights,
-               h: float = fixed.REFERENCE_SPACING, max_shift: int = 40, ntop: int = 2000, k: int = 8, reach: int = 1) -> DataFrame:
+               h: float = fixed.REFERENCE_SPACING, max_shift: int | None = None, ntop: int = 2000, k: int = 8, reach: int = 1) -> DataFrame:
     """Searched poses (prov 0) and near-native lattice poses the search did not return (prov 1),
     with features and labels."""
     found = cut(search_poses(atoms, rotations, n_rotations, weights, h, max_shift, 1, ntop))
@@ -201,7 +211,7 @@ def pool_from_poses(atoms: DataFrame, poses: DataFrame, h: float = fixed.REFEREN
 
 
 def decoys_with_cone(atoms: DataFrame, complexes: DataFrame, n_random: int, n_cone: int, weights: Weights,
-                     h: float = fixed.REFERENCE_SPACING, max_shift: int = 40, cone_deg: float = 15.0, seed: int = 0) -> DataFrame:
+                     h: float = fixed.REFERENCE_SPACING, max_shift: int | None = None, cone_deg: float = 15.0, seed: int = 0) -> DataFrame:
     """Older recipe: best translation for random and cone rotations, plus cone rotations
     at the exact native translation (score NULL)."""
     spark = atoms.sparkSession
@@ -220,23 +230,32 @@ def decoys_with_cone(atoms: DataFrame, complexes: DataFrame, n_random: int, n_co
     return searched.unionByName(injected)
 
 
-def pattern_refine(atoms: DataFrame, poses: DataFrame, weights: Weights, rounds: int = 8, deg: float = 4.0, shift: float = 1.0,
+def pattern_refine(atoms: DataFrame, poses: DataFrame, weights: Weights, rounds: int | None = None, deg: float = 4.0, shift: float = 1.0,
                    h: float = fixed.REFERENCE_SPACING, stop_deg: float = 0.05, grid: DataFrame | None = None) -> DataFrame:
     """Pattern search: twelve moves per pose and round, keep the best, halve the step when none helps.
 
-    Poses below the smallest step stop moving; lineage is cut after every round.
+    Poses below the smallest step stop moving; lineage is cut after every round.  Rounds go
+    on until every pose has stopped, or for ``rounds`` of them where that is asked for.
     """
     grid = grid_axes(atoms, h) if grid is None else grid
     base = poses.select(*POSE, *Q, *T)
     state = score_poses(atoms, base, weights, h, grid=grid).select(*POSE, *Q, *T, "score")
     state = cut(state.withColumn("start_score", F.col("score")).withColumn("deg", F.lit(float(deg))).withColumn("shift", F.lit(float(shift))))
-    for _ in range(rounds):
+    # A dense number of its own for every pose leaves room for the probe in one BIGINT.
+    numbers = cut(state.select(*POSE).withColumn("_slot", F.monotonically_increasing_id()))
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         live = state.filter(F.col("deg") >= stop_deg)
+        if live.isEmpty():
+            break
+        live = live.join(numbers, POSE)
         moved = rot.axis_probes(rot.placed_centroid(live, atoms), F.col("deg"), F.col("shift"))
-        tried = cut(moved.select(C, (F.col("pose_id") * 16 + F.col("probe")).alias("pose_id"), *Q, *T))
+        tried = cut(moved.select(C, (F.col("_slot") * 16 + F.col("probe")).alias("pose_id"), *Q, *T))
         scored = score_poses(atoms, tried, weights, h, grid=grid)
-        best = scored.groupBy(C, F.floor(F.col("pose_id") / 16).alias("pose_id")).agg(
+        best = scored.groupBy(C, F.shiftright("pose_id", 4).alias("_slot")).agg(
             F.max_by(F.struct(*[F.col(c) for c in (*Q, *T, "score")]), F.struct("score", -F.col("pose_id"))).alias("_b"))
+        best = best.join(numbers, [C, "_slot"]).drop("_slot")
         j = state.join(best, POSE, "left")
         better = F.col("_b.score") > F.col("score") + 1e-9
         keep = F.coalesce(better, F.lit(False))
@@ -278,14 +297,14 @@ def pose_pairs_within(poses: DataFrame, atoms: DataFrame, tol: float, keys: Sequ
         *keys, F.col("a_pose_id").alias("i"), F.col("b_pose_id").alias("j"), "rmsd")
 
 
-def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (C,), max_rounds: int = 50) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (C,)) -> DataFrame:
     """Smallest pose_id of the component of every node: minimum labels spread along edges,
     with a jump to the label's own label in each round."""
     keys = list(keys)
     both = edges.select(*keys, "i", "j").unionByName(edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j")))
     both = cut(both)
     labels = cut(nodes.select(*keys, "pose_id", F.col("pose_id").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         spread = both.join(labels.select(*keys, F.col("pose_id").alias("j"), "label"), [*keys, "j"]).groupBy(
             *keys, F.col("i").alias("pose_id")).agg(F.min("label").alias("_l"))
         step = labels.join(spread, [*keys, "pose_id"], "left").withColumn("_l", F.least("label", "_l"))
@@ -297,7 +316,6 @@ def connected(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (C,), ma
         labels = new.select(*keys, "pose_id", F.col("_new").alias("label"))
         if not moved:
             return labels
-    raise RuntimeError("component labels did not settle")
 
 
 def cluster_endpoints(poses: DataFrame, atoms: DataFrame, tol: float, start: int | None = None) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posefarm.functions.columns import log_gamma, mix, two_sided_normal_p
-from posefarm.functions.ordering import order_values, with_order
+from posefarm.functions.columns import log_gamma, mix2, two_sided_normal_p
+from posefarm.functions.ordering import order_values, with_one, with_order
 from posefarm.session import cut
 
 
@@ -98,11 +98,10 @@ def _resampled(values: DataFrame, columns: Sequence[str], n_boot: int, seed: int
     and meets its value in an equi-join.  Both sides spread over positions.
     """
     # One row per complex: written once, since three branches read it.
-    numbered = cut(with_order(values.select(key, *columns), [], key, key, rank="_pos").withColumn("_one", F.lit(0)))
-    size = numbered.groupBy("_one").agg(F.count(F.lit(1)).alias("_n"))
-    fan = numbered.select("_pos", "_one").join(size, "_one").select(
+    numbered = cut(with_order(values.select(key, *columns), [], key, rank="_pos"))
+    fan = with_one(numbered.select("_pos"), numbered.agg(F.count(F.lit(1)).alias("_n"))).select(
         "_pos", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    draw = F.pmod(mix(F.col("boot") * F.lit(1000003).cast("long") + F.col("_pos"), seed), F.col("_n")) + 1
+    draw = F.pmod(mix2(F.col("boot"), F.col("_pos"), seed), F.col("_n")) + 1
     picks = fan.select("boot", draw.alias("_pos"))
     # Equal picks of a resample collapse to a count before they travel.
     counted = picks.groupBy("boot", "_pos").agg(F.count(F.lit(1)).alias("_c"))
@@ -146,10 +145,9 @@ def interaction_contrast(decoys: DataFrame, value: str = "value", key: str = "id
         F.count(F.lit(1)).alias("n"), F.avg("contrast").alias("contrast"),
         *[F.count_if(F.col(f"test_{s}") > F.col(f"base_{s}")).alias(f"won_{s}") for s in ("apo", "holo")],
         *[F.count_if(F.col(f"test_{s}") < F.col(f"base_{s}")).alias(f"lost_{s}") for s in ("apo", "holo")],
-    ).withColumn("_k", F.lit(0))
-    below = boots.agg(F.avg((F.col("contrast") < 0).cast("int")).alias("p_negative")).withColumn("_k", F.lit(0))
-    ends = percentile_interval(boots, "contrast", n_boot).withColumn("_k", F.lit(0))
-    return stats.join(below, "_k").join(ends, "_k").drop("_k")
+    )
+    below = boots.agg(F.avg((F.col("contrast") < 0).cast("int")).alias("p_negative"))
+    return with_one(with_one(stats, below), percentile_interval(boots, "contrast", n_boot))
 
 
 def holm_adjust(tests: DataFrame, p: str = "p", tie: str = "id", monotone: bool = False) -> DataFrame:
@@ -157,14 +155,13 @@ def holm_adjust(tests: DataFrame, p: str = "p", tie: str = "id", monotone: bool
 
     The table holds one row per test of a family.
     """
-    ordered = with_order(tests, [], p, tie, rank="_rank").withColumn("_one", F.lit(0))
-    m = tests.agg(F.count(F.lit(1)).alias("_m")).withColumn("_one", F.lit(0))
-    out = ordered.join(m, "_one").withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_rank") + 1)))
+    ordered = with_order(tests, [], p, tie, rank="_rank")
+    out = with_one(ordered, tests.agg(F.count(F.lit(1)).alias("_m"))).withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_rank") + 1)))
     if monotone:
         from pyspark.sql import Window
-        upto = Window.partitionBy("_one").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+        upto = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn("p_adj", F.max("p_adj").over(upto))
-    return out.drop("_one", "_rank", "_m")
+    return out.drop("_rank", "_m")
 
 
 def seed_summary(runs: DataFrame, keys: Sequence[str] = ("condition",), worst: bool = True) -> DataFrame:
@@ -199,9 +196,8 @@ def pool_invariance(old: DataFrame, new: DataFrame, features: Sequence[str], sco
         F.count_if((F.col("r_dockq") >= 0.23) & (F.col("r_prov") == 0)).alias("pos_new_searched"),
         F.max_by(F.struct(*[f"{k}" for k in key]), F.struct(f"l_{score}", *[-F.col(k) for k in key])).alias("_tl"),
         F.max_by(F.struct(*[f"{k}" for k in key]), F.struct(f"r_{score}", *[-F.col(k) for k in key])).alias("_tr"))
-    one = key[0]
-    ro = with_order(old.select("complex_id", *key, score), ["complex_id"], score, one, descending=True, rank="_ro")
-    rn = with_order(new.select("complex_id", *key, score), ["complex_id"], score, one, descending=True, rank="_rn")
+    ro = with_order(old.select("complex_id", *key, score), ["complex_id"], score, list(key), descending=True, rank="_ro")
+    rn = with_order(new.select("complex_id", *key, score), ["complex_id"], score, list(key), descending=True, rank="_rn")
     moved = ro.drop(score).join(rn.drop(score), ["complex_id", *key]).groupBy("complex_id").agg(
         F.count_if(F.col("_ro") != F.col("_rn")).alias("moved"))
     ao = auc_midrank(old, score, pos, name="auc_old")

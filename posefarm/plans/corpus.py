@@ -130,7 +130,7 @@ def cluster_folds(spark, sf):
     return cu.cluster_folds(s, 5, 21).select("id", "cluster", "fold")
 
 
-@query("random_pose_split", f"""WITH {V.POOL}, h AS (SELECT complex_id, pose_id, row_number() OVER (PARTITION BY complex_id ORDER BY {V.mix_sql('pose_id', 13)}, pose_id) AS i, count(*) OVER (PARTITION BY complex_id) AS n FROM pool)
+@query("random_pose_split", f"""WITH {V.POOL}, h AS (SELECT complex_id, pose_id, row_number() OVER (PARTITION BY complex_id ORDER BY {V.mix2_sql('complex_id', 'pose_id', 13)}, pose_id) AS i, count(*) OVER (PARTITION BY complex_id) AS n FROM pool)
  SELECT complex_id, pose_id, CASE WHEN i<=floor(n*0.8{D}) THEN 'train' ELSE 'validation' END AS part FROM h""")
 def random_pose_split(spark, sf):
     return cu.random_pose_split(V.pool(spark, sf).select(C, "pose_id"), 0.8, 13)

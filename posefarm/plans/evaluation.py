@@ -353,7 +353,7 @@ N_BOOT = 200
 
 def boot_sql(src: str, column: str, key: str, seed: int, n_boot: int) -> str:
     return f"""numbered AS (SELECT {column} AS v, row_number() OVER (ORDER BY {key}) AS pos, count(*) OVER () AS n FROM {src}),
- draws AS (SELECT boot, {V.mix_sql('boot*1000003+pos', seed)} % n + 1 AS pick FROM numbered CROSS JOIN (SELECT unnest(range(0,{n_boot})) AS boot)),
+ draws AS (SELECT boot, {V.mix2_sql('boot', 'pos', seed)} % n + 1 AS pick FROM numbered CROSS JOIN (SELECT unnest(range(0,{n_boot})) AS boot)),
  boots AS (SELECT boot, sum(v)/count(*) AS m FROM draws JOIN (SELECT pos, v FROM numbered) x ON x.pos=draws.pick GROUP BY boot)"""
 
 

@@ -420,7 +420,7 @@ def random_rotations(spark, sf):
     return q.select(C, *[rnd(c).alias(f"q{i + 1}") for i, c in enumerate(cols)], rnd(ro.dot(cols, cols)).alias("norm"))
 
 
-CONE_KEY = f"({V.mix_sql('c.complex_id', 4)}*1024+cone)"
+CONE_KEY = V.mix2_sql('c.complex_id', 'cone', 4)
 
 
 @query("rotation_cone", f"""WITH {V.COMPLEXES} SELECT complex_id, cone::INTEGER AS cone, {r(f"CASE WHEN cone=0 THEN 0.0{D} ELSE {uniform_sql(CONE_KEY, 6)}*15.0{D} END", 4)} AS angle FROM complexes c CROSS JOIN (SELECT unnest(range(0,5)) AS cone)""")
@@ -516,7 +516,7 @@ def axis_probes(spark, sf):
     return at.groupBy(C, "pose_id", "probe").agg(*[rnd(F.sum(F.col(x) * (F.col("atom_idx") + 1)), 5).alias(f"s{x}") for x in "xyz"])
 
 
-@query("random_probes", f"""WITH {V.POSES}, k AS (SELECT complex_id, pose_id, probe, {V.mix_sql('complex_id', 2)}*64 + {V.mix_sql('pose_id', 3)}*8 + probe AS key FROM poses CROSS JOIN (SELECT unnest(range(0,3)) AS probe))
+@query("random_probes", f"""WITH {V.POSES}, k AS (SELECT complex_id, pose_id, probe, {V.mix2_sql(V.mix2_sql('complex_id', 'pose_id', 2), 'probe', 2)} AS key FROM poses CROSS JOIN (SELECT unnest(range(0,3)) AS probe))
  SELECT complex_id, pose_id, probe::INTEGER AS probe, {r(f"{uniform_sql('key', 5)}*20.0{D}", 4)} AS angle, {", ".join(r(f"(2.0{D}*{uniform_sql(f'key*3+{i}', 6)}-1.0{D})*2.0{D}", 5) + f" AS d{a}" for i, a in enumerate("xyz"))} FROM k""")
 def random_probes(spark, sf):
     a = V.atoms(spark, sf)

@@ -342,6 +342,11 @@ systems AS (
 )"""
 
 
+def mix2_sql(a: str, b: str, seed: int) -> str:
+    """SQL of ``functions.columns.mix2``."""
+    return mix_sql(f"{mix_sql(a, seed)} + {mix_sql(b, seed + 1)}", seed + 2)
+
+
 def mix_sql(value: str, seed: int) -> str:
     """SQL of ``functions.columns.mix``."""
     x = f"((({value})::BIGINT % 2147483647 + {seed * 7919}) % 2147483647)"

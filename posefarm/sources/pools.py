@@ -22,27 +22,35 @@ def write_pool(pool: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "
     """
     rows = pool.withColumn("bucket", F.pmod(F.xxhash64(C), F.lit(buckets)).cast("int"))
     spread = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(C, "pose_id"), F.lit(8)))
-    spread.sortWithinPartitions(C, "pose_id").write.mode(mode).partitionBy("bucket").parquet(path)
+    spread = spread.withColumn("buckets", F.lit(buckets))
+    spread.sortWithinPartitions("bucket", C, "pose_id").write.mode(mode).partitionBy("buckets", "bucket").parquet(path)
 
 
 def read_pool(spark: SparkSession, path: str, names: Sequence | DataFrame | None = None, max_poses: int | None = None,
               hit_threshold: float | None = None, default_threshold: float = 2.5) -> DataFrame:
-    """Read a pool, or the named complexes of it (a missing name ends the job).
+    """Read a pool, or the named complexes of it (a missing name is an error).
 
     ``max_poses`` keeps pose_id below it, a pushed-down filter.  ``hit`` is the stored
     flag, or rmsd within the default threshold where no flag is stored; a given
-    threshold replaces both and needs rmsd.
+    threshold replaces both and needs rmsd.  Names in a list open only their own bucket
+    folders; names in a table prune at run time.
     """
     pool = spark.read.parquet(path)
     if max_poses is not None:
         pool = pool.filter(F.col("pose_id") < max_poses)
     if names is not None:
         wanted = names if isinstance(names, DataFrame) else spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"{C} {pool.schema[C].dataType.simpleString()}, place int")
-        have = pool.select(C).distinct().withColumn("_have", F.lit(True))
-        text = F.concat(F.lit("no such complex: "), F.col(C).cast("string"))
-        checked = wanted.join(have, C, "left").withColumn(
-            "_have", F.when(F.col("_have").isNull(), F.raise_error(text).cast("boolean")).otherwise(F.col("_have"))).filter("_have").drop("_have")
-        pool = pool.join(checked, C)
+        stored = pool.select("buckets").first() if "buckets" in pool.columns else None
+        bucketed = stored is not None
+        if bucketed:
+            wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64(C), F.lit(stored[0])).cast("int"))
+            if not isinstance(names, DataFrame):
+                pool = pool.filter(F.col("bucket").isin([r[0] for r in wanted.select("bucket").distinct().collect()]))
+        # Looked for now: an optimizer that sees an empty side would never meet a later check.
+        missing = wanted.join(pool.select(C).distinct(), C, "left_anti").select(C).limit(5).collect()
+        if missing:
+            raise ValueError(f"no such complex: {', '.join(str(m[0]) for m in missing)}")
+        pool = pool.join(wanted, [C, "bucket"] if bucketed else C)
     if "rmsd" in pool.columns or hit_threshold is not None:
         if hit_threshold is not None:
             text = F.lit("hit threshold given, but rmsd is not stored")
@@ -53,7 +61,7 @@ def read_pool(spark: SparkSession, path: str, names: Sequence | DataFrame | None
         else:
             hit = F.col("rmsd") <= default_threshold
         pool = pool.withColumn("hit", hit)
-    return pool.drop("bucket")
+    return pool.drop("buckets", "bucket")
 
 
 def list_complexes(pool: DataFrame) -> DataFrame:

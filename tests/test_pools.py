@@ -130,3 +130,23 @@ def test_bad_structure_text(spark, tmp_path, text, message):
     with pytest.raises(Exception, match=message):
         so.read_atoms_ms(spark, str(tmp_path)).collect()
     assert [r.reason for r in so.rejected_lines(spark, str(tmp_path)).collect()][0].startswith(message.split(" tokens")[0])
+
+
+def test_stored_pools_are_sorted_and_pruned(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from posefarm.sources import pools
+    rows = [(c, p, 1.0) for c in range(30) for p in range(40)]
+    df = spark.createDataFrame(rows, "complex_id long, pose_id long, rmsd double").orderBy("rmsd")
+    path = str(tmp_path / "pool")
+    pools.write_pool(df, path, buckets=5)
+    for f in glob.glob(f"{path}/*/*/*.parquet"):
+        got = pq.ParquetFile(f).read(["complex_id", "pose_id"]).to_pylist()
+        assert [tuple(r.values()) for r in got] == sorted(tuple(r.values()) for r in got)
+    one = pools.read_pool(spark, path, names=[3, 4])
+    assert sorted({r.complex_id for r in one.collect()}) == [3, 4] and one.count() == 80
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan
+    assert {r.complex_id for r in pools.read_pool(spark, path, names=spark.createDataFrame([(7, 0)], "complex_id long, place int")).collect()} == {7}
