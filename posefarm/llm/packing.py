@@ -155,8 +155,8 @@ def pack(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
         for batch in batches:
             raw, at = buffers(batch.column(1))
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                pieces = packer.add(doc_id, np.frombuffer(ids_of(raw[at[k]:at[k + 1]].tobytes()) + mark, "<u4"))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.many([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:])])):
+                pieces = packer.add(doc_id, np.frombuffer(ids + mark, "<u4"))
                 if pieces:
                     yield table(pieces)
         pieces = packer.flush(True)

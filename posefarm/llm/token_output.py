@@ -294,8 +294,8 @@ def write(docs: DataFrame, tokenizer_file: str) -> DataFrame:
 
         for batch in batches:
             raw, at = buffers(batch.column(1))
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = np.frombuffer(ids_of(raw[at[k]:at[k + 1]].tobytes()) + end, "<u4")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.many([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:])])):
+                ids = np.frombuffer(ids + end, "<u4")
                 names.append(doc_id)
                 held.append(ids)
                 many += len(ids)

@@ -84,16 +84,15 @@ class WordIds:
         for piece in marked:
             table[piece] = table[piece[:-1]] + self.marks[piece[-1]]
 
-    def _joined(self, table: dict, pieces: list, prefix: str) -> bytes:
-        try:
-            return b"".join(map(table.__getitem__, pieces))
-        except KeyError:
-            pass
-        # The table may be emptied to make room, so every piece of this text is looked at.
-        if len(table) > REMEMBERED:
-            table.clear()
-        self._learn(table, list(set(pieces).difference(table)), prefix)
-        return b"".join(map(table.__getitem__, pieces))
+    def _look_up(self, pieces: list[list[bytes]], prefix: str) -> list[bytes]:
+        """Joined ids of each list of pieces."""
+        new = set().union(*pieces).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = set().union(*pieces)
+            self._learn(self.known, list(new), prefix)
+        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
     def _head(self, first: bytes) -> bytes:
         """The first piece of a text, which has no blank before it."""
@@ -103,15 +102,16 @@ class WordIds:
             self.heads[first] = np.array(self.tokenizer.encode(first.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return self.heads[first]
 
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts."""
+        if not self.blank_joins:
+            return self._look_up([(t.lower() if self.folds else t).split() for t in texts], "")
+        cut = [[p.encode() for p in _BETWEEN.split(t.decode())] if _OTHER_SPACE.search(t) else t.split(b" ") for t in texts]
+        return [self._head(p[0]) + ids for p, ids in zip(cut, self._look_up([p[1:] for p in cut], " "))]
+
     def __call__(self, text: bytes) -> bytes:
         """Ids of one UTF-8 text."""
-        if not self.blank_joins:
-            return self._joined(self.known, (text.lower() if self.folds else text).split(), "")
-        if _OTHER_SPACE.search(text):
-            first, *rest = [p.encode() for p in _BETWEEN.split(text.decode())]
-        else:
-            first, *rest = text.split(b" ")
-        return self._head(first) + self._joined(self.known, rest, " ")
+        return self.many([text])[0]
 
 
 _loaded: dict = {}
