@@ -480,10 +480,17 @@ def poses_from_list(spark, sf):
     return p.select(C, "pose_id", "atom_idx", *[rnd(F.col(a)).alias(a) for a in "xyz"])
 
 
-@query("k_center_order")
+_TURN = f"degrees(2.0{D}*acos(least(1.0{D}, abs(a.q1*b.q1 + a.q2*b.q2 + a.q3*b.q3 + a.q4*b.q4))))"
+
+
+@query("k_center_order", f"""WITH RECURSIVE {V.COMPLEXES}, points AS (SELECT complex_id AS qi, q1,q2,q3,q4 FROM complexes),
+ steps AS (SELECT 0 AS place, a.*, {_TURN} AS gap, a.qi=b.qi AS done, b.qi AS pick, 'nan'::DOUBLE AS pick_gap FROM points a, points b WHERE b.qi=0
+  UNION ALL SELECT a.place+1, a.qi, a.q1,a.q2,a.q3,a.q4, least(a.gap, {_TURN}), a.done OR a.qi=b.qi, b.qi, b.gap
+   FROM steps a, (SELECT * FROM steps WHERE NOT done ORDER BY gap DESC, qi LIMIT 1) b WHERE a.place<7)
+ SELECT DISTINCT place::INTEGER AS place, pick AS qi, {r("pick_gap")} AS gap FROM steps""")
 def k_center_order(spark, sf):
     points = V.complexes(spark, sf).select(F.col(C).alias("qi"), "q1", "q2", "q3", "q4")
-    return ro.k_center_order(points, 8)
+    return ro.k_center_order(points, 8).withColumn("gap", rnd(F.col("gap")))
 
 
 PROBE_CENTROID = """cen AS (SELECT complex_id, pose_id, avg(px) AS gx, avg(py) AS gy, avg(pz) AS gz FROM placed GROUP BY 1,2)"""
