@@ -10,9 +10,9 @@ at a similarity of 0.85 that happens to about 3 in a million pairs.
      halves that two classes share are paired up.
   3. In every bucket the members are checked against the bucket's smallest id, on the full
      sets, and joined into components; a bucket whose members are one component is done.
-     The members of larger ones are checked against a drawn member as well.
-  4. In open buckets of at most SMALL members, all pairs of different components are checked.
-     The members of larger open buckets, which mostly share one passage, go on to exact keys:
+  4. In open buckets of at most SMALL members, all pairs of different components are checked,
+     in larger ones the members against a drawn one.  The members of large buckets that stay
+     open, which mostly share one passage, go on to exact keys:
      with shingles in order of rarity, two similar sets share one of the first
      n - ceil(PERCENT * n / 100) + 1, and a shared passage is not among them.  Steps 3 and 4
      are repeated with these keys; what is large and open then has its pairs checked in
@@ -187,19 +187,19 @@ def link(docs: DataFrame, sketches: DataFrame) -> DataFrame:
             links = more if links is None else links.union(more)
             parts = stored(components(links), "parts")
 
-    for last in (False, True):
-        confirm(_stars(_labelled(buckets, parts), F.col("id")))
-        rows = stored(_open(buckets, parts), "open")
-        confirm(_stars(rows.filter(F.col("size") > SMALL), F.xxhash64("id", "key")))
-        rows = stored(_open(buckets, parts), "open")
-        confirm(_small_pairs(rows.filter(F.col("size") <= SMALL)))
-        large = stored(_open(buckets, parts).filter(F.col("size") > SMALL), "large")
-        if large.isEmpty():
-            break
-        if last:
-            confirm(_block_pairs(large))
-        else:
-            buckets = stored(_shared(_prefixes(sets, large)), "buckets")
+    by_id, drawn = F.col("id"), F.xxhash64("id", "key")
+    confirm(_stars(_labelled(buckets, parts), by_id))
+    rows = stored(_open(buckets, parts), "open")
+    small, large = F.col("size") <= SMALL, F.col("size") > SMALL
+    confirm(_stars(rows.filter(large), drawn).union(_small_pairs(rows.filter(small))).distinct())
+    rows = stored(_open(buckets, parts).filter(large), "open")
+    if rows.isEmpty():
+        return parts
+    buckets = stored(_shared(_prefixes(sets, rows)), "buckets")
+    rows = _labelled(buckets, parts)
+    confirm(_stars(rows, by_id).union(_stars(rows, drawn)).distinct())
+    rows = stored(_open(buckets, parts), "open")
+    confirm(_small_pairs(rows.filter(small)).union(_block_pairs(rows.filter(large))).distinct())
     return parts
 
 
