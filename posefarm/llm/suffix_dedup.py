@@ -42,9 +42,9 @@ from posefarm.llm.store import stored
 
 SPAN, GRAM = 50, 32
 #: Bytes of text of a slice, of a part of the fingerprints, of a bucket of anchors.
-SLICE, PART = 12 << 20, 32 << 20
+SLICE, PART = 4 << 20, 16 << 20
 #: Bytes of text whose fingerprints are gathered before they are sent.
-GATHERED = 32 << 20
+GATHERED = 24 << 20
 NO_ID = 2**63 - 1
 _INDEX = np.uint64((1 << 24) - 1)
 
@@ -139,7 +139,8 @@ def _live(sent: DataFrame) -> DataFrame:
         own = [_unsqueezed(b) for b in frame["prints"]]
         flat = np.sort(np.concatenate(own))
         twice = np.unique(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *[_unsqueezed(b) for b in frame["known"]]]))
-        live = [_squeezed(np.intersect1d(o, twice, assume_unique=True)) for o in own]
+        ends = np.append(twice, np.uint32(0))  # a value past the last one is looked up here
+        live = [_squeezed(o[(ends[spot] == o) & (spot < len(twice))]) for o, spot in ((o, np.searchsorted(twice, o)) for o in own)]
         return frame[["slice", "part"]].assign(live=live)
 
     return sent.groupBy("part").applyInPandas(meet, "slice long, part long, live binary")
@@ -234,6 +235,13 @@ def _settle(group: list[tuple[bytes, bytes, int, int, int]], masks: list[list[in
         key = (before, suffix)
         if i < least.get(key, NO_ID + 1):
             least[key] = i
+    if len(least) == 1:  # copies of one record: all its strings stand or fall together
+        suffix, before = group[0][:2]
+        every, lowest_id = (1 << (len(before) - max(0, SPAN - len(suffix)) + 1)) - 1, least[before, suffix]
+        for _, _, i, run, place in group:
+            if i > lowest_id:
+                masks[run][place] = every
+        return
     first: dict[tuple[int, bytes], int] = {}
     for (before, suffix), i in least.items():
         n = len(before)
