@@ -19,7 +19,6 @@ itself.  Extra columns are not read.  An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,22 +52,26 @@ def best_cuts(place: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> l
     whole = length & (length - 1) == 0
     p, pen = place.tolist(), penalty.tolist()
     cost, back = [0] * n, [0] * n
-    queue = deque([(0, 0)])  # (cost + place, index), rising
+    keys, spots, head = [0], [0], 0  # a queue of rising cost + place, and its places' indices
+    add_key, add_spot = keys.append, spots.append
     for j in range(1, n):
         here = p[j]
-        while p[queue[0][1]] < here - length:
-            queue.popleft()
-        least, i = queue[0]
-        best = least + length - here if not (whole and here - p[i] == length) else least - p[i]
-        for o in jumps.get(j, ()):
-            if cost[o] < best:
-                best, i = cost[o], o
+        while p[spots[head]] < here - length:
+            head += 1
+        least, i = keys[head], spots[head]
+        best = least - p[i] if whole and here - p[i] == length else least + length - here
+        if j in jumps:
+            for o in jumps[j]:
+                if cost[o] < best:
+                    best, i = cost[o], o
         best += pen[j]
         cost[j], back[j] = best, i
         key = best + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            spots.pop()
+        add_key(key)
+        add_spot(j)
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
