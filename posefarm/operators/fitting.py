@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from posefarm.operators.scoring import Weights, linear_score, standardize
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
+#: Hinge fits end within this share of their minimum.
+TOLERANCE = 1e-6
 SHAPE = ("c_pair", "n_ss", "n_sc", "n_cc")
 
 
@@ -158,7 +161,8 @@ def fit_adam(fit: DataFrame, validation: DataFrame, start: Model, obj: Objective
     key = fit.schema[C].dataType.typeName()
     hashed = F.col(C) if key in ("long", "integer") else F.xxhash64(C)
     model = replace(start, table=list(start.table))
-    lead = 4 - len([c for c in SHAPE if c in fit.columns])
+    # Place of every gradient entry, also where a pool lacks some of the shape columns.
+    place = [i for i, c in enumerate(SHAPE) if c in fit.columns] + list(range(4, 4 + length))
     n_shape = 1 + (3 if start.log_clash is not None else 1)
     m = [0.0] * (n_shape + length)
     v = [0.0] * (n_shape + length)
@@ -172,7 +176,7 @@ def fit_adam(fit: DataFrame, validation: DataFrame, start: Model, obj: Objective
             continue
         grad = [0.0] * (4 + length)
         for r in rows:
-            grad[r["k"] + lead] = r["grad"]
+            grad[place[r["k"]]] = r["grad"]
         shape, table = _chain(model, start, grad, obj)
         if model.freeze_shape:
             shape = [0.0] * n_shape
@@ -255,40 +259,84 @@ def hinge_value(affine: DataFrame, anchor: DataFrame, e: Sequence[float], eps: f
         F.avg("hinge").alias("hinge"), F.array(*[F.avg(F.col("slope")[k]) for k in range(d)]).alias("slope"))
 
 
-def hinge_fit(affine: DataFrame, e0: Sequence[float], lam: float, steps: int = 20, eps: float = 1.0,
-              basis: Sequence[Sequence[float]] | None = None, reanchor: int = 1) -> tuple[list[float], list[float]]:
-    """Minimise mean hinge + lam/2 |e - e0|^2 by proximal subgradient steps.
+class Bundle:
+    """Minimum of a convex mean hinge plus lam/2 |e - e0|^2 by cutting planes.
 
-    ``basis`` limits the move to e0 + B theta.  With ``reanchor`` > 1 the anchors are
-    chosen again at the solution until none moves.  Returns the best e and the
-    objective after each step.
+    Every evaluation adds a plane below the hinge; the planes' own minimum is the next
+    point and bounds the wanted minimum from below, so the gap to the best value so far
+    certifies it.  All of it is vectors of the size of ``e`` on the driver.  ``basis``
+    (orthonormal rows) limits the move to e0 + B theta.
+    """
+
+    def __init__(self, e0: Sequence[float], lam: float, basis: Sequence[Sequence[float]] | None = None, tol: float = TOLERANCE):
+        if lam <= 0:
+            raise ValueError("the fit needs lam > 0: without it the minimum need not exist")
+        self.e0, self.lam, self.tol = np.array(e0, float), float(lam), tol
+        self.basis = None if basis is None else np.array(basis, float)
+        self.move = np.zeros(len(self.e0) if basis is None else len(self.basis))
+        self.slopes, self.heights, self.shares = np.zeros((0, len(self.move))), np.zeros(0), np.zeros(0)
+        self.best, self.best_e, self.bound = float("inf"), self.e0, -float("inf")
+
+    @property
+    def point(self) -> list[float]:
+        return (self.e0 + (self.move if self.basis is None else self.move @ self.basis)).tolist()
+
+    @property
+    def settled(self) -> bool:
+        return math.isfinite(self.best) and self.best - self.bound <= self.tol * max(1.0, abs(self.best))
+
+    def add(self, hinge: float, slope: Sequence[float]) -> float:
+        """The objective at the current point; moves on to the next one."""
+        value = hinge + 0.5 * self.lam * float(self.move @ self.move)
+        if value < self.best:
+            self.best, self.best_e = value, np.array(self.point)
+        g = np.array(slope, float)
+        g = g if self.basis is None else self.basis @ g
+        self.slopes = np.vstack([self.slopes, g])
+        self.heights = np.append(self.heights, hinge - g @ self.move)
+        self.shares = np.append(self.shares, 0.0 if len(self.shares) else 1.0)
+        for _ in range(20_000):  # weight moves from the lowest plane in use to the highest
+            self.move = -self.shares @ self.slopes / self.lam
+            level = self.heights + self.slopes @ self.move
+            up, down = int(level.argmax()), int(np.where(self.shares > 0, level, np.inf).argmin())
+            apart = self.slopes[up] - self.slopes[down]
+            if level[up] - level[down] <= 1e-3 * self.tol or not apart.any():
+                break
+            step = min(self.shares[down], (level[up] - level[down]) * self.lam / float(apart @ apart))
+            self.shares[up] += step
+            self.shares[down] -= step
+        self.move = -self.shares @ self.slopes / self.lam
+        self.bound = max(self.bound, float(self.shares @ self.heights) - 0.5 * self.lam * float(self.move @ self.move))
+        return value
+
+
+def hinge_fit(affine: DataFrame, e0: Sequence[float], lam: float, steps: int | None = None, eps: float = 1.0,
+              basis: Sequence[Sequence[float]] | None = None, reanchor: int = 1, tol: float = TOLERANCE) -> tuple[list[float], list[float]]:
+    """Minimise mean hinge + lam/2 |e - e0|^2; one pass over the pool for each evaluation.
+
+    Goes on until the objective is within ``tol`` of its minimum, or for ``steps``
+    evaluations where that is asked for.  With ``reanchor`` > 1 the anchors are chosen
+    again at the solution until none moves.  Returns the best e and the objective after
+    each evaluation.
     """
     e = list(map(float, e0))
     history: list[float] = []
     spot = anchors(affine, e)
-    best, best_e = float("inf"), e
     for turn in range(reanchor):
-        best, best_e = float("inf"), e
-        for step in range(steps):
-            row = hinge_value(affine, spot, e, eps).first()
-            value = row["hinge"] + 0.5 * lam * sum((a - b) ** 2 for a, b in zip(e, e0))
-            history.append(value)
-            if value < best:
-                best, best_e = value, e
-            g = list(row["slope"])
-            if basis is not None:
-                part = [sum(b * x for b, x in zip(r, g)) for r in basis]
-                g = [sum(p * r[k] for p, r in zip(part, basis)) for k in range(len(g))]
-            eta = 1.0 / (lam * (step + 2)) if lam > 0 else 0.1 / math.sqrt(step + 1)
-            e = [(x - eta * d + eta * lam * s) / (1 + eta * lam) for x, d, s in zip(e, g, e0)]
-        e = best_e
+        fit = Bundle(e0, lam, basis, tol)
+        done = 0
+        while not fit.settled and (steps is None or done < steps):
+            row = hinge_value(affine, spot, fit.point, eps).first()
+            history.append(fit.add(row["hinge"], row["slope"]))
+            done += 1
+        e = fit.best_e.tolist()
         if turn + 1 < reanchor:
             again = anchors(affine, e)
             moved = spot.join(again.select(C, F.col("anchor").alias("_b")), C).filter(F.col("anchor") != F.col("_b")).limit(1).count()
             if not moved:
                 break
             spot = again
-    return best_e, history
+    return e, history
 
 
 def top1_table(affine: DataFrame, settings: dict[str, Sequence[float]]) -> DataFrame:
@@ -324,44 +372,34 @@ def _batched_hinge(affine: DataFrame, jobs: dict[str, tuple[list[float], Column]
     return {r["job"]: (r["hinge"], list(r["slope"])) for r in out.collect()}
 
 
-def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple[float, Column]], steps: int = 10,
-                   eps: float = 1.0, bases: dict[str, Sequence[Sequence[float]]] | None = None) -> dict[str, list[float]]:
+def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple[float, Column]], steps: int | None = None,
+                   eps: float = 1.0, bases: dict[str, Sequence[Sequence[float]]] | None = None, tol: float = TOLERANCE) -> dict[str, list[float]]:
     """Several hinge fits side by side: job name -> (lambda, condition on the complex).
 
-    Every step is one pass over the pool for all jobs.
+    Every evaluation is one pass over the pool for all jobs that have not settled.
     """
     e0 = list(map(float, e0))
-    state = {name: list(e0) for name in jobs}
-    best = {name: (float("inf"), list(e0)) for name in jobs}
+    fits = {name: Bundle(e0, lam, (bases or {}).get(name), tol) for name, (lam, _) in jobs.items()}
     spot = anchors(affine, e0)
-    for step in range(steps):
-        got = _batched_hinge(affine, {n: (state[n], use) for n, (_, use) in jobs.items()}, spot, eps)
-        for name, (lam, _) in jobs.items():
-            if name not in got:
-                continue
-            hinge, g = got[name]
-            e = state[name]
-            value = hinge + 0.5 * lam * sum((a - b) ** 2 for a, b in zip(e, e0))
-            if value < best[name][0]:
-                best[name] = (value, e)
-            basis = (bases or {}).get(name)
-            if basis is not None:
-                part = [sum(b * x for b, x in zip(r, g)) for r in basis]
-                g = [sum(p * r[k] for p, r in zip(part, basis)) for k in range(len(g))]
-            eta = 1.0 / (lam * (step + 2)) if lam > 0 else 0.1 / math.sqrt(step + 1)
-            state[name] = [(x - eta * d + eta * lam * s) / (1 + eta * lam) for x, d, s in zip(e, g, e0)]
-    return {name: e for name, (_, e) in best.items()}
+    open_jobs, done = dict(jobs), 0
+    while open_jobs and (steps is None or done < steps):
+        got = _batched_hinge(affine, {n: (fits[n].point, use) for n, (_, use) in open_jobs.items()}, spot, eps)
+        for name in got:
+            fits[name].add(*got[name])
+        open_jobs = {n: job for n, job in open_jobs.items() if n in got and not fits[n].settled}
+        done += 1
+    return {name: fit.best_e.tolist() for name, fit in fits.items()}
 
 
 def lambda_path_cv(affine: DataFrame, folds: DataFrame, e0: Sequence[float], lambdas: Sequence[float], k: int,
-                   steps: int = 10) -> tuple[DataFrame, float]:
+                   steps: int | None = None, tol: float = TOLERANCE) -> tuple[DataFrame, float]:
     """Cross-validated top-1 per lambda over whole-cluster folds, and the best lambda.
 
     ``folds``: (complex_id, fold).  All (lambda, fold) fits share each pass.
     """
     rows = affine.join(folds.select(C, "fold"), C)
     jobs = {f"{i}:{f}": (lam, F.col("fold") != f) for i, lam in enumerate(lambdas) for f in range(k)}
-    fits = hinge_fit_many(rows, e0, jobs, steps)
+    fits = hinge_fit_many(rows, e0, jobs, steps, tol=tol)
     scores = F.array(*[
         F.struct(F.lit(int(n.split(":")[0])).alias("li"), F.lit(int(n.split(":")[1])).alias("held"), _affine(e).alias("_s"))
         for n, e in fits.items()])
@@ -376,7 +414,7 @@ def lambda_path_cv(affine: DataFrame, folds: DataFrame, e0: Sequence[float], lam
 
 def learning_curve(affine: DataFrame, validation: DataFrame, e0: Sequence[float],
                    families: dict[str, Sequence[Sequence[float]] | None], sizes: Sequence[int], repeats: int,
-                   lam: float | dict[str, float], steps: int = 8, seed: int = 0) -> DataFrame:
+                   lam: float | dict[str, float], steps: int | None = None, seed: int = 0, tol: float = TOLERANCE) -> DataFrame:
     """Mean validation top-1 per (family, size) over random subsets of complexes.
 
     A subset is the first ``size`` complexes in a hashed order of the repeat.
@@ -393,7 +431,7 @@ def learning_curve(affine: DataFrame, validation: DataFrame, e0: Sequence[float]
                 jobs[job] = (lam[name] if isinstance(lam, dict) else lam, F.col(f"_o{r}") <= s)
                 if basis is not None:
                     bases[job] = basis
-    fits = hinge_fit_many(rows, e0, jobs, steps, bases=bases)
+    fits = hinge_fit_many(rows, e0, jobs, steps, bases=bases, tol=tol)
     table = top1_table(validation, fits)
     parts = F.split("setting", ":")
     return table.select(parts[0].alias("family"), parts[1].cast("int").alias("size"), (F.col("top1") / F.col("complexes")).alias("_t")).groupBy(

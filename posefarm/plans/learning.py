@@ -177,7 +177,7 @@ def hinge_step(spark, sf):
 
 @query("hinge_fit")
 def hinge_fit(spark, sf):
-    e, history = fi.hinge_fit(affine(spark, sf), E0, 0.1, steps=4)
+    e, history = fi.hinge_fit(affine(spark, sf), E0, 0.1, tol=1e-4)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "step int, objective double")
 
 
@@ -194,7 +194,7 @@ def top1_table(spark, sf):
 def lambda_path_cv(spark, sf):
     a = affine(spark, sf)
     folds = cluster_folds(a.select(C).distinct(), 3, 4, C)
-    table, best = fi.lambda_path_cv(a, folds, E0, (0.01, 0.1, 1.0), 3, steps=2)
+    table, best = fi.lambda_path_cv(a, folds, E0, (0.01, 0.1, 1.0), 3, tol=1e-3)
     return table.withColumn("best", F.col("lam") == best)
 
 
@@ -202,7 +202,7 @@ def lambda_path_cv(spark, sf):
 def learning_curve(spark, sf):
     a = affine(spark, sf)
     families = {"full": None, "sym": symmetric_additive_basis(8)}
-    return fi.learning_curve(a, a, E0, families, (3, 6), 2, 0.1, steps=2)
+    return fi.learning_curve(a, a, E0, families, (3, 6), 2, 0.1, tol=1e-3)
 
 
 SHIFT = V.SCORED + f""",
@@ -242,11 +242,11 @@ def _terms(spark, sf):
 @query("term_discrimination", f"""WITH {TERMS}, lg AS (SELECT complex_id, dockq, 'shape' AS term, shape AS v FROM tt UNION ALL SELECT complex_id, dockq, 'pair', pair FROM tt UNION ALL SELECT complex_id, dockq, 'charge', charge FROM tt UNION ALL
    SELECT complex_id, dockq, 'sum', 1.0{D}*shape+2.0{D}*pair+0.5{D}*charge FROM tt),
  src AS (SELECT complex_id, term, v AS s, dockq>={TH} AS pos FROM lg), {AUC_SQL.format(k='complex_id, term', src='src')}
- SELECT complex_id, term, {r('mean_abs', 12)} AS mean_abs, {r('auc', 9)} AS auc, {r('1.0-auc', 9)} AS auc_flipped FROM auc JOIN (SELECT complex_id, term, avg(abs(v)) AS mean_abs FROM lg GROUP BY 1,2) USING (complex_id, term)""")
+ SELECT complex_id, term, {r('mean_abs', 9)} AS mean_abs, {r('auc', 9)} AS auc, {r('1.0-auc', 9)} AS auc_flipped FROM auc JOIN (SELECT complex_id, term, avg(abs(v)) AS mean_abs FROM lg GROUP BY 1,2) USING (complex_id, term)""")
 def term_discrimination(spark, sf):
     t = _terms(spark, sf)
     d = dg.term_discrimination(t, {k: F.col(k) for k in ("shape", "pair", "charge")}, None, {"sum": (1.0, 2.0, 0.5)})
-    return d.select(C, "term", rnd(F.col("mean_abs"), 12).alias("mean_abs"), rnd(F.col("auc"), 9).alias("auc"), rnd(F.col("auc_flipped"), 9).alias("auc_flipped"))
+    return d.select(C, "term", rnd(F.col("mean_abs"), 9).alias("mean_abs"), rnd(F.col("auc"), 9).alias("auc"), rnd(F.col("auc_flipped"), 9).alias("auc_flipped"))
 
 
 @query("balanced_alpha", f"WITH {TERMS} SELECT complex_id, {r('avg(abs(pair))/greatest(avg(abs(shape)),1e-12)')} AS alpha_balanced FROM tt GROUP BY 1")

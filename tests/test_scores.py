@@ -169,8 +169,15 @@ def test_fits_improve(spark):
     losses = [x["validation"] for x in got.trajectory]
     assert min(losses) < losses[0]
     a = fi.affine_pool(p, sc.Weights(1.0, (0.3, 0.4, 0.5), beta=2.0)).cache()
-    e, history = fi.hinge_fit(a, [0.7, -0.6], 0.1, steps=6)
+    e, history = fi.hinge_fit(a, [0.7, -0.6], 0.1)
     assert min(history) < history[0]
+    spot = fi.anchors(a, [0.7, -0.6])
+    worth = lambda x: fi.hinge_value(a, spot, x).first()["hinge"] + 0.05 * sum((p - q) ** 2 for p, q in zip(x, (0.7, -0.6)))
+    assert abs(worth(e) - min(history)) < 1e-9
+    for dx, dy in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02), (0.3, -0.2), (-1, 1)):
+        assert worth([e[0] + dx, e[1] + dy]) > min(history) - 2e-6
+    many = fi.hinge_fit_many(a, [0.7, -0.6], {"all": (0.1, F.lit(True))})
+    assert abs(worth(many["all"]) - min(history)) < 4e-6
     p.unpersist(), a.unpersist()
 
 
