@@ -353,32 +353,29 @@ def _records(string, row, start, anchor, prints, whole, offsets, docs, buckets)
 
 
 def _ranges(runs: DataFrame, masks: DataFrame) -> DataFrame:
-    """(id, print, ranges): pairs of start and end of removed bytes, as 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for state, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, prints, start, many = np.frombuffer(zstandard.ZstdDecompressor().decompress(state), "<i8").reshape(4, -1)
-                if mask is None:
-                    pairs = np.stack([start, start + many - 1 + SPAN], 1)
-                    who = np.arange(len(ids))
-                else:
-                    bits = np.frombuffer(mask, "<u4")
-                    hit = [np.flatnonzero(bits >> np.uint32(k) & np.uint32(1)) for k in range(SPAN - GRAM + 1)]
-                    who = np.concatenate(hit)
-                    begin = start[who] + np.repeat(np.arange(len(hit)), [len(h) for h in hit])
-                    pairs = np.stack([begin, begin + SPAN], 1)
-                if not len(who):
-                    continue
-                order = np.lexsort((pairs[:, 0], prints[who], ids[who]))
-                who, pairs = who[order], pairs[order].astype("<i4")
-                edge = np.flatnonzero(np.append(True, (np.diff(ids[who]) != 0) | (np.diff(prints[who]) != 0)))
-                ends = np.append(edge[1:], len(who))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who][edge]), pa.array(prints[who][edge]),
-                                                  pa.array([joined(pairs[x:y]).tobytes() for x, y in zip(edge, ends)], pa.binary())], ["id", "print", "ranges"])
+    """(id, print, ranges): pairs of start and end of removed bytes, as 32-bit integers; a
+    row for every document that loses some, since its slice knows all of them."""
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for state, mask in zip(frame["state"], frame["masks"]):
+            ids, prints, start, many = np.frombuffer(zstandard.ZstdDecompressor().decompress(state), "<i8").reshape(4, -1)
+            if mask is None:
+                parts.append(np.stack([ids, prints, start, start + many - 1 + SPAN]))
+                continue
+            bits = np.frombuffer(mask, "<u4")
+            for k in range(SPAN - GRAM + 1):
+                hit = np.flatnonzero(bits >> np.uint32(k) & np.uint32(1))
+                parts.append(np.stack([ids[hit], prints[hit], start[hit] + k, start[hit] + k + SPAN]))
+        ids, prints, begin, end = np.concatenate(parts, 1)
+        order = np.lexsort((begin, prints, ids))
+        ids, prints, pairs = ids[order], prints[order], np.stack([begin[order], end[order]], 1)
+        edge = np.flatnonzero(np.append(True, (np.diff(ids) != 0) | (np.diff(prints) != 0))) if len(ids) else np.zeros(0, np.int64)
+        ends = np.append(edge[1:], len(ids))
+        return pd.DataFrame({"id": ids[edge], "print": prints[edge], "ranges": [joined(pairs[x:y]).tobytes() for x, y in zip(edge, ends)]})
 
     met = runs.select("slice", "bucket", "state").join(masks, ["slice", "bucket"], "left")
-    return met.select("state", "masks").mapInArrow(run, "id long, print long, ranges binary")
+    return met.select("slice", "state", "masks").groupBy("slice").applyInPandas(gather, "id long, print long, ranges binary")
 
 
 def joined(pairs: np.ndarray) -> np.ndarray:
@@ -393,9 +390,8 @@ def _kept(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, spans, digest = [], [], [], []
-            for body, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                pairs = np.frombuffer(b"".join(blobs or []), "<i4").reshape(-1, 2)
-                pairs = joined(pairs[np.argsort(pairs[:, 0], kind="stable")]) if len(pairs) else pairs
+            for body, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                pairs = np.frombuffer(ranges or b"", "<i4").reshape(-1, 2)
                 kept, at = hashlib.sha256(), 0
                 for a, b in pairs.tolist():
                     kept.update(body[at:a])
@@ -422,5 +418,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     live = stored(_live(_sent(rows, parts)), "live")
     runs = stored(_runs(rows.select("slice", "id", "print", "text"), live, parts, parts), "runs")
     masks = stored(_merge(runs.filter("bucket >= 0")), "masks")
-    ranges = _ranges(runs, masks).groupBy("id", "print").agg(F.collect_list("ranges").alias("ranges"))
+    ranges = _ranges(runs, masks)
     return _kept(rows.join(ranges, ["id", "print"], "left").select("doc_id", "text", "ranges"))
