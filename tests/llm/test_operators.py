@@ -293,6 +293,16 @@ def test_url_filter(llm, monkeypatch):
     assert url_filter.judged(pages.limit(0), queries.URL_RULES, listed.limit(0)).count() == 0
 
 
+def test_url_list_covers_every_junk_host(llm, tmp_path):
+    from posefarm.llm import queries
+    labels = ["casino-win", "cheap-pills", "spam-farm", "adult-x", "ads-track", "free-bets"]
+    urls = [f"https://{w}{x}.example.com/en/{k}" for k, x in enumerate(labels) for w in ("", "www.", "m.")]
+    urls += ["https://thther.example.com/en/1", "https://not-free-bets.example.com/en/1", "https://free-bets.example.net/en/1"]
+    llm.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in queries.QUERIES["op6_url_filter"](llm, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(urls))] == ["block"] * 18 + ["allow"] * 3
+
+
 # ---------------------------------------------------------------- 7 token files
 @pytest.mark.parametrize("block", [700, 1 << 20])
 def test_token_files(messy, texts, monkeypatch, block):
