@@ -22,6 +22,7 @@ from posefarm.streaming import incremental as inc
 C = "complex_id"
 D = "::DOUBLE"
 H = V.COARSE
+#: Window of the SQL twins of the search; the queries score every shift at which cells meet.
 SHIFT = 4
 NTOP = 6
 Q = ["q1", "q2", "q3", "q4"]
@@ -47,7 +48,7 @@ def _scan(spark, sf):
     a = V.atoms(spark, sf)
     grid = ft.grid_axes(a, H)
     turned = se.turned_ligands(a, V.rotations(spark), V.ROTATIONS)
-    s = se.translation_scan(se.receptor_layers(a, grid, g.ATOM_WEIGHTS), se.ligand_layers(turned, grid, g.ATOM_WEIGHTS), SHIFT)
+    s = se.translation_scan(se.receptor_layers(a, grid, g.ATOM_WEIGHTS), se.ligand_layers(turned, grid, g.ATOM_WEIGHTS))
     return s.withColumn("score", F.round("score", 6))
 
 
@@ -65,7 +66,7 @@ def top_translations(spark, sf):
 
 
 def found(spark, sf):
-    return se.search_poses(V.atoms(spark, sf), V.rotations(spark), V.ROTATIONS, g.ATOM_WEIGHTS, H, SHIFT, 1, NTOP, round_to=6)
+    return se.search_poses(V.atoms(spark, sf), V.rotations(spark), V.ROTATIONS, g.ATOM_WEIGHTS, H, ntop=NTOP, round_to=6)
 
 
 @query("search_poses", f"WITH {SCAN} SELECT complex_id, rank AS pose_id, qi, {r('score')} AS score, {', '.join(r(f'{c}*{H}{D}') + f' AS {t}' for c, t in zip(('cx', 'cy', 'cz'), T))} FROM found")
@@ -82,13 +83,13 @@ ROT_NEAR = f"""rnear AS (SELECT *, row_number() OVER (PARTITION BY complex_id OR
 @query("build_pool", f"""WITH {SCAN}, {ROT_NEAR}, b AS (SELECT complex_id, qi, cx, cy, cz, 0::INTEGER AS prov FROM found UNION ALL SELECT complex_id, qi, cx, cy, cz, 1 FROM rlattice ANTI JOIN found USING (complex_id, qi, cx, cy, cz))
  SELECT complex_id, qi, cx, cy, cz, prov FROM b""")
 def build_pool(spark, sf):
-    p = se.build_pool(V.native_atoms(spark, sf), V.complexes(spark, sf), V.rotations(spark), V.ROTATIONS, g.ATOM_WEIGHTS, H, SHIFT, NTOP, k=1)
+    p = se.build_pool(V.native_atoms(spark, sf), V.complexes(spark, sf), V.rotations(spark), V.ROTATIONS, g.ATOM_WEIGHTS, H, ntop=NTOP, k=1)
     return p.select(C, "qi", "cx", "cy", "cz", "prov")
 
 
 @query("decoys_with_cone")
 def decoys_with_cone(spark, sf):
-    d = se.decoys_with_cone(V.atoms(spark, sf), V.complexes(spark, sf), 4, 2, g.ATOM_WEIGHTS, H, SHIFT)
+    d = se.decoys_with_cone(V.atoms(spark, sf), V.complexes(spark, sf), 4, 2, g.ATOM_WEIGHTS, H)
     return d.select(C, "qi", rnd(F.col("score")).alias("score"), *[rnd(F.col(t)).alias(t) for t in T])
 
 
@@ -200,7 +201,7 @@ def landscape_summary(spark, sf):
 
 @query("spacing_sweep")
 def spacing_sweep(spark, sf):
-    s = dg.spacing_sweep(V.native_atoms(spark, sf), V.complexes(spark, sf), V.rotations(spark), V.ROTATIONS, g.ATOM_WEIGHTS, (3.0, 4.0), 12.0, NTOP)
+    s = dg.spacing_sweep(V.native_atoms(spark, sf), V.complexes(spark, sf), V.rotations(spark), V.ROTATIONS, g.ATOM_WEIGHTS, (3.0, 4.0), ntop=NTOP)
     return s.select("spacing", "n", *[rnd(F.col(x)).alias(x) for x in ("recall", "success_1", "mean_best_q", "snap_error")])
 
 

@@ -55,3 +55,28 @@ def test_partitions_do_not_change_results(spark):
     a = sorted(map(tuple, ranking_report(p.repartition(1)).collect()))
     b = sorted(map(tuple, ranking_report(p.repartition(13)).collect()))
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["translation_scan", "top_translations", "search_poses", "build_pool", "decoys_with_cone", "spacing_sweep", "term_gaps"])
+def test_searches_ask_for_every_shift(spark, monkeypatch, name):
+    from posefarm.operators import search as se
+
+    class Asked(Exception):
+        pass
+
+    def scan(rec_cells, lig_cells, max_shift=None):
+        raise Asked(max_shift)
+
+    monkeypatch.setattr(se, "translation_scan", scan)
+    with pytest.raises(Asked) as asked:
+        entry.queries()[name](spark, SF)
+    assert asked.value.args == (None,)
+
+
+def test_scan_equals_its_twin_without_the_window(spark, con):
+    from posefarm.plans.flows import SHIFT
+    window = " AND ".join(f"rl.{c}-ll.{c} BETWEEN -{SHIFT} AND {SHIFT}" for c in ("ix", "iy", "iz"))
+    twin = entry.oracle_sql()["top_translations"]
+    assert window in twin
+    status, detail, *_ = compare(spark, con, SF, entry.queries()["top_translations"], twin.replace(f"AND {window}", ""))
+    assert status == "ok", detail
