@@ -95,9 +95,7 @@ def decoys_with_cone(spark, sf):
 
 @query("pattern_refine")
 def pattern_refine(spark, sf):
-    a = V.atoms(spark, sf)
-    start = V.poses(spark, sf).filter(F.col("qi") == 1)
-    out = se.pattern_refine(a, start, g.ATOM_WEIGHTS, rounds=2, h=H)
+    out = se.pattern_refine(V.atoms(spark, sf), V.poses(spark, sf), g.ATOM_WEIGHTS, h=H)
     return out.select(C, "pose_id", rnd(F.col("start_score")).alias("start_score"), rnd(F.col("score")).alias("score"), "deg")
 
 

@@ -80,3 +80,18 @@ def test_scan_equals_its_twin_without_the_window(spark, con):
     assert window in twin
     status, detail, *_ = compare(spark, con, SF, entry.queries()["top_translations"], twin.replace(f"AND {window}", ""))
     assert status == "ok", detail
+
+
+def test_refinement_takes_every_pose_without_a_number_of_rounds(spark, monkeypatch):
+    from posefarm.operators import search as se
+    from posefarm.plans import views as V
+
+    asked = {}
+
+    def refine(atoms, poses, weights, rounds=None, deg=4.0, shift=1.0, h=0.0, stop_deg=0.05, grid=None):
+        asked.update(poses=poses, rounds=rounds, stop_deg=stop_deg)
+        return se.score_poses(atoms, poses.limit(0), weights, h).selectExpr("*", "score AS start_score", "0.0D AS deg")
+
+    monkeypatch.setattr(se, "pattern_refine", refine)
+    entry.queries()["pattern_refine"](spark, SF)
+    assert asked["poses"].count() == V.poses(spark, SF).count() and asked["rounds"] is None and asked["stop_deg"] == 0.05
