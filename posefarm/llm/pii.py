@@ -379,11 +379,10 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     todo = []
     for r, text in enumerate(texts):
-        if _DIGIT.search(text) or "@" in text or " at" in text or "at " in text or "[at" in text or "(at" in text:
-            for a, b in stretches_of(text):
-                pieces = list(_PIECE.finditer(text, a, b))
-                if pieces:
-                    todo.append((len(pieces), r, pieces))
+        for a, b in stretches_of(text):
+            pieces = list(_PIECE.finditer(text, a, b))
+            if pieces:
+                todo.append((len(pieces), r, pieces))
     todo.sort(key=lambda x: x[0])
     at = 0
     while at < len(todo):

@@ -211,6 +211,15 @@ def test_viterbi_is_the_best_path(field):
     assert tuple(field.decode([pii.features(pieces)])[0]) == best
 
 
+def test_a_stretch_is_decoded_whatever_else_the_text_holds(field):
+    from posefarm.llm.pii import field_spans
+    far = " and so on" * 60
+    for at in ("[AT]", "{at}", "<at>", "( At )"):
+        alone = f"write to joe.smith{at}mail[DOT]com today" + far
+        (a,), (b,) = (field_spans([t], field) for t in (alone, alone + " 7"))
+        assert [s for s in b if s[2] <= 60] == [s for s in a if s[2] <= 60] and any(s[0] == "email" for s in a), at
+
+
 def test_redaction(messy, field):
     from posefarm.llm import pii
     out = pii.redact(messy, field)
