@@ -22,8 +22,6 @@ from posefarm.streaming import incremental as inc
 C = "complex_id"
 D = "::DOUBLE"
 H = V.COARSE
-#: Window of the SQL twins of the search; the queries score every shift at which cells meet.
-SHIFT = 4
 NTOP = 6
 Q = ["q1", "q2", "q3", "q4"]
 T = ["tx", "ty", "tz"]
@@ -39,8 +37,7 @@ SCAN = V.ATOMS + "," + V.POSES + "," + g.grid_sql(H) + "," + g.REC + "," + TURNE
  ll AS (SELECT complex_id, pose_id AS qi, 'open' AS layer, ix, iy, iz, 0.5{D}*w AS w FROM points UNION ALL SELECT complex_id, pose_id, 'charge', ix, iy, iz, 2.0{D}*q FROM points
    UNION ALL SELECT complex_id, pose_id, 'surface', ix, iy, iz, CASE WHEN surface THEN -0.75{D} ELSE -1.5{D} END FROM lig_layers UNION ALL SELECT complex_id, pose_id, 'core', ix, iy, iz, CASE WHEN surface THEN -1.5{D} ELSE -3.0{D} END FROM lig_layers
    UNION ALL SELECT DISTINCT complex_id, pose_id, 'pair'||type_id, ix, iy, iz, 1.0{D} FROM spot),
- scan AS MATERIALIZED (SELECT ll.complex_id, ll.qi, rl.ix-ll.ix AS cx, rl.iy-ll.iy AS cy, rl.iz-ll.iz AS cz, round(sum(rl.w*ll.w), 6) AS score FROM rl JOIN ll ON rl.complex_id=ll.complex_id AND rl.layer=ll.layer
-   AND rl.ix-ll.ix BETWEEN -{SHIFT} AND {SHIFT} AND rl.iy-ll.iy BETWEEN -{SHIFT} AND {SHIFT} AND rl.iz-ll.iz BETWEEN -{SHIFT} AND {SHIFT} GROUP BY ALL),
+ scan AS MATERIALIZED (SELECT ll.complex_id, ll.qi, rl.ix-ll.ix AS cx, rl.iy-ll.iy AS cy, rl.iz-ll.iz AS cz, round(sum(rl.w*ll.w), 6) AS score FROM rl JOIN ll ON rl.complex_id=ll.complex_id AND rl.layer=ll.layer GROUP BY ALL),
  found AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY complex_id ORDER BY score DESC, qi, cx, cy, cz) AS rank FROM (SELECT * FROM scan QUALIFY row_number() OVER (PARTITION BY complex_id, qi ORDER BY score DESC, cx, cy, cz)=1) QUALIFY rank<={NTOP})"""
 
 

@@ -14,7 +14,3 @@ def spark():
     session = local_session(8, 8, "8g")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

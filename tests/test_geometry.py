@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from posefarm.operators import features as ft
 from posefarm.operators import rotations as ro
 from posefarm.operators import scoring as sc

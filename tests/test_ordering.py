@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from posefarm.functions import ordering as od
 from posefarm.operators.ranking import auc_midrank
 

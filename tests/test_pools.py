@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from posefarm.operators import curation as cu
 from posefarm.operators import pools as pl
 from posefarm.sources import pools as src

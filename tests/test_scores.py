@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from posefarm.functions import fixed
 from posefarm.functions.columns import erfc, log_gamma
 from posefarm.operators import fitting as fi
