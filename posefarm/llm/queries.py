@@ -58,17 +58,16 @@ def op3_quality_classifier(spark, sf_dir):
 
 #: Host, start of the path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Hosts that have one of these labels are listed, with all their addresses.
-LISTED_LABELS = ["casino-win", "cheap-pills", "spam-farm"]
-#: Every junk label among the hosts of the given pages; the SQL twin still lists the three above.
-JUNK_LABELS = [*LISTED_LABELS, "adult-x", "ads-track", "free-bets"]
+#: What makes a host listed, with all its addresses: a label put together from words by
+#: hyphens, the way keyword farms name their sites.  Punycode labels (xn--) do not count.
+KEYWORD_HOST = r"(^|\.)[a-z0-9]+(-[a-z0-9]+)+(\.|$)"
 
 
 @query
 def op6_url_filter(spark, sf_dir):
     """Verdict on every page address."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.filter(F.regexp_extract(url_filter.host_and_path(F.col("url"))[0], rf"(^|\.)({'|'.join(JUNK_LABELS)})\.", 2) != "")
+    listed = pages.filter(url_filter.host_and_path(F.col("url"))[0].rlike(KEYWORD_HOST))
     return url_filter.judged(pages, URL_RULES, listed.select("url"))
 
 
@@ -92,5 +91,5 @@ def op7_token_files(spark, sf_dir):
 
 SQL["op1_quality_rules"] = sql.quality()
 SQL["op2_minhash_near_dedup"] = sql.near_duplicates(near_dedup.PERCENT)
-SQL["op6_url_filter"] = sql.url_filter(URL_RULES, LISTED_LABELS)
+SQL["op6_url_filter"] = sql.url_filter(URL_RULES, KEYWORD_HOST)
 SQL["op9_repeated_passages"] = sql.repeats(suffix_dedup.SPAN)

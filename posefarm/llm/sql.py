@@ -69,7 +69,7 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id)::BI
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.x = d.doc_id"""
 
 
-def url_filter(rules: list[tuple[str, str, str]], labels: list[str]) -> str:
+def url_filter(rules: list[tuple[str, str, str]], listed_host: str) -> str:
     def choose(value) -> str:
         cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'"
                          for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1])))
@@ -81,7 +81,7 @@ split AS (
     SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 named AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS address FROM split),
-listed AS (SELECT DISTINCT address FROM named WHERE address <> '' AND regexp_matches(host, '(^|\\.)({'|'.join(labels)})\\.'))
+listed AS (SELECT DISTINCT address FROM named WHERE address <> '' AND regexp_matches(host, '{listed_host}'))
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, {choose(lambda h, p, v: h + p)} AS rule,
     coalesce({choose(lambda h, p, v: v)}, CASE WHEN address IN (SELECT address FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM named"""

@@ -304,12 +304,12 @@ def test_url_filter(llm, monkeypatch):
 
 def test_url_list_covers_every_junk_host(llm, tmp_path):
     from posefarm.llm import queries
-    labels = ["casino-win", "cheap-pills", "spam-farm", "adult-x", "ads-track", "free-bets"]
+    labels = ["casino-win", "cheap-pills", "spam-farm", "adult-x", "ads-track", "free-bets", "never-seen-before"]
     urls = [f"https://{w}{x}.example.com/en/{k}" for k, x in enumerate(labels) for w in ("", "www.", "m.")]
-    urls += ["https://thther.example.com/en/1", "https://not-free-bets.example.com/en/1", "https://free-bets.example.net/en/1"]
+    urls += ["https://thther.example.com/en/1", "https://xn--bcher-kva.example.com/en/1", "https://free-bets.example.net/en/1", "https://-.example.com/", "https://a--b.example.com/"]
     llm.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.verdict for r in queries.QUERIES["op6_url_filter"](llm, str(tmp_path)).collect()}
-    assert [got[k] for k in range(len(urls))] == ["block"] * 18 + ["allow"] * 3
+    assert [got[k] for k in range(len(urls))] == ["block"] * 21 + ["allow"] * 5
 
 
 # ---------------------------------------------------------------- 7 token files
