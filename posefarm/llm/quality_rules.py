@@ -8,7 +8,9 @@ documents per vote pattern, at most 3 ** len(RULES) rows whatever the input.
 
 Cases: a text that is null or empty has no words, fails the base and is not kept; its
 rules that need words abstain.  Repeated rows each get the same result.  An empty table
-gives an empty result.  Columns beside doc_id and text are never looked at.
+gives an empty result.  A posterior of exactly 0.5 is kept.  A very long text is one row
+like any other; its windows are built only if one of them comes twice.  Columns beside
+doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -50,6 +52,16 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
+def _mixed(turn: int):
+    """Two hashes in one; which is left and which is right matters."""
+    return lambda a, b: a.bitwiseXOR(F.shiftleft(b, 8 * turn + 1)).bitwiseXOR(F.shiftrightunsigned(b, 63 - 8 * turn))
+
+
+def _fold(hashes: str, step: int, turn: int) -> Column:
+    """Every hash with the one ``step`` places on; the last ones, which have none, are null."""
+    return F.zip_with(hashes, F.expr(f"slice({hashes}, {step + 1}, size({hashes}))"), _mixed(turn))
+
+
 def features(docs: DataFrame, *carry: Column) -> DataFrame:
     """doc_id, the counts the rules read, and what is carried along.
 
@@ -59,7 +71,7 @@ def features(docs: DataFrame, *carry: Column) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     base = docs.select(
         docs["doc_id"].alias("doc_id"), *carry,
-        F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
+        F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"),
         F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0).alias("lines"),
         (F.length(F.translate(text, BLANKS, ""))).cast("long").alias("word_chars"),
         _count(text, SYMBOLS).alias("n_symbols"), _count(text, UPPER).alias("n_upper"), _count(text, "!").alias("n_exclaim"),
@@ -72,10 +84,14 @@ def features(docs: DataFrame, *carry: Column) -> DataFrame:
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         F.when(F.col("n_symbols") > 0, F.size(F.filter("words", lambda w: F.length(F.translate(w, SYMBOLS, "")) < F.length(w))))
         .otherwise(0).cast("long").alias("n_marked"),
-        F.expr(f"""CASE WHEN size(words) >= {WINDOW} THEN transform(sequence(0, size(words) - {WINDOW}),
-            i -> xxhash64({", ".join(f"words[i + {k}]" if k else "words[i]" for k in range(WINDOW))})) END""").alias("_h"),
+        F.when(F.size("words") >= WINDOW, F.transform("words", lambda w: F.xxhash64(w))).alias("_one"),
     )
-    kept = [c for c in hashed.columns if c not in ("words", "_h")]
+    kept = [c for c in hashed.columns if c not in ("words", "_one")]
+    # Neighbours are folded two, four and then five at a time, by bits alone.
+    wide = hashed.select(*kept, "words", _fold("_one", 1, 1).alias("_two"), "_one")
+    wide = wide.select(*kept, "words", _fold("_two", 2, 2).alias("_four"), "_one")
+    hashed = wide.select(*kept, "words", F.slice(F.zip_with("_four", F.expr(f"slice(_one, {WINDOW}, size(_one))"), _mixed(3)),
+                                                 F.lit(1), F.size("_one") - WINDOW + 1).alias("_h"))
     ordered = hashed.select(*kept, F.expr(f"""
         CASE WHEN size(array_distinct(_h)) < size(_h) THEN
             sort_array(transform(sequence(0, size(words) - {WINDOW}), i -> struct(concat_ws(' ', slice(words, i + 1, {WINDOW})) AS w, i AS i)))
@@ -107,38 +123,51 @@ def _posterior(share: float, right: list[float], wrong: list[float]) -> Column:
 def estimate(patterns: DataFrame) -> tuple[float, list[float], list[float]]:
     """EM over (votes, n): share of good documents, accuracies on good and on bad ones.
 
-    Only these numbers come to the driver.  It runs until no number moves.
+    The table of patterns comes to the driver once: at most 3 ** len(RULES) rows whatever
+    the input, so a round costs no Spark job.  With the prior counts EM climbs a bounded
+    likelihood, and it ends when no number moves by TOLERANCE any more.
     """
     rules = range(len(RULES))
+    rows = sorted((tuple(r["votes"]), r["n"]) for r in patterns.select("votes", "n").collect())
+    if not rows:
+        return SHARE, [RIGHT] * len(RULES), [WRONG] * len(RULES)
+    # For each pattern, the rules that vote on it, split by their vote.
+    voters = [(n, [r for r in rules if v[r] == 1], [r for r in rules if v[r] == -1]) for v, n in rows]
+    total = sum(n for _, n in rows)
     share, right, wrong = SHARE, [RIGHT] * len(RULES), [WRONG] * len(RULES)
-    while True:
-        good, bad = F.col("n") * F.col("q"), F.col("n") * (1 - F.col("q"))
-        sums = patterns.withColumn("q", _posterior(share, right, wrong)).agg(
-            F.sum(good).alias("good"), F.sum(bad).alias("bad"),
-            *[F.sum(F.when(F.col("votes")[r] == 1, good).otherwise(0.0)).alias(f"g{r}") for r in rules],
-            *[F.sum(F.when(F.col("votes")[r] != 0, good).otherwise(0.0)).alias(f"gv{r}") for r in rules],
-            *[F.sum(F.when(F.col("votes")[r] == -1, bad).otherwise(0.0)).alias(f"b{r}") for r in rules],
-            *[F.sum(F.when(F.col("votes")[r] != 0, bad).otherwise(0.0)).alias(f"bv{r}") for r in rules],
-        ).first()
-        if sums["good"] is None:
-            return share, right, wrong
+    moved = 1.0
+    while moved >= TOLERANCE:
+        prior = math.log(share) - math.log(1 - share)
+        up = [math.log(a) - math.log(1 - b) for a, b in zip(right, wrong)]
+        down = [math.log(1 - a) - math.log(b) for a, b in zip(right, wrong)]
+        all_good = 0.0
+        good_up, good_down, bad_up, bad_down = ([0.0] * len(RULES) for _ in range(4))
+        for n, for_it, against in voters:
+            odds = prior + sum(up[r] for r in for_it) + sum(down[r] for r in against)
+            good = n / (1.0 + math.exp(-odds))
+            bad = n - good
+            all_good += good
+            for r in for_it:
+                good_up[r] += good
+                bad_up[r] += bad
+            for r in against:
+                good_down[r] += good
+                bad_down[r] += bad
 
         def smooth(hits: float, of: float, start: float) -> float:
             return (hits + start * WEIGHT) / (of + WEIGHT)
 
-        new = (smooth(sums["good"], sums["good"] + sums["bad"], SHARE),
-               [smooth(sums[f"g{r}"], sums[f"gv{r}"], RIGHT) for r in rules],
-               [smooth(sums[f"b{r}"], sums[f"bv{r}"], WRONG) for r in rules])
+        new = (smooth(all_good, total, SHARE),
+               [smooth(good_up[r], good_up[r] + good_down[r], RIGHT) for r in rules],
+               [smooth(bad_down[r], bad_up[r] + bad_down[r], WRONG) for r in rules])
         moved = max(abs(x - y) for x, y in zip([new[0], *new[1], *new[2]], [share, *right, *wrong]))
         share, right, wrong = new
-        if moved < TOLERANCE:
-            return share, right, wrong
+    return share, right, wrong
 
 
 def _judged(docs: DataFrame, *carry: Column) -> DataFrame:
     counted = stored(voted(features(docs, *carry)), "quality")
-    patterns = stored(counted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
-    posterior = _posterior(*estimate(patterns))
+    posterior = _posterior(*estimate(counted.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))))
     return counted.withColumn("posterior", posterior).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
