@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posefarm.llm import classifier, decontaminate, near_dedup, packing, pii, quality_rules, sharding, sql, suffix_dedup, token_output, url_filter
-from posefarm.llm.store import documents, prepared
+from posefarm.llm import (
+    chat, classifier, decontaminate, hard_negatives, near_dedup, packing, pii, prefix_trie, quality_rules, sharding, sql, suffix_dedup, token_output, url_filter,
+)
+from posefarm.llm.store import documents, prepared, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,7 +91,39 @@ def op7_token_files(spark, sf_dir):
     return token_output.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    """Every node of the trie of all conversations, rebuilt on shared heads."""
+    turns = prefix_trie.with_shared_heads(prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefix_trie.trie(turns)
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every fiftieth vector."""
+    rows = hard_negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mined(rows, F.col("vec_id") % hard_negatives.ANCHOR == 0)
+
+
+#: What both turns of conversation -1 say: every control string of the template.
+CONTROLS = f"{chat.END}{chat.OPEN} ok {chat.CLOSE}"
+
+
+@query
+def op13_chat_formatting(spark, sf_dir):
+    """All conversations as event logs, folded, formatted, written and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), (F.lit(2**63 - 2) + F.col("id")).alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROLS).alias("text"))
+    messages = chat.folded(chat.as_log(chat.numbered(rows.unionByName(extra))))
+    return chat.summaries(stored(chat.rendered(messages), "chat"))
+
+
 SQL["op1_quality_rules"] = sql.quality()
 SQL["op2_minhash_near_dedup"] = sql.near_duplicates(near_dedup.PERCENT)
 SQL["op6_url_filter"] = sql.url_filter(URL_RULES, KEYWORD_HOST)
+SQL["op11_prefix_trie"] = sql.prefix_trie()
+SQL["op12_hard_negatives"] = sql.hard_negatives()
+SQL["op13_chat_formatting"] = sql.chat_formatting(CONTROLS)
 SQL["op9_repeated_passages"] = sql.repeats(suffix_dedup.SPAN)

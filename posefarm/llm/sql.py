@@ -100,3 +100,79 @@ kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS re
 SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
     sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(rest, '') END)) AS kept_sha256
 FROM base b LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII string, bit by bit."""
+    bit = "CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384::BIGINT) ELSE u >> 1 END"
+    step = f"list_reduce(range(8)::BIGINT[], lambda u, v: {bit}, xor(x, y))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda x, y: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def prefix_trie() -> str:
+    return f"""
+WITH numbered AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM numbered)),
+head AS (SELECT c.conv_id, n.place AS depth, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.base AND n.place <= c.h),
+taken AS (SELECT c.conv_id, c.h, count(d.depth) AS n FROM convs c LEFT JOIN head d USING (conv_id) GROUP BY ALL),
+turns AS (
+    SELECT * FROM head UNION ALL
+    SELECT n.conv_id, n.place - t.h + t.n, n.role, n.text FROM numbered n JOIN taken t USING (conv_id) WHERE n.place > t.h),
+paths AS (
+    SELECT conv_id, 0 AS depth, []::STRUCT(r VARCHAR, t VARCHAR)[] AS path, 0 AS words FROM convs UNION ALL
+    SELECT conv_id, depth, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY depth),
+        len({_words("text")}) FROM turns),
+member AS (
+    SELECT conv_id, depth, words, min(conv_id) OVER w AS owner, count(*) OVER w AS n_convs, max(depth) OVER (PARTITION BY conv_id) AS length
+    FROM paths WINDOW w AS (PARTITION BY depth, path)),
+nodes AS (SELECT owner AS conv_id, depth, any_value(words) AS words, any_value(n_convs) AS n_convs FROM member GROUP BY ALL),
+parents AS (
+    SELECT n.conv_id, n.depth, n.words, n.n_convs, p.owner AS parent_conv_id
+    FROM nodes n LEFT JOIN member p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM parents WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT p.*, coalesce(c.n, 0) AS n_children FROM parents p LEFT JOIN children c USING (conv_id, depth)),
+totals AS (
+    SELECT m.owner AS conv_id, m.depth, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.words) AS saved_tokens
+    FROM own o JOIN member m ON m.conv_id = o.conv_id AND m.depth <= o.depth GROUP BY ALL),
+ends AS (SELECT owner AS conv_id, depth, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM member WHERE depth = length GROUP BY ALL)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens,
+    sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN totals USING (conv_id, depth) LEFT JOIN ends USING (conv_id, depth)"""
+
+
+def hard_negatives() -> str:
+    return """
+WITH finite AS (
+    SELECT vec_id, label, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM finite),
+scores AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank,
+        n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3"""
+
+
+def chat_formatting(extra: str) -> str:
+    control = r"([\[<])(\\*)(/?INST\]|/s>)"
+    longer = f"length(regexp_replace({{0}}, '{control}', '\\1\\\\\\2\\3', 'g'))"
+    marks = len("[INST][/INST]</s>")
+    return f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 9223372036854775806, 'user', '{extra}' UNION ALL SELECT -1, 9223372036854775807, 'assistant', '{extra}'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum({marks} + {longer.format('role')} + {longer.format('text')})::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id"""

@@ -17,7 +17,8 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_minhash_near_dedup", "op6_url_filter", "op9_repeated_passages"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_minhash_near_dedup", "op6_url_filter", "op9_repeated_passages",
+                                  "op11_prefix_trie", "op12_hard_negatives", "op13_chat_formatting"])
 def test_same_as_sql(llm, con, name):
     status, detail, *_ = compare(llm, con, SF, entry.queries()[name], entry.oracle_sql()[name])
     assert status == "ok", detail
@@ -25,7 +26,7 @@ def test_same_as_sql(llm, con, name):
 
 def test_names_of_the_queries():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
