@@ -277,22 +277,43 @@ def sphere_point(k: Column, n: int) -> list[Column]:
     return [F.cos(phi) * r, y, F.sin(phi) * r]
 
 
+#: Surface points in one word of a bitmap.
+WORD = 60
+
+
 def exposed_area(atoms: DataFrame, probe: float = 1.4, n: int = 960) -> DataFrame:
     """Solvent-exposed area per atom.
 
-    Neighbour pairs come from a binned radius join; each pair then marks which of
-    the n surface points the neighbour covers, and the marks are counted per atom.
+    Neighbour pairs come from a binned radius join.  A neighbour covers a cap of the atom's
+    sphere: the points whose direction is closer to the neighbour's than an angle both radii
+    give.  The spiral runs from pole to pole, so a cap touches one run of its words of points;
+    a pair makes one bitmap for each of those, and an atom's bitmaps are or-ed.
     """
     a = atoms.select("complex_id", "side", "atom_idx", "x", "y", "z", (F.col("radius") + probe).alias("reach"))
     widest = 2.0 * (a.agg(F.max("reach")).first()[0] or probe)   # two spheres of the largest reach in the table
     pairs = radius_join(a, a, widest, keys=MOLECULE, keep_a=["atom_idx", "reach"], keep_b=["atom_idx", "reach"])
     near = pairs.filter((F.col("a_atom_idx") != F.col("b_atom_idx")) & (F.col("d") < F.col("a_reach") + F.col("b_reach")))
-    points = near.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    u = sphere_point(F.col("k"), n)
-    gap = [F.col(f"a_{c}") + F.col("a_reach") * u[i] - F.col(f"b_{c}") for i, c in enumerate("xyz")]
-    covered = points.filter(dot(gap, gap) < F.col("b_reach") * F.col("b_reach"))
-    hidden = covered.select(*MOLECULE, F.col("a_atom_idx").alias("atom_idx"), "k").distinct().groupBy(
-        *MOLECULE, "atom_idx").agg(F.count(F.lit(1)).alias("_hidden"))
+    ra, rb, d = F.col("a_reach"), F.col("b_reach"), F.col("d")
+    # |a + ra u - b| < rb is u . (b - a) / d > edge; atoms at one place cover all or nothing.
+    edge = F.when(d > 0, (ra * ra + d * d - rb * rb) / (2.0 * ra * d)).when(ra < rb, -2.0).otherwise(2.0)
+    aim = [F.when(d > 0, (F.col(f"b_{c}") - F.col(f"a_{c}")) / d).otherwise(0.0).alias(f"u{c}") for c in "xyz"]
+    caps = near.select(*MOLECULE, F.col("a_atom_idx").alias("atom_idx"), edge.alias("edge"), *aim).filter("edge < 1")
+    tilt = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("uy") * F.col("uy"))) * F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.col("edge") * F.col("edge")))
+    whole = F.col("edge") <= -1
+    top = F.when(whole | (F.col("uy") >= F.col("edge")), 1.0).otherwise(F.col("uy") * F.col("edge") + tilt)
+    bottom = F.when(whole | (F.col("uy") <= -F.col("edge")), -1.0).otherwise(F.col("uy") * F.col("edge") - tilt)
+    last = -(-n // WORD) - 1
+    word = lambda y, more: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(((y + 1.0) * n / 2.0 + more) / WORD).cast("int")))
+    caps = caps.withColumn("word", F.explode(F.sequence(word(bottom, -2.0), word(top, 2.0))))
+    points = atoms.sparkSession.range(n).select(
+        F.floor(F.col("id") / WORD).cast("int").alias("word"), F.struct("id", *[c.alias(x) for c, x in zip(sphere_point(F.col("id"), n), "xyz")]).alias("p"))
+    words = points.groupBy("word").agg(F.array_sort(F.collect_list("p")).alias("points"))
+    lit = F.aggregate("points", F.lit(0).cast("long"), lambda bits, p: F.shiftleft(bits, 1) + F.when(
+        p["x"] * F.col("ux") + p["y"] * F.col("uy") + p["z"] * F.col("uz") > F.col("edge"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    # One row of points for each word: at most n / 60 rows, a parameter's size.
+    marked = caps.join(F.broadcast(words), "word").select(*MOLECULE, "atom_idx", "word", lit.alias("bits"))
+    hidden = marked.groupBy(*MOLECULE, "atom_idx", "word").agg(F.bit_or("bits").alias("bits")).groupBy(*MOLECULE, "atom_idx").agg(
+        F.sum(F.bit_count("bits")).alias("_hidden"))
     share = (n - F.coalesce("_hidden", F.lit(0))) / float(n)
     area = 4.0 * math.pi * F.pow(F.col("radius") + probe, 2.0)
     return atoms.join(hidden, [*MOLECULE, "atom_idx"], "left").withColumn("sasa", share * area).drop("_hidden")

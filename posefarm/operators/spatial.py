@@ -75,20 +75,25 @@ def scatter_nearest(points: DataFrame, grid: DataFrame, weight: Column | None =
     return at.groupBy(*cols).agg(value.alias("w"))
 
 
-def cells_within(points: DataFrame, grid: DataFrame, reach: Column | float) -> DataFrame:
+def cells_within(points: DataFrame, grid: DataFrame, reach: Column | float, nearest: str | None = None) -> DataFrame:
     """One row per (point, cell) whose centre is closer than the point's reach (strict).
 
     Each axis visits only the cells its own distance allows, so a point expands to
-    a small box and never to the whole grid.
+    a small box and never to the whole grid.  ``nearest`` names a column that tells
+    whether the cell is the point's nearest one (halves round to the even cell).
     """
     r = reach if isinstance(reach, Column) else F.lit(float(reach))
     j = _on_grid(points, grid).withColumn("_r", r).withColumn("_d2", F.lit(0.0))
+    if nearest:
+        j = j.withColumn(nearest, F.lit(True))
     for c, axis in zip(CELL, XYZ):
         u = (F.col(axis) - F.col(f"{axis}0")) / F.col("h")
         span = F.col("_r") / F.col("h")
         lo = F.greatest(F.lit(0).cast("long"), F.floor(u - span))
         hi = F.least(F.col(f"n{axis}") - 1, F.ceil(u + span))
         j = j.filter(lo <= hi).withColumn(c, F.explode(F.sequence(lo, hi)))
+        if nearest:
+            j = j.withColumn(nearest, F.col(nearest) & (F.col(c) == F.rint(u).cast("long")))
         gap = F.col(axis) - (F.col(f"{axis}0") + F.col(c) * F.col("h"))
         j = j.withColumn("_d2", F.col("_d2") + gap * gap).filter(F.col("_d2") < F.col("_r") * F.col("_r"))
     j = j.withColumn("d", F.sqrt("_d2")).filter(F.col("d") < F.col("_r"))

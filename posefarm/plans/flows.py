@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from posefarm.operators import cells as cl
 from posefarm.operators import diagnostics as dg
 from posefarm.operators import features as ft
 from posefarm.operators import quality as ql
@@ -45,7 +46,7 @@ def _scan(spark, sf):
     a = V.atoms(spark, sf)
     grid = ft.grid_axes(a, H)
     turned = se.turned_ligands(a, V.rotations(spark), V.ROTATIONS)
-    s = se.translation_scan(se.receptor_layers(a, grid, g.ATOM_WEIGHTS), se.ligand_layers(turned, grid, g.ATOM_WEIGHTS))
+    s = se.translation_scan(se.receptor_layers(a, grid, g.ATOM_WEIGHTS), se.ligand_layers(turned, grid, g.ATOM_WEIGHTS), cl.channel_names(g.ATOM_WEIGHTS))
     return s.withColumn("score", F.round("score", 6))
 
 

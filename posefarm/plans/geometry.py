@@ -169,7 +169,7 @@ def recenter_frame(spark, sf):
     return poses.join(off, C).select(C, *[rnd(F.col(t)).alias(t) for t in ("tx", "ty", "tz")], "off")
 
 
-N_SPHERE = 96
+N_SPHERE = 960
 
 
 @query("exposed_area", f"""WITH {V.ATOMS}, a AS (SELECT *, radius+1.4{D} AS reach FROM atoms),
@@ -411,6 +411,17 @@ def random_quat_sql(key: str, seed: int) -> list[str]:
     return [f"{a}*sin{t1}", f"{a}*cos{t1}", f"{b}*sin{t2}", f"{b}*cos{t2}"]
 
 
+FINE = 3
+
+
+@query("covering_radius", f"""WITH {V.COMPLEXES}, {rotation_values(_hopf_values(FINE))}, drawn AS (SELECT complex_id, {", ".join(f"{x} AS q{i + 1}" for i, x in enumerate(random_quat_sql("complex_id", 1)))} FROM complexes),
+ g AS (SELECT complex_id, min({angle_sql('c', 's')}) AS angle FROM drawn c CROSS JOIN rset s GROUP BY 1)
+ SELECT {r('avg(angle)')} AS mean, {r(_sql_quantile('angle', 0.5, 'g'))} AS median, {r(_sql_quantile('angle', 0.95, 'g'))} AS p95, {r('max(angle)')} AS max FROM g""")
+def covering_radius(spark, sf):
+    s = ro.covering_radius(V.complexes(spark, sf), ro.hopf_rotations(spark, FINE), ro.hopf_size(FINE))
+    return s.select(*[rnd(F.col(c)).alias(c) for c in s.columns])
+
+
 @query("random_rotations", f"""WITH q AS (SELECT vec_id AS complex_id, {', '.join(f'{e} AS q{i + 1}' for i, e in enumerate(random_quat_sql('vec_id', 5)))} FROM embeddings)
  SELECT complex_id, {', '.join(r(f'q{i}') + f' AS q{i}' for i in range(1, 5))}, {r('q1*q1+q2*q2+q3*q3+q4*q4')} AS norm FROM q""")
 def random_rotations(spark, sf):

@@ -92,10 +92,52 @@ def test_rotation_sets(spark):
         q = np.array([[r.q1, r.q2, r.q3, r.q4] for r in df.collect()])
         assert len(q) == n and np.allclose((q ** 2).sum(1), 1)
     assert rows(ro.random_rotations(spark, 20, 4), "qi") == rows(ro.random_rotations(spark, 60, 4).filter("qi < 20"), "qi")
-    cover = ro.covering_radius(spark, ro.hopf_rotations(spark, 2), 576, 200).first()
+    cover = ro.covering_radius(spark.range(200), ro.hopf_rotations(spark, 2), 576, key="id").first()
     assert cover.mean < cover.p95 <= cover.max < 45
 
 
+@pytest.mark.parametrize("k, n", [(1, 3000), (6, 3000), (4, 300), (3, 2)])
+def test_nearest_rotations_are_the_nearest(spark, k, n):
+    sets = ro.random_rotations(spark, n, 9)
+    # Uneven on purpose: a third of the set is one rotation, so some rows look again in wider cells.
+    sets = sets.select("qi", *[F.when(F.col("qi") % 3 == 0, v).otherwise(F.col(c)).alias(c) for c, v in zip(ro.Q, (0.5, 0.5, 0.5, 0.5))]).cache()
+    asked = ro.random_rotations(spark, 40, 3).withColumnRenamed("qi", "complex_id").cache()
+    got = {}
+    for r in ro.nearest_rotations(asked, sets, k, n).collect():
+        got.setdefault(r.complex_id, []).append((r.place, r.qi))
+    pool = {r.qi: np.array([r.q1, r.q2, r.q3, r.q4]) for r in sets.collect()}
+    for r in asked.collect():
+        q = np.array([r.q1, r.q2, r.q3, r.q4])
+        angle = {i: round(2 * math.acos(min(1.0, abs(q @ p))), 9) for i, p in pool.items()}
+        want = sorted(angle, key=lambda i: (angle[i], i))[:k]
+        assert [angle[i] for _, i in sorted(got[r.complex_id])] == [angle[i] for i in want]
+
+
+def test_linkage_of_equal_and_near_endpoints(spark):
+    """Ten thousand equal endpoints are one node; a chain is one basin, a gap parts two."""
+    a = system(spark)
+    rnd = random.Random(6)
+    spots = [(k, 0.0) for k in range(10_000)] + [(10_000 + k, 0.9 * k) for k in range(12)] + [(20_000 + k, 100.0 + rnd.random()) for k in range(40)] + [(30_000, 104.5)]
+    p = spark.createDataFrame([(1, k, 0.0, 0.0, 0.0, 1.0, x, 0.0, 0.0, float(k)) for k, x in spots],
+                              "complex_id long, pose_id long, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double, score double").repartition(6)
+    label = {r.pose_id: r.label for r in se.linked_basins(p, a, 1.0).collect()}
+    assert {label[k] for k, _ in spots[:10_012]} == {0} and {label[20_000 + k] for k in range(40)} == {20_000} and label[30_000] == 30_000
+    basins = {r.basin: r.size for r in se.cluster_endpoints(p, a, 1.0).collect()}
+    assert basins == {0: 10_012, 20_000: 40, 30_000: 1}
+
+
+def test_linkage_equals_pairs(spark):
+    a = system(spark)
+    turned = ro.random_rotations(spark, 120, 5).collect()
+    p = spark.createDataFrame([(1, r.qi, *(float(x) for x in np.array([0.15 * r.q1, 0.15 * r.q2, 0.15 * r.q3, 1.0]) / np.linalg.norm([0.15 * r.q1, 0.15 * r.q2, 0.15 * r.q3, 1.0])),
+                                0.5 * r.q1, 0.0, 0.4 * r.q2) for r in turned], "complex_id long, pose_id long, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double")
+    for tol in (0.15, 0.3, 0.6):
+        pairs = se.pose_pairs_within(p, a, tol)
+        want = {r.pose_id: r.label for r in se.connected(p.select("complex_id", "pose_id"), pairs).collect()}
+        got = {r.pose_id: r.label for r in se.linked_basins(p, a, tol).collect()}
+        assert got == want and (tol > 0.15 or len(set(want.values())) > 5)
+
+
 def test_cone(spark):
     c = spark.createDataFrame([(1, 0.0, 0.0, math.sin(0.3), math.cos(0.3))], "complex_id long, q1 double, q2 double, q3 double, q4 double")
     cone = ro.rotation_cone(c, 40, 15.0).collect()
@@ -128,6 +170,8 @@ def test_native_pose_and_frame(spark):
 def test_search_score_equals_pose_score(spark, weights):
     a = system(spark)
     found = se.search_poses(a, ro.random_rotations(spark, 3, 1), 3, weights, h=2.0, max_shift=4, ntop=3).cache()
+    whole = se.search_poses(a, ro.random_rotations(spark, 3, 1), 3, weights, h=2.0, ntop=3)
+    assert whole.agg(F.max("score")).first()[0] >= found.agg(F.max("score")).first()[0] - 1e-9
     assert found.count() == 3
     scored = se.score_poses(a, found.drop("score"), weights, h=2.0)
     a_, b_ = ({r.pose_id: r.score for r in df.collect()} for df in (found, scored))
@@ -135,28 +179,104 @@ def test_search_score_equals_pose_score(spark, weights):
     assert all(a_[k] == pytest.approx(b_[k], abs=1e-6) for k in a_)
 
 
-def test_scan_equals_brute_force(spark):
-    rnd = random.Random(2)
-    def cells(n):
-        return {(rnd.randrange(8), rnd.randrange(6), rnd.randrange(5)): rnd.gauss(0, 1) for _ in range(n)}
-    R, L = cells(30), cells(12)
-    r = spark.createDataFrame([(1, "a", *k, v) for k, v in R.items()], "complex_id long, layer string, ix long, iy long, iz long, w double")
-    l = spark.createDataFrame([(1, 0, "a", *k, v) for k, v in L.items()], "complex_id long, qi int, layer string, ix long, iy long, iz long, w double")
-    want = {}
-    for a, x in R.items():
-        for b, y in L.items():
-            d = tuple(i - j for i, j in zip(a, b))
-            if max(map(abs, d)) <= 3:
-                want[d] = want.get(d, 0) + x * y
-    got = {(t.cx, t.cy, t.cz): t.score for t in se.translation_scan(r, l, 3).collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+NAMES = ["a", "b", "c"]
+
+
+def lattice(spark, seed, sizes, spread, keys=("qi",), turns=2):
+    """Random sparse cells on three channels, some of them missing, as tables and as dicts."""
+    rnd = random.Random(seed)
 
+    def cells(n, far):
+        return {tuple(rnd.randrange(x) for x in far): [rnd.gauss(0, 1) if rnd.random() < 0.7 else None for _ in NAMES] for _ in range(n)}
 
-def test_refinement_never_worsens(spark):
+    rec = {c: cells(sizes[0], spread[0]) for c in (1, 2)}
+    lig = {(c, q): cells(sizes[1], spread[1]) for c in (1, 2) for q in range(turns)}
+    mask = lambda v: sum(1 << i for i, x in enumerate(v) if x is not None)
+    flat = lambda key, t: [(*key, *k, *[x or 0.0 for x in v], mask(v)) for k, v in t.items() if mask(v)]
+    own = "ix long, iy long, iz long, a double, b double, c double, on int"
+    r = spark.createDataFrame([x for c, t in rec.items() for x in flat((c,), t)], f"complex_id long, {own}")
+    l = spark.createDataFrame([x for c, t in lig.items() for x in flat(c, t)], f"complex_id long, qi int, {own}")
+    want = {}
+    for (c, q), t in lig.items():
+        for m, x in rec[c].items():
+            for k, y in t.items():
+                both = [u * v for u, v in zip(x, y) if u is not None and v is not None]
+                if both:
+                    d = (c, q, *(i - j for i, j in zip(m, k)))
+                    want[d] = want.get(d, 0) + sum(both)
+    return r, l, want
+
+
+@pytest.mark.parametrize("spread", [((8, 6, 5), (8, 6, 5)), ((120, 20, 3), (4, 90, 70))])
+def test_scan_equals_brute_force(spark, spread):
+    r, l, want = lattice(spark, 2, (60, 25), spread)
+    got = {(t.complex_id, t.qi, t.cx, t.cy, t.cz): t.score for t in se.translation_scan(r, l, NAMES).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert spread[0][0] == 8 or max(abs(x) for k in want for x in k[2:]) > 40
+    near = {k for k in want if max(map(abs, k[2:])) <= 3}
+    assert {(t.complex_id, t.qi, t.cx, t.cy, t.cz) for t in se.translation_scan(r, l, NAMES, 3).collect()} == near
+
+
+def test_a_scan_key_holds_one_pair_of_blocks(spark):
+    r, l, _ = lattice(spark, 3, (400, 50), ((100, 100, 100), (40, 40, 40)))
+    blocks = r.withColumn("rb", se._packed_block()).groupBy("complex_id", "rb").count()
+    assert blocks.count() > 300 and blocks.agg(F.max("count")).first()[0] <= se.BLOCK ** 3
+
+
+@pytest.mark.parametrize("spread, per, ntop", [(((8, 6, 5), (8, 6, 5)), 1, 1), (((30, 20, 9), (6, 30, 30)), 3, 4), (((90, 20, 3), (4, 60, 70)), 2, 100)])
+def test_bounds_leave_the_best(spark, spread, per, ntop):
+    r, l, want = lattice(spark, 5, (300, 30), spread)
+    bounds = {(t.complex_id, t.qi, t.dx, t.dy, t.dz): t.bound for t in se.shift_bounds(r, l, NAMES).collect()}
+    assert all(bounds[(*k[:2], *(x // se.SHIFTS for x in k[2:]))] >= v - 1e-9 for k, v in want.items())
+    by = {}
+    for k, v in sorted(want.items(), key=lambda x: (-x[1], x[0][2:])):
+        by.setdefault(k[:2], []).append((k, v))
+    for c in (1, 2):
+        best = sorted((x for k, t in by.items() if k[0] == c for x in t[:per]), key=lambda x: (-x[1], x[0][1:]))[:ntop]
+        got = se.best_translations(r.filter(F.col("complex_id") == c), l, NAMES, per, ntop).orderBy("rank").collect()
+        assert [(t.complex_id, t.qi, t.cx, t.cy, t.cz) for t in got] == [k for k, _ in best]
+
+
+def test_bounds_spare_most_of_a_scan(spark):
+    """One good place among many poor ones: the blocks that cannot reach it are not scanned."""
+    r = spark.createDataFrame([(1, x, y, 0, 5.0 if x == y == 30 else 0.1, 0.0, 0.0, 1) for x in range(0, 64) for y in range(0, 64)],
+                              "complex_id long, ix long, iy long, iz long, a double, b double, c double, on int")
+    l = spark.createDataFrame([(1, 0, 5, 5, 5, 1.0, 0.0, 0.0, 1)], "complex_id long, qi int, ix long, iy long, iz long, a double, b double, c double, on int")
+    bounds = se.shift_bounds(r, l, NAMES)
+    assert bounds.filter("bound >= 5").count() <= 9 < bounds.count() / 10
+    best = se.best_translations(r, l, NAMES, 1, 1).first()
+    assert (best.cx, best.cy, best.cz, best.score) == (25, 25, -5, 5.0)
+
+
+def refined(spark, **how):
     a = system(spark)
-    p = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 1.0, 4.0, 0.0, 0.0)], "complex_id long, pose_id long, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double")
-    r = se.pattern_refine(a, p, sc.Weights(1.0, (2.0, 3.0, 4.0)), rounds=2, h=2.0).first()
-    assert r.score >= r.start_score
+    p = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 1.0, 4.0, 0.0, 0.0), (1, 1, 0.5, 0.5, 0.5, 0.5, 3.0, 1.0, -2.0), (1, 2, 0.0, 0.0, 0.0, 1.0, 900.0, 0.0, 0.0)],
+                              "complex_id long, pose_id long, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double")
+    return a, p, se.pattern_refine(a, p, sc.Weights(0.5, (0.75, 1.5, 3.0), sc.flat_table(), 2.0), h=2.0, **how)
+
+
+def test_refinement_ends_and_scores_its_poses(spark):
+    a, p, r = refined(spark)
+    got = {t.pose_id: t for t in r.collect()}
+    assert all(t.score >= t.start_score and t.deg <= 0.05 for t in got.values()) and len(got) == 3
+    again = {t.pose_id: t.score for t in se.score_poses(a, r.drop("score"), sc.Weights(0.5, (0.75, 1.5, 3.0), sc.flat_table(), 2.0), h=2.0).collect()}
+    assert all(again[k] == pytest.approx(t.score, abs=1e-6) for k, t in got.items())
+    assert got[2].score == 0.0 and got[2].tx == 900.0
+    # The step sizes tried together are the ones tried one after the other.
+    one = {t.pose_id: t for t in refined(spark, levels=1)[2].collect()}
+    for k, t in got.items():
+        assert [t[c] for c in ("score", "deg", "q1", "q4", "tx")] == pytest.approx([one[k][c] for c in ("score", "deg", "q1", "q4", "tx")], abs=1e-9)
+
+
+def test_a_refinement_step_is_the_best_of_twelve(spark):
+    a, p, r = refined(spark, rounds=1, levels=1)
+    w = sc.Weights(0.5, (0.75, 1.5, 3.0), sc.flat_table(), 2.0)
+    moves = ro.axis_probes(ro.placed_centroid(p, a), 4.0, 1.0).withColumn("old", F.col("pose_id")).withColumn("pose_id", F.col("pose_id") * 16 + F.col("probe"))
+    tried = se.score_poses(a, moves.select("complex_id", "pose_id", "old", "q1", "q2", "q3", "q4", "tx", "ty", "tz"), w, h=2.0).groupBy("old").agg(F.max("score").alias("best"))
+    best = {t.old: t.best for t in tried.collect()}
+    for t in r.collect():
+        assert t.score == pytest.approx(max(best[t.pose_id], t.start_score), abs=1e-6)
+        assert t.deg == (4.0 if best[t.pose_id] > t.start_score + 1e-9 else 2.0)
 
 
 def test_components(spark):

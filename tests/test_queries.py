@@ -58,17 +58,17 @@ def test_partitions_do_not_change_results(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("name", ["translation_scan", "top_translations", "search_poses", "build_pool", "decoys_with_cone", "spacing_sweep", "term_gaps"])
+@pytest.mark.parametrize("name", ["search_poses", "build_pool", "decoys_with_cone", "spacing_sweep", "term_gaps"])
 def test_searches_ask_for_every_shift(spark, monkeypatch, name):
     from posefarm.operators import search as se
 
     class Asked(Exception):
         pass
 
-    def scan(rec_cells, lig_cells, max_shift=None):
+    def best(rec, lig, names, max_shift, *more):
         raise Asked(max_shift)
 
-    monkeypatch.setattr(se, "translation_scan", scan)
+    monkeypatch.setattr(se, "_best", best)
     with pytest.raises(Asked) as asked:
         entry.queries()[name](spark, SF)
     assert asked.value.args == (None,)
