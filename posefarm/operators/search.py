@@ -194,17 +194,34 @@ def shift_bounds(rec_cells: DataFrame, lig_cells: DataFrame, names: Sequence[str
     return met.groupBy(C, "qi", *[f"d{a}" for a in _AXIS]).agg(F.sum("_m").alias("bound"))
 
 
+#: A complex of no more pairs of blocks is scanned whole: a scan spares pairs of blocks, and
+#: finding out which would cost as much as those few.
+FEW_PAIRS = 8
+
+
 def best_translations(rec_cells: DataFrame, lig_cells: DataFrame, names: Sequence[str], per_rotation: int = 1, ntop: int = 2000,
                       round_to: int | None = None) -> DataFrame:
-    """What :func:`top_translations` finds in the whole scan, without summing most of it.
+    """What :func:`top_translations` finds in the whole scan, without summing most of it where
+    molecules are large.  Both cell tables are read several times, so pass stored ones.
+    """
+    rounded = (lambda s: s) if round_to is None else (lambda s: s.withColumn("score", F.round("score", round_to)))
+    sides = [t.select(C, _packed_block().alias("b")).distinct().groupBy(C).agg(F.count(F.lit(1)).alias(n)) for t, n in ((rec_cells, "_r"), (lig_cells, "_l"))]
+    large = cut(sides[0].join(sides[1], C).filter(F.col("_r") * F.col("_l") > FEW_PAIRS).select(C))
+    if large.isEmpty():
+        return top_translations(rounded(translation_scan(rec_cells, lig_cells, names)), per_rotation, ntop)
+    split = [(t.join(large, C, "left_anti"), t.join(large, C, "left_semi")) for t in (rec_cells, lig_cells)]
+    scan = rounded(translation_scan(split[0][0], split[1][0], names))
+    bounded = _bounded_scan(cut(split[0][1]), cut(split[1][1]), names, per_rotation, ntop, rounded, 1e-6 + (0.0 if round_to is None else 10.0 ** -round_to))
+    return top_translations(scan.unionByName(bounded), per_rotation, ntop)
+
+
+def _bounded_scan(rec_cells: DataFrame, lig_cells: DataFrame, names: Sequence[str], per_rotation: int, ntop: int, rounded, slack: float) -> DataFrame:
+    """The part of a scan that can hold the best translations.
 
     Every block of shifts is bounded first.  The blocks of highest bound are scanned exactly;
     their scores tell what a shift has to reach to be among the best of its rotation and of its
-    complex, and only blocks whose bound reaches that are scanned as well.  Both cell tables are
-    read several times, so pass stored ones.
+    complex, and only blocks whose bound reaches that are scanned as well.
     """
-    slack = 1e-6 + (0.0 if round_to is None else 10.0 ** -round_to)
-    rounded = (lambda s: s) if round_to is None else (lambda s: s.withColumn("score", F.round("score", round_to)))
     place = [F.col(f"d{a}") for a in _AXIS]
     bounds = cut(shift_bounds(rec_cells, lig_cells, names))
     # A block's bound may be reached by a single shift, so as many blocks as shifts are wanted.
@@ -218,8 +235,7 @@ def best_translations(rec_cells: DataFrame, lig_cells: DataFrame, names: Sequenc
     open_ = asked.filter((F.col("_need").isNull() | (F.col("bound") >= F.col("_need") - slack))
                          & (F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - slack))).select(C, "qi", *place)
     rest = open_.join(first, [C, "qi", *[f"d{a}" for a in _AXIS]], "left_anti")
-    scan = seen.unionByName(rounded(translation_scan(rec_cells, lig_cells, names, alive=_alive(rest))))
-    return top_translations(scan, per_rotation, ntop)
+    return seen.unionByName(rounded(translation_scan(rec_cells, lig_cells, names, alive=_alive(rest))))
 
 
 def top_translations(scan: DataFrame, per_rotation: int = 1, ntop: int = 2000) -> DataFrame:

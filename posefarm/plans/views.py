@@ -26,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings spread by id: every row grows into thousands of cells and poses, so the
-    few bytes are dealt out before the work starts."""
-    return table(spark, sf_dir, "embeddings").repartition("vec_id")
+    few bytes are dealt out before the work starts, in a number of partitions that adaptive
+    execution does not take back."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "embeddings").repartition(n, "vec_id")
 
 
 def rnd(column: Column, digits: int = 6) -> Column:
