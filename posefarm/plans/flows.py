@@ -97,6 +97,20 @@ def pattern_refine(spark, sf):
     return out.select(C, "pose_id", rnd(F.col("start_score")).alias("start_score"), rnd(F.col("score")).alias("score"), "deg")
 
 
+STEP = f"""{V.ATOMS}, {g.grid_sql(H)}, {g.REC},
+moved AS MATERIALIZED (WITH {V.PLACED}, {g.PROBE_CENTROID}, m AS (SELECT p.complex_id, p.pose_id*16+probe AS pose_id, p.atom_idx, {g._probe_sql(4.0, 1.0)} FROM placed p JOIN cen USING (complex_id, pose_id) CROSS JOIN (SELECT unnest(range(0,12)) AS probe))
+   SELECT * FROM m UNION ALL SELECT complex_id, pose_id*16+12, atom_idx, px, py, pz FROM placed),
+lig AS MATERIALIZED (SELECT m.complex_id, m.pose_id, m.atom_idx, a.radius, a.sasa, a.type_id, a.charge_id, -{g.CHARGE_LUT}[a.charge_id] AS charge, m.x, m.y, m.z FROM moved m JOIN atoms a ON a.complex_id=m.complex_id AND a.atom_idx=m.atom_idx AND a.side='L'),
+poses AS (SELECT DISTINCT complex_id, pose_id FROM moved), {g.FEATURES},
+step AS (SELECT complex_id, pose_id//16 AS pose_id, max(score) FILTER (pose_id%16=12) AS start_score, max(score) FILTER (pose_id%16<12) AS best FROM scores GROUP BY 1,2)"""
+
+
+@query("refinement_step", f"WITH {STEP} SELECT complex_id, pose_id, {r('start_score')} AS start_score, {r(f'CASE WHEN best>start_score+1e-9{D} THEN best ELSE start_score END')} AS score, CASE WHEN best>start_score+1e-9{D} THEN 4.0{D} ELSE 2.0{D} END AS deg FROM step")
+def refinement_step(spark, sf):
+    out = se.pattern_refine(V.atoms(spark, sf), V.poses(spark, sf), g.ATOM_WEIGHTS, rounds=1, h=H, levels=1)
+    return out.select(C, "pose_id", rnd(F.col("start_score")).alias("start_score"), rnd(F.col("score")).alias("score"), "deg")
+
+
 # A set of endpoints: the eight poses, pulled towards the native translation.
 TOL = 4.0
 ENDS = V.ATOMS + "," + V.POSES + f""",
