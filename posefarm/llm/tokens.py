@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer, by way of a table of known words.
 
 A text is cut where the tokenizer cuts for certain, each distinct piece is encoded once
-with the tokenizers library, and the ids of a text are the joined ids of its pieces.  The
-table of pieces is emptied when it is full, which costs time but changes nothing.
+with the tokenizers library, and the ids of a text are the joined ids of its pieces.  A text
+that holds the string of a special token goes to the library whole.  The table of pieces is emptied when it is full, which costs time but changes nothing.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.blank_joins = blank_joins
+        #: The library takes these strings, wherever they stand in a text, as one id; a text that
+        #: holds one (in any case) is left to the library as it is.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         one = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         #: Whether the tokenizer itself lower-cases, so that words may be looked up in lower case.
         self.folds = one("Az") == one("az")
@@ -103,7 +105,16 @@ class WordIds:
         return self.heads[first]
 
     def many(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of UTF-8 texts."""
+        """Ids of UTF-8 texts, those that ``encode(text, add_special_tokens=False)`` gives."""
+        marked = [k for k, t in enumerate(texts) if any(s in t.lower() for s in self.special)]
+        if marked:
+            left = set(marked)
+            plain = iter(self._plain([t for k, t in enumerate(texts) if k not in left]))
+            whole = iter(self.tokenizer.encode_batch_fast([texts[k].decode() for k in marked], add_special_tokens=False))
+            return [np.array(next(whole).ids, "<u4").tobytes() if k in left else next(plain) for k in range(len(texts))]
+        return self._plain(texts)
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
         if not self.blank_joins:
             return self._look_up([(t.lower() if self.folds else t).split() for t in texts], "")
         cut = [[p.encode() for p in _BETWEEN.split(t.decode())] if _OTHER_SPACE.search(t) else t.split(b" ") for t in texts]
