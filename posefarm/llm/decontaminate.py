@@ -177,6 +177,11 @@ def _best(hashes: np.ndarray, place: np.ndarray, items: list[np.ndarray], table)
     return out
 
 
+def _later(item: int | None) -> tuple[bool, int]:
+    """Order of items of equal score: a null comes first, then the smaller item_id."""
+    return item is not None, item or 0
+
+
 def with_overlap(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``rows`` (any columns, ``text`` among them) with seed_hits, item_id, score, ratio and
     contaminated: the best aligned item, nulls and 0 where no seed is found."""
@@ -203,7 +208,7 @@ def with_overlap(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for r, (n, i, s, share, verdict) in _best(hashes, place, words, table).items():
                         r += first
                         hits[r] += n
-                        if item[r] is None or (verdict, share) > (bad[r], ratio[r]):
+                        if not score[r] or (verdict, share, _later(item[r])) > (bad[r], ratio[r], _later(ids[i])):
                             item[r], score[r], ratio[r], bad[r] = ids[i], s, share, verdict
                 yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(hits, pa.int64()), pa.array(item, pa.int64()),
                                                   pa.array(score, pa.int64()), pa.array(ratio, pa.float64()), pa.array(bad, pa.bool_())], batch.schema.names)
