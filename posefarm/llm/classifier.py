@@ -126,7 +126,7 @@ def fit(label: np.ndarray, which: list[np.ndarray], weight: list[np.ndarray], se
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on a bounded sample of labelled rows, in one task."""
+    """Fit on a bounded sample of labelled rows; only that sample meets in one task."""
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other AND label IN (0, 1)")
     few = known.select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         shares, bias = fit(np.array([label[i] for i in order], int), [which[i] for i in order], [weight[i] for i in order])
         yield pd.DataFrame({"shares": [shares.astype(np.float32).tobytes()], "bias": [bias]})
 
-    row = counted.coalesce(1).mapInPandas(train, "shares binary, bias double").first()
+    row = counted.repartition(1).mapInPandas(train, "shares binary, bias double").first()
     return np.frombuffer(row["shares"], np.float32), row["bias"]
 
 
