@@ -3,8 +3,9 @@
 Rows of equal text are one group.  Groups are dealt into buckets by a hash; within a bucket
 every group starts as a partial partition (its bytes in one shard, none in the others), and
 the two partial partitions of largest spread are combined, the heaviest shard of one with
-the lightest of the other, until one is left.  The partial partitions of all buckets are
-combined the same way: those are one row of sums a bucket, and only they reach the driver.
+the lightest of the other, until one is left.  The partial partitions of the buckets, one row
+of sums each, are combined the same way in tasks of at most about FAN, level by level, until
+one is left; nothing but their number reaches the driver.
 
 Slots number the rows of a shard by doc_id: rows are numbered within hash buckets of a
 shard, and the buckets' counts are added up, so no task sorts a whole shard.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from posefarm.llm.store import stored
 
 GROUPS_PER_BUCKET = 20_000
+#: Partial partitions that one task combines on the levels above.
+FAN = 2000
 ROWS_PER_BUCKET = 200_000
 
 
@@ -82,9 +85,38 @@ def _dealt(groups: DataFrame, shards: int) -> DataFrame:
     return groups.groupBy("bucket").applyInPandas(deal, "bucket long, key string, part int, bytes long")
 
 
+def _combined(sums: DataFrame, shards: int) -> DataFrame:
+    """(bucket, part, shard): where each bucket's parts go when all partial partitions,
+    (bucket, part, bytes), are combined to one."""
+
+    def combine(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node", ignore_index=True)
+        own = [[int(x) for x in s] for s in frame["sums"]]
+        places = difference(own)
+        total = [0] * shards
+        for s, p in zip(own, places):
+            for part, place in enumerate(p):
+                total[place] += s[part]
+        return frame[["up", "node"]].assign(places=places, sums=[total, *[None] * (len(own) - 1)])
+
+    parts = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0).cast("long")))
+    nodes = sums.groupBy(F.col("bucket").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("part", "bytes"))).alias("m")).select("node", parts.alias("sums"))
+    # A level maps (node, part) to (node above, part there).
+    way = sums.select("bucket", "part", F.col("bucket").alias("node"), F.col("part").alias("shard"))
+    while True:
+        nodes = stored(nodes, "nodes")
+        groups = max(1, -(-nodes.count() // FAN))
+        grouped = nodes.withColumn("up", F.pmod(F.xxhash64("node"), F.lit(groups))).groupBy("up")
+        level = stored(grouped.applyInPandas(combine, "up long, node long, places array<int>, sums array<long>"), "level")
+        way = way.join(level.select("node", "up", "places"), "node").select(
+            "bucket", "part", F.col("up").alias("node"), F.element_at("places", F.col("shard") + 1).alias("shard"))
+        if groups == 1:
+            return way.select("bucket", "part", "shard")
+        nodes = level.filter("sums IS NOT NULL").select(F.col("up").alias("node"), "sums")
+
+
 def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = stored(docs.select(F.col("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
                               F.sha2(text, 256).alias("key")), "sizes")
@@ -95,12 +127,7 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     buckets = -(-n // GROUPS_PER_BUCKET)
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     dealt = stored(_dealt(groups, shards), "dealt")
-    sums: dict[int, list[int]] = {}
-    for bucket, part, size in dealt.groupBy("bucket", "part").agg(F.sum("bytes")).toLocalIterator():
-        sums.setdefault(bucket, [0] * shards)[part] = size
-    order = sorted(sums)
-    final = difference([sums[b] for b in order])
-    places = spark.createDataFrame([(b, p, s) for b, f in zip(order, final) for p, s in enumerate(f)], "bucket long, part int, shard int")
+    places = _combined(dealt.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")), shards)
     placed = rows.join(dealt.join(places, ["bucket", "part"]).select("key", "shard"), "key").select("doc_id", "size", "text_crc32", "shard")
     placed = stored(placed.withColumn("bin", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(-(-n // ROWS_PER_BUCKET)))), "placed")
     counts = placed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
