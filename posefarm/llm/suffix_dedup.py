@@ -15,10 +15,14 @@ in a document of smaller id, by a distributed merge sort of suffixes.
      unequal lengths decide without a look at the bytes, equal ones compare behind them.
      Records with one anchor are then neighbours; for each string the smallest id is found
      and every other record learns which of its strings to remove.
+     A bucket has as many records as its anchors, so an anchor in more than HOT documents (a
+     phrase with other words after it in each) goes another way: its strings become rows, by
+     128-bit fingerprints, an aggregate finds the smallest id of each, and a join tells the rest.
   4. Removed ranges meet their documents by a join, and the rest is hashed.
 
-Slices, buckets and parts are bounded in bytes, whatever the input.  A string that very many
-documents share is one record a slice.
+Slices are bounded in bytes, but for a single longer text; parts and buckets by HOT records
+for each of the anchors that fall to them.  A string that very many documents share is one
+record a slice.
 
 Cases: null counts as empty; shorter texts than SPAN lose nothing.  A row whose doc_id is
 null comes after all others: it causes no removal elsewhere.  Rows with one doc_id do not
@@ -47,29 +51,40 @@ SLICE, PART = 4 << 20, 16 << 20
 GATHERED = 24 << 20
 NO_ID = 2**63 - 1
 _INDEX = np.uint64((1 << 24) - 1)
+#: Starts of strings whose places are counted from one base.
+STRETCH = 1 << 23
+#: An anchor in more documents than this is settled string by string, by an aggregate.
+HOT = 1024
 
 
 def strings(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, anchor start, text number) of every SPAN-byte string inside a text, and running sums of the bytes."""
+    """(start, anchor start, text number) of every SPAN-byte string inside a text, and running sums of the bytes.
+
+    Of pieces of equal hash the leftmost in the string is the anchor, so equal strings have
+    it at the same place.  Places are told apart by their distance from a start that is less
+    than 2 ** 24 bytes away: longer buffers are looked at in stretches.
+    """
     sums = text.running(raw)
-    size = len(raw) - GRAM + 1
     count = np.maximum(0, np.diff(at) - SPAN + 1)
     if not count.sum():
         none = np.zeros(0, np.int64)
         return none, none, none, sums
-    begin = np.arange(size)
-    value = (text.range_hash(sums, begin, begin + GRAM) & ~_INDEX) | (begin.astype(np.uint64) & _INDEX)
-    width = 1
-    while width * 2 <= SPAN - GRAM + 1:
-        value = np.minimum(value[:-width], value[width:])
-        width *= 2
-    more = SPAN - GRAM + 1 - width
-    value = np.minimum(value[:len(value) - more], value[more:]) if more else value
     row = np.repeat(np.arange(len(count)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + at[:-1][row]
-    low = value[start] & _INDEX
-    anchor = (start & ~np.int64(_INDEX)) | low.astype(np.int64)
-    anchor[anchor < start] += np.int64(_INDEX) + 1
+    anchor = np.empty(len(start), np.int64)
+    for base in range(int(start[0]), int(start[-1]) + 1, STRETCH):
+        a, b = np.searchsorted(start, [base, base + STRETCH])
+        if a == b:
+            continue
+        begin = np.arange(base, int(start[b - 1]) + SPAN - GRAM + 1)
+        value = (text.range_hash(sums, begin, begin + GRAM) & ~_INDEX) | (begin - base).astype(np.uint64)
+        width = 1
+        while width * 2 <= SPAN - GRAM + 1:
+            value = np.minimum(value[:-width], value[width:])
+            width *= 2
+        more = SPAN - GRAM + 1 - width
+        value = np.minimum(value[:len(value) - more], value[more:]) if more else value
+        anchor[a:b] = (value[start[a:b] - base] & _INDEX).astype(np.int64) + base
     return start, anchor, row, sums
 
 
@@ -88,7 +103,8 @@ def _unsqueezed(blob: bytes) -> np.ndarray:
 
 
 def _sent(rows: DataFrame, parts: int) -> DataFrame:
-    """(slice, part, prints, known): distinct fingerprints, and those that two documents of a task's slice share."""
+    """(slice, part, prints, known, others): distinct fingerprints, those that two documents of
+    a task's slice share, and how many documents beside the first have each of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -103,15 +119,16 @@ def _sent(rows: DataFrame, parts: int) -> DataFrame:
             new = np.ones(len(group), bool)
             new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(group)) - 1
-            twice = row[first] != row[last]
+            others = np.add.reduceat(np.append(False, (row[1:] != row[:-1]) & ~new[1:]).astype(np.int64), first)
+            twice = others > 0
             edge = np.flatnonzero(np.append(True, np.diff(group[first]) != 0))
             ends = np.append(edge[1:], len(first))
             g = group[first][edge]
             values = value[first]
             return pa.RecordBatch.from_arrays([
                 pa.array(g // parts), pa.array(g % parts), pa.array([_squeezed(values[a:b]) for a, b in zip(edge, ends)], pa.binary()),
-                pa.array([_squeezed(values[a:b][twice[a:b]]) for a, b in zip(edge, ends)], pa.binary())], ["slice", "part", "prints", "known"])
+                pa.array([_squeezed(values[a:b][twice[a:b]]) for a, b in zip(edge, ends)], pa.binary()),
+                pa.array([_packed(others[a:b][twice[a:b]]) for a, b in zip(edge, ends)], pa.binary())], ["slice", "part", "prints", "known", "others"])
 
         base = 0
         for batch in batches:
@@ -129,21 +146,34 @@ def _sent(rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield send()
 
-    return rows.select("slice", "text").mapInArrow(run, "slice long, part long, prints binary, known binary")
+    return rows.select("slice", "text").mapInArrow(run, "slice long, part long, prints binary, known binary, others binary")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(values.astype("<i8").tobytes())
+
+
+def _unpacked(blob: bytes, rows: int = 1) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8").reshape(rows, -1)
 
 
 def _live(sent: DataFrame) -> DataFrame:
-    """(slice, part, live): which of a slice's fingerprints two senders have, or two of its documents."""
+    """(slice, part, live, hot): which of a slice's fingerprints two senders have, or two of its
+    documents; and which of those more than HOT documents have."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         own = [_unsqueezed(b) for b in frame["prints"]]
-        flat = np.sort(np.concatenate(own))
-        twice = np.unique(np.concatenate([flat[1:][flat[1:] == flat[:-1]], *[_unsqueezed(b) for b in frame["known"]]]))
-        ends = np.append(twice, np.uint32(0))  # a value past the last one is looked up here
-        live = [_squeezed(o[(ends[spot] == o) & (spot < len(twice))]) for o, spot in ((o, np.searchsorted(twice, o)) for o in own)]
-        return frame[["slice", "part"]].assign(live=live)
+        every, documents = np.unique(np.concatenate(own), return_counts=True)
+        for known, others in zip(frame["known"], frame["others"]):
+            np.add.at(documents, np.searchsorted(every, _unsqueezed(known)), _unpacked(others)[0])
+
+        def of(chosen: np.ndarray) -> list[bytes]:
+            ends = np.append(chosen, np.uint32(0))  # a value past the last one is looked up here
+            return [_squeezed(o[(ends[spot] == o) & (spot < len(chosen))]) for o, spot in ((o, np.searchsorted(chosen, o)) for o in own)]
 
-    return sent.groupBy("part").applyInPandas(meet, "slice long, part long, live binary")
+        return frame[["slice", "part"]].assign(live=of(every[documents > 1]), hot=of(every[documents > HOT]))
+
+    return sent.groupBy("part").applyInPandas(meet, "slice long, part long, live binary, hot binary")
 
 
 def shared(a: bytes, b: bytes, known: int) -> int:
@@ -280,18 +310,20 @@ def _merge(runs: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFrame:
-    """(slice, bucket, run, state): a run for every bucket; bucket -1 holds what the slice settles itself.
+    """(slice, bucket, run, state): a run for every bucket; bucket -1 holds what the slice settles
+    itself, bucket -2 the strings of hot anchors.
 
-    ``state`` has for every record, or settled stretch, its document, start and number of strings.
+    ``state`` has for every record, or settled stretch, its document, start and number of strings;
+    for a hot string its document, start and 128-bit fingerprint.
     """
 
     def look(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values(["id", "print"], ignore_index=True)
         # A slice has as many rows a part as tasks that sent some of it.
-        sets = [_unsqueezed(b).astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for p, b in zip(known["part"], known["live"])]
-        if docs.empty or not any(map(len, sets)):
+        live, hot = ([_unsqueezed(b).astype(np.uint64) | (np.uint64(p) << np.uint64(32)) for p, b in zip(known["part"], known[c])] for c in ("live", "hot"))
+        if docs.empty or not any(map(len, live)):
             return pd.DataFrame({"slice": [], "bucket": [], "run": [], "state": []})
-        live = np.unique(np.concatenate(sets))
+        live, hot = np.unique(np.concatenate(live)), np.unique(np.concatenate(hot))
         found: list[tuple[np.ndarray, ...]] = []
         column, base = pa.array(docs["text"], pa.binary()), 0
         for first, _, raw, at in text.slices(column):
@@ -301,7 +333,12 @@ def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFra
                 key = (prints & np.uint64(0xFFFFFFFF)) | (((prints >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32))
                 spot = np.minimum(np.searchsorted(live, key), len(live) - 1)
                 ok = np.flatnonzero(live[spot] == key)
-                found.append((text.range_hash(sums, start[ok], start[ok] + SPAN), first + row[ok], base + start[ok], base + anchor[ok], prints[ok]))
+                common = np.isin(key[ok], hot) if len(hot) else np.zeros(len(ok), bool)
+                halves = np.zeros((2, len(ok)), np.uint64)
+                middle = start[ok][common] + SPAN // 2
+                halves[0, common] = text.range_hash(sums, start[ok][common], middle)
+                halves[1, common] = text.range_hash(sums, middle, start[ok][common] + SPAN)
+                found.append((text.range_hash(sums, start[ok], start[ok] + SPAN), first + row[ok], base + start[ok], base + anchor[ok], prints[ok], common, *halves))
             base += len(raw)
         out: list[tuple] = []
         if found:
@@ -314,10 +351,10 @@ def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFra
 
 
 def _state(ids: np.ndarray, prints: np.ndarray, start: np.ndarray, many: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(np.stack([ids, prints, start, many]).astype("<i8").tobytes())
+    return _packed(np.stack([ids, prints, start, many]))
 
 
-def _records(string, row, start, anchor, prints, whole, offsets, docs, buckets) -> list[tuple]:
+def _records(string, row, start, anchor, prints, common, left, right, whole, offsets, docs, buckets) -> list[tuple]:
     ids, own = docs["id"].to_numpy(np.int64), docs["print"].to_numpy(np.int64)
     order = np.argsort(string, kind="stable")  # documents rise within a string
     new = np.append(True, np.diff(string[order].view(np.int64)) != 0)
@@ -337,7 +374,11 @@ def _records(string, row, start, anchor, prints, whole, offsets, docs, buckets)
     if len(a):
         r = row[a]
         out.append((-1, None, _state(ids[r], own[r], start[a] - offsets[r], start[b] - start[a] + 1)))
-    a, b = stretches(np.flatnonzero(~late))
+    each = np.flatnonzero(~late & common)
+    if len(each):
+        r = row[each]
+        out.append((-2, None, _packed(np.stack([ids[r], own[r], start[each] - offsets[r], left[each].view(np.int64), right[each].view(np.int64)]))))
+    a, b = stretches(np.flatnonzero(~late & ~common))
     bucket = ((prints[a] >> np.uint64(36)) % np.uint64(buckets)).astype(np.int64)
     data = whole.tobytes()
     for k in np.unique(bucket).tolist():
@@ -352,14 +393,31 @@ def _records(string, row, start, anchor, prints, whole, offsets, docs, buckets)
     return out
 
 
+def _hot(runs: DataFrame) -> DataFrame:
+    """(slice, id, print, start) of strings of hot anchors that a smaller id has, too."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for piece, state in zip(frame["slice"], frame["state"]):
+                ids, prints, start, left, right = _unpacked(state, 5)
+                yield pd.DataFrame({"slice": piece, "id": ids, "print": prints, "start": start, "a": left, "b": right})
+
+    rows = runs.filter("bucket = -2").select("slice", "state").mapInPandas(spread, "slice long, id long, print long, start long, a long, b long")
+    least = rows.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("a", "b", "least")
+    return rows.join(least, ["a", "b"]).filter("least < id").select("slice", "id", "print", "start")
+
+
 def _ranges(runs: DataFrame, masks: DataFrame) -> DataFrame:
     """(id, print, ranges): pairs of start and end of removed bytes, as 32-bit integers; a
     row for every document that loses some, since its slice knows all of them."""
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        single = frame[frame["state"].isna()]
+        parts = [np.stack([single[c].to_numpy(np.int64) for c in ("id", "print", "start")] + [single["start"].to_numpy(np.int64) + SPAN])]
         for state, mask in zip(frame["state"], frame["masks"]):
-            ids, prints, start, many = np.frombuffer(zstandard.ZstdDecompressor().decompress(state), "<i8").reshape(4, -1)
+            if state is None:
+                continue
+            ids, prints, start, many = _unpacked(state, 4)
             if mask is None:
                 parts.append(np.stack([ids, prints, start, start + many - 1 + SPAN]))
                 continue
@@ -374,8 +432,11 @@ def _ranges(runs: DataFrame, masks: DataFrame) -> DataFrame:
         ends = np.append(edge[1:], len(ids))
         return pd.DataFrame({"id": ids[edge], "print": prints[edge], "ranges": [joined(pairs[x:y]).tobytes() for x, y in zip(edge, ends)]})
 
-    met = runs.select("slice", "bucket", "state").join(masks, ["slice", "bucket"], "left")
-    return met.select("slice", "state", "masks").groupBy("slice").applyInPandas(gather, "id long, print long, ranges binary")
+    none = F.lit(None)
+    met = runs.filter("bucket > -2").select("slice", "bucket", "state").join(masks, ["slice", "bucket"], "left")
+    met = met.select("slice", "state", "masks", *[F.lit(0).cast("long").alias(c) for c in ("id", "print", "start")]).unionByName(
+        _hot(runs).withColumns({"state": none.cast("binary"), "masks": none.cast("binary")}))
+    return met.groupBy("slice").applyInPandas(gather, "id long, print long, ranges binary")
 
 
 def joined(pairs: np.ndarray) -> np.ndarray:
