@@ -92,6 +92,30 @@ def test_near_duplicates(messy, texts):
     same_rows([r[0] for r in kept.select("doc_id").collect()], list({d for d, _, _, k in want if k and d is not None}) + [None, None])
 
 
+def test_texts_of_one_id_are_kept_apart(llm):
+    from posefarm.llm.near_dedup import keep_first, near_duplicates
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b), (4, a), (5, ""), (5, None), (5, " ")]
+    table = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, (r.text or "").strip()) for r in keep_first(table).collect()}
+    assert got == {(1, a), (1, b), (2, c), (5, "")}
+    assert {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(table).collect()} == {(1, 1, True), (2, 2, True), (3, 1, False), (4, 1, False), (5, 5, True)}
+
+
+def test_the_threshold_is_an_argument(llm):
+    from posefarm.llm.near_dedup import near_duplicates
+    words = [f"w{k}" for k in range(64)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-5] + ["x"] * 2 + words[-3:])), (3, " ".join(words[:-6]))]
+    for percent in (70, 80, 90):
+        sets = [shingles(t) for _, t in rows]
+        close = [[100 * len(s & t) >= percent * len(s | t) for t in sets] for s in sets]
+        got = {r.doc_id: r.component_id for r in near_duplicates(llm.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+        for i in range(3):
+            for j in range(3):
+                assert not close[i][j] or got[i + 1] == got[j + 1]
+        assert got[3] == (1 if close[0][2] or (close[1][2] and close[0][1]) else 3)
+
+
 def family(seed, templates, copies, size):
     """Edited copies of templates that all share one passage, and loners with the passage."""
     draw = random.Random(seed)
@@ -249,7 +273,6 @@ def test_cuts_are_the_cheapest():
 def encoded(name, text, end):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -355,6 +378,7 @@ def test_tokenizer_pieces_are_whole_text_ids():
 def test_sharding(messy, texts, monkeypatch):
     from posefarm.llm import sharding
     monkeypatch.setattr(sharding, "GROUPS_PER_BUCKET", 4)
+    monkeypatch.setattr(sharding, "FAN", 2)
     monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 5)
     got = sharding.sharded(messy, 3).collect()
     same_rows([(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got],
@@ -416,6 +440,42 @@ def test_repeated_passages_at_random(llm, monkeypatch):
     same_rows([tuple(r) for r in out.collect()], plain_removal(rows))
 
 
+@pytest.mark.parametrize("hot, stretch", [(1, 1 << 23), (5, 70), (1024, 51)])
+def test_a_phrase_in_all_documents(llm, monkeypatch, hot, stretch):
+    """One phrase with other words around it in each document: its strings are rows, not one bucket."""
+    from posefarm.llm import suffix_dedup
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 6)))
+    phrase = "all rights reserved, printed by " + "no one at all"
+    tails = [word() + " " + word() + " " + word() for _ in range(9)]
+    rows = [(draw.randint(0, 90), " ".join([word() for _ in range(6)] + [phrase, draw.choice(tails)] + [word() for _ in range(4)])) for _ in range(150)]
+    rows += [(200, "ab" * 300), (201, "ab" * 200), (None, rows[0][1])]
+    table = llm.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = []
+    if hot == 1:
+        merge = suffix_dedup._merge
+        monkeypatch.setattr(suffix_dedup, "_merge", lambda runs: kept.append(runs.count()) or merge(runs))
+    same_rows([tuple(r) for r in suffix_dedup.without_repeats(table).collect()], plain_removal(rows))
+    assert hot > 1 or kept == [0] or kept[0] < 40
+
+
+def test_places_in_a_long_text(monkeypatch):
+    from posefarm.llm import suffix_dedup, text
+    raw = np.frombuffer(b"abcab" * 4000 + b"x" * 200, np.uint8)
+    at = np.array([0, len(raw)])
+    whole = suffix_dedup.strings(raw, at)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 777)
+    for a, b in zip(whole, suffix_dedup.strings(raw, at)):
+        assert (a == b).all()
+    # Equal strings have their anchor at the same place in them, wherever they stand.
+    distance = {}
+    for s, a in zip(whole[0].tolist(), whole[1].tolist()):
+        assert distance.setdefault(raw[s:s + 50].tobytes(), a - s) == a - s
+
+
 def test_loser_tree_merges():
     from posefarm.llm.suffix_dedup import decode_run, encode_run, merged
     draw = random.Random(1)
@@ -477,6 +537,11 @@ def test_decontamination(llm, messy, texts, monkeypatch):
             assert r.contaminated == (score >= 30)
             if r.contaminated:
                 assert (r.score, r.item_id) == (score, -item)
+    # Equal items: the smaller id, however the benchmark is cut.
+    same = llm.createDataFrame([(k, " ".join(items[0])) for k in (5, 3, 9, 2, 7)], "item_id long, text string")
+    for block in (8 << 20, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert decontaminate.overlap(llm.createDataFrame([(1, " ".join(items[0]))], "doc_id long, text string"), same).first().item_id == 2
     clean = decontaminate.drop_contaminated(messy, bench)
     assert clean.columns == messy.columns and clean.count() == len(texts)
     assert decontaminate.overlap(messy, bench.limit(0)).filter("contaminated").count() == 0
