@@ -177,14 +177,14 @@ def landscape_summary(landscape: DataFrame) -> DataFrame:
 
 
 def spacing_sweep(atoms: DataFrame, complexes: DataFrame, rotations: DataFrame, n_rotations: int, weights: Weights,
-                  spacings: Sequence[float], reach: float | None = None, ntop: int = 50) -> DataFrame:
+                  spacings: Sequence[float], reach: float | None = None, ntop: int = 50, round_to: int | None = None) -> DataFrame:
     """Search at several spacings: recall, success at 1 and snap error of the native translation.
 
     Every shift at which cells meet is scored, or those up to ``reach`` per axis where that is asked for.
     """
     out = None
     for h in spacings:
-        found = cut(search_poses(atoms, rotations, n_rotations, weights, h, None if reach is None else int(reach / h), 1, ntop))
+        found = cut(search_poses(atoms, rotations, n_rotations, weights, h, None if reach is None else int(reach / h), 1, ntop, round_to=round_to))
         q = dockq(found, atoms)
         per = q.groupBy(C).agg(F.max("dockq").alias("_best"), F.max(F.when(F.col("pose_id") == 1, F.col("dockq"))).alias("_top"))
         snap = complexes.select(C, F.sqrt(dot(*[[F.rint(F.col(t) / h) * h - F.col(t) for t in T]] * 2)).alias("_snap"))

@@ -309,7 +309,8 @@ def pool_from_poses(atoms: DataFrame, poses: DataFrame, h: float = fixed.REFEREN
 
 
 def decoys_with_cone(atoms: DataFrame, complexes: DataFrame, n_random: int, n_cone: int, weights: Weights,
-                     h: float = fixed.REFERENCE_SPACING, max_shift: int | None = None, cone_deg: float = 15.0, seed: int = 0) -> DataFrame:
+                     h: float = fixed.REFERENCE_SPACING, max_shift: int | None = None, cone_deg: float = 15.0, seed: int = 0,
+                     round_to: int | None = None) -> DataFrame:
     """Older recipe: best translation for random and cone rotations, plus cone rotations
     at the exact native translation (score NULL)."""
     spark = atoms.sparkSession
@@ -322,7 +323,7 @@ def decoys_with_cone(atoms: DataFrame, complexes: DataFrame, n_random: int, n_co
         atoms.filter(F.col("side") == "L"),
         sets.select(C, F.col("qi").alias("pose_id"), *Q, *[F.lit(0.0).alias(t) for t in T])).withColumnRenamed("pose_id", "qi")
     best = _best(receptor_layers(atoms, grid, weights), ligand_layers(turned, grid, weights), cl.channel_names(weights), max_shift, 1,
-                 n_random + n_cone).join(sets, [C, "qi"])
+                 n_random + n_cone, round_to).join(sets, [C, "qi"])
     searched = best.select(C, "qi", "score", *Q, *[(F.col(c) * float(h)).alias(t) for c, t in zip(("cx", "cy", "cz"), T)])
     injected = cone.select(C, (F.col("qi") + n_cone).alias("qi"), F.lit(None).cast("double").alias("score"), *Q, *T)
     return searched.unionByName(injected)

@@ -181,6 +181,17 @@ def hinge_fit(spark, sf):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "step int, objective double")
 
 
+@query("hinge_fit_steps", f"""WITH {AFF}, gv AS (SELECT [{", ".join(f"avg(CASE WHEN act THEN ta[{k + 1}]-tn[{k + 1}] ELSE 0 END)" for k in range(V.WIDE))}] AS g, avg(hinge) AS h FROM hg),
+ e1 AS (SELECT g, h, [{", ".join(f"{v}{D}-g[{k + 1}]/0.1{D}" for k, v in enumerate(E0))}] AS e FROM gv),
+ n1 AS (SELECT complex_id, max(-list_inner_product(t::DOUBLE[], e)) AS sn FROM aff, e1 WHERE NOT pos GROUP BY 1), a1 AS (SELECT complex_id, -list_inner_product(ta::DOUBLE[], e) AS sa FROM anc, e1)
+ SELECT 0::INTEGER AS step, {r('h', 5)} AS objective FROM e1 UNION ALL SELECT 1, {r('h1+0.05*list_inner_product(g, g)/0.01', 5)} FROM e1, (SELECT avg(greatest(0.0{D}, sn-sa+1.0{D})) AS h1 FROM n1 JOIN a1 USING (complex_id))""")
+def hinge_fit_steps(spark, sf):
+    """The fit's first two evaluations: at the start, and at the minimum of its first plane."""
+    _, history = fi.hinge_fit(affine(spark, sf), E0, 0.1, steps=2)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(history)], "step int, objective double")
+    return rows.withColumn("objective", rnd(F.col("objective"), 5))
+
+
 E1 = [v * 0.5 for v in E0]
 
 
