@@ -54,7 +54,7 @@ _INDEX = np.uint64((1 << 24) - 1)
 #: Starts of strings whose places are counted from one base.
 STRETCH = 1 << 23
 #: An anchor in more documents than this is settled string by string, by an aggregate.
-HOT = 1024
+HOT = 1 << 14
 
 
 def strings(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
