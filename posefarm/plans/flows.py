@@ -297,7 +297,20 @@ def refinement_report(spark, sf):
     return out.select(*[F.col(c) if c in ints else rnd(F.col(c), 3 if c == "median_turn" else 6).alias(c) for c in out.columns])
 
 
-@query("term_gaps")
+TERM_NAMES = ("fav", "clash", "shape", "pair", "charge", "total")
+GAPS = f"""won_ AS MATERIALIZED (WITH {SCAN}, {ROT_NEAR}, w AS (SELECT f.complex_id, 2::BIGINT AS pose_id, {", ".join(f"s.{q}" for q in Q)}, cx*{H}{D} AS tx, cy*{H}{D} AS ty, cz*{H}{D} AS tz FROM found f JOIN rotations s ON s.qi=f.qi WHERE rank=1)
+   SELECT * FROM w UNION ALL SELECT complex_id, 0, {", ".join(Q)}, {", ".join(T)} FROM complexes
+   UNION ALL SELECT complex_id, 1, {", ".join(Q)}, {", ".join(f"round_even({t}/{H}{D},0)*{H}{D}" for t in T)} FROM rnear WHERE place=1),
+ {V.ATOMS}, {g.grid_sql(H)}, {g.REC}, poses AS (SELECT * FROM won_),
+ lig AS MATERIALIZED (SELECT complex_id, pose_id, atom_idx, radius, sasa, type_id, charge_id, -{g.CHARGE_LUT}[charge_id] AS charge, px AS x, py AS y, pz AS z FROM (
+   SELECT a.*, p.pose_id, {V.rotated_sql('p', 'a')} FROM atoms a JOIN poses p USING (complex_id) WHERE side='L')), {g.FEATURES},
+ native AS MATERIALIZED (WITH {V.NATIVE} SELECT * FROM native), {g.CONTACTS}, {labels_sql('poses', 'lq')},
+ tm AS (SELECT complex_id, pose_id, 0.5{D}*c_pair AS fav, -(0.75{D}*n_ss+1.5{D}*n_sc+3.0{D}*n_cc) AS clash, 0.5{D}*c_pair-(0.75{D}*n_ss+1.5{D}*n_sc+3.0{D}*n_cc) AS shape, -pe AS pair, 2.0{D}*elec AS charge, score AS total FROM scores),
+ tw AS (SELECT a.complex_id, q.dockq>={TH} AS recalled, {", ".join(f"a.{n}-b.{n} AS gap_{n}, b.{n}-c.{n} AS dis_{n}" for n in TERM_NAMES)} FROM tm a JOIN tm b ON b.complex_id=a.complex_id AND b.pose_id=1 JOIN tm c ON c.complex_id=a.complex_id AND c.pose_id=0
+   JOIN lq q ON q.complex_id=a.complex_id AND q.pose_id=2 WHERE a.pose_id=2)"""
+
+
+@query("term_gaps", f"WITH {GAPS} " + " UNION ALL ".join(f"SELECT recalled, '{n}' AS term, count(*) AS n, {r(f'avg(gap_{n})', 4)} AS gap, {r(f'avg(dis_{n})', 4)} AS discretisation FROM tw GROUP BY 1" for n in TERM_NAMES))
 def term_gaps(spark, sf):
     a = V.native_atoms(spark, sf)
     s = cut(found(spark, sf))

@@ -547,12 +547,37 @@ def random_probes(spark, sf):
                         *[rnd(F.col(f"g{x}") - F.col(f"h{x}"), 5).alias(f"d{x}") for x in "xyz"])
 
 
-@query("surface_touching_decoys")
+def touching_sql(n: int, draws: int, push: tuple[float, float], contact: tuple[float, float], seed: int) -> str:
+    """``touch``: the first ``n`` of ``draws`` decoys of every complex that touch."""
+    turn = random_quat_sql("key", seed + 1)
+    return f"""dr AS (SELECT complex_id, pose_id, {V.mix2_sql('complex_id', 'pose_id', seed)} AS key FROM (SELECT DISTINCT complex_id FROM atoms) CROSS JOIN (SELECT unnest(range(0,{draws})) AS pose_id)),
+ du AS (SELECT *, {", ".join(f"{e} AS q{i + 1}" for i, e in enumerate(turn))}, 2.0{D}*{uniform_sql('key*2', seed + 2)}-1.0{D} AS uz, {2 * PI!r}{D}*{uniform_sql('key*2+1', seed + 2)} AS uphi, {push[0]}{D}+{push[1] - push[0]}{D}*{uniform_sql('key', seed + 3)} AS gap FROM dr),
+ dd AS MATERIALIZED (SELECT * EXCLUDE (uphi), sqrt(greatest(0.0{D},1.0{D}-uz*uz))*cos(uphi) AS ux, sqrt(greatest(0.0{D},1.0{D}-uz*uz))*sin(uphi) AS uy FROM du),
+ dl AS MATERIALIZED (SELECT d.complex_id, d.pose_id, ux, uy, uz, gap, {V.rotated_sql('d', 'a', False)} FROM dd d JOIN atoms a ON a.complex_id=d.complex_id AND a.side='L'),
+ dm AS (SELECT complex_id, pose_id, max(-(px*ux+py*uy+pz*uz)) AS l FROM dl GROUP BY 1,2),
+ dn AS (SELECT d.complex_id, d.pose_id, max(x*ux+y*uy+z*uz) AS rr FROM dd d JOIN atoms a ON a.complex_id=d.complex_id AND a.side='R' GROUP BY 1,2),
+ dc AS (SELECT l.complex_id, l.pose_id, min(sqrt((px+(l+rr+gap)*ux-a.x)*(px+(l+rr+gap)*ux-a.x)+(py+(l+rr+gap)*uy-a.y)*(py+(l+rr+gap)*uy-a.y)+(pz+(l+rr+gap)*uz-a.z)*(pz+(l+rr+gap)*uz-a.z))) AS closest
+   FROM dl l JOIN dm USING (complex_id, pose_id) JOIN dn USING (complex_id, pose_id) JOIN atoms a ON a.complex_id=l.complex_id AND a.side='R' GROUP BY 1,2),
+ touch AS (SELECT *, row_number() OVER (PARTITION BY complex_id ORDER BY pose_id) AS place FROM dc WHERE closest BETWEEN {contact[0]}{D} AND {contact[1]}{D} QUALIFY place<={n})"""
+
+
+N_TOUCH = 2
+
+
+@query("surface_touching_decoys", f"WITH {V.ATOMS}, {touching_sql(N_TOUCH, 4 * N_TOUCH * 8, (-1.0, 3.0), (3.0, 6.0), 9)} SELECT complex_id, place::INTEGER AS place, {r('closest')} AS closest FROM touch")
 def surface_touching_decoys(spark, sf):
-    d = ro.surface_touching_decoys(V.atoms(spark, sf), 2, seed=9)
+    d = ro.surface_touching_decoys(V.atoms(spark, sf), N_TOUCH, seed=9)
     return d.select(C, "place", rnd(F.col("closest")).alias("closest"))
 
 
+@query("touching_shortfall", f"""WITH {V.ATOMS}, {touching_sql(N_TOUCH, 4 * N_TOUCH * 2, (-1.0, 3.0), (3.0, 6.0), 9)}, f AS (SELECT complex_id, count(*) AS n FROM touch GROUP BY 1)
+ SELECT complex_id, coalesce(n, 0) AS found, {N_TOUCH}-coalesce(n, 0) AS missing FROM (SELECT DISTINCT complex_id FROM atoms) LEFT JOIN f USING (complex_id)""")
+def touching_shortfall(spark, sf):
+    """What two rounds of draws leave missing."""
+    a = V.atoms(spark, sf)
+    return ro.touching_shortfall(a, ro.surface_touching_decoys(a, N_TOUCH, rounds=2, seed=9), N_TOUCH)
+
+
 LATTICE = NEAR + f""",
 lattice AS (SELECT n.complex_id, n.qi, round_even(tx/{HC}{D},0)::BIGINT+dx AS cx, round_even(ty/{HC}{D},0)::BIGINT+dy AS cy, round_even(tz/{HC}{D},0)::BIGINT+dz AS cz, n.q1, n.q2, n.q3, n.q4
   FROM (SELECT * FROM near WHERE place<=2) n JOIN complexes c USING (complex_id) CROSS JOIN (SELECT unnest(range(-1,2)) AS dx) CROSS JOIN (SELECT unnest(range(-1,2)) AS dy) CROSS JOIN (SELECT unnest(range(-1,2)) AS dz))"""
