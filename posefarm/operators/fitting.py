@@ -19,6 +19,7 @@ from posefarm.functions.columns import mix, weighted_sum
 from posefarm.functions.ordering import with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
 from posefarm.operators.scoring import Weights, linear_score, standardize
+from posefarm.session import cut, shared_folder
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
@@ -70,6 +71,56 @@ class AdamConfig:
     seed: int = 0
 
 
+#: Features up to which the sums of all terms go into one aggregate, six for each feature.
+FUSED = 32
+
+
+def _fused_gradients(pool: DataFrame, weights: Weights, obj: Objective, x: list[Column]) -> DataFrame:
+    """:func:`complex_gradients` in two aggregates: extremes and moments of the scores, which a
+    second one over the poses turns into all sums the gradient is made of.
+
+    The derivative by a pose's standardised score is a softmax share, less one among the
+    positives, plus the margin's active and anchor terms; its products with the features add up
+    term by term, so the normalisers need not be known before.
+    """
+    pos, s, t = F.col("dockq") >= obj.q_thr, F.col("score"), obj.temperature
+    scored = linear_score(pool, weights)
+    stats = scored.groupBy(C).agg(
+        F.avg(s).alias("_mean"), F.coalesce(F.stddev_pop(s), F.lit(0.0)).alias("_sd"), F.max(s).alias("_m"), F.max(F.when(pos, s)).alias("_mp"),
+        F.count_if(pos).alias("_np"), F.count_if(~pos).alias("_nn"), F.min(F.when(pos, F.struct(s, "pose_id"))).alias("_low"))
+    z = lambda c: (c - F.col("_mean")) / F.col("_scale")
+    j = scored.join(stats.withColumn("_scale", F.greatest("_sd", F.lit(1.0))), C)
+    j = j.select(C, *[v.cast("double").alias(f"_x{i}") for i, v in enumerate(x)], z(s).alias("_z"), pos.alias("_pos"), "_np", "_nn", "_scale", (F.col("_sd") < 1.0).alias("_fixed"),
+                 F.exp((z(s) - z(F.col("_m"))) / t).alias("_e"), F.when(pos, F.exp((z(s) - z(F.col("_mp"))) / t)).alias("_ep"),
+                 (~pos & (obj.margin + z(s) - z(F.col("_low.score")) > 0)).alias("_on"), (pos & (F.col("pose_id") == F.col("_low.pose_id"))).alias("_at"))
+    values = [F.col(f"_x{i}") for i in range(len(x))] + [F.col("_z"), F.lit(1.0)]
+    sums = j.groupBy(C).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_scale").alias("_scale"), F.max("_fixed").alias("_fixed"), F.max("_np").alias("_np"), F.max("_nn").alias("_nn"),
+        F.array(*[F.sum(F.col("_e") * v) for v in values]).alias("_ex"), F.array(*[F.coalesce(F.sum(F.col("_ep") * v), F.lit(0.0)) for v in values]).alias("_px"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("_on"), v)), F.lit(0.0)) for v in values]).alias("_ax"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("_at"), v)), F.lit(0.0)) for v in values]).alias("_lx"),
+        F.array(*[F.sum(v) for v in values]).alias("_sx"), F.array(*[F.sum(F.col("_z") * v) for v in values]).alias("_zx"))
+    last = len(values)
+    of = lambda name: F.element_at(name, last)
+    live, both = F.col("_np") > 0, (F.col("_np") > 0) & (F.col("_nn") > 0)
+
+    def total(k: Column) -> Column:
+        """Sum of g times value k."""
+        g = F.lit(0.0)
+        if obj.basin:
+            g = g + F.when(live, (F.get("_ex", k) / of("_ex") - F.get("_px", k) / of("_px")) / t).otherwise(0.0)
+        if obj.negatives == "minanchor":
+            g = g + F.when(both, obj.lambda_margin * (F.get("_ax", k) - of("_ax") * F.get("_lx", k)) / F.col("_nn")).otherwise(0.0)
+        return g
+
+    mean_g = total(F.lit(last - 1)) / F.col("_n")
+    mean_gz = F.when(F.col("_fixed"), F.lit(0.0)).otherwise(total(F.lit(last - 2)) / F.col("_n"))
+    sums = sums.withColumns({"_mg": mean_g, "_mgz": mean_gz})
+    grad = F.transform(F.sequence(F.lit(0), F.lit(last - 3)), lambda k: (
+        total(k) - F.col("_mg") * F.get("_sx", k) - F.col("_mgz") * F.get("_zx", k)) / F.col("_scale"))
+    return sums.select(C, grad.alias("grad"))
+
+
 def complex_gradients(pool: DataFrame, weights: Weights, obj: Objective, length: int) -> DataFrame:
     """Gradient of the data loss of every complex by (c_pair, n_ss, n_sc, n_cc, t...) coefficients.
 
@@ -77,6 +128,8 @@ def complex_gradients(pool: DataFrame, weights: Weights, obj: Objective, length:
     so one aggregate per complex yields the whole vector as an array ``grad``.
     """
     cols = [c for c in SHAPE if c in pool.columns]
+    if len(cols) + length <= FUSED and obj.negatives in ("minanchor", "none") and not obj.lambda_shape:
+        return _fused_gradients(pool, weights, obj, [F.col(c) for c in cols] + [F.col("t")[k] for k in range(length)])
     scored = standardize_with_scale(linear_score(pool, weights))
     g = pose_gradients(scored, obj)
     x = [F.col(c) for c in cols] + [F.col("t")[k] for k in range(length)]
@@ -142,6 +195,26 @@ def _chain(model: Model, start: Model, grad: list[float], obj: Objective) -> tup
     return shape, table
 
 
+#: Folders of a stored pool at most.
+MOST_BUCKETS = 4096
+
+
+def bucketed_pool(pool: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, int]:
+    """The pool, written by buckets of about ``batch`` complexes; (bucket, complex) of every
+    complex; and the number of complexes.
+
+    A step that joins the pool with its complexes reads their buckets only: the folders are
+    pruned at run time by the join itself.
+    """
+    n = pool.select(C).distinct().count()
+    buckets = max(1, min(MOST_BUCKETS, -(-n // max(1, batch))))
+    keyed = pool.withColumn("bucket", F.pmod(F.xxhash64(C), F.lit(buckets)).cast("int"))
+    path = shared_folder(pool.sparkSession, "fit")
+    keyed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    rows = pool.sparkSession.read.schema(keyed.schema).parquet(path)
+    return rows, cut(rows.select("bucket", C).distinct()), n
+
+
 @dataclass
 class FitResult:
     model: Model
@@ -152,11 +225,13 @@ def fit_adam(fit: DataFrame, validation: DataFrame, start: Model, obj: Objective
              cfg: AdamConfig = AdamConfig()) -> FitResult:
     """Adam over minibatches of complexes with early stopping on the validation data loss.
 
-    A minibatch is a hashed set of complexes, so no id list leaves the driver; the
-    best checkpoint is restored at the end.
+    Both pools are written once, the fitted one by buckets of complexes.  A minibatch is a
+    hashed set of complexes that meets the pool in a join, so a step reads only their buckets
+    and no id list leaves the driver.  The best checkpoint is restored at the end.
     """
     length = len(start.table)
-    n_complexes = fit.select(C).distinct().count()
+    fit, ids, n_complexes = bucketed_pool(fit, cfg.batch)
+    validation = cut(validation)
     share = min(1.0, cfg.batch / max(1, n_complexes))
     key = fit.schema[C].dataType.typeName()
     hashed = F.col(C) if key in ("long", "integer") else F.xxhash64(C)
@@ -171,7 +246,8 @@ def fit_adam(fit: DataFrame, validation: DataFrame, start: Model, obj: Objective
     stale = 0
     for step in range(1, cfg.steps + 1):
         take = mix(hashed, cfg.seed * 100_003 + step) < int(share * 2147483647)
-        rows = mean_gradient(fit.filter(take) if share < 1.0 else fit, model.weights(), obj, length).collect()
+        few = fit if share >= 1.0 else fit.join(ids.filter(take), ["bucket", C])
+        rows = mean_gradient(few, model.weights(), obj, length).collect()
         if not rows:
             continue
         grad = [0.0] * (4 + length)
@@ -321,7 +397,8 @@ def hinge_fit(affine: DataFrame, e0: Sequence[float], lam: float, steps: int | N
     """
     e = list(map(float, e0))
     history: list[float] = []
-    spot = anchors(affine, e)
+    affine = cut(affine)
+    spot = cut(anchors(affine, e))
     for turn in range(reanchor):
         fit = Bundle(e0, lam, basis, tol)
         done = 0
@@ -335,7 +412,7 @@ def hinge_fit(affine: DataFrame, e0: Sequence[float], lam: float, steps: int | N
             moved = spot.join(again.select(C, F.col("anchor").alias("_b")), C).filter(F.col("anchor") != F.col("_b")).limit(1).count()
             if not moved:
                 break
-            spot = again
+            spot = cut(again)
     return e, history
 
 
@@ -380,7 +457,8 @@ def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple
     """
     e0 = list(map(float, e0))
     fits = {name: Bundle(e0, lam, (bases or {}).get(name), tol) for name, (lam, _) in jobs.items()}
-    spot = anchors(affine, e0)
+    affine = cut(affine)
+    spot = cut(anchors(affine, e0))
     open_jobs, done = dict(jobs), 0
     while open_jobs and (steps is None or done < steps):
         got = _batched_hinge(affine, {n: (fits[n].point, use) for n, (_, use) in open_jobs.items()}, spot, eps)
@@ -475,14 +553,15 @@ def virtual_step_report(pool: DataFrame, start: Model, steps: Sequence[int], lr:
     live_ids = pool.filter(F.col("dockq") >= q_thr).select(C).distinct()
     dead = pool.join(live_ids, C, "left_anti")
     obj = Objective(basin=False, negatives="none", lambda_shape=1.0, lambda_prior=0.0, q_thr=q_thr)
-    n_dead = max(1, dead.select(C).distinct().count())
-    share = min(1.0, batch / n_dead)
+    pool = cut(pool)
+    dead, dead_ids, n_dead = bucketed_pool(dead, batch)
+    share = min(1.0, batch / max(1, n_dead))
     model = replace(start, table=list(start.table), freeze_shape=True)
     length = len(model.table)
     m, v = [0.0] * length, [0.0] * length
     settings = {"0": model.weights()}
     for step in range(1, max(steps) + 1):
-        picked = dead if share >= 1.0 else dead.filter(mix(F.col(C), seed + step) < int(share * 2147483647))
+        picked = dead if share >= 1.0 else dead.join(dead_ids.filter(mix(F.col(C), seed + step) < int(share * 2147483647)), ["bucket", C])
         grad = [0.0] * length
         skip = len([c for c in SHAPE if c in pool.columns])
         for r in mean_gradient(picked, model.weights(), obj, length).collect():

@@ -149,6 +149,30 @@ def fit_adam(spark, sf):
     return spark.createDataFrame(rows, "step int, validation double, accepted boolean")
 
 
+ADAM = fi.AdamConfig(steps=1, batch=1 << 40, val_every=1, table_lr=0.05, alpha_lr=0.05, rho_lr=0.02)
+_A, _R = f"{V.ALPHA}{D}", f"{V.RHO}{D}"
+_MOVE = lambda g, lr: f"{lr}{D}*(({g})/n)/(abs(({g})/n)+1e-8)"
+_VALUE = f"(WITH z AS MATERIALIZED (SELECT * FROM {{src}}), b AS ({BASIN}), m AS ({MARGIN}) SELECT avg(b.loss+0.3{D}*m.loss) FROM b JOIN m USING (complex_id))"
+ADAM_SQL = GRAD + f""",
+ga AS (SELECT {", ".join(f"avg(g{i}) AS g{i}" for i in range(8))} FROM gr WHERE complex_id%2=0),
+ch AS (SELECT g0-(g1*{_R}**2+g2*{_R}**3+g3*{_R}**4) AS da, -(2*g1*{_A}*{_R}+3*g2*{_A}*{_R}**2+4*g3*{_A}*{_R}**3) AS dr, {", ".join(f"-g{4 + k} AS d{k}" for k in range(4))} FROM ga),
+nr AS (SELECT *, greatest(1.0{D}, sqrt(da*da+dr*dr+d0*d0+d1*d1+d2*d2+d3*d3)) AS n FROM ch),
+mv AS (SELECT least(10.0{D}, greatest(0.0{D}, {_A}-{_MOVE('da', 0.05)})) AS a, least(9.0{D}, greatest(0.5{D}, {_R}-{_MOVE('dr', 0.02)})) AS rho, {", ".join(f"{t}{D}-{_MOVE(f'd{k}', 0.05)} AS w{k}" for k, t in enumerate(V.TABLE_A))} FROM nr),
+z_odd AS MATERIALIZED (SELECT * FROM z WHERE complex_id%2=1),
+sn AS (SELECT complex_id, pose_id, dockq, a*c_pair-a*(rho**2*n_ss+rho**3*n_sc+rho**4*n_cc)-(w0*t[1]+w1*t[2]+w2*t[3]+w3*t[4])+{V.BETA}{D}*elec AS s FROM pool, mv WHERE complex_id%2=1),
+z_new AS MATERIALIZED (SELECT *, (s-avg(s) {W})/greatest(stddev_pop(s) {W},1.0{D}) AS z, dockq>={TH} AS pos FROM sn),
+vals AS (SELECT {_VALUE.format(src='z_odd')} AS v0, {_VALUE.format(src='z_new')} AS v1)"""
+
+
+@query("fit_adam_step", f"WITH {ADAM_SQL} SELECT 0::INTEGER AS step, {r('v0', 5)} AS validation, true AS accepted FROM vals UNION ALL SELECT 1, {r('v1', 5)}, v1<v0-1e-4 FROM vals")
+def fit_adam_step(spark, sf):
+    """One step over all even complexes, judged on the odd ones."""
+    pool = V.pool(spark, sf)
+    got = fi.fit_adam(pool.filter(F.col(C) % 2 == 0), pool.filter(F.col(C) % 2 == 1), _model(), OBJ, ADAM)
+    rows = [(x["step"], float(x["validation"]), bool(x["accepted"])) for x in got.trajectory]
+    return spark.createDataFrame(rows, "step int, validation double, accepted boolean").withColumn("validation", rnd(F.col("validation"), 5))
+
+
 E0 = [((k * 5) % 7 - 3) / 16.0 for k in range(V.WIDE)]
 E0_SQL = "[" + ",".join(f"{v}{D}" for v in E0) + "]"
 AFF = V.POOL_WIDE + f""",
