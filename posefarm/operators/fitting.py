@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
 from posefarm.functions.columns import mix, weighted_sum
-from posefarm.functions.ordering import with_one, with_order
+from posefarm.functions.ordering import lower_median, quantiles_linear, with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
-from posefarm.operators.scoring import Weights, linear_score, standardize
+from posefarm.operators.scoring import Weights, additive_basis, linear_score, standardize, symmetric_additive_basis
 from posefarm.session import cut, shared_folder
 
 C = "complex_id"
@@ -26,6 +26,8 @@ THRESHOLD = fixed.TIERS[0]
 #: Hinge fits end within this share of their minimum.
 TOLERANCE = 1e-6
 SHAPE = ("c_pair", "n_ss", "n_sc", "n_cc")
+#: Evaluations without any progress after which a hinge fit gives up.
+STALLED = 500
 
 
 @dataclass
@@ -352,6 +354,7 @@ class Bundle:
         self.move = np.zeros(len(self.e0) if basis is None else len(self.basis))
         self.slopes, self.heights, self.shares = np.zeros((0, len(self.move))), np.zeros(0), np.zeros(0)
         self.best, self.best_e, self.bound = float("inf"), self.e0, -float("inf")
+        self.stalled = 0
 
     @property
     def point(self) -> list[float]:
@@ -363,7 +366,7 @@ class Bundle:
 
     def add(self, hinge: float, slope: Sequence[float]) -> float:
         """The objective at the current point; moves on to the next one."""
-        value = hinge + 0.5 * self.lam * float(self.move @ self.move)
+        value, gap = hinge + 0.5 * self.lam * float(self.move @ self.move), self.best - self.bound
         if value < self.best:
             self.best, self.best_e = value, np.array(self.point)
         g = np.array(slope, float)
@@ -383,6 +386,9 @@ class Bundle:
             self.shares[down] -= step
         self.move = -self.shares @ self.slopes / self.lam
         self.bound = max(self.bound, float(self.shares @ self.heights) - 0.5 * self.lam * float(self.move @ self.move))
+        self.stalled = 0 if not math.isfinite(gap) or self.best - self.bound < gap else self.stalled + 1
+        if self.stalled > STALLED and not self.settled:
+            raise RuntimeError(f"the gap of {self.best - self.bound:g} no longer closes; ask for a larger tol than {self.tol:g}")
         return value
 
 
@@ -490,30 +496,98 @@ def lambda_path_cv(affine: DataFrame, folds: DataFrame, e0: Sequence[float], lam
     return table, -ranked[0][1]
 
 
-def learning_curve(affine: DataFrame, validation: DataFrame, e0: Sequence[float],
-                   families: dict[str, Sequence[Sequence[float]] | None], sizes: Sequence[int], repeats: int,
-                   lam: float | dict[str, float], steps: int | None = None, seed: int = 0, tol: float = TOLERANCE) -> DataFrame:
-    """Mean validation top-1 per (family, size) over random subsets of complexes.
+@dataclass(frozen=True)
+class Family:
+    """A family of models affine in its parameters, which are zero at the published weights.
+
+    ``table`` features are the (negated) table counts, projected on ``basis`` where one is
+    given; ``shape`` adds the five of c_pair, the clash counts and the charge term; with
+    ``buckets`` > 1 every size class of complexes has table parameters of its own.
+    """
+
+    table: bool = True
+    basis: Sequence[Sequence[float]] | None = None
+    shape: bool = False
+    buckets: int = 1
+
+    def size(self, length: int) -> int:
+        own = 0 if not self.table else length if self.basis is None else len(self.basis)
+        return own * self.buckets + (5 if self.shape else 0)
+
+
+#: The families of the capacity study for a table of size x size.
+def capacity_families(size: int = 12) -> dict[str, Family]:
+    return {"shape": Family(table=False, shape=True), "sym": Family(basis=symmetric_additive_basis(size)), "add": Family(basis=additive_basis(size)),
+            "full": Family(), "full+": Family(shape=True), "bucket2": Family(buckets=2), "bucket4": Family(buckets=4)}
+
 
-    A subset is the first ``size`` complexes in a hashed order of the repeat.
+def complex_sizes(pool: DataFrame) -> DataFrame:
+    """complex_id, size: the lower median of the contacts that a pose makes, known before any ranking."""
+    contacts = pool.select(C, F.aggregate("t", F.lit(0.0), lambda a, v: a + v).alias("_contacts"))
+    return lower_median(contacts, C, "_contacts", "size")
+
+
+def size_edges(pool: DataFrame, buckets: int) -> list[float]:
+    """Edges of equally filled size classes; taken from the fitted set and used for any other."""
+    if buckets < 2:
+        return []
+    row = quantiles_linear(complex_sizes(pool), [], "size", {f"e{k}": k / buckets for k in range(1, buckets)}).first()
+    return [float(row[f"e{k}"]) for k in range(1, buckets)]
+
+
+def family_pool(pool: DataFrame, weights: Weights, family: Family, edges: Sequence[float] = (), q_thr: float = THRESHOLD) -> DataFrame:
+    """Poses as score = c + f . theta under a family: c is the published score, f the features.
+
+    Only complexes with both classes remain.
+    """
+    base = linear_score(pool, weights, "c")
+    classes = base.groupBy(C).agg(F.count_if(F.col("dockq") >= q_thr).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    base = base.join(classes.filter((F.col("_p") > 0) & (F.col("_p") < F.col("_n"))).select(C), C)
+    parts = []
+    if family.table:
+        own = F.transform("t", lambda x: -x) if family.basis is None else F.array(*[-weighted_sum(F.col("t"), row) for row in family.basis])
+        base = base.withColumn("_own", own)
+        if family.buckets > 1:
+            base = base.join(complex_sizes(pool), C)
+            slot = sum((F.when(F.col("size") > float(e), 1).otherwise(0) for e in edges), F.lit(0))
+            none = F.transform("_own", lambda x: F.lit(0.0))
+            parts = [F.when(slot == b, F.col("_own")).otherwise(none) for b in range(family.buckets)]
+        else:
+            parts = [F.col("_own")]
+    if family.shape:
+        parts.append(F.array(F.col("c_pair"), *[-F.col(n) for n in ("n_ss", "n_sc", "n_cc")], F.col("elec")))
+    return base.select(C, "pose_id", "c", F.concat(*parts).alias("f"), (F.col("dockq") >= q_thr).alias("pos"))
+
+
+def learning_curve(fit: DataFrame, validation: DataFrame, weights: Weights, families: dict[str, Family], sizes: Sequence[int], repeats: int,
+                   lambdas: Sequence[float], folds: DataFrame, k: int, steps: int | None = None, seed: int = 0, tol: float = TOLERANCE) -> DataFrame:
+    """family, size, lam, top1: mean validation top-1 over random subsets of complexes.
+
+    Per family the lambda of the best cross-validated top-1 over whole-cluster folds (the first
+    of equal ones) is chosen on the fitted set; the subsets are refitted with it.  A subset is
+    the first ``size`` complexes in a hashed order of the repeat.  All fits of a family share
+    each pass over its stored pool.
     """
-    ids = affine.select(C).distinct()
+    length = len(weights.table)
+    ids = fit.select(C).distinct()
     for r in range(repeats):
         ids = with_order(ids.withColumn("_h", mix(F.col(C), seed + 31 * r)), [], "_h", C, rank=f"_o{r}").drop("_h")
-    rows = affine.join(ids, C)
-    jobs, bases = {}, {}
-    for name, basis in families.items():
-        for s in sizes:
-            for r in range(repeats):
-                job = f"{name}:{s}:{r}"
-                jobs[job] = (lam[name] if isinstance(lam, dict) else lam, F.col(f"_o{r}") <= s)
-                if basis is not None:
-                    bases[job] = basis
-    fits = hinge_fit_many(rows, e0, jobs, steps, bases=bases, tol=tol)
-    table = top1_table(validation, fits)
-    parts = F.split("setting", ":")
-    return table.select(parts[0].alias("family"), parts[1].cast("int").alias("size"), (F.col("top1") / F.col("complexes")).alias("_t")).groupBy(
-        "family", "size").agg(F.avg("_t").alias("top1"))
+    ids = cut(ids)
+    out = None
+    for name, family in families.items():
+        edges = size_edges(fit, family.buckets)
+        own = cut(family_pool(fit, weights, family, edges).join(ids, C))
+        start = [0.0] * family.size(length)
+        table, _ = lambda_path_cv(own, folds, start, lambdas, k, steps, tol)
+        got = {row["lam"]: row["top1"] for row in table.collect()}
+        lam = max(lambdas, key=lambda x: (got.get(float(x), -1), -list(lambdas).index(x)))
+        jobs = {f"{s}:{r}": (lam, F.col(f"_o{r}") <= s) for s in sizes for r in range(repeats)}
+        fits = hinge_fit_many(own, start, jobs, steps, tol=tol)
+        top = top1_table(family_pool(validation, weights, family, edges), fits)
+        rows = top.select(F.lit(name).alias("family"), F.split("setting", ":")[0].cast("int").alias("size"), F.lit(float(lam)).alias("lam"),
+                          (F.col("top1") / F.col("complexes")).alias("_t")).groupBy("family", "size", "lam").agg(F.avg("_t").alias("top1"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- where the gradient comes from --------------------------------------------------

@@ -11,7 +11,7 @@ from posefarm.operators import fitting as fi
 from posefarm.operators import losses as lo
 from posefarm.operators.curation import cluster_folds
 from posefarm.operators.quality import hit_mask, split_targets
-from posefarm.operators.scoring import Weights, linear_score, standardize, symmetric_additive_basis
+from posefarm.operators.scoring import Weights, linear_score, standardize
 from posefarm.plans import views as V
 from posefarm.plans.evaluation import AUC_SQL, TH, r
 from posefarm.plans.registry import query
@@ -235,9 +235,12 @@ def lambda_path_cv(spark, sf):
 
 @query("learning_curve")
 def learning_curve(spark, sf):
-    a = affine(spark, sf)
-    families = {"full": None, "sym": symmetric_additive_basis(8)}
-    return fi.learning_curve(a, a, E0, families, (3, 6), 2, 0.1, tol=1e-3)
+    """Fitted on even complexes, judged on odd ones, lambda by cross-validation."""
+    pool = V.pool(spark, sf)
+    fit, val = pool.filter(F.col(C) % 2 == 0), pool.filter(F.col(C) % 2 == 1)
+    folds = cluster_folds(fit.select(C).distinct(), 2, 4, C)
+    families = {"shape": fi.Family(table=False, shape=True), "full+": fi.Family(shape=True)}
+    return fi.learning_curve(fit, val, V.weights_a(), families, (2, 4), 2, (0.1, 1.0), folds, 2, tol=1e-2)
 
 
 SHIFT = V.SCORED + f""",

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,55 @@ def test_pair_table_order(spark):
 
 def test_bases():
     assert len(sc.additive_basis(12)) == 23 and len(sc.symmetric_additive_basis(12)) == 12
+
+
+def capacity_rows(spark, complexes=8, poses=12):
+    rnd = np.random.default_rng(4)
+    rows = []
+    for c in range(complexes):
+        for p in range(poses):
+            t = [float(x) for x in rnd.integers(0, 4 + c, 4)]
+            rows.append((c, p, *[float(x) for x in rnd.integers(0, 9, 4)], t, float(rnd.normal()), 0.6 if p % 4 == 0 else 0.1))
+    return spark.createDataFrame(rows, "complex_id long, pose_id long, c_pair double, n_ss double, n_sc double, n_cc double, t array<double>, elec double, dockq double")
+
+
+def test_families_of_the_capacity_study(spark):
+    pool, w = capacity_rows(spark), sc.Weights(0.5, (0.1, 0.2, 0.4), (0.3, -0.2, 0.1, 0.05), 2.0)
+    assert {n: f.size(144) for n, f in fi.capacity_families().items()} == {"shape": 5, "sym": 12, "add": 23, "full": 144, "full+": 149, "bucket2": 288, "bucket4": 576}
+    edges = fi.size_edges(pool, 2)
+    sizes = {r.complex_id: r["size"] for r in fi.complex_sizes(pool).collect()}
+    plain = {}
+    for r in pool.collect():
+        plain.setdefault(r.complex_id, []).append(sum(r.t))
+    assert sizes == {c: sorted(v)[(len(v) - 1) // 2] for c, v in plain.items()} and edges == [pytest.approx(np.quantile(list(sizes.values()), 0.5))]
+    raw = {(r.complex_id, r.pose_id): r for r in pool.collect()}
+    step = [0.1 * k for k in range(1, 14)]
+    for family in (fi.Family(table=False, shape=True), fi.Family(shape=True), fi.Family(buckets=2)):
+        d = family.size(4)
+        for r in fi.family_pool(pool, w, family, edges if family.buckets > 1 else ()).collect():
+            x = raw[r.complex_id, r.pose_id]
+            shape = [x.c_pair, -x.n_ss, -x.n_sc, -x.n_cc, x.elec]
+            table = [-v for v in x.t]
+            if family.buckets > 1:
+                table = [0.0] * 4 + table if sizes[r.complex_id] > edges[0] else table + [0.0] * 4
+            want = (table if family.table else []) + (shape if family.shape else [])
+            assert len(r.f) == d and r.f == pytest.approx(want)
+            published = 0.5 * x.c_pair - 0.1 * x.n_ss - 0.2 * x.n_sc - 0.4 * x.n_cc - sum(a * b for a, b in zip((0.3, -0.2, 0.1, 0.05), x.t)) + 2.0 * x.elec
+            assert r.c == pytest.approx(published) and len(step) >= d
+
+
+def test_learning_curve_chooses_lambda_on_the_fitted_set(spark):
+    pool, w = capacity_rows(spark), sc.Weights(0.5, (0.1, 0.2, 0.4), (0.3, -0.2, 0.1, 0.05), 2.0)
+    folds = pool.select("complex_id").distinct().withColumn("fold", (F.col("complex_id") % 2).cast("int"))
+    family = fi.Family(table=False, shape=True)
+    got = fi.learning_curve(pool, pool, w, {"shape": family}, (4, 8), 2, (0.01, 1.0), folds, 2, tol=1e-2).collect()
+    table, _ = fi.lambda_path_cv(fi.family_pool(pool, w, family), folds, [0.0] * 5, (0.01, 1.0), 2, tol=1e-2)
+    top = {r.lam: r.top1 for r in table.collect()}
+    assert {r["size"] for r in got} == {4, 8} and {r.lam for r in got} == {0.01 if top[0.01] >= top[1.0] else 1.0} and all(0 <= r.top1 <= 1 for r in got)
+
+
+def test_a_step_reads_only_its_buckets(spark):
+    rows, ids, n = fi.bucketed_pool(capacity_rows(spark, 40, 4), 4)
+    few = rows.join(ids.filter("complex_id = 7"), ["bucket", "complex_id"])
+    assert n == 40 and few.count() == 4 and ids.select("bucket").distinct().count() > 4
+    assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
