@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posefarm.functions.ordering import with_order
-from posefarm.llm.digest import run_digests
+from posefarm.llm.digest import streamed_digests
 from posefarm.llm.store import stored
 
 OPEN, CLOSE, END = "[INST]", "[/INST]", "</s>"
@@ -139,14 +139,25 @@ def numbered(conversations: DataFrame) -> DataFrame:
 
 
 def summaries(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of written parts."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of written parts.
+
+    A part is parsed once; only conversations of several parts are parsed again, for their
+    digests run on from part to part.
+    """
     parts = read_back(formatted).select(
         "conv_id", F.col("part").alias("run"), F.size("turns").cast("long").alias("n_turns"), "chars",
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns_sha256"),
         F.array_join("learned", "").alias("loss_sha256"))
-    parts = stored(parts.withColumn("loss_chars", F.length("loss_sha256").cast("long")), "read")
-    sums = parts.groupBy("conv_id").agg(F.sum("n_turns").alias("n_turns"), F.sum("loss_chars").alias("loss_chars"), F.sum("chars").alias("formatted_chars"))
-    digests = run_digests(parts, ["conv_id"], ["turns_sha256", "loss_sha256"])
-    same = F.col("s.conv_id").eqNullSafe(F.col("d.conv_id"))
-    return sums.alias("s").join(digests.alias("d"), same).select(
-        "s.conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    texts = ["turns_sha256", "loss_sha256"]
+    own = stored(parts.select("conv_id", "run", "n_turns", "chars", F.length("loss_sha256").cast("long").alias("loss_chars"),
+                              *[F.sha2(t, 256).alias(t) for t in texts]), "read")
+    sums = own.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("n_turns").alias("n_turns"), F.sum("loss_chars").alias("loss_chars"),
+        F.sum("chars").alias("formatted_chars"), *[F.max(t).alias(t) for t in texts])
+    out = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    long = stored(sums.filter("parts > 1").drop(*texts), "long")
+    same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+    several = parts.alias("p").join(long.select("conv_id").alias("l"), same("p", "l"), "left_semi")
+    digests = streamed_digests(several, ["conv_id"], texts)
+    met = long.alias("s").join(digests.alias("d"), same("s", "d")).select("s.conv_id", *out[1:])
+    return sums.filter("parts = 1").select(out).unionByName(met)

@@ -18,13 +18,17 @@ def run_digests(runs: DataFrame, keys: Sequence[str], texts: Sequence[str], betw
 
     Keys are longs and may be null.  A group of one run is digested where it stands.  The
     runs of a longer group are sorted and streamed through the hash, so a task holds one
-    run at a time.
+    run at a time.  The runs are read several times, so pass a stored table or a plain
+    projection of one.
     """
-    runs = stored(runs.select(*keys, "run", *texts), "runs")
-    alone = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.max(t).alias(t) for t in texts])
-    one = alone.filter("_n = 1").select(*keys, *[F.sha2(t, 256).alias(t) for t in texts])
+    long = stored(runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys), "long")
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    many = runs.alias("r").join(alone.filter("_n > 1").select(*keys).alias("m"), same, "left_semi")
+    one = runs.alias("r").join(long.alias("m"), same, "left_anti").select(*keys, *[F.sha2(t, 256).alias(t) for t in texts])
+    return one.unionByName(streamed_digests(runs.alias("r").join(long.alias("m"), same, "left_semi"), keys, texts, between))
+
+
+def streamed_digests(many: DataFrame, keys: Sequence[str], texts: Sequence[str], between: str = "") -> DataFrame:
+    """:func:`run_digests` by sorting all runs of a group into one stream."""
     schema = ", ".join([f"`{k}` long" for k in keys] + [f"`{t}` string" for t in texts])
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,5 +54,5 @@ def run_digests(runs: DataFrame, keys: Sequence[str], texts: Sequence[str], betw
         if now is not None:
             yield closed()
 
-    dealt = many.repartition(*keys).sortWithinPartitions(*keys, "run")
-    return one.unionByName(dealt.mapInPandas(stream, schema))
+    dealt = many.select(*keys, "run", *texts).repartition(*keys).sortWithinPartitions(*keys, "run")
+    return dealt.mapInPandas(stream, schema)

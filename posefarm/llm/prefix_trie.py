@@ -235,6 +235,6 @@ def trie(turns: DataFrame, local: int | None = None) -> DataFrame:
     totals = rolled_up(nodes, shared, local)
     runs = ends.groupBy(*NODE, F.floor(F.col("member") / RUN).alias("run")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("member")), lambda m: m.cast("string")), ",").alias("ends_sha256"))
-    digests = run_digests(runs, NODE, ["ends_sha256"], ",")
+    digests = run_digests(stored(runs, "ends"), NODE, ["ends_sha256"], ",")
     out = nodes.select(*NODE, "parent_conv_id", "n_convs", "n_children").join(totals, NODE).join(digests, NODE, "left")
     return out.withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
