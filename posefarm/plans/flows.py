@@ -434,16 +434,15 @@ def read_corpus_index(spark, sf):
 
 @query("absorb_stream", f"WITH {co.FRESH_NEG} SELECT complex_id, pose_id, origin FROM after_")
 def absorb_stream(spark, sf):
-    """Mined poses arrive as files and are absorbed into a versioned pool."""
+    """Mined poses arrive as files and are absorbed into a kept pool."""
     a, b = co.rounds(spark, sf)
     out, mined = shared_folder(spark, "absorb"), shared_folder(spark, "mined")
-    a.withColumn("origin", F.lit(0)).write.mode("overwrite").parquet(f"{out}/version=-1")
+    inc.start_pool(a.withColumn("origin", F.lit(0)), out)
     b.write.mode("overwrite").parquet(mined)
     stream = spark.readStream.schema(b.schema).parquet(mined)
     q = inc.absorb_stream(stream, out, shared_folder(spark, "absorb-state"), co.ABSORB_CAP)
     q.awaitTermination()
-    last = inc.pool_version(spark, out, (q.lastProgress or {"batchId": 0})["batchId"] + 2)
-    return spark.read.parquet(last).select(C, "pose_id", "origin")
+    return inc.kept_pool(spark, out).select(C, "pose_id", "origin")
 
 
 @query("manifest_stream", "SELECT status, count(*) AS n FROM (SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1) GROUP BY 1")

@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from posefarm.operators.pools import IDENTITY, absorb_round
+from posefarm.session import cut
 
 C = "complex_id"
 
 
-def pool_version(spark: SparkSession, path: str, batch_id: int) -> str | None:
-    """Folder of the newest complete pool version before a batch."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for b in range(batch_id - 1, -2, -1):
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={b}/_SUCCESS")
-        if fs.exists(done):
-            return f"{path}/version={b}"
-    return None
+#: Folders of a kept pool.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(C), F.lit(BUCKETS)).cast("int")
+
+
+def start_pool(pool: DataFrame, path: str) -> None:
+    """Write a pool to be absorbed into, by buckets of complexes."""
+    pool.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def kept_pool(spark: SparkSession, path: str) -> DataFrame:
+    """The pool as it is now."""
+    return spark.read.parquet(path).drop("bucket")
 
 
 def absorb_stream(mined: DataFrame, path: str, checkpoint: str, cap: int, rnd: int = 1, score: str = "score") -> StreamingQuery:
-    """Absorb mined shards batch by batch into versioned pools under ``path``.
+    """Absorb mined shards batch by batch into the pool under ``path`` (see :func:`start_pool`).
 
-    Version -1 is the starting pool.  Batch b reads the version before it and writes
-    version b, so a batch that runs twice writes the same rows to the same place.
+    A batch reads and rewrites the buckets of its complexes and no others, by overwriting
+    their partitions; nothing older stays.  Rows the pool has are not added again and rows
+    over the cap leave again, so a batch that runs twice leaves the same pool.
     """
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        start = pool_version(spark, path, batch_id)
-        pool = spark.read.parquet(start)
-        absorb_round(pool, batch, rnd, cap, score).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch = cut(batch)
+        touched = batch.select(_bucket().alias("bucket")).distinct()
+        # At most BUCKETS rows: only their folders are read.
+        pool = spark.read.parquet(path).join(F.broadcast(touched), "bucket").drop("bucket")
+        new = cut(absorb_round(pool, batch, rnd, cap, score).withColumn("bucket", _bucket()))
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return mined.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

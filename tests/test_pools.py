@@ -150,3 +150,31 @@ def test_stored_pools_are_sorted_and_pruned(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan
     assert {r.complex_id for r in pools.read_pool(spark, path, names=spark.createDataFrame([(7, 0)], "complex_id long, place int")).collect()} == {7}
+
+
+def test_absorbing_rewrites_only_its_buckets(spark, tmp_path):
+    import os
+
+    from posefarm.streaming import incremental as inc
+
+    start = None
+    for c in "ABCDEFGH":
+        one = pool(spark, range(20), 0.0, c=c).withColumn("dockq", F.when(F.col("pose_id") < 3, 0.5).otherwise(0.0))
+        start = one if start is None else start.unionByName(one)
+    kept_at, mined_at = f"{tmp_path}/pool", f"{tmp_path}/mined"
+    inc.start_pool(start.withColumn("origin", F.lit(0)), kept_at)
+    before = {f: os.stat(f"{kept_at}/{f}").st_mtime_ns for f in os.listdir(kept_at) if f.startswith("bucket")}
+    mined = pool(spark, range(15, 40), 0.0, c="B", start=100)
+    mined.write.parquet(mined_at)
+
+    def absorbed(state):
+        stream = spark.readStream.schema(mined.schema).parquet(mined_at)
+        inc.absorb_stream(stream, kept_at, f"{tmp_path}/{state}", 30).awaitTermination()
+        return sorted(map(tuple, inc.kept_pool(spark, kept_at).select("complex_id", "pose_id", "origin").collect()))
+
+    first = absorbed("one")
+    want = pl.absorb_round(start.withColumn("origin", F.lit(0)), mined, 1, 30)
+    assert first == sorted(map(tuple, want.select("complex_id", "pose_id", "origin").collect()))
+    after = {f: os.stat(f"{kept_at}/{f}").st_mtime_ns for f in os.listdir(kept_at) if f.startswith("bucket")}
+    assert sum(after[f] != before[f] for f in before) == 1 and set(after) == set(before)
+    assert absorbed("again") == first  # the same batch a second time
