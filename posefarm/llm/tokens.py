@@ -43,6 +43,8 @@ class WordIds:
         #: The library takes these strings, wherever they stand in a text, as one id; a text that
         #: holds one (in any case) is left to the library as it is.
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What these start with, up to their first letter, is the same in any case.
+        self.starts = {re.match(rb"[^a-z\x80-\xff]*", s).group() for s in self.special}
         one = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         #: Whether the tokenizer itself lower-cases, so that words may be looked up in lower case.
         self.folds = one("Az") == one("az")
@@ -106,7 +108,7 @@ class WordIds:
 
     def many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts, those that ``encode(text, add_special_tokens=False)`` gives."""
-        marked = [k for k, t in enumerate(texts) if any(s in t.lower() for s in self.special)]
+        marked = [k for k, t in enumerate(texts) if any(a in t for a in self.starts) and any(s in t.lower() for s in self.special)]
         if marked:
             left = set(marked)
             plain = iter(self._plain([t for k, t in enumerate(texts) if k not in left]))
