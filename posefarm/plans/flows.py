@@ -339,7 +339,7 @@ def _write_lines(lines, out):
         "complex_id", "side", "line").write.mode("overwrite").partitionBy("complex_id", "side").text(out)
 
 
-@query("read_atoms_ms", f"""WITH {MOL} SELECT mol AS complex_id, side, count(*) AS n, {", ".join(r(f"sum(round({a},3))", 3) + f" AS {a}" for a in "xyz")}, {r('sum(round(x,3)*(idx%101))', 2)} AS ordered,
+@query("read_atoms_ms", f"""WITH {MOL} SELECT mol AS complex_id, side, count(*) AS n, {", ".join(r(f"sum(round({a},3))", 3) + f" AS {a}" for a in "xyz")}, {r('sum(round(x,3)*(idx%101))', 3)} AS ordered,
   count(*) FILTER (side='R') AS tagged, sum(complex_id%10000)::BIGINT AS res_sum, arg_min(res_name||'/'||atom_name, idx) AS first_atom, {r(f"sum((atom_idx%3)*0.25{D}-0.25{D})", 2)} AS charge FROM mol GROUP BY 1,2""")
 def read_atoms_ms(spark, sf):
     """Atoms written as fixed-width text with tail columns and read back."""
@@ -351,7 +351,7 @@ def read_atoms_ms(spark, sf):
     _write_lines(lines, out)
     b = structures.read_atoms_ms(spark, out)
     return b.groupBy("complex_id", "side").agg(
-        F.count(F.lit(1)).alias("n"), *[rnd(F.sum(c), 3).alias(c) for c in "xyz"], rnd(F.sum(F.col("x") * (F.col("atom_idx") % 101)), 2).alias("ordered"),
+        F.count(F.lit(1)).alias("n"), *[rnd(F.sum(c), 3).alias(c) for c in "xyz"], rnd(F.sum(F.col("x") * (F.col("atom_idx") % 101)), 3).alias("ordered"),
         F.count("ace_type").alias("tagged"), F.sum("res_seq").alias("res_sum"), F.min_by(F.concat_ws("/", "res_name", "atom_name"), F.col("atom_idx")).alias("first_atom"),
         rnd(F.sum(F.col("charge_col").cast("double")), 2).alias("charge"))
 

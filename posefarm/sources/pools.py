@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
+from posefarm.sources.structures import numbered_lines
 
 C = "complex_id"
 BUCKETS = 64
@@ -79,9 +80,8 @@ def read_manifest(spark: SparkSession, path: str, schema: str = "rank int, id st
 
     Lines are numbered inside their file; a later file name beats an earlier one.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
-    lines = text.select("_f", F.posexplode(F.split("value", "\r?\n")).alias("_n", "_line")).filter(F.trim("_line") != "")
-    rows = lines.select("_f", "_n", F.from_json("_line", schema).alias("r"))
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
+    rows = lines.select(F.col("file").alias("_f"), F.col("line_no").alias("_n"), F.from_json("line", schema).alias("r"))
     last = rows.groupBy(F.col("r.id").alias("id")).agg(F.max_by("r", F.struct("_f", "_n")).alias("r"))
     return last.select("r.*")
 

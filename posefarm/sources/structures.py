@@ -1,12 +1,12 @@
 """Readers for structure text and pose lists.
 
-Files are read as lines or whole texts and parsed with column expressions; no file
-passes through the driver.
+Files are read as lines and parsed with column expressions; no file passes through the
+driver, and none is held as one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
@@ -38,9 +38,24 @@ def side_of(name: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with file name and 0-based line number (one file is one task's work)."""
-    text = spark.read.text(path, wholetext=True).select(file_name().alias("file"), F.col("value"))
-    return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """Lines with file name and 0-based line number.
+
+    Files are read line by line, and a large one in several splits: lines are numbered by their
+    place in the split, and the lines of the file's splits before are added.
+    """
+    split = ["file", "_start"]
+    lines = spark.read.text(path).select(file_name().alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+                                         F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    blocks = lines.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row for each split of a file.
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*split, (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_base"))
+    return lines.join(blocks, split).select("file", (F.col("_id") - F.col("_base")).cast("int").alias("line_no"), "line")
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file under ``path``; contents are not read.  Spark passes over files of no bytes."""
+    return spark.read.format("binaryFile").load(path).select(file_name().alias("file"))
 
 
 def _parse_ms(lines: DataFrame) -> DataFrame:
@@ -76,12 +91,7 @@ MS_COLUMNS = ["file", "complex_id", "side", "atom_idx", "atom_name", "res_name",
 
 
 def _atom_index(rows: DataFrame) -> DataFrame:
-    """Position among the atoms of the file.
-
-    A file is one molecule, so its rows are bounded by the file that one task read.
-    """
-    from pyspark.sql import Window
-
+    """Position among the atoms of the file, which is one molecule."""
     w = Window.partitionBy("file").orderBy("line_no")
     return rows.withColumn("atom_idx", F.row_number().over(w) - 1)
 
@@ -100,15 +110,16 @@ def read_atoms_ms(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     else:
         rows = rows.filter(F.col("reason").isNull())
     out = _atom_index(rows.withColumns({"complex_id": complex_of(F.col("file")), "side": side_of(F.col("file"))})).select(*MS_COLUMNS)
-    return _fail_on_empty(lines, out) if strict else out
+    return _fail_on_empty(listed_files(spark, path), out) if strict else out
 
 
-def _fail_on_empty(lines: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Join every file with its atoms, so a file without any fails the job."""
-    files = lines.select(F.col("file").alias("_file")).distinct()
-    j = files.join(atoms, F.col("_file") == F.col("file"), "left")
-    text = F.concat(F.col("_file"), F.lit(": no atom records"))
-    return j.withColumn("file", F.when(F.col("file").isNull(), F.raise_error(text).cast("string")).otherwise(F.col("file"))).drop("_file")
+def _fail_on_empty(files: DataFrame, atoms: DataFrame) -> DataFrame:
+    """The atoms; a file without any fails the job."""
+    empty = files.join(atoms.select("file").distinct(), "file", "left_anti")
+    text = F.concat(F.col("file"), F.lit(": no atom records"))
+    # No row passes the filter; over an aggregate it is not asked before the join has been.
+    none = empty.agg(F.min("file").alias("file")).filter(F.when(F.col("file").isNotNull(), F.raise_error(text).cast("string")).isNotNull())
+    return atoms.unionByName(none.select("file", *[F.lit(None).cast(f.dataType).alias(f.name) for f in atoms.schema.fields if f.name != "file"]))
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +127,7 @@ def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path)
     rows = _parse_ms(lines)
     bad = rows.filter(F.col("reason").isNotNull()).select("file", "line_no", "reason")
-    empty = lines.select("file").distinct().join(rows.select("file").distinct(), "file", "left_anti").select(
+    empty = listed_files(spark, path).join(rows.select("file").distinct(), "file", "left_anti").select(
         "file", F.lit(None).cast("int").alias("line_no"), F.lit("no atom records").alias("reason"))
     return bad.unionByName(empty)
 
@@ -148,7 +159,7 @@ def read_atoms_pdb(spark: SparkSession, path: str, chains: str | None = None, st
     rows = rows.withColumns({"complex_id": complex_of(F.col("file")), "side": side_of(F.col("file"))})
     out = _atom_index(rows).select("file", "complex_id", "side", "atom_idx", "atom_name", "res_name", F.trim("chain").alias("chain"),
                                    "res_seq", *XYZ)
-    return _fail_on_empty(numbered_lines(spark, path), out) if strict else out
+    return _fail_on_empty(listed_files(spark, path), out) if strict else out
 
 
 def dropped_atoms(spark: SparkSession, path: str, chains: str | None = None) -> DataFrame:

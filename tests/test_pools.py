@@ -178,3 +178,20 @@ def test_absorbing_rewrites_only_its_buckets(spark, tmp_path):
     after = {f: os.stat(f"{kept_at}/{f}").st_mtime_ns for f in os.listdir(kept_at) if f.startswith("bucket")}
     assert sum(after[f] != before[f] for f in before) == 1 and set(after) == set(before)
     assert absorbed("again") == first  # the same batch a second time
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    want = {}
+    for name, n in (("a.txt", 4000), ("b.txt", 3), ("c.txt", 900), ("empty.txt", 0)):
+        lines = [f"{name} {k} " + "x" * (k % 37) for k in range(n)]
+        (tmp_path / name).write_text("".join(x + "\n" for x in lines))
+        want |= {(name, k): x for k, x in enumerate(lines)}
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        lines = so.numbered_lines(spark, str(tmp_path))
+        got = {(r.file, r.line_no): r.line for r in lines.collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == want and {r.file for r in so.listed_files(spark, str(tmp_path)).collect()} == {"a.txt", "b.txt", "c.txt"}
