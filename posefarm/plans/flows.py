@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from posefarm.functions.ordering import with_one
 from posefarm.operators import cells as cl
 from posefarm.operators import diagnostics as dg
 from posefarm.operators import features as ft
@@ -417,8 +418,8 @@ def write_metrics(spark, sf):
     out = shared_folder(spark, "metrics")
     export.write_metrics(report, rk.success_rates(report), out)
     rows = spark.read.schema(report.schema).option("header", True).csv(f"{out}/per_complex")
-    summary = spark.read.schema("n_complexes long, success_1 double").json(f"{out}/summary").select(F.lit(0).alias("_k"), rnd(F.col("success_1")).alias("success_1"))
-    return rows.withColumn("_k", F.lit(0)).join(summary, "_k").select(C, "n", "n_hit_q", rnd(F.col("best_q_1")).alias("best_q_1"), "success_1")
+    summary = spark.read.schema("n_complexes long, success_1 double").json(f"{out}/summary").agg(rnd(F.max("success_1")).alias("success_1"))
+    return with_one(rows, summary).select(C, "n", "n_hit_q", rnd(F.col("best_q_1")).alias("best_q_1"), "success_1")
 
 
 @query("read_corpus_index", f"WITH {V.SYSTEMS} SELECT split, count(*) AS n, count(DISTINCT cluster) AS clusters, count(*) FILTER (chain='UNDEFINED') AS undefined FROM systems GROUP BY 1")
