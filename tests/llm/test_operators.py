@@ -404,6 +404,27 @@ def test_differencing_is_tight():
     assert sum(sums) == sum(sizes) and max(sums) - min(sums) <= 3
 
 
+def test_differencing_next_to_the_best_partition():
+    import itertools
+
+    from posefarm.llm.sharding import difference
+    draw = random.Random(8)
+    best, found, greedy = 0, 0, 0
+    for k, n in [(2, 9), (3, 7)] * 12:
+        sizes = [draw.randint(1, 100) for _ in range(n)]
+        spread = lambda where: max(sums := [sum(s for s, w in zip(sizes, where) if w == p) for p in range(k)]) - min(sums)
+        least = min(spread(where) for where in itertools.product(range(k), repeat=n))
+        got = spread([f[0] for f in difference([[s] + [0] * (k - 1) for s in sizes])])
+        sums, where = [0] * k, {}
+        for i in sorted(range(n), key=lambda i: -sizes[i]):
+            where[i] = sums.index(min(sums))
+            sums[where[i]] += sizes[i]
+        assert least <= got <= max(sizes)
+        best, found, greedy = best + least, found + got, greedy + spread([where[i] for i in range(n)])
+    # Over all cases nearer to the best partitions than the largest-first rule.
+    assert best <= found < greedy
+
+
 # ---------------------------------------------------------------- 9 repeated passages
 def plain_removal(texts):
     docs = [((d if d is not None else 2**63 - 1), d, (t or "").encode()) for d, t in texts]
