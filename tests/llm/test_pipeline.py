@@ -50,3 +50,14 @@ def test_stages_on_an_empty_table(llm, nothing):
 
     for name, stage in corpus_pipeline.STAGES:
         assert stage(llm, nothing, SF).count() == 0, name
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_classifier_ranks_the_held_out_labels(llm):
+    sf = "/root/testdata/sf0.01"
+    scores = entry.queries()["op3_quality_classifier"](llm, sf).filter("held_out")
+    rows = scores.join(llm.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL"), "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    assert len(good) > 20 and len(bad) > 2
+    ahead = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert ahead >= 0.95 and sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
