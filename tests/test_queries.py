@@ -87,3 +87,24 @@ def test_refinement_takes_every_pose_without_a_number_of_rounds(spark, monkeypat
     monkeypatch.setattr(se, "pattern_refine", refine)
     entry.queries()["pattern_refine"](spark, SF)
     assert asked["poses"].count() == V.poses(spark, SF).count() and asked["rounds"] is None and asked["stop_deg"] == 0.05
+
+
+def _plan(spark, name):
+    return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["count_over_distance", "legacy_elec_term", "pair_counts", "shape_terms", "elec_term", "pair_counts_trilinear", "score_poses"])
+def test_cells_never_pass_through_the_driver(spark, name):
+    import re
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*\bix#", _plan(spark, name))
+
+
+def test_small_complexes_are_scanned_where_they_are(spark):
+    assert "Exchange hashpartitioning(complex_id" not in _plan(spark, "translation_scan")
+
+
+def test_partitions_of_vectors_grow_with_the_table(spark, monkeypatch):
+    from posefarm.plans import views as V
+    monkeypatch.setattr(V, "PER_TASK", 2)
+    rows = V.table(spark, SF, "embeddings").count()
+    assert V.vectors(spark, SF).rdd.getNumPartitions() == -(-rows // 2)
