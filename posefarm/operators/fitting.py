@@ -18,7 +18,7 @@ from posefarm.functions import fixed
 from posefarm.functions.columns import mix, weighted_sum
 from posefarm.functions.ordering import lower_median, quantiles_linear, with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
-from posefarm.operators.scoring import Weights, additive_basis, linear_score, standardize, symmetric_additive_basis
+from posefarm.operators.scoring import Weights, additive_basis, linear_score, settled, standardize, symmetric_additive_basis
 from posefarm.session import cut, shared_folder
 
 C = "complex_id"
@@ -433,7 +433,7 @@ def top1_table(affine: DataFrame, settings: dict[str, Sequence[float]]) -> DataF
 def top1_count(pool: DataFrame, weights: Weights, q_thr: float = THRESHOLD) -> DataFrame:
     """Complexes whose best-scoring pose is positive, and all complexes."""
     s = linear_score(pool, weights, "_s")
-    best = s.groupBy(C).agg(F.max_by(F.col("dockq") >= q_thr, F.struct("_s", -F.col("pose_id"))).alias("_ok"))
+    best = s.groupBy(C).agg(F.max_by(F.col("dockq") >= q_thr, F.struct(settled("_s"), -F.col("pose_id"))).alias("_ok"))
     return best.agg(F.count_if("_ok").alias("top1"), F.count(F.lit(1)).alias("complexes"))
 
 
@@ -655,15 +655,15 @@ def ranking_shift(pool: DataFrame, settings: dict[str, Weights], q_thr: float =
     from posefarm.operators.scoring import score_many
 
     keys = ["condition", C]
-    rows = standardize(score_many(pool, settings, [C, "pose_id", "dockq"]), "score", "z", keys=keys)
+    rows = standardize(score_many(pool, settings, [C, "pose_id", "dockq"]), "score", "z", keys=keys).withColumn("_s", settled("score"))
     pos = F.col("dockq") >= q_thr
     per = rows.groupBy(*keys).agg(
         (F.max(F.when(pos, F.col("z"))) - F.max(F.when(~pos, F.col("z")))).alias("gap"),
-        F.max_by(pos, F.struct("z", -F.col("pose_id"))).alias("ok"),
+        F.max_by(pos, F.struct("_s", -F.col("pose_id"))).alias("ok"),
         F.max(pos).alias("live"),
-        F.max_by("z", F.struct("dockq", -F.col("pose_id"))).alias("_zb"))
-    ahead = rows.select(*keys, "z").join(per.select(*keys, "_zb"), keys).groupBy(*keys).agg(
-        (F.count_if(F.col("z") > F.col("_zb")) + 1).alias("best_rank"))
+        F.max_by("_s", F.struct("dockq", -F.col("pose_id"))).alias("_sb"))
+    ahead = rows.select(*keys, "_s").join(per.select(*keys, "_sb"), keys).groupBy(*keys).agg(
+        (F.count_if(F.col("_s") > F.col("_sb")) + 1).alias("best_rank"))
     per = per.join(ahead, keys)
     base = per.filter(F.col("condition") == "0").select(C, F.col("ok").alias("_ok0"), F.col("best_rank").alias("_r0"))
     j = per.join(base, C)

@@ -245,3 +245,12 @@ def test_a_step_reads_only_its_buckets(spark):
     few = rows.join(ids.filter("complex_id = 7"), ["bucket", "complex_id"])
     assert n == 40 and few.count() == 4 and ids.select("bucket").distinct().count() > 4
     assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_scores_go_to_the_smaller_pose_id_whatever_their_last_bits(spark):
+    # 0.1 + 0.2 and 0.3 + 0.0 are one score in two roundings.
+    rows_ = [(1, 1, [0.1, 0.2], 0.9), (1, 2, [0.3, 0.0], 0.0), (1, 3, [5.0, 0.0], 0.0)]
+    pool = spark.createDataFrame(rows_, "complex_id long, pose_id long, t array<double>, dockq double")
+    w = sc.Weights(0.0, (0.0, 0.0, 0.0), (1.0, 1.0))
+    assert fi.ranking_shift(pool, {"0": w}).first()["top1"] == 1
+    assert fi.top1_count(pool, w).first()["top1"] == 1
