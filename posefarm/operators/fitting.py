@@ -89,7 +89,7 @@ def _fused_gradients(pool: DataFrame, weights: Weights, obj: Objective, x: list[
     scored = linear_score(pool, weights)
     stats = scored.groupBy(C).agg(
         F.avg(s).alias("_mean"), F.coalesce(F.stddev_pop(s), F.lit(0.0)).alias("_sd"), F.max(s).alias("_m"), F.max(F.when(pos, s)).alias("_mp"),
-        F.count_if(pos).alias("_np"), F.count_if(~pos).alias("_nn"), F.min(F.when(pos, F.struct(s, "pose_id"))).alias("_low"))
+        F.count_if(pos).alias("_np"), F.count_if(~pos).alias("_nn"), F.min(F.when(pos, F.struct(settled("score").alias("_s"), "pose_id", s.alias("score")))).alias("_low"))
     z = lambda c: (c - F.col("_mean")) / F.col("_scale")
     j = scored.join(stats.withColumn("_scale", F.greatest("_sd", F.lit(1.0))), C)
     j = j.select(C, *[v.cast("double").alias(f"_x{i}") for i, v in enumerate(x)], z(s).alias("_z"), pos.alias("_pos"), "_np", "_nn", "_scale", (F.col("_sd") < 1.0).alias("_fixed"),

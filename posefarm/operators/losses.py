@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from posefarm.functions import fixed
 from posefarm.functions.ordering import top_k
+from posefarm.operators.scoring import settled
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
@@ -161,7 +162,7 @@ def pose_gradients(z_pool: DataFrame, obj: Objective) -> DataFrame:
     t = obj.temperature
     z_pool = _stored_max(
         z_pool, _m=F.max("z"), _mp=F.max(F.when(pos, z)), _np=F.count_if(pos), _nn=F.count_if(~pos),
-        _minp=F.min(F.when(pos, F.struct(z, F.col("pose_id")))))
+        _minp=F.min(F.when(pos, F.struct(settled("z").alias("_s"), F.col("pose_id"), z))))
     inner = [
         F.sum(F.exp((z - F.col("_m")) / t)).alias("_z"),
         F.sum(F.when(pos, F.exp((z - F.col("_mp")) / t))).alias("_zp"),

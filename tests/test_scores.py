@@ -254,3 +254,15 @@ def test_equal_scores_go_to_the_smaller_pose_id_whatever_their_last_bits(spark):
     w = sc.Weights(0.0, (0.0, 0.0, 0.0), (1.0, 1.0))
     assert fi.ranking_shift(pool, {"0": w}).first()["top1"] == 1
     assert fi.top1_count(pool, w).first()["top1"] == 1
+
+
+def test_the_anchor_of_the_margin_is_the_smaller_id_of_equal_scores(spark):
+    # Poses 1 and 2 score the same in two roundings, of which the second is lower; in the other pool it is clearly higher.
+    obj = lo.Objective(basin=False, negatives="minanchor", lambda_prior=0.0)
+    w = sc.Weights(0.0, (0.0, 0.0, 0.0), (1.0, 1.0))
+    grads = []
+    for second in ([0.1, 0.2], [0.1, 0.1999]):
+        pool = spark.createDataFrame([(1, 1, [0.3, 0.0], 0.9), (1, 2, second, 0.9), (1, 3, [0.0, 0.2], 0.0)],
+                                     "complex_id long, pose_id long, t array<double>, dockq double")
+        grads.append(fi.complex_gradients(pool, w, obj, 2).first()["grad"])
+    assert np.allclose(grads[0], grads[1], atol=1e-2) and np.abs(grads[0]).max() > 1e-3
