@@ -19,7 +19,7 @@ from posefarm.functions.columns import mix, weighted_sum
 from posefarm.functions.ordering import lower_median, quantiles_linear, with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
 from posefarm.operators.scoring import Weights, additive_basis, linear_score, settled, standardize, symmetric_additive_basis
-from posefarm.session import cut, shared_folder
+from posefarm.session import cut, shared_folder, spread
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
@@ -199,6 +199,8 @@ def _chain(model: Model, start: Model, grad: list[float], obj: Objective) -> tup
 
 #: Folders of a stored pool at most.
 MOST_BUCKETS = 4096
+#: Rows of a stored pool that go into one file.
+STORED_ROWS = 250_000
 
 
 def bucketed_pool(pool: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, int]:
@@ -206,14 +208,17 @@ def bucketed_pool(pool: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, in
     complex; and the number of complexes.
 
     A step that joins the pool with its complexes reads their buckets only: the folders are
-    pruned at run time by the join itself.
+    pruned at run time by the join itself.  A bucket of many rows is dealt to several tasks.
     """
-    n = pool.select(C).distinct().count()
+    spark = pool.sparkSession
+    n, size = pool.groupBy(C).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    spread(spark, size)
     buckets = max(1, min(MOST_BUCKETS, -(-n // max(1, batch))))
     keyed = pool.withColumn("bucket", F.pmod(F.xxhash64(C), F.lit(buckets)).cast("int"))
-    path = shared_folder(pool.sparkSession, "fit")
-    keyed.repartition("bucket").write.partitionBy("bucket").parquet(path)
-    rows = pool.sparkSession.read.schema(keyed.schema).parquet(path)
+    share = F.pmod(F.xxhash64(*pool.columns), F.lit(max(1, -(-size // (buckets * STORED_ROWS)))))
+    path = shared_folder(spark, "fit")
+    keyed.withColumn("_share", share).repartition("bucket", "_share").drop("_share").write.partitionBy("bucket").parquet(path)
+    rows = spark.read.schema(keyed.schema).parquet(path)
     return rows, cut(rows.select("bucket", C).distinct()), n
 
 

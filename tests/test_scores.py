@@ -247,6 +247,16 @@ def test_a_step_reads_only_its_buckets(spark):
     assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString()
 
 
+def test_one_bucket_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fi, "STORED_ROWS", 20, raising=False)
+    joined, pool = "spark.sql.adaptive.coalescePartitions.enabled", capacity_rows(spark, 40, 4)
+    spark.conf.set(joined, "false")
+    rows, _, n = fi.bucketed_pool(pool, 1 << 40)
+    spark.conf.unset(joined)
+    assert n == 40 and len(rows.inputFiles()) > 1 and rows.select("bucket").distinct().count() == 1
+    assert sorted(rows.select(pool.columns).collect()) == sorted(pool.collect())
+
+
 def test_equal_scores_go_to_the_smaller_pose_id_whatever_their_last_bits(spark):
     # 0.1 + 0.2 and 0.3 + 0.0 are one score in two roundings.
     rows_ = [(1, 1, [0.1, 0.2], 0.9), (1, 2, [0.3, 0.0], 0.0), (1, 3, [5.0, 0.0], 0.0)]
