@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from posefarm.functions import fixed
 from posefarm.functions.ordering import top_k, upper_median
 from posefarm.operators.scoring import Weights, score_many, standardize
+from posefarm.session import cut
 
 C = "complex_id"
 IDENTITY = ["qi", "cx", "cy", "cz"]
@@ -168,31 +169,30 @@ def new_negative_leverage(round0: DataFrame, round1: DataFrame, score: str = "sc
     """Per complex with a searched positive and fresh negatives: how many fresh and old
     negatives lie in the margin band of the merged pool, the shift of the band, and
     whether a fresh negative is the hardest."""
-    cols = [C, "pose_id", *IDENTITY, score, "dockq"]
-    a = loss_view(round0).select(*cols)
-    with_pos = a.filter(F.col("dockq") >= q_thr).select(C).distinct()
-    a = a.join(with_pos, C, "left_semi")
-    b = loss_view(round1).filter(F.col("dockq") < q_thr).select(*cols)
-    new = b.join(a.select(C, *IDENTITY), [C, *IDENTITY], "left_anti").join(with_pos, C, "left_semi")
-    has_new = new.select(C).distinct()
-    za = standardize(a, score, "z")
-    start = za.filter(F.col("dockq") >= q_thr).groupBy(C).agg((F.min("z") - margin).alias("thr0"))
-    merged = a.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))).join(has_new, C, "left_semi")
-    zb = standardize(merged, score, "z")
-    neg = F.col("dockq") < q_thr
-    ends = zb.groupBy(C).agg((F.min(F.when(~neg, F.col("z"))) - margin).alias("thr1"),
-                             F.max(F.when(neg & F.col("new"), F.col("z"))).alias("_hn"),
-                             F.max(F.when(neg & ~F.col("new"), F.col("z"))).alias("_ho"))
-    inside = zb.join(ends.select(C, "thr1"), C).groupBy(C).agg(
-        F.count_if("new").alias("fresh"),
-        F.count_if(neg & F.col("new") & (F.col("z") > F.col("thr1"))).alias("new_in_band"),
-        F.count_if(neg & ~F.col("new") & (F.col("z") > F.col("thr1"))).alias("old_in_band"))
-    out = inside.join(ends, C).join(start, C)
+    cols = [C, *IDENTITY, F.col(score).alias("_s"), "dockq"]
+    a, b = loss_view(round0).select(*cols), loss_view(round1).filter(F.col("dockq") < q_thr).select(*cols)
+    new = b.join(a.select(C, *IDENTITY), [C, *IDENTITY], "left_anti")
+    # Written once: two passes read it, and what builds it holds no memory while they run.
+    merged = cut(a.select(C, "_s", "dockq", F.lit(False).alias("new")).unionByName(new.select(C, "_s", "dockq", F.lit(True).alias("new"))))
+    s, old, neg = F.col("_s"), ~F.col("new"), F.col("dockq") < q_thr
+    # Standardising keeps the order within a complex, so the ends of the classes are found on the scores.
+    ends = merged.groupBy(C).agg(
+        F.count_if("new").alias("fresh"), F.min(F.when(F.col("dockq") >= q_thr, s)).alias("_low"),
+        F.avg(F.when(old, s)).alias("_m0"), F.stddev_pop(F.when(old, s)).alias("_d0"), F.avg(s).alias("_m1"), F.stddev_pop(s).alias("_d1"),
+        F.max(F.when(neg & F.col("new"), s)).alias("_hn"), F.max(F.when(neg & old, s)).alias("_ho"), F.count_if(F.col("dockq") >= q_thr).alias("_np"))
+    ends = ends.filter((F.col("fresh") > 0) & (F.col("_np") > 0))
+    z = lambda c, k: (F.col(c) - F.col(f"_m{k}")) / F.greatest(F.coalesce(f"_d{k}", F.lit(0.0)), F.lit(1.0))
+    ends = ends.withColumns({"thr0": z("_low", 0) - margin, "thr1": z("_low", 1) - margin, "_zn": z("_hn", 1), "_zo": z("_ho", 1)})
+    kept = ["fresh", "thr0", "thr1", "_zn", "_zo"]
+    inside = merged.join(ends.select(C, "_m1", "_d1", *kept), C).filter(neg).groupBy(C).agg(
+        *[F.any_value(k).alias(k) for k in kept],
+        F.count_if(F.col("new") & (z("_s", 1) > F.col("thr1"))).alias("new_in_band"),
+        F.count_if(old & (z("_s", 1) > F.col("thr1"))).alias("old_in_band"))
     total = F.col("new_in_band") + F.col("old_in_band")
-    return out.select(C, "fresh", "new_in_band", "old_in_band", F.when(total > 0, F.col("new_in_band") / total).alias("share"),
-                      (F.col("thr1") - F.col("thr0")).alias("threshold_shift"),
-                      F.when(F.col("_hn").isNotNull() & F.col("_ho").isNotNull(), (F.col("_hn") > F.col("_ho")).cast("int")).alias("new_hardest"),
-                      (F.col("_hn") - F.col("_ho")).alias("top_shift"))
+    return inside.select(C, "fresh", "new_in_band", "old_in_band", F.when(total > 0, F.col("new_in_band") / total).alias("share"),
+                         (F.col("thr1") - F.col("thr0")).alias("threshold_shift"),
+                         F.when(F.col("_zn").isNotNull() & F.col("_zo").isNotNull(), (F.col("_zn") > F.col("_zo")).cast("int")).alias("new_hardest"),
+                         (F.col("_zn") - F.col("_zo")).alias("top_shift"))
 
 
 def rescue_potential(round0: DataFrame, round1: DataFrame, q_thr: float = THRESHOLD) -> DataFrame:

@@ -49,6 +49,27 @@ def test_absorb(spark):
     assert pl.absorb_round(p, pool(spark, range(200, 260), 0.6, start=500), 1, 4000).count() == 100
 
 
+def test_leverage_meets_its_rows_once(spark):
+    old = pool(spark, range(4), 0.5).unionByName(pool(spark, range(10, 14), score=2.5, start=10))
+    got = pl.new_negative_leverage(old, pool(spark, [10, 30, 31], score=9.0, start=20))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    r = got.first()
+    assert (r.fresh, r.new_in_band, r.old_in_band, r.new_hardest) == (2, 2, 4, 1)
+
+
+def test_shuffles_of_the_pool_grow_with_it(spark, monkeypatch):
+    from posefarm import session
+    from posefarm.plans import views as V
+    key, sf = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "/root/testdata/sf0.001"
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    try:
+        n = V.pool(spark, sf).count()
+        assert int(spark.conf.get(key, "0")) >= n // 100 > 8
+    finally:
+        spark.conf.unset(key)
+
+
 def test_coverage(spark):
     def t(**cells):
         return [float(cells.get(f"k{i}", 0)) for i in range(144)]
