@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from posefarm.operators.pools import IDENTITY, absorb_round
-from posefarm.session import cut
+from posefarm.session import shared_folder
 
 C = "complex_id"
 
@@ -40,12 +40,14 @@ def absorb_stream(mined: DataFrame, path: str, checkpoint: str, cap: int, rnd: i
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = cut(batch)
         touched = batch.select(_bucket().alias("bucket")).distinct()
         # At most BUCKETS rows: only their folders are read.
         pool = spark.read.parquet(path).join(F.broadcast(touched), "bucket").drop("bucket")
-        new = cut(absorb_round(pool, batch, rnd, cap, score).withColumn("bucket", _bucket()))
-        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        new = absorb_round(pool, batch, rnd, cap, score).withColumn("bucket", _bucket())
+        # Dealt to its buckets and stored on the way, since it reads what it replaces; then copied as it lies.
+        aside = shared_folder(spark, "absorbed")
+        new.repartition("bucket").write.partitionBy("bucket").parquet(aside)
+        spark.read.schema(new.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return mined.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -173,6 +173,20 @@ def test_stored_pools_are_sorted_and_pruned(spark, tmp_path):
     assert {r.complex_id for r in pools.read_pool(spark, path, names=spark.createDataFrame([(7, 0)], "complex_id long, place int")).collect()} == {7}
 
 
+def test_a_batch_is_absorbed_without_checkpoints(spark, tmp_path):
+    import os
+
+    from posefarm.session import checkpoint_dir
+    from posefarm.streaming import incremental as inc
+    stored = lambda: {d for d in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if d.startswith("rdd-")}
+    inc.start_pool(pool(spark, range(20)).withColumn("origin", F.lit(0)), f"{tmp_path}/pool")
+    mined = pool(spark, range(15, 40), start=100)
+    mined.write.parquet(f"{tmp_path}/mined")
+    before = stored()
+    inc.absorb_stream(spark.readStream.schema(mined.schema).parquet(f"{tmp_path}/mined"), f"{tmp_path}/pool", f"{tmp_path}/state", 100).awaitTermination()
+    assert stored() == before and inc.kept_pool(spark, f"{tmp_path}/pool").count() == 40
+
+
 def test_absorbing_rewrites_only_its_buckets(spark, tmp_path):
     import os
 
