@@ -108,3 +108,14 @@ def test_partitions_of_vectors_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(V, "PER_TASK", 2)
     rows = V.table(spark, SF, "embeddings").count()
     assert V.vectors(spark, SF).rdd.getNumPartitions() == -(-rows // 2)
+
+
+def test_shuffles_of_complexes_grow_with_them(spark, monkeypatch):
+    from posefarm.plans import views as V
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(V, "PER_TASK", 10)
+    try:
+        n = V.vectors(spark, SF).count()
+        assert int(spark.conf.get(key, "0")) >= n // 10 > 8
+    finally:
+        spark.conf.unset(key)
