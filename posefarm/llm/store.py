@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posefarm.session import shared_folder
+from posefarm.session import shared_folder, ship
 
 #: Name under which an operator carries the caller's whole row, so that no column of
 #: the caller can clash with one of the operator's own.
 ROW = "__row"
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, wherever they run; Spark's own file server
-    delivers it, the driver alone reads the archive."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="posefarm-"), "posefarm.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    sc.addPyFile(archive)
-    _shipped.add(sc.applicationId)
-
-
 def prepared(spark: SparkSession) -> SparkSession:
     """Settings the operators count on: bounded Arrow batches and adaptive plans."""
     ship(spark)

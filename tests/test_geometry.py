@@ -279,6 +279,21 @@ def test_a_refinement_step_is_the_best_of_twelve(spark):
         assert t.deg == (4.0 if best[t.pose_id] > t.start_score + 1e-9 else 2.0)
 
 
+def test_a_refinement_writes_nothing_between_its_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(se, "cut", lambda df, cut=se.cut: cuts.append(df.columns) or cut(df))
+    assert refined(spark)[2].filter("deg <= 0.05").count() == 3 and len(cuts) <= 1
+
+
+@pytest.mark.parametrize("bound", ["GROUP_ATOMS", "GROUP_CELLS", "GROUP_POSES"])
+def test_large_complexes_and_blocks_of_poses_are_refined_alike(spark, monkeypatch, bound):
+    """By joins, in groups, or in blocks of one pose: the same poses and scores."""
+    want = [tuple(t) for t in refined(spark)[2].orderBy("pose_id").collect()]
+    monkeypatch.setattr(se, bound, 1)
+    got = [tuple(t) for t in refined(spark)[2].orderBy("pose_id").collect()]
+    assert len(got) == 3 and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want))
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(1, i) for i in range(8)], "complex_id long, pose_id long")
     edges = spark.createDataFrame([(1, 7, 6), (1, 6, 5), (1, 5, 4), (1, 2, 1)], "complex_id long, i long, j long")
