@@ -79,6 +79,23 @@ def test_radius_join_is_exact(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_exposed_points_are_those_no_neighbour_covers(spark):
+    """Against brute force over all points, with a number of points that fills no whole word; pairs
+    are marked in batches, not point by point in an expression of every pair."""
+    a = system(spark, seed=7, n_rec=9)
+    n, points = 100, []
+    for r in spark.range(100).select(*[c.alias(x) for c, x in zip(ft.sphere_point(F.col("id"), 100), "xyz")]).collect():
+        points.append(np.array(r, float))
+    got = ft.exposed_area(a.drop("sasa"), n=n)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    atoms = a.collect()
+    for t in got.collect():
+        at, reach = np.array([t.x, t.y, t.z]), t.radius + 1.4
+        others = [(np.array([o.x, o.y, o.z]), o.radius + 1.4) for o in atoms if o.side == t.side and o.atom_idx != t.atom_idx]
+        free = sum(all(np.linalg.norm(at + reach * p - b) >= r for b, r in others) for p in points)
+        assert t.sasa == pytest.approx(free / n * 4 * math.pi * reach ** 2)
+
+
 def test_exposed_area_of_one_and_two_atoms(spark):
     one = spark.createDataFrame([(1, "R", 0, 0.0, 0.0, 0.0, 1.7)], "complex_id long, side string, atom_idx int, x double, y double, z double, radius double")
     assert ft.exposed_area(one).first()["sasa"] == pytest.approx(4 * math.pi * 3.1 ** 2)
