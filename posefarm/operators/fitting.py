@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from posefarm.functions.columns import mix, weighted_sum
 from posefarm.functions.ordering import lower_median, quantiles_linear, with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
 from posefarm.operators.scoring import Weights, additive_basis, linear_score, settled, standardize, symmetric_additive_basis
-from posefarm.session import cut, shared_folder, spread
+from posefarm.session import cut, shared_folder, ship, spread
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
@@ -442,22 +443,68 @@ def top1_count(pool: DataFrame, weights: Weights, q_thr: float = THRESHOLD) -> D
     return best.agg(F.count_if("_ok").alias("top1"), F.count(F.lit(1)).alias("complexes"))
 
 
+def _worst(vectors: np.ndarray, columns: Sequence[str]):
+    """Of the runs of each complex in a batch, the highest row under every vector; of equal ones that of the smallest pose."""
+
+    def worst(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.asarray(batch[C].dictionary_encode().indices)
+            starts = np.flatnonzero(np.diff(code, prepend=code[0] - 1))
+            run = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(code)))
+            length = vectors.shape[1]
+            f = np.asarray(batch["f"].flatten().to_numpy(zero_copy_only=False), float).reshape(-1, length).T.copy()
+            c, pose = batch["c"].to_numpy(zero_copy_only=False), batch["pose_id"].to_numpy()
+            job, row, score = [], [], []
+            for j, e in enumerate(vectors):
+                # The order of the terms is that of weighted_sum.
+                total = np.zeros(len(c))
+                for k in range(length):
+                    total += f[k] * e[k]
+                s = c + total
+                ranked = np.where(batch[f"_use{j}"].fill_null(False).to_numpy(zero_copy_only=False) & ~np.isnan(s), s, -np.inf)
+                at = np.flatnonzero((ranked == np.maximum.reduceat(ranked, starts)[run]) & (ranked > -np.inf))
+                at = at[np.lexsort((pose[at], run[at]))]
+                at = at[np.diff(run[at], prepend=-1) != 0]
+                job.append(np.full(len(at), j, np.int32))
+                row.append(at)
+                score.append(s[at])
+            kept = batch.take(pa.array(np.concatenate(row)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(job)), *[kept[x] for x in (C, "pose_id", "f")], pa.array(np.concatenate(score))], list(columns))
+
+    return worst
+
+
 def _batched_hinge(affine: DataFrame, jobs: dict[str, tuple[list[float], Column]], anchor: DataFrame, eps: float) -> dict:
-    """Mean hinge and slope of several parameter vectors, each on its own complexes, in one pass."""
-    d = len(next(iter(jobs.values()))[0])
-    neg = affine.filter(~F.col("pos"))
-    scores = F.array(*[
-        F.struct(F.lit(name).alias("job"), use.alias("_use"), _affine(e).alias("_s")) for name, (e, use) in jobs.items()])
-    rows = neg.select(C, "pose_id", "f", F.inline(scores)).filter("_use")
-    worst = rows.groupBy("job", C).agg(F.max_by(F.struct("f", "_s"), F.struct("_s", -F.col("pose_id"))).alias("_w"))
-    j = worst.join(anchor, C)
-    target = F.lit(None).cast("double")
-    for name, (e, _) in jobs.items():
-        target = F.when(F.col("job") == name, F.col("ca") + weighted_sum(F.col("fa"), e)).otherwise(target)
-    j = j.withColumn("_gap", F.col("_w._s") - target + eps)
-    slope = [F.avg(F.when(F.col("_gap") > 0, F.col("_w.f")[k] - F.col("fa")[k]).otherwise(0.0)) for k in range(d)]
-    out = j.groupBy("job").agg(F.avg(F.greatest(F.lit(0.0), F.col("_gap"))).alias("hinge"), F.array(*slope).alias("slope"))
-    return {r["job"]: (r["hinge"], list(r["slope"])) for r in out.collect()}
+    """Mean hinge and slope of several parameter vectors, each on its own complexes, in one pass.
+
+    Every batch of poses sends on the hardest negative of each complex and vector only."""
+    names, vectors = list(jobs), np.array([e for e, _ in jobs.values()], float)
+    d = vectors.shape[1]
+    neg = affine.filter(~F.col("pos")).select(C, "pose_id", "c", "f", *[use.alias(f"_use{j}") for j, (_, use) in enumerate(jobs.values())])
+    kind = {f.name: f.dataType.simpleString() for f in neg.schema}
+    columns = ["_job", C, "pose_id", "f", "_s"]
+    ship(affine.sparkSession)
+    rows = neg.mapInArrow(_worst(vectors, columns),
+                          f"_job int, `{C}` {kind[C]}, pose_id {kind['pose_id']}, f {kind['f']}, _s double")
+    worst = rows.groupBy("_job", C).agg(F.max_by(F.struct("f", "_s"), F.struct("_s", -F.col("pose_id"))).alias("_w"))
+    # One literal holds all vectors, so that passes share their generated code.
+    e = F.slice(F.lit(vectors.ravel()), F.col("_job") * d + 1, F.lit(d))
+    j = worst.join(anchor, C).withColumn("_gap", F.col("_w._s") - (F.col("ca") + F.aggregate(F.zip_with("fa", e, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)) + eps)
+    slope = F.when(F.col("_gap") > 0, F.zip_with("_w.f", "fa", lambda a, b: a - b)).otherwise(F.transform("fa", lambda v: F.lit(0.0)))
+    parts = j.select("_job", F.posexplode(F.concat(F.array(F.greatest(F.lit(0.0), F.col("_gap"))), slope)).alias("k", "_v"))
+    out: dict = {}
+    for r in sorted(parts.groupBy("_job", "k").agg(F.avg("_v").alias("_v")).collect()):
+        out.setdefault(names[r["_job"]], []).append(r["_v"])
+    return {name: (v[0], v[1:]) for name, v in out.items()}
+
+
+def _by_complex(affine: DataFrame) -> DataFrame:
+    """The poses, stored in the order of (complex, pose): a hot complex still spreads over many files."""
+    path = shared_folder(affine.sparkSession, "hinge")
+    affine.repartitionByRange(C, "pose_id").sortWithinPartitions(C, "pose_id").write.parquet(path)
+    return affine.sparkSession.read.schema(affine.schema).parquet(path)
 
 
 def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple[float, Column]], steps: int | None = None,
@@ -468,7 +515,7 @@ def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple
     """
     e0 = list(map(float, e0))
     fits = {name: Bundle(e0, lam, (bases or {}).get(name), tol) for name, (lam, _) in jobs.items()}
-    affine = cut(affine)
+    affine = _by_complex(affine)
     spot = cut(anchors(affine, e0))
     open_jobs, done = dict(jobs), 0
     while open_jobs and (steps is None or done < steps):

@@ -182,6 +182,22 @@ def test_fits_improve(spark):
     p.unpersist(), a.unpersist()
 
 
+def test_a_batch_sends_on_the_hardest_negative_of_each_complex(spark):
+    import pyarrow as pa
+    rows = [(7, 3, 1.0, [1.0, 0.0], True), (7, 2, 1.0, [1.0, 0.0], True), (7, 1, 0.0, [0.0, 1.0], True), (9, 5, 0.0, [2.0, 2.0], False), (9, 4, 9.0, [0.0, 0.0], False)]
+    batch = pa.RecordBatch.from_pylist([{"complex_id": c, "pose_id": p, "c": k, "f": f, "_use0": True, "_use1": u} for c, p, k, f, u in rows])
+    out, = fi._worst(np.array([[1.0, 0.0], [0.0, 5.0]]), ["_job", "complex_id", "pose_id", "f", "_s"])([batch])
+    assert [tuple(r.values())[:3] + (r["_s"],) for r in out.to_pylist()] == [(0, 7, 2, 2.0), (0, 9, 4, 9.0), (1, 7, 1, 5.0)]
+    a = fi.affine_pool(feature_pool(spark), sc.Weights(1.0, (0.3, 0.4, 0.5), beta=2.0)).cache()
+    spot = fi.anchors(a, [0.7, -0.6])
+    jobs = {"all": ([0.1, 0.2], F.lit(True)), "even": ([0.4, -0.9], F.col("complex_id") % 2 == 0)}
+    got = fi._batched_hinge(fi._by_complex(a), jobs, spot, 1.0)
+    for name, (e, use) in jobs.items():
+        want = fi.hinge_value(a.filter(use), spot, e).first()
+        assert got[name][0] == pytest.approx(want["hinge"]) and got[name][1] == pytest.approx(list(want["slope"]))
+    a.unpersist()
+
+
 def test_pair_table_order(spark):
     """An asymmetric table tells (ligand, receptor) from its transpose."""
     table = [[float(10 * i + j) for j in range(12)] for i in range(12)]
