@@ -13,7 +13,7 @@ from posefarm.functions.ordering import lower_median, quantiles_linear
 from posefarm.operators import rotations as rot
 from posefarm.operators.quality import dockq, ligand_rmsd, quality_tier
 from posefarm.operators.ranking import auc_midrank
-from posefarm.operators.scoring import Weights, term_columns
+from posefarm.operators.scoring import Weights, settled, term_columns
 from posefarm.operators.search import score_poses, search_poses
 from posefarm.session import cut
 
@@ -156,7 +156,8 @@ def angle_quality_curve(atoms: DataFrame, complexes: DataFrame, degrees: Sequenc
 
 def near_native_landscape(atoms: DataFrame, complexes: DataFrame, weights: Weights, n: int, max_deg: float, max_shift: float,
                           h: float = fixed.REFERENCE_SPACING, seed: int = 0) -> DataFrame:
-    """Best-scoring sample around the native pose: its distance, its quality and the score gap."""
+    """Best-scoring sample around the native pose: its distance, its quality and the score gap.
+    Of samples of equal score the smaller id is the best."""
     native = complexes.select(C, F.lit(-1).cast("long").alias("pose_id"), *Q, *T)
     around = rot.random_probes(rot.placed_centroid(native, atoms), n, max_deg, max_shift, seed)
     rows = cut(native.unionByName(around.select(C, F.col("probe").cast("long").alias("pose_id"), *Q, *T)))
@@ -164,7 +165,7 @@ def near_native_landscape(atoms: DataFrame, complexes: DataFrame, weights: Weigh
     labelled = cut(dockq(rows, atoms).join(scored, [C, "pose_id"]).select(C, "pose_id", "score", "dockq", "l_rmsd"))
     home = labelled.filter(F.col("pose_id") == -1).select(C, F.col("score").alias("_s0"))
     best = labelled.filter(F.col("pose_id") >= 0).groupBy(C).agg(
-        F.max_by(F.struct("score", "dockq", "l_rmsd"), F.struct("score", -F.col("pose_id"))).alias("_b"))
+        F.max_by(F.struct("score", "dockq", "l_rmsd"), F.struct(settled("score"), -F.col("pose_id"))).alias("_b"))
     return best.join(home, C).select(C, F.col("_b.l_rmsd").alias("offset"), F.col("_b.dockq").alias("dockq"),
                                      (F.col("_b.score") - F.col("_s0")).alias("gap"))
 

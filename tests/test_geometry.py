@@ -316,3 +316,16 @@ def test_components(spark):
     edges = spark.createDataFrame([(1, 7, 6), (1, 6, 5), (1, 5, 4), (1, 2, 1)], "complex_id long, i long, j long")
     got = {r.pose_id: r.label for r in se.connected(nodes, edges).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 4}
+
+
+def test_the_best_sample_is_the_smaller_id_of_equal_scores(spark, monkeypatch):
+    from posefarm.operators import diagnostics as dg
+
+    # 0.1 + 0.2 and 0.3 are one score in two roundings; sample 0 has the lower one.
+    score = F.when(F.col("pose_id") < 0, 0.0).when(F.col("pose_id") == 0, 0.3).otherwise(F.lit(0.1) + F.lit(0.2))
+    seen = []
+    monkeypatch.setattr(dg, "score_poses", lambda atoms, rows, *how: seen.append(rows) or rows.withColumn("score", score))
+    a = system(spark).select("*", *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    home = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)], "complex_id long, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double")
+    best = dg.near_native_landscape(a, home, sc.Weights(0.0, (0.0, 0.0, 0.0), (0.0,) * 144), 3, 20.0, 2.0).first()
+    assert best["offset"] == pytest.approx(dg.dockq(seen[0], a).filter("pose_id = 0").first()["l_rmsd"])
