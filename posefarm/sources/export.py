@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posefarm.functions.ordering import top_k
@@ -33,39 +33,33 @@ def top_k_lines(poses: DataFrame, atoms: DataFrame, k: int, score: str = "score"
     after the common shift is taken out.
     """
     best = top_k(poses, C, [F.col(score).desc(), F.col("pose_id")], k)
-    have = poses.groupBy(C).agg(F.count(F.lit(1)).alias("_have"))
     few = F.concat(F.lit("fewer than k poses for complex "), F.col(C).cast("string"))
-    best = best.join(have, C).withColumn("rank", F.when(F.col("_have") < k, F.raise_error(few).cast("int")).otherwise(F.col("rank"))).drop("_have")
-    lig = rotate_poses(atoms.filter(F.col("side") == "L"), best, keep=["rank"])
-    rec = atoms.filter(F.col("side") == "R").join(best.select(C, "pose_id", "rank"), C)
-    both = rec.select(*lig.columns).unionByName(lig)
-    expected = atoms.groupBy(C).agg(F.count(F.lit(1)).alias("_atoms"))
-    placed = both.groupBy(C, "rank").agg(F.count(F.lit(1)).alias("_n"))
-    checks = placed.join(expected, C)
-    if "nx" in atoms.columns:
-        drift = _receptor_drift(atoms)
-        checks = checks.join(drift, C, "left")
-    else:
-        checks = checks.withColumn("_drift", F.lit(0.0))
     lost = F.concat(F.lit("atom count differs for complex "), F.col(C).cast("string"))
     off = F.concat(F.lit("receptor moved in complex "), F.col(C).cast("string"))
-    ok = (
-        F.when(F.col("_n") != F.col("_atoms"), F.raise_error(lost).cast("boolean"))
-        .when(F.coalesce("_drift", F.lit(0.0)) > tolerance, F.raise_error(off).cast("boolean")).otherwise(F.lit(True))
-    )
-    both = both.join(checks.select(C, "rank", ok.alias("_ok")), [C, "rank"]).filter("_ok").drop("_ok")
-    n_rec = atoms.filter(F.col("side") == "R").groupBy(C).agg(F.count(F.lit(1)).alias("_nrec"))
-    both = both.join(n_rec, C)
+    # At most k rows of a complex meet in this window, in the order top_k left them in.
+    best = best.withColumn("_have", F.count(F.lit(1)).over(Window.partitionBy(C))).join(_sides(atoms), C)
+    best = best.withColumn("rank", F.when(F.col("_have") < k, F.raise_error(few).cast("int"))
+                           .when(F.col("_placed") != F.col("_atoms"), F.raise_error(lost).cast("int"))
+                           .when(F.coalesce("_drift", F.lit(0.0)) > tolerance, F.raise_error(off).cast("int")).otherwise(F.col("rank")))
+    # Every atom meets its poses once; the receptor's stay where they are.
+    both = rotate_poses(atoms.select("*", *[F.col(a).alias(f"_{a}") for a in "xyz"]), best, keep=["rank", "_nrec"])
+    receptor = F.col("side") == "R"
+    both = both.withColumns({a: F.when(receptor, F.col(f"_{a}")).otherwise(F.col(a)) for a in "xyz"})
     serial = F.col("atom_idx") + F.when(F.col("side") == "L", F.col("_nrec")).otherwise(0) + 1
-    chain = F.when(F.col("side") == "R", "R").otherwise("L")
+    chain = F.when(receptor, "R").otherwise("L")
     return both.select(C, "rank", serial.alias("line_no"), atom_line(serial, chain).alias("line"))
 
 
-def _receptor_drift(atoms: DataFrame) -> DataFrame:
-    rec = atoms.filter(F.col("side") == "R")
-    shift = rec.groupBy(C).agg(*[F.avg(F.col(f"n{a}") - F.col(a)).alias(f"_s{a}") for a in "xyz"])
-    gap = F.greatest(*[F.abs(F.col(f"n{a}") - F.col(a) - F.col(f"_s{a}")) for a in "xyz"])
-    return rec.join(shift, C).groupBy(C).agg(F.max(gap).alias("_drift"))
+def _sides(atoms: DataFrame) -> DataFrame:
+    """Per complex: atoms, those of a known side, receptor atoms, and how far any of these is
+    from its native place beyond the common shift, which follows from the ends of the shifts."""
+    receptor = F.col("side") == "R"
+    drift = F.lit(0.0)
+    if "nx" in atoms.columns:
+        shifts = [F.when(receptor, F.col(f"n{a}") - F.col(a)) for a in "xyz"]
+        drift = F.greatest(*[gap for s in shifts for gap in (F.max(s) - F.avg(s), F.avg(s) - F.min(s))])
+    return atoms.groupBy(C).agg(F.count(F.lit(1)).alias("_atoms"), F.count_if(receptor | (F.col("side") == "L")).alias("_placed"),
+                                F.count_if(receptor).alias("_nrec"), drift.alias("_drift"))
 
 
 def export_top_k(poses: DataFrame, atoms: DataFrame, k: int, path: str, score: str = "score") -> None:

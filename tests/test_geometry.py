@@ -329,3 +329,29 @@ def test_the_best_sample_is_the_smaller_id_of_equal_scores(spark, monkeypatch):
     home = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)], "complex_id long, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double")
     best = dg.near_native_landscape(a, home, sc.Weights(0.0, (0.0, 0.0, 0.0), (0.0,) * 144), 3, 20.0, 2.0).first()
     assert best["offset"] == pytest.approx(dg.dockq(seen[0], a).filter("pose_id = 0").first()["l_rmsd"])
+
+
+def _exported(spark, n_poses=3, moved=0.0, side="L"):
+    atoms = [(1, s, i, float(i), 0.0, 1.0, float(i) + 2.0 + (moved if (s, i) == ("R", 1) else 0.0), 2.0, 3.0, "ALA", "CA", 1)
+             for s, n in (("R", 3), (side, 2)) for i in range(n)]
+    a = spark.createDataFrame(atoms, "complex_id long, side string, atom_idx int, x double, y double, z double, nx double, ny double, nz double, res_name string, atom_name string, res_seq int")
+    p = spark.createDataFrame([(1, i, float(i), 0.0, 0.0, 0.0, 1.0, 10.0 * i, 0.0, 0.0) for i in range(n_poses)],
+                              "complex_id long, pose_id long, score double, q1 double, q2 double, q3 double, q4 double, tx double, ty double, tz double")
+    from posefarm.sources import export
+    return export.top_k_lines(p, a, 2)
+
+
+def test_every_atom_of_the_top_poses_is_one_line_by_few_joins(spark):
+    lines = _exported(spark)
+    got = rows(lines, "rank", "line_no")
+    assert [(r[1], r[2], float(r[3][30:38])) for r in got] == [
+        (k, i, x) for k, t in ((1, 20.0), (2, 10.0)) for i, x in enumerate((0.0, 1.0, 2.0, t, t + 1.0), 1)]
+    # Each join of this plan sorts both sides in one task, a memory page at least for each.
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()) <= 2
+
+
+@pytest.mark.parametrize("how,says", [({"n_poses": 1}, "fewer than k"), ({"moved": 0.1}, "receptor moved"), ({"side": "X"}, "atom count differs")])
+def test_an_export_that_is_not_whole_ends_the_job(spark, how, says):
+    with pytest.raises(Exception, match=says):
+        _exported(spark, **how).collect()
