@@ -669,6 +669,13 @@ def gradient_share(norms: DataFrame, fractions: Sequence[float] = (0.05, 0.10, 0
         *[F.count_if(F.col("_run") - F.col("norm") < F.col("_tot") * l).alias(f"needed_{int(l * 100)}") for l in levels])
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder."""
+    path = shared_folder(rows.sparkSession, "kept")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def virtual_step_report(pool: DataFrame, start: Model, steps: Sequence[int], lr: float = 5e-4, batch: int = 16,
                         q_thr: float = THRESHOLD, seed: int = 0) -> DataFrame:
     """Effect of a few shaping-only steps (from complexes without positives) on the ranking.
@@ -676,10 +683,11 @@ def virtual_step_report(pool: DataFrame, start: Model, steps: Sequence[int], lr:
     One row per step count: mean gap, top-1, flips, and how the best pose of the
     complexes without positives moves.
     """
-    live_ids = pool.filter(F.col("dockq") >= q_thr).select(C).distinct()
-    dead = pool.join(live_ids, C, "left_anti")
+    # Stored, so that Spark knows how few the ids are and need not deal the pool out to find their rows.
+    pool = _kept(pool)
+    live = F.coalesce(F.max(F.col("dockq") >= q_thr), F.lit(False))
+    dead = pool.join(_kept(pool.groupBy(C).agg(live.alias("_live")).filter(~F.col("_live")).select(C)), C, "left_semi")
     obj = Objective(basin=False, negatives="none", lambda_shape=1.0, lambda_prior=0.0, q_thr=q_thr)
-    pool = cut(pool)
     dead, dead_ids, n_dead = bucketed_pool(dead, batch)
     share = min(1.0, batch / max(1, n_dead))
     model = replace(start, table=list(start.table), freeze_shape=True)
@@ -703,22 +711,40 @@ def virtual_step_report(pool: DataFrame, start: Model, steps: Sequence[int], lr:
 
 
 def ranking_shift(pool: DataFrame, settings: dict[str, Weights], q_thr: float = THRESHOLD) -> DataFrame:
-    """Margins, top-1 and flips of every weight setting against the setting named "0"."""
-    from posefarm.operators.scoring import score_many
+    """Margins, top-1 and flips of every weight setting against the setting named "0".
 
-    keys = ["condition", C]
-    rows = standardize(score_many(pool, settings, [C, "pose_id", "dockq"]), "score", "z", keys=keys).withColumn("_s", settled("score"))
+    A pose is one row with a score for each setting.  Scores are standardised by complex, which
+    keeps their order, so the margin follows from the best scores and the moments alone.
+    """
+    rows = pool
+    for i, weights in enumerate(settings.values()):
+        rows = linear_score(rows, weights, f"_score_{i}")
+    rows = rows.select(C, "pose_id", "dockq", *[f"_score_{i}" for i in range(len(settings))])
     pos = F.col("dockq") >= q_thr
-    per = rows.groupBy(*keys).agg(
-        (F.max(F.when(pos, F.col("z"))) - F.max(F.when(~pos, F.col("z")))).alias("gap"),
-        F.max_by(pos, F.struct("_s", -F.col("pose_id"))).alias("ok"),
-        F.max(pos).alias("live"),
-        F.max_by("_s", F.struct("dockq", -F.col("pose_id"))).alias("_sb"))
-    ahead = rows.select(*keys, "_s").join(per.select(*keys, "_sb"), keys).groupBy(*keys).agg(
-        (F.count_if(F.col("_s") > F.col("_sb")) + 1).alias("best_rank"))
-    per = per.join(ahead, keys)
-    base = per.filter(F.col("condition") == "0").select(C, F.col("ok").alias("_ok0"), F.col("best_rank").alias("_r0"))
-    j = per.join(base, C)
+
+    each = range(len(settings))
+    score = [F.col(f"_score_{i}") for i in each]
+    best = F.col("dockq").eqNullSafe(F.col("_q"))
+    top = [settled(f"_score_{i}").eqNullSafe(F.col(f"_top_{i}")) for i in each]
+
+    def gap(s: Column) -> Column:
+        scale = F.greatest(F.coalesce(F.stddev_pop(s), F.lit(0.0)), F.lit(1.0))
+        return (F.max(F.when(pos, s)) - F.avg(s)) / scale - (F.max(F.when(~pos, s)) - F.avg(s)) / scale
+
+    # Plain numbers in every aggregate: Spark hashes them, where it would sort rows for structs.
+    per = rows.groupBy(C).agg(F.max(pos).alias("live"), F.max("dockq").alias("_q"), *[gap(s).alias(f"_gap_{i}") for i, s in zip(each, score)],
+                              *[settled(F.max(s)).alias(f"_top_{i}") for i, s in zip(each, score)])
+    marked = rows.join(per, C).groupBy(C).agg(
+        F.max("live").alias("live"), *[F.max(f"_gap_{i}").alias(f"_gap_{i}") for i in each],
+        *[F.coalesce(F.min(F.when(t & pos, F.col("pose_id"))) == F.min(F.when(t, F.col("pose_id"))), F.lit(False)).alias(f"_ok_{i}") for i, t in zip(each, top)],
+        *[F.min_by(settled(f"_score_{i}"), F.when(best, F.col("pose_id"))).alias(f"_sb_{i}") for i in each])
+    j = rows.select(C, *score).join(marked, C).groupBy(C).agg(
+        F.max("live").alias("live"), *[F.max(f"_{c}_{i}").alias(f"_{c}_{i}") for c in ("gap", "ok") for i in each],
+        *[(F.count_if(settled(f"_score_{i}") > F.col(f"_sb_{i}")) + 1).alias(f"_rank_{i}") for i in each])
+    base = list(settings).index("0")
+    j = j.select("live", F.col(f"_ok_{base}").alias("_ok0"), F.col(f"_rank_{base}").alias("_r0"), F.inline(F.array(*[
+        F.struct(F.lit(name).alias("condition"), F.col(f"_gap_{i}").alias("gap"), F.col(f"_ok_{i}").alias("ok"), F.col(f"_rank_{i}").alias("best_rank"))
+        for i, name in enumerate(settings)])))
     live = F.col("live")
     return j.groupBy("condition").agg(
         F.count_if(live).alias("live"), F.count_if(live & F.col("ok")).alias("top1"), F.avg(F.when(live, F.col("gap"))).alias("mean_gap"),

@@ -292,3 +292,15 @@ def test_the_anchor_of_the_margin_is_the_smaller_id_of_equal_scores(spark):
                                      "complex_id long, pose_id long, t array<double>, dockq double")
         grads.append(fi.complex_gradients(pool, w, obj, 2).first()["grad"])
     assert np.allclose(grads[0], grads[1], atol=1e-2) and np.abs(grads[0]).max() > 1e-3
+
+
+def test_a_pose_is_one_row_with_all_its_scores_when_rankings_are_compared(spark):
+    rows_ = [(c, i, [float(i * (c + 1) % 5), float(i % 3)], 0.9 if i == c else 0.0) for c in range(3) for i in range(4)]
+    pool = spark.createDataFrame(rows_, "complex_id long, pose_id long, t array<double>, dockq double")
+    settings = {str(k): sc.Weights(0.0, (0.0, 0.0, 0.0), (1.0, float(k))) for k in range(3)}
+    shift = fi.ranking_shift(pool, settings)
+    assert shift.count() == 3
+    # The best scores and ranks of a complex are made from one row a pose, and meet its poses once.
+    plan = shift._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()) <= 2
+    assert sum(line.lstrip(" :+-").startswith("Generate") for line in plan.splitlines()) <= 1
