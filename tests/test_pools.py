@@ -1,8 +1,10 @@
 """Pools, splits, sources and plans on hand-made fixtures."""
 
+import functools
 import json
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -215,6 +217,31 @@ def test_absorbing_rewrites_only_its_buckets(spark, tmp_path):
     assert absorbed("again") == first  # the same batch a second time
 
 
+def test_buckets_are_absorbed_in_turns_and_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    import os
+
+    from posefarm.session import checkpoint_dir
+    from posefarm.streaming import incremental as inc
+
+    names = [*"ABCDEFGH", None]
+    every = lambda ids, start: functools.reduce(DataFrame.unionByName, [pool(spark, ids, c=c, start=start) for c in names])
+    old = every(range(20), 0).withColumn("dockq", F.when(F.col("pose_id") < 3, 0.5).otherwise(0.0)).withColumn("origin", F.lit(0))
+    mined = every(range(15, 40), 100).unionByName(pool(spark, range(50), c="Z", start=100))
+    kept_at, mined_at, seen = f"{tmp_path}/pool", f"{tmp_path}/mined", []
+    whole = inc.absorb_round
+    monkeypatch.setattr(inc, "ABSORBED", 100)
+    monkeypatch.setattr(inc, "absorb_round", lambda a, b, *rest: seen.append(a.count() + b.count()) or whole(a, b, *rest))
+    stored = lambda: set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+    inc.start_pool(old, kept_at)
+    mined.write.parquet(mined_at)
+    before = stored()
+    inc.absorb_stream(spark.readStream.schema(mined.schema).parquet(mined_at), kept_at, f"{tmp_path}/state", 30).awaitTermination()
+    show = lambda df: sorted(map(str, df.select("complex_id", "pose_id", "origin").collect()))
+    assert show(inc.kept_pool(spark, kept_at)) == show(whole(old, mined, 1, 30))
+    assert sum(seen) == old.count() + mined.count() and len(seen) > 3
+    assert stored() == before
+
+
 def test_lines_are_numbered_across_splits(spark, tmp_path):
     want = {}
     for name, n in (("a.txt", 4000), ("b.txt", 3), ("c.txt", 900), ("empty.txt", 0)):
