@@ -12,21 +12,25 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posefarm.functions import fixed
 from posefarm.functions.columns import mix, weighted_sum
 from posefarm.functions.ordering import lower_median, quantiles_linear, with_one, with_order
 from posefarm.operators.losses import Objective, complex_losses, pose_gradients
 from posefarm.operators.scoring import Weights, additive_basis, linear_score, settled, standardize, symmetric_additive_basis
-from posefarm.session import cut, shared_folder, ship, spread
+from posefarm.session import cut, shared_folder, ship, shuffles_freed, spread
 
 C = "complex_id"
 THRESHOLD = fixed.TIERS[0]
 #: Hinge fits end within this share of their minimum.
 TOLERANCE = 1e-6
 SHAPE = ("c_pair", "n_ss", "n_sc", "n_cc")
+#: Bytes of the constants and features that a packed row of poses holds; poses that are looked at together.
+PACKED, POSES = 4096, 1 << 16
 #: Evaluations without any progress after which a hinge fit gives up.
 STALLED = 500
 
@@ -430,10 +434,9 @@ def hinge_fit(affine: DataFrame, e0: Sequence[float], lam: float, steps: int | N
 
 def top1_table(affine: DataFrame, settings: dict[str, Sequence[float]]) -> DataFrame:
     """Per setting: complexes whose best pose is positive; every setting in one pass."""
-    scores = F.array(*[F.struct(F.lit(k).alias("setting"), _affine(e).alias("_s")) for k, e in settings.items()])
-    rows = affine.select(C, "pose_id", "pos", F.inline(scores))
-    best = rows.groupBy("setting", C).agg(F.max_by("pos", F.struct("_s", -F.col("pose_id"))).alias("_ok"))
-    return best.groupBy("setting").agg(F.count_if("_ok").alias("top1"), F.count(F.lit(1)).alias("complexes"))
+    best = affine.groupBy(C).agg(*[F.max_by("pos", F.struct(_affine(e).alias("_s"), -F.col("pose_id"))).alias(f"_ok{i}") for i, e in enumerate(settings.values())])
+    rows = best.select(F.inline(F.array(*[F.struct(F.lit(k).alias("setting"), F.col(f"_ok{i}").alias("_ok")) for i, k in enumerate(settings)])))
+    return rows.groupBy("setting").agg(F.count_if("_ok").alias("top1"), F.count(F.lit(1)).alias("complexes"))
 
 
 def top1_count(pool: DataFrame, weights: Weights, q_thr: float = THRESHOLD) -> DataFrame:
@@ -455,7 +458,9 @@ def _worst(vectors: np.ndarray, columns: Sequence[str]):
             run = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(code)))
             length = vectors.shape[1]
             f = np.asarray(batch["f"].flatten().to_numpy(zero_copy_only=False), float).reshape(-1, length).T.copy()
-            c, pose = batch["c"].to_numpy(zero_copy_only=False), batch["pose_id"].to_numpy()
+            c = batch["c"].to_numpy(zero_copy_only=False)
+            # A pose without an id comes after the others.
+            pose = np.asarray(pc.rank(batch["pose_id"], "ascending", null_placement="at_end") if batch["pose_id"].null_count else batch["pose_id"])
             job, row, score = [], [], []
             for j, e in enumerate(vectors):
                 # The order of the terms is that of weighted_sum.
@@ -476,18 +481,64 @@ def _worst(vectors: np.ndarray, columns: Sequence[str]):
     return worst
 
 
-def _batched_hinge(affine: DataFrame, jobs: dict[str, tuple[list[float], Column]], anchor: DataFrame, eps: float) -> dict:
+def _packed(batches):
+    """Neighbouring poses of one complex as a row: their ids, and their constants and features as 64-bit floats."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [x for x in batch.schema.names if x not in ("pose_id", "c", "f")]
+        length = len(batch["f"][0])
+        code = np.stack([np.asarray(batch[x].dictionary_encode().indices.fill_null(-1)) for x in keys])
+        new = np.append(True, (np.diff(code) != 0).any(0))
+        first = np.flatnonzero(new)
+        place = np.arange(batch.num_rows) - np.repeat(first, np.diff(first, append=batch.num_rows))
+        at = np.flatnonzero(place % max(1, PACKED // (8 * (length + 1))) == 0)
+        ends = np.append(at, batch.num_rows).astype(np.int32)
+
+        def blob(values, width):
+            data = np.ascontiguousarray(values.to_numpy(zero_copy_only=False), float)
+            return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends * np.int32(8 * width)), pa.py_buffer(data)])
+
+        own = batch.take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([*[own[x] for x in keys], pa.ListArray.from_arrays(pa.array(ends), batch["pose_id"]), blob(batch["c"], 1),
+                                          blob(batch["f"].flatten(), length)], [*keys, "pose_id", "c", "f"])
+
+
+def _floats(blobs) -> np.ndarray:
+    """All of a column of blobs, as they lie."""
+    kind = np.int64 if pa.types.is_large_binary(blobs.type) else np.int32
+    ends = np.frombuffer(blobs.buffers()[1], kind)[blobs.offset:blobs.offset + len(blobs) + 1]
+    return np.frombuffer(blobs.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(float)
+
+
+def _poses(batches, length: int):
+    """The poses of packed rows, one a row again, some tens of thousands at a time."""
+    for batch in batches:
+        many = np.diff(np.asarray(batch["pose_id"].offsets))
+        piece = np.cumsum(many) // POSES
+        for start in np.flatnonzero(np.diff(piece, prepend=-1)).tolist():
+            part = batch.slice(start, int(np.searchsorted(piece, piece[start], "right")) - start)
+            at = pa.array(np.repeat(np.arange(part.num_rows), many[start:start + part.num_rows]))
+            c = _floats(part["c"])
+            f = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * np.int32(length)), pa.array(_floats(part["f"])))
+            own = part.select([x for x in part.schema.names if x not in ("pose_id", "c", "f")]).take(at)
+            yield pa.RecordBatch.from_arrays([*own.columns, part["pose_id"].flatten(), pa.array(c), f], [*own.schema.names, "pose_id", "c", "f"])
+
+
+def _batched_hinge(packed: DataFrame, jobs: dict[str, tuple[list[float], Column]], anchor: DataFrame, eps: float) -> dict:
     """Mean hinge and slope of several parameter vectors, each on its own complexes, in one pass.
 
-    Every batch of poses sends on the hardest negative of each complex and vector only."""
+    ``packed`` are the negatives of :func:`_by_complex`; every batch of them sends on the
+    hardest one of each complex and vector only."""
     names, vectors = list(jobs), np.array([e for e, _ in jobs.values()], float)
     d = vectors.shape[1]
-    neg = affine.filter(~F.col("pos")).select(C, "pose_id", "c", "f", *[use.alias(f"_use{j}") for j, (_, use) in enumerate(jobs.values())])
-    kind = {f.name: f.dataType.simpleString() for f in neg.schema}
+    kind = {f.name: f.dataType for f in packed.schema}
     columns = ["_job", C, "pose_id", "f", "_s"]
-    ship(affine.sparkSession)
-    rows = neg.mapInArrow(_worst(vectors, columns),
-                          f"_job int, `{C}` {kind[C]}, pose_id {kind['pose_id']}, f {kind['f']}, _s double")
+    worst = _worst(vectors, columns)
+    ship(packed.sparkSession)
+    rows = packed.select(C, "pose_id", "c", "f", *[use.alias(f"_use{j}") for j, (_, use) in enumerate(jobs.values())]).mapInArrow(
+        lambda batches: worst(_poses(batches, d)),
+        f"_job int, `{C}` {kind[C].simpleString()}, pose_id {kind['pose_id'].elementType.simpleString()}, f array<double>, _s double")
     worst = rows.groupBy("_job", C).agg(F.max_by(F.struct("f", "_s"), F.struct("_s", -F.col("pose_id"))).alias("_w"))
     # One literal holds all vectors, so that passes share their generated code.
     e = F.slice(F.lit(vectors.ravel()), F.col("_job") * d + 1, F.lit(d))
@@ -501,25 +552,43 @@ def _batched_hinge(affine: DataFrame, jobs: dict[str, tuple[list[float], Column]
 
 
 def _by_complex(affine: DataFrame) -> DataFrame:
-    """The poses, stored in the order of (complex, pose): a hot complex still spreads over many files."""
-    path = shared_folder(affine.sparkSession, "hinge")
-    affine.repartitionByRange(C, "pose_id").sortWithinPartitions(C, "pose_id").write.parquet(path)
-    return affine.sparkSession.read.schema(affine.schema).parquet(path)
+    """The negatives, packed and stored in the order of (complex, pose): a hot complex still spreads over many files.
+
+    A pass reads all of them, and numbers in blobs pass from file to Python as they are.
+    Poses without a score are left out: they are never the hardest.
+    """
+    spark = affine.sparkSession
+    neg = affine.filter(~F.col("pos") & F.col("c").isNotNull() & F.col("f").isNotNull()).drop("pos").withColumns(
+        {"c": F.col("c").cast("double"), "f": F.col("f").cast("array<double>")})
+    keys = [f.name for f in neg.schema if f.name not in ("pose_id", "c", "f") and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    kind = {f.name: f.dataType.simpleString() for f in neg.schema}
+    path = shared_folder(spark, "hinge")
+    ship(spark)
+    with shuffles_freed(spark):
+        rows = neg.repartitionByRange(C, "pose_id").sortWithinPartitions(C, F.col("pose_id").asc_nulls_last()).select(*keys, "pose_id", "c", "f").mapInArrow(
+            _packed, ", ".join(f"`{x}` {kind[x]}" for x in keys) + f", pose_id array<{kind['pose_id']}>, c binary, f binary")
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _kept_fit(affine: DataFrame, e0: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    return _by_complex(affine), cut(anchors(affine, list(map(float, e0))))
 
 
 def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple[float, Column]], steps: int | None = None,
-                   eps: float = 1.0, bases: dict[str, Sequence[Sequence[float]]] | None = None, tol: float = TOLERANCE) -> dict[str, list[float]]:
+                   eps: float = 1.0, bases: dict[str, Sequence[Sequence[float]]] | None = None, tol: float = TOLERANCE,
+                   kept: tuple[DataFrame, DataFrame] | None = None) -> dict[str, list[float]]:
     """Several hinge fits side by side: job name -> (lambda, condition on the complex).
 
-    Every evaluation is one pass over the pool for all jobs that have not settled.
+    Every evaluation is one pass over the negatives for all jobs that have not settled.
+    ``kept``: the pool's :func:`_by_complex` and anchors, where other fits of it use them, too.
     """
     e0 = list(map(float, e0))
     fits = {name: Bundle(e0, lam, (bases or {}).get(name), tol) for name, (lam, _) in jobs.items()}
-    affine = _by_complex(affine)
-    spot = cut(anchors(affine, e0))
+    packed, spot = kept or _kept_fit(affine, e0)
     open_jobs, done = dict(jobs), 0
     while open_jobs and (steps is None or done < steps):
-        got = _batched_hinge(affine, {n: (fits[n].point, use) for n, (_, use) in open_jobs.items()}, spot, eps)
+        got = _batched_hinge(packed, {n: (fits[n].point, use) for n, (_, use) in open_jobs.items()}, spot, eps)
         for name in got:
             fits[name].add(*got[name])
         open_jobs = {n: job for n, job in open_jobs.items() if n in got and not fits[n].settled}
@@ -528,19 +597,23 @@ def hinge_fit_many(affine: DataFrame, e0: Sequence[float], jobs: dict[str, tuple
 
 
 def lambda_path_cv(affine: DataFrame, folds: DataFrame, e0: Sequence[float], lambdas: Sequence[float], k: int,
-                   steps: int | None = None, tol: float = TOLERANCE) -> tuple[DataFrame, float]:
+                   steps: int | None = None, tol: float = TOLERANCE, kept: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, float]:
     """Cross-validated top-1 per lambda over whole-cluster folds, and the best lambda.
 
-    ``folds``: (complex_id, fold).  All (lambda, fold) fits share each pass.
+    ``folds``: (complex_id, fold).  All (lambda, fold) fits share each pass.  ``kept`` as in
+    :func:`hinge_fit_many`, with the fold of each complex.
     """
     rows = affine.join(folds.select(C, "fold"), C)
     jobs = {f"{i}:{f}": (lam, F.col("fold") != f) for i, lam in enumerate(lambdas) for f in range(k)}
-    fits = hinge_fit_many(rows, e0, jobs, steps, tol=tol)
-    scores = F.array(*[
-        F.struct(F.lit(int(n.split(":")[0])).alias("li"), F.lit(int(n.split(":")[1])).alias("held"), _affine(e).alias("_s"))
-        for n, e in fits.items()])
-    long = rows.select(C, "pose_id", "pos", "fold", F.inline(scores)).filter(F.col("fold") == F.col("held"))
-    top = long.groupBy("li", C).agg(F.max_by("pos", F.struct("_s", -F.col("pose_id"))).alias("_ok"))
+    fits = hinge_fit_many(rows, e0, jobs, steps, tol=tol, kept=kept)
+
+    def score(i: int) -> Column:
+        held = [F.when(F.col("fold") == f, _affine(fits[f"{i}:{f}"])) for f in range(k)]
+        return F.coalesce(*held).alias("_s")
+
+    best = rows.filter(F.col("fold").isin(*range(k))).groupBy(C).agg(
+        *[F.max_by("pos", F.struct(score(i), -F.col("pose_id"))).alias(f"_ok{i}") for i in range(len(lambdas))])
+    top = best.select(F.inline(F.array(*[F.struct(F.lit(i).alias("li"), F.col(f"_ok{i}").alias("_ok")) for i in range(len(lambdas))])))
     lut = F.array(*[F.lit(float(x)) for x in lambdas])
     table = top.groupBy("li").agg(F.count_if("_ok").alias("top1"), F.count(F.lit(1)).alias("complexes")).select(
         F.element_at(lut, F.col("li") + 1).alias("lam"), "top1", "complexes")
@@ -630,11 +703,12 @@ def learning_curve(fit: DataFrame, validation: DataFrame, weights: Weights, fami
         edges = size_edges(fit, family.buckets)
         own = cut(family_pool(fit, weights, family, edges).join(ids, C))
         start = [0.0] * family.size(length)
-        table, _ = lambda_path_cv(own, folds, start, lambdas, k, steps, tol)
+        kept = _kept_fit(own.join(folds.select(C, "fold"), C, "left"), start)
+        table, _ = lambda_path_cv(own, folds, start, lambdas, k, steps, tol, kept)
         got = {row["lam"]: row["top1"] for row in table.collect()}
         lam = max(lambdas, key=lambda x: (got.get(float(x), -1), -list(lambdas).index(x)))
         jobs = {f"{s}:{r}": (lam, F.col(f"_o{r}") <= s) for s in sizes for r in range(repeats)}
-        fits = hinge_fit_many(own, start, jobs, steps, tol=tol)
+        fits = hinge_fit_many(own, start, jobs, steps, tol=tol, kept=kept)
         top = top1_table(family_pool(validation, weights, family, edges), fits)
         rows = top.select(F.lit(name).alias("family"), F.split("setting", ":")[0].cast("int").alias("size"), F.lit(float(lam)).alias("lam"),
                           (F.col("top1") / F.col("complexes")).alias("_t")).groupBy("family", "size", "lam").agg(F.avg("_t").alias("top1"))

@@ -198,6 +198,43 @@ def test_a_batch_sends_on_the_hardest_negative_of_each_complex(spark):
     a.unpersist()
 
 
+def test_negatives_are_packed_and_a_pass_sees_all_of_them(spark, monkeypatch):
+    import pyarrow as pa
+    rnd = np.random.default_rng(8)
+    # One complex of many packed rows; ties go to the smaller pose, poses without a score are never the hardest.
+    rows_ = [(c, p, float(rnd.integers(-9, 9)), [float(x) for x in rnd.integers(-3, 4, 3)], bool(p % 7 == 0), c % 2) for c in range(6) for p in range(900 if c == 4 else 20)]
+    rows_ += [(0, 900, None, [1.0, 1.0, 1.0], False, 0), (1, 901, 99.0, None, False, 1), (2, 902, 99.0, [None, 1.0, 1.0], False, 0), (3, None, 1.0, [0.0, 0.0, 0.0], False, 1)]
+    kind = "complex_id long, pose_id long, c double, f array<double>, pos boolean, fold int"
+    a = spark.createDataFrame(rows_, kind).repartition(7)
+    packed = fi._by_complex(a)
+    assert packed.count() < 60 and packed.agg(F.sum(F.size("pose_id"))).first()[0] == sum(not r[4] for r in rows_) - 2
+    jobs = {"all": ([0.5, -0.25, 2.0], F.lit(True)), "odd": ([0.0, 0.0, 0.0], F.col("fold") == 1)}
+    spot = fi.anchors(a, [0.0, 0.0, 0.0])
+    got = fi._batched_hinge(packed, jobs, spot, 1.0)
+    scored = a.filter("c is not null and f[0] is not null")
+    for name, (e, use) in jobs.items():
+        want = fi.hinge_value(scored.filter(use), spot, e).first()
+        assert got[name][0] == pytest.approx(want["hinge"]) and got[name][1] == pytest.approx(list(want["slope"]))
+    monkeypatch.setattr(fi, "PACKED", 100)
+    monkeypatch.setattr(fi, "POSES", 7)
+    flat = pa.RecordBatch.from_pylist([dict(zip(("complex_id", "pose_id", "c", "f", "fold"), (*r[:4], r[5]))) for r in rows_ if r[2] is not None and r[3] is not None])
+    again = [r for b in fi._poses(fi._packed([flat.slice(0, 0), flat.slice(3)]), 3) for r in b.to_pylist()]
+    assert all(len(b) <= 3 + 7 for b in fi._poses(fi._packed([flat]), 3))
+    assert [(r["complex_id"], r["pose_id"], r["c"], r["fold"]) for r in again] == [(r["complex_id"], r["pose_id"], r["c"], r["fold"]) for r in flat.slice(3).to_pylist()]
+    assert [[x if x == x else None for x in r["f"]] for r in again] == [r["f"] for r in flat.slice(3).to_pylist()]
+
+
+def test_a_pose_is_one_row_when_settings_count_their_best(spark):
+    a = fi.affine_pool(feature_pool(spark), sc.Weights(1.0, (0.3, 0.4, 0.5), beta=2.0))
+    settings = {str(k): [0.1 * k, -0.2] for k in range(4)}
+    table = fi.top1_table(a, settings)
+    for name, e in settings.items():
+        assert table.filter(F.col("setting") == name).collect() == fi.top1_table(a, {name: e}).collect()
+    # The settings fan out after the best pose of a complex is known.
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("max_by")
+
+
 def test_pair_table_order(spark):
     """An asymmetric table tells (ligand, receptor) from its transpose."""
     table = [[float(10 * i + j) for j in range(12)] for i in range(12)]
