@@ -31,6 +31,7 @@ remove each other's bytes.  Extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -43,8 +44,11 @@ from pyspark.sql import functions as F
 
 from posefarm.llm import text
 from posefarm.llm.store import stored
+from posefarm.session import shuffles_freed
 
 SPAN, GRAM = 50, 32
+#: Bytes of the number that a suffix (of SPAN bytes at most) is compared by.
+WIDE = 56
 #: Bytes of text of a slice, of a part of the fingerprints, of a bucket of anchors.
 SLICE, PART = 4 << 20, 16 << 20
 #: Bytes of text whose fingerprints are gathered before they are sent.
@@ -113,11 +117,11 @@ def _sent(rows: DataFrame, parts: int) -> DataFrame:
         def send() -> pa.RecordBatch:
             prints, piece, row = (np.concatenate(c) for c in zip(*held))
             group = piece * parts + (prints >> np.uint64(32)).astype(np.int64) % parts
-            value = prints.astype(np.uint32)
-            order = np.lexsort((row, value, group))
-            group, value, row = group[order], value[order], row[order]
-            new = np.ones(len(group), bool)
-            new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+            key = group.astype(np.uint64) << np.uint64(32) | prints.astype(np.uint32)
+            order = np.argsort(key, kind="stable")  # rows rise already
+            key, row = key[order], row[order]
+            group, value = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+            new = np.append(True, key[1:] != key[:-1])
             first = np.flatnonzero(new)
             others = np.add.reduceat(np.append(False, (row[1:] != row[:-1]) & ~new[1:]).astype(np.int64), first)
             twice = others > 0
@@ -176,29 +180,21 @@ def _live(sent: DataFrame) -> DataFrame:
     return sent.groupBy("part").applyInPandas(meet, "slice long, part long, live binary, hot binary")
 
 
-def shared(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix, given that ``known`` bytes are equal."""
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[known:n], "big") ^ int.from_bytes(b[known:n], "big")
-    return n if not x else n - 1 - (x.bit_length() - 1) // 8
-
-
 def encode_run(records: list[tuple[bytes, bytes, int]]) -> bytes:
     """A sorted run of (suffix, bytes before it, id), front-coded."""
-    prefix, rest, last = [], [], b""
-    for suffix, _, _ in records:
-        h = shared(last, suffix, 0)
-        prefix.append(h)
-        rest.append(suffix[h:])
-        last = suffix
-    head = np.array([prefix, [len(r[0]) for r in records], [len(r[1]) for r in records]], np.uint8).tobytes()
+    size = np.array([len(r[0]) for r in records])
+    wide = np.frombuffer(b"".join([r[0].ljust(WIDE, b"\0") for r in records]), np.uint8).reshape(-1, WIDE)
+    apart = np.append(wide[1:] != wide[:-1], np.ones((len(records) - 1, 1), bool), 1).argmax(1)
+    prefix = np.append(0, np.minimum(apart, np.minimum(size[1:], size[:-1])))
+    rest = [r[0][h:] for r, h in zip(records, prefix.tolist())]
+    head = np.array([prefix, size, [len(r[1]) for r in records]], np.uint8).tobytes()
     ids = np.array([r[2] for r in records], "<i8").tobytes()
-    body = len(records).to_bytes(4, "little") + head + ids + b"".join(rest) + b"".join(r[1] for r in records)
+    body = len(records).to_bytes(4, "little") + head + ids + b"".join(rest) + b"".join([r[1] for r in records])
     return zstandard.ZstdCompressor(1).compress(body)
 
 
-def decode_run(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int]]:
-    """(suffix, prefix shared with the one before, bytes before it, id)."""
+def decode_run(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
+    """(suffix, prefix shared with the one before, bytes before it, id, the suffix as a number of WIDE bytes)."""
     body = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(body[:4], "little")
     prefix, size, before = (np.frombuffer(body, np.uint8, n, 4 + k * n) for k in range(3))
@@ -208,70 +204,74 @@ def decode_run(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int]]:
     last = b""
     for h, s, b, i in zip(prefix.tolist(), size.tolist(), before.tolist(), ids.tolist()):
         last = last[:h] + body[at:at + s - h]
-        yield last, h, body[left:left + b], i
+        yield last, h, body[left:left + b], i, int.from_bytes(last, "big") << 8 * (WIDE - s)
         at += s - h
         left += b
 
 
-def merged(runs: list[Iterator[tuple[bytes, int, bytes, int]]]) -> Iterator[tuple[bytes, int, bytes, int, int]]:
+def merged(runs: list[Iterator[tuple[bytes, int, bytes, int, int]]]) -> Iterator[tuple[bytes, int, bytes, int, int]]:
     """All records in order with the prefix shared with the one before, and the number of
     their run: a loser tree over (record, known prefix with the last record put out)."""
     k = 1
     while k < len(runs):
         k *= 2
     now: list = [next(r, None) for r in runs] + [None] * (k - len(runs))
-    known = [0] * k
+    known = [0 if x else -1 for x in now]  # a run that has ended knows -1 and loses to all others
     tree = [-1] * k  # losers at 1 .. k-1, the winner at 0
 
-    def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser's known prefix becomes the one with the winner."""
+    def beats(a: int, b: int) -> bool:
+        """Whether a's record is not after b's, of equal known prefixes; the loser's becomes the one with the winner."""
         x, y = now[a], now[b]
-        if x is None or y is None:
-            return (b, a) if x is None else (a, b)
-        if known[a] != known[b]:
-            return (a, b) if known[a] > known[b] else (b, a)
-        p, q = x[0], y[0]
-        h = shared(p, q, known[a])
-        if h < len(p) and (h == len(q) or p[h] > q[h]):
+        p, q = len(x[0]), len(y[0])
+        apart = x[4] ^ y[4]
+        # Numbers are filled up with zeros, so a difference can lie behind the end of a record.
+        h = min(p, q, WIDE - 1 - (apart.bit_length() - 1) // 8) if apart else min(p, q)
+        if x[4] > y[4] or not apart and p > q:
             known[a] = h
-            return b, a
+            return False
         known[b] = h
-        return a, b
+        return True
 
     def build(node: int) -> int:
         if node >= k:
             return node - k
-        winner, tree[node] = play(build(2 * node), build(2 * node + 1))
-        return winner
-
-    tree[0] = build(1)
-    while now[tree[0]] is not None:
-        w = tree[0]
-        suffix, _, before, i = now[w]
+        a, b = build(2 * node), build(2 * node + 1)
+        if known[a] > known[b] or known[a] == known[b] and (known[a] < 0 or beats(a, b)):
+            a, b = b, a
+        tree[node] = a
+        return b
+
+    w = build(1)
+    while known[w] >= 0:
+        suffix, _, before, i, _ = now[w]
         yield suffix, known[w], before, i, w
-        now[w] = next(runs[w], None)
-        known[w] = now[w][1] if now[w] is not None else 0
-        node = (w + k) // 2
+        x = now[w] = next(runs[w], None)
+        mine = known[w] = x[1] if x else -1
+        node = (w + k) >> 1
         while node:
-            w, tree[node] = play(w, tree[node])
-            node //= 2
-        tree[0] = w
+            other = tree[node]
+            least = known[other]
+            if mine < least:
+                tree[node], w, mine = w, other, least
+            elif mine == least and mine >= 0 and not beats(w, other):
+                tree[node], w = w, other
+            node >>= 1
 
 
 def _settle(group: list[tuple[bytes, bytes, int, int, int]], masks: list[list[int]]) -> None:
     """Records (suffix, bytes before, id, run, place) of one anchor: mark the strings that a smaller id has."""
+    suffix, before = group[0][:2]
+    if all([x[0] == suffix and x[1] == before for x in group]):  # copies of one record: all its strings stand or fall together
+        every, lowest_id = (1 << (len(before) - max(0, SPAN - len(suffix)) + 1)) - 1, min([x[2] for x in group])
+        for _, _, i, run, place in group:
+            if i > lowest_id:
+                masks[run][place] = every
+        return
     least: dict[tuple[bytes, bytes], int] = {}
     for suffix, before, i, _, _ in group:
         key = (before, suffix)
         if i < least.get(key, NO_ID + 1):
             least[key] = i
-    if len(least) == 1:  # copies of one record: all its strings stand or fall together
-        suffix, before = group[0][:2]
-        every, lowest_id = (1 << (len(before) - max(0, SPAN - len(suffix)) + 1)) - 1, least[before, suffix]
-        for _, _, i, run, place in group:
-            if i > lowest_id:
-                masks[run][place] = every
-        return
     first: dict[tuple[int, bytes], int] = {}
     for (before, suffix), i in least.items():
         n = len(before)
@@ -306,7 +306,14 @@ def _merge(runs: DataFrame) -> DataFrame:
             _settle(group, masks)
         return frame[["slice", "bucket"]].assign(masks=[np.array(m, "<u4").tobytes() for m in masks])
 
-    return runs.select("slice", "bucket", "run").groupBy("bucket").applyInPandas(combine, "slice long, bucket long, masks binary")
+    def uncollected(frame: pd.DataFrame) -> pd.DataFrame:
+        gc.disable()  # millions of tuples, none of them in a cycle
+        try:
+            return combine(frame)
+        finally:
+            gc.enable()
+
+    return runs.select("slice", "bucket", "run").groupBy("bucket").applyInPandas(uncollected, "slice long, bucket long, masks binary")
 
 
 def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFrame:
@@ -329,16 +336,21 @@ def _runs(rows: DataFrame, live: DataFrame, parts: int, buckets: int) -> DataFra
         for first, _, raw, at in text.slices(column):
             start, anchor, row, sums = strings(raw, at)
             if len(start):
-                prints = fingerprints(sums, anchor)
+                # What hangs on the anchor alone is looked up once for neighbours that share it.
+                pair = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(row) != 0)))
+                prints = fingerprints(sums, anchor[pair])
                 key = (prints & np.uint64(0xFFFFFFFF)) | (((prints >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32))
                 spot = np.minimum(np.searchsorted(live, key), len(live) - 1)
-                ok = np.flatnonzero(live[spot] == key)
-                common = np.isin(key[ok], hot) if len(hot) else np.zeros(len(ok), bool)
+                many = np.diff(pair, append=len(anchor)) * (live[spot] == key)
+                each = np.repeat(np.arange(len(pair)), many)
+                ok = pair[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                prints = prints[each]
+                common = np.isin(key, hot)[each] if len(hot) else np.zeros(len(ok), bool)
                 halves = np.zeros((2, len(ok)), np.uint64)
                 middle = start[ok][common] + SPAN // 2
                 halves[0, common] = text.range_hash(sums, start[ok][common], middle)
                 halves[1, common] = text.range_hash(sums, middle, start[ok][common] + SPAN)
-                found.append((text.range_hash(sums, start[ok], start[ok] + SPAN), first + row[ok], base + start[ok], base + anchor[ok], prints[ok], common, *halves))
+                found.append((text.range_hash(sums, start[ok], start[ok] + SPAN), first + row[ok], base + start[ok], base + anchor[ok], prints, common, *halves))
             base += len(raw)
         out: list[tuple] = []
         if found:
@@ -476,8 +488,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, parts = max(1, -(-size // SLICE)), max(6, -(-size // PART))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "print"), F.lit(slices)))
-    live = stored(_live(_sent(rows, parts)), "live")
-    runs = stored(_runs(rows.select("slice", "id", "print", "text"), live, parts, parts), "runs")
-    masks = stored(_merge(runs.filter("bucket >= 0")), "masks")
+    with shuffles_freed(docs.sparkSession):
+        # A task sends what lies together: dealt by slice, a fingerprint of a slice goes out once, with the others of its part.
+        live = stored(_live(_sent(rows.repartition("slice").sortWithinPartitions("slice"), parts)), "live")
+        runs = stored(_runs(rows.select("slice", "id", "print", "text"), live, parts, parts), "runs")
+        masks = stored(_merge(runs.filter("bucket >= 0")), "masks")
     ranges = _ranges(runs, masks)
     return _kept(rows.join(ranges, ["id", "print"], "left").select("doc_id", "text", "ranges"))

@@ -510,6 +510,35 @@ def test_loser_tree_merges():
             assert b[1] == n
 
 
+def test_a_slice_sends_its_fingerprints_once_a_part(llm, monkeypatch):
+    """However many tasks its documents were read by: rows sent grow with slices and parts alone."""
+    from posefarm.llm import suffix_dedup
+    monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
+    draw = random.Random(3)
+    rows = [(k, "".join(draw.choice("abcdef ") for _ in range(draw.randint(60, 400))) + "the same passage of more than fifty bytes in many a document" * (k % 3 == 0)) for k in range(120)]
+    seen, live = [], suffix_dedup._live
+
+    def counted(sent):
+        seen.append((sent.count(), sent.select("slice", "part").distinct().count()))
+        return live(sent)
+
+    monkeypatch.setattr(suffix_dedup, "_live", counted)
+    same_rows([tuple(r) for r in suffix_dedup.without_repeats(llm.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()], plain_removal(rows))
+    assert seen[0][0] == seen[0][1] > 6
+
+
+def test_loser_tree_merges_records_that_end_in_zeros():
+    from posefarm.llm.suffix_dedup import decode_run, encode_run, merged
+    draw = random.Random(5)
+    stem = [b"a" * 32, b"a" * 31 + b"\0", b"\0" * 32, b"\xff" * 32]
+    runs = [sorted((draw.choice(stem) + bytes(draw.choice(b"\0\0\1") for _ in range(draw.randint(0, 18))), b"", draw.randint(0, 9)) for _ in range(40)) for _ in range(5)]
+    assert [[(x[0], x[2], x[3]) for x in decode_run(encode_run(r))] for r in runs] == runs
+    out = list(merged([decode_run(encode_run(r)) for r in runs]))
+    assert [o[0] for o in out] == sorted(s for r in runs for s, _, _ in r)
+    for a, b in zip(out, out[1:]):
+        assert b[1] == next((i for i in range(min(len(a[0]), len(b[0]))) if a[0][i] != b[0][i]), min(len(a[0]), len(b[0])))
+
+
 # ---------------------------------------------------------------- 10 decontamination
 def plain_alignment(a, b):
     best, above = 0, [0] * (len(b) + 1)
