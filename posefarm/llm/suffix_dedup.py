@@ -39,12 +39,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posefarm.llm import text
 from posefarm.llm.store import stored
-from posefarm.session import shuffles_freed
+from posefarm.session import remove_folder, shared_folder, shuffles_freed
 
 SPAN, GRAM = 50, 32
 #: Bytes of the number that a suffix (of SPAN bytes at most) is compared by.
@@ -480,6 +480,11 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _of_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    rows = spark.read.schema("slice long, bucket long, data binary, kind string").parquet(path)
+    return rows.filter(F.col("kind") == kind).select("slice", "bucket", F.col("data").alias(kind))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -488,10 +493,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, parts = max(1, -(-size // SLICE)), max(6, -(-size // PART))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "print"), F.lit(slices)))
-    with shuffles_freed(docs.sparkSession):
+    spark, parted = docs.sparkSession, shared_folder(docs.sparkSession, "runs")
+    with shuffles_freed(spark):
         # A task sends what lies together: dealt by slice, a fingerprint of a slice goes out once, with the others of its part.
         live = stored(_live(_sent(rows.repartition("slice").sortWithinPartitions("slice"), parts)), "live")
-        runs = stored(_runs(rows.select("slice", "id", "print", "text"), live, parts, parts), "runs")
-        masks = stored(_merge(runs.filter("bucket >= 0")), "masks")
-    ranges = _ranges(runs, masks)
+        # The runs apart from their states, so that they can go once they are merged.
+        both = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("data")) for c in ("run", "state")])
+        split = _runs(rows.select("slice", "id", "print", "text"), live, parts, parts).select("slice", "bucket", F.inline(both)).filter("data is not null")
+        split.write.partitionBy("kind").parquet(parted)
+        masks = stored(_merge(_of_kind(spark, parted, "run")), "masks")
+        remove_folder(spark, f"{parted}/kind=run")
+    ranges = _ranges(_of_kind(spark, parted, "state"), masks)
     return _kept(rows.join(ranges, ["id", "print"], "left").select("doc_id", "text", "ranges"))

@@ -512,7 +512,10 @@ def test_loser_tree_merges():
 
 def test_a_slice_sends_its_fingerprints_once_a_part(llm, monkeypatch):
     """However many tasks its documents were read by: rows sent grow with slices and parts alone."""
+    import pathlib
+
     from posefarm.llm import suffix_dedup
+    from posefarm.session import checkpoint_dir
     monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
     draw = random.Random(3)
     rows = [(k, "".join(draw.choice("abcdef ") for _ in range(draw.randint(60, 400))) + "the same passage of more than fifty bytes in many a document" * (k % 3 == 0)) for k in range(120)]
@@ -525,6 +528,9 @@ def test_a_slice_sends_its_fingerprints_once_a_part(llm, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_live", counted)
     same_rows([tuple(r) for r in suffix_dedup.without_repeats(llm.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()], plain_removal(rows))
     assert seen[0][0] == seen[0][1] > 6
+    # The runs are gone once they are merged, their states stay.
+    kept = {k.name for f in pathlib.Path(checkpoint_dir(llm).removeprefix("file:")).glob("posefarm-runs-*") for k in f.glob("kind=*")}
+    assert kept == {"kind=state"}
 
 
 def test_loser_tree_merges_records_that_end_in_zeros():
